@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairnflow.llm import minhash
+from cairnflow.llm import minhash, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
-QUERIES = {"op5_circulant_minhash": op5_circulant_minhash}
-ORACLES: dict[str, str] = {}
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 20-word windows that also start earlier."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_url_filters, op5_circulant_minhash, op6_sum_of_squares_packing, op10_fixed_block_anchors)}
+ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.oracle()}
