@@ -100,63 +100,108 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tv.pieces(batch):
-            sets = [g.view(np.int64) for g in shingle_sets(part)]
+            sets = list(shingle_sets(part))
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "set"])
+            digests = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["digest", "set"])
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b").distinct()
 
 
+def _hubs(filed: DataFrame) -> DataFrame:
+    """The hub of every bucket with several keys: the smallest key after a scrambling that differs from bucket to bucket."""
+    low = filed.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.col("bucket"))).alias("o"), F.min("key").alias("l"), F.max("key").alias("h"))
+    return low.where("l < h").select("bucket", F.col("o").bitwiseXOR(F.col("bucket")).alias("hub"))
+
+
+def _star(near: DataFrame) -> DataFrame:
+    """For each key the one hub with which it shares most buckets, from rows (key, hub)."""
+    best = near.groupBy("key", "hub").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    return best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, key, at, n): the shared ones among each set's rarest shingles, any two similar sets sharing one.
+
+    Shingles are ordered by how many of the sets hold them; those of a single set come first and are
+    counted only. Two sets over the bound share a shingle among the first n - ceil(n * percent / 100) + 1.
+    """
+    each = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("bucket"))
+    held = each.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = each.join(held, "bucket").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    cut = ordered.where(length > 0).select("key", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "s"))
+    return cut.select(F.col("s.bucket").alias("bucket"), "key", (F.col("alone") + F.col("i")).alias("at"), "n")
+
+
+def _may(percent: int):
+    """Whether sizes and places in the rarity order allow the pair (x, y) to be similar."""
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
+    return F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need
+
+
+def _side(filed: DataFrame, s: str) -> DataFrame:
+    return filed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "at", "n")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union|. ``class_id`` is the
     smallest id with the same set; ``component_id`` the smallest id reachable over links.
 
-    Work: a document is compared with one hub of the band buckets that it shares; after those links
-    are contracted, every pair from different components that still shares a bucket is compared.
-    So a group of near copies costs about one comparison a member, and no link between components
-    is left out. With 24 bands of five coordinates a pair at 0.85 is missed with probability 1e-6.
+    Work: a class is compared with one hub of the band buckets that it shares, and the links found are
+    contracted. Classes that still share a bucket with another component are filed under their rarest
+    shingles (an exact filter); there they are again compared with hubs, and at last every pair from
+    different components that sizes and places allow. So a group of near copies costs about one
+    comparison a member, and no link between components is left out among the band buckets' classes.
+    With 24 bands of five coordinates a pair at 0.85 meets in no bucket with probability 1e-6.
     """
     docs = docs.select("doc_id", "text")
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, digest binary, bands array<long>"), "sketch")
-    classes = sketch.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    reps = sketch.select("digest", F.col("doc_id").alias("rep"), "bands").join(classes, ["digest", "rep"])
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    # the hub of a bucket: smallest id after a scrambling that differs from bucket to bucket
-    hubs = banded.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("o"), F.min("rep").alias("l"), F.max("rep").alias("h")).where("l < h").select("bucket", F.col("o").bitwiseXOR(F.col("bucket")).alias("hub"))
-    members = stored(banded.join(hubs, "bucket"), "members")
-    best = members.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", F.col("hub"))).alias("hub"))
-    tried = stored(best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "tried")
-    links = stored(_confirm(docs, tried, percent), "links")
+    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, digest binary, bands array<long>").withColumn("key", F.xxhash64("digest")), "sketch")
+    classes = sketch.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    firsts = sketch.select("key", F.col("doc_id").alias("class_id"), "bands").join(classes, ["key", "class_id"]).dropDuplicates(["key"])
+    filed = firsts.select("key", "class_id", F.explode("bands").alias("bucket"))
+    members = stored(filed.join(_hubs(filed), "bucket"), "members")
+    tried = stored(_star(members.where("key <> hub")), "tried")
+    ids = members.select(F.col("class_id").alias("doc_id")).distinct()
+    keyed = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "digest binary, set array<long>").select(F.xxhash64("digest").alias("key"), "set")
+    sets = stored(keyed.groupBy("key").agg(F.first("set").alias("set")), "sets")
+    links = stored(_confirm(sets, tried, percent), "links")
     joined = components(links)
-    alive = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp")).join(
-        classes.select("rep", "n").groupBy("rep").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high")), "rep")
-    split = alive.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
-    alive = stored(alive.join(split, "bucket", "left_semi"), "alive")
-    x, y = (alive.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n_low", "n_high"))) for s in "xy")
-    rest = (
-        x.join(y, "bucket")
-        .where((F.col("comp_x") < F.col("comp_y")) & (F.col("n_high_x") * 100 >= F.col("n_low_y") * percent) & (F.col("n_high_y") * 100 >= F.col("n_low_x") * percent))
-        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    rest = stored(rest, "rest")
-    more = _confirm(docs, rest, percent)
-    final = components(stored(links.union(more), "links")) if rest.limit(1).count() else joined
-    final = final.withColumnsRenamed({"node": "class_id", "component": "found"})
+
+    labelled = members.select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
+    split = labelled.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
+    open_keys = labelled.join(split, "bucket", "left_semi").select("key").distinct()
+    rare = stored(_rare_prefixes(sets.join(open_keys, "key", "left_semi"), percent), "rare")
+    for last in (False, False, True):
+        now = rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"), "at", "n")
+        mixed = now.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
+        now = stored(now.join(mixed, "bucket", "left_semi"), "open")
+        if last:
+            pairs = _side(now, "x").join(_side(now, "y"), "bucket").where((F.col("comp_x") < F.col("comp_y")) & _may(percent))
+            pairs = pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+        else:
+            hubs = _side(now.join(_hubs(now).withColumnRenamed("hub", "key"), ["bucket", "key"]), "y")
+            pairs = _star(_side(now, "x").join(hubs, "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent)).select(F.col("key_x").alias("key"), F.col("key_y").alias("hub")))
+        found = stored(_confirm(sets, pairs, percent), "links")
+        if found.limit(1).count():
+            links = links.union(found)
+            joined = components(links)
+    label = (
+        joined.withColumnRenamed("node", "key").join(classes, "key").groupBy("component").agg(F.min("class_id").alias("found"))
+        .join(joined.withColumnRenamed("node", "key"), "component").select("key", "found")
+    )
     return (
-        sketch.select("doc_id", "n", "digest")
-        .join(classes.select("digest", F.col("rep").alias("class_id")), "digest", "left")
-        .join(final, "class_id", "left")
+        sketch.select("doc_id", "n", "key")
+        .join(classes, "key", "left")
+        .join(label, "key", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("found", "class_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
