@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import minhash, packing, substrings, urlfilter
+from cairnflow.llm import bytes_dedup, minhash, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that start more than once."""
+    out = bytes_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
@@ -32,5 +38,5 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op5_circulant_minhash, op6_sum_of_squares_packing, op10_fixed_block_anchors)}
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op3_url_filters, op5_circulant_minhash, op6_sum_of_squares_packing, op10_fixed_block_anchors)}
 ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.oracle()}

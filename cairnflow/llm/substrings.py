@@ -10,7 +10,8 @@ representative of a repeated run goes to the bucket of its key; a passage that a
 documents share thus costs one entry a task.
 
 Defined results: a null text has no words; documents with the same id and start count as the same
-occurrence, so repeated rows do not remove each other; null ids sort last. Sequences are compared by 96 bits
+occurrence, so repeated rows do not remove each other; ids are keys, and windows found in any text of an id
+apply to all its texts, as far as these reach; null ids are one more id, which sorts last. Sequences are compared by 96 bits
 of independent hashes.
 """
 
@@ -119,8 +120,10 @@ def _extend(n_buckets: int, block: int):
                 seeds = np.asarray(lists.flatten(), dtype=np.int64)
                 row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
                 edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, np.maximum(first[row] + seeds - block, first[row]), 1)
-                np.add.at(edge, np.minimum(first[row] + seeds, first[row + 1] - 2 * block) + 1, -1)
+                lo, hi = np.maximum(first[row] + seeds - block, first[row]), np.minimum(first[row] + seeds, first[row + 1] - 2 * block)
+                fits = lo <= hi
+                np.add.at(edge, lo[fits], 1)
+                np.add.at(edge, hi[fits] + 1, -1)
                 start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 row = np.searchsorted(first, start, "right") - 1
                 key = tv.gram_hashes(words, 2 * block)[start]
@@ -180,8 +183,8 @@ def _cut(size: int):
                     if pos.is_valid:
                         edge = np.zeros(len(words) + 1, np.int32)
                         at = np.unique(np.asarray(pos.values))
-                        edge[at] += 1
-                        edge[at + size] -= 1
+                        np.add.at(edge, np.minimum(at, len(words)), 1)
+                        np.add.at(edge, np.minimum(at + size, len(words)), -1)
                         stay = np.cumsum(edge[:-1]) == 0
                         words = list(compress(words, stay.tolist()))
                     removed.append(total[-1] - len(words))
