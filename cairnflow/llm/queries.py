@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import bytes_dedup, minhash, packing, substrings, urlfilter
+from cairnflow.llm import bytes_dedup, containment, langid, lmscore, minhash, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_segmentation_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 400-byte strings that start more than once."""
     out = bytes_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
@@ -20,6 +31,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more every document resembles the conversations than the documents."""
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score(docs, table(spark, sf_dir, "conversations"), docs, _vocabulary("byte_bpe_50k.json"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -27,9 +44,12 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 ids."""
-    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in every document, at a containment of 0.8."""
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +58,5 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op3_url_filters, op5_circulant_minhash, op6_sum_of_squares_packing, op10_fixed_block_anchors)}
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.oracle()}
