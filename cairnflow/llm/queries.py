@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import bytes_dedup, containment, langid, lmscore, minhash, packing, substrings, urlfilter
+from cairnflow.llm import bytes_dedup, containment, crf, kmeans_tree, langid, lmscore, minhash, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
@@ -47,11 +47,22 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return kmeans_tree.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items in every document, at a containment of 0.8."""
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 20-word windows that also start earlier."""
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
