@@ -27,6 +27,8 @@ from cairnflow.llm.shared import stored
 
 UNIVERSE = 1 << 22
 ROWS, BANDS = 5, 24
+#: Comparisons with hubs of other components before all that are left are compared.
+ROUNDS = 5
 SEED = 20211
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -126,7 +128,7 @@ def _star(near: DataFrame) -> DataFrame:
 
 
 def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, key, at, n): the shared ones among each set's rarest shingles, any two similar sets sharing one.
+    """(bucket, key, at, n, alone): the shared ones among each set's rarest shingles, any two similar sets sharing one.
 
     Shingles are ordered by how many of the sets hold them; those of a single set come first and are
     counted only. Two sets over the bound share a shingle among the first n - ceil(n * percent / 100) + 1.
@@ -137,7 +139,7 @@ def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     cut = ordered.where(length > 0).select("key", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "s"))
-    return cut.select(F.col("s.bucket").alias("bucket"), "key", (F.col("alone") + F.col("i")).alias("at"), "n")
+    return cut.select(F.col("s.bucket").alias("bucket"), "key", (F.col("alone") + F.col("i")).alias("at"), "n", "alone")
 
 
 def _may(percent: int):
@@ -146,6 +148,19 @@ def _may(percent: int):
     return F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need
 
 
+def _central(now: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every key with two hubs of other components: that of most common buckets, and the most central one.
+
+    The hub of a bucket is the key with the fewest shingles of its own, so the one that most others resemble.
+    """
+    hubs = now.groupBy("bucket").agg(F.min(F.struct("alone", "at", "n", "key", "comp")).alias("h")).select("bucket", *(F.col(f"h.{c}").alias(f"{c}_y") for c in ("key", "comp", "at", "n", "alone")))
+    near = _side(now, "x").join(hubs, "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent))
+    each = near.groupBy("key_x", "key_y").agg(F.count("*").alias("c"), F.min("alone_y").alias("alone"))
+    picks = each.groupBy("key_x").agg(F.max_by("key_y", F.struct("c", "key_y")).alias("p"), F.min_by("key_y", F.struct("alone", "key_y")).alias("q"))
+    pairs = picks.select("key_x", F.explode(F.array_distinct(F.array("p", "q"))).alias("key_y"))
+    return pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+
+
 def _side(filed: DataFrame, s: str) -> DataFrame:
     return filed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "at", "n")))
 
@@ -158,8 +173,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Work: a class is compared with one hub of the band buckets that it shares, and the links found are
     contracted. Classes that still share a bucket with another component are filed under their rarest
-    shingles (an exact filter); there they are again compared with hubs, and at last every pair from
-    different components that sizes and places allow. So a group of near copies costs about one
+    shingles (an exact filter); there they are compared with central hubs of other components as long as that
+    finds links, and at last every pair from different components that sizes and places allow. So a group of near copies costs about one
     comparison a member, and no link between components is left out among the band buckets' classes.
     With 24 bands of five coordinates a pair at 0.85 meets in no bucket with probability 1e-6.
     """
@@ -180,20 +195,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
     open_keys = labelled.join(split, "bucket", "left_semi").select("key").distinct()
     rare = stored(_rare_prefixes(sets.join(open_keys, "key", "left_semi"), percent), "rare")
-    for last in (False, False, True):
-        now = rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"), "at", "n")
+    found = True
+    for step in range(ROUNDS + 1):
+        now = rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"), "at", "n", "alone")
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
         now = stored(now.join(mixed, "bucket", "left_semi"), "open")
+        last = step == ROUNDS or not found
         if last:
             pairs = _side(now, "x").join(_side(now, "y"), "bucket").where((F.col("comp_x") < F.col("comp_y")) & _may(percent))
             pairs = pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
         else:
-            hubs = _side(now.join(_hubs(now).withColumnRenamed("hub", "key"), ["bucket", "key"]), "y")
-            pairs = _star(_side(now, "x").join(hubs, "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent)).select(F.col("key_x").alias("key"), F.col("key_y").alias("hub")))
-        found = stored(_confirm(sets, pairs, percent), "links")
-        if found.limit(1).count():
-            links = links.union(found)
+            pairs = _central(now, percent)
+        more = stored(_confirm(sets, pairs, percent), "links")
+        if found := more.limit(1).count():
+            links = links.union(more)
             joined = components(links)
+        if last:
+            break
     label = (
         joined.withColumnRenamed("node", "key").join(classes, "key").groupBy("component").agg(F.min("class_id").alias("found"))
         .join(joined.withColumnRenamed("node", "key"), "component").select("key", "found")
