@@ -82,6 +82,8 @@ class Index:
     def candidates(self, grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, item) pairs with enough sketch hits."""
         at = np.flatnonzero(self.filter[grams & np.uint64((1 << _BITS) - 1)])
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i = np.searchsorted(self.shingle, grams[at])
         i[i == len(self.shingle)] = 0
         hit = self.shingle[i] == grams[at]
@@ -107,30 +109,47 @@ def _grams(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[np.arange(len(row)) + np.repeat(first[:-1] - begin, size)] if len(row) else grams[:0], row, np.concatenate([begin, [len(row)]])
 
 
+def _verified(found: Index, part: pa.RecordBatch, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item's place, shared shingles) of the candidates that hold enough of the item."""
+    grams, row, begin = _grams(part)
+    last, own = -1, grams[:0]
+    for r, i in zip(*(x.tolist() for x in found.candidates(grams, row)), strict=True):
+        if r != last:
+            last, own = r, np.unique(grams[begin[r] : begin[r + 1]])
+        s = found.sets[i]
+        shared = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+        if 100 * shared >= percent * len(s):
+            yield r, i, shared
+
+
 def _search(index, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
         for batch in batches:
             for part in tv.pieces(batch):
-                grams, row, begin = _grams(part)
-                rows, items = found.candidates(grams, row)
-                out = []
-                last, own = -1, grams[:0]
                 ids = part.column("doc_id").to_pylist()
-                for r, i in zip(rows.tolist(), items.tolist(), strict=True):
-                    if r != last:
-                        last, own = r, np.unique(grams[begin[r] : begin[r + 1]])
-                    s = found.sets[i]
-                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                    shared = int((own[at] == s).sum())
-                    if 100 * shared >= percent * len(s):
-                        out.append((ids[r], int(found.ids[i]), len(s), shared))
+                out = [(ids[r], int(found.ids[i]), len(found.sets[i]), shared) for r, i, shared in _verified(found, part, percent)]
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
     return run
 
 
+def _clean(index, percent: int):
+    """The rows whose texts hold no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = index.value
+        for batch in batches:
+            for part in tv.pieces(batch):
+                stay = np.ones(part.num_rows, bool)
+                for r, _, _ in _verified(found, part, percent):
+                    stay[r] = False
+                yield part.filter(pa.array(stay))
+
+    return run
+
+
 def _sketched(percent: int):
     """Rows (item_id, set, shingle, weight, need) for the shuffled search."""
 
@@ -165,19 +184,23 @@ def _sets(name: str):
     return run
 
 
+def _index(items: DataFrame, percent: int, most_shingles: int):
+    """The distinct items, and the broadcast index of them if they are within the bound, else None."""
+    items = items.select("item_id", "text").where("item_id is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if (size[0] or 0) > 2 * most_shingles or size[1] > most_shingles:  # a shingle has two bytes at least that the next one has not
+        return items, None
+    batches = items.toArrow().to_batches()
+    own = [(i, s) for b in batches for i, s in zip(b.column("item_id").to_pylist(), _five(b), strict=True) if len(s)]
+    return items, items.sparkSession.sparkContext.broadcast(Index(own, percent))
+
+
 def contained(docs: DataFrame, items: DataFrame, percent: int = 80, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) for every item with at least ``percent`` % of its five-word shingles in a document."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    items = items.select("item_id", "text").where("item_id is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size[0] or 0) <= 2 * most_shingles and size[1] <= most_shingles:  # a shingle has two bytes at least that the next one has not
-        batch = items.toArrow().combine_chunks().to_batches()
-        own = [(i, s) for b in batch for i, s in zip(b.column("item_id").to_pylist(), _five(b), strict=True) if len(s)]
-        if not own:
-            pairs = docs.sparkSession.createDataFrame([], _PAIRS)
-        else:
-            index = docs.sparkSession.sparkContext.broadcast(Index(own, percent))
-            pairs = docs.mapInArrow(_search(index, percent), _PAIRS)
+    items, index = _index(items, percent, most_shingles)
+    if index is not None:
+        pairs = docs.mapInArrow(_search(index, percent), _PAIRS)
     else:
         shingles = docs.mapInArrow(_sets("doc_id"), "doc_id long, set array<long>").select("doc_id", F.explode("set").alias("shingle")).distinct()
         sketches = items.mapInArrow(_sketched(percent), "item_id long, shingle long, weight long, need long")
@@ -188,3 +211,11 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, most_shingle
         both = hits.join(doc_sets, "doc_id").join(item_sets, "item_id")
         pairs = both.select("doc_id", "item_id", F.size("own").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("own", "set")).cast("long").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent)
     return pairs.distinct().withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, most_shingles: int = MOST_SHINGLES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item (rows without an id are judged too while the items are small)."""
+    small, index = _index(items, percent, most_shingles)
+    if index is not None:
+        return docs.mapInArrow(_clean(index, percent), docs.schema)
+    return docs.join(contained(docs, small, percent, most_shingles).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -71,32 +71,35 @@ def shingle_sets(batch: pa.RecordBatch, k: int = 5, lower: bool = True) -> Itera
             yield words[:0]
 
 
-def _bands(signatures: np.ndarray) -> np.ndarray:
+def _bands(signatures: np.ndarray, bands: int) -> np.ndarray:
     """Band hashes (rows: documents), each different from band to band."""
-    s = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(tv.mix(np.arange(1, BANDS + 1, dtype=np.uint64)), s.shape[:2]).copy()
+    s = signatures.reshape(len(signatures), bands, ROWS).astype(np.uint64)
+    h = np.broadcast_to(tv.mix(np.arange(1, bands + 1, dtype=np.uint64)), s.shape[:2]).copy()
     for r in range(ROWS):
         h = tv.mix(h * np.uint64(31) + s[:, :, r])
     return h.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tv.pieces(batch):
-            sizes, digests, rows, found = [], [], [], []
-            for i, g in enumerate(shingle_sets(part)):
-                sizes.append(len(g))
-                digests.append(xxhash.xxh3_128_digest(g.tobytes()))
-                if len(g):
-                    rows.append(i)
-                    found.append(signature(g))
-            counts = np.zeros(part.num_rows + 1, np.int32)
-            counts[np.array(rows, np.int64) + 1] = BANDS
-            flat = _bands(np.stack(found)).ravel() if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(flat))],
-                names=["doc_id", "n", "digest", "bands"],
-            )
+def _sketch(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.pieces(batch):
+                sizes, digests, rows, found = [], [], [], []
+                for i, g in enumerate(shingle_sets(part)):
+                    sizes.append(len(g))
+                    digests.append(xxhash.xxh3_128_digest(g.tobytes()))
+                    if len(g):
+                        rows.append(i)
+                        found.append(signature(g, ROWS * bands))
+                counts = np.zeros(part.num_rows + 1, np.int32)
+                counts[np.array(rows, np.int64) + 1] = bands
+                flat = _bands(np.stack(found), bands).ravel() if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(flat))],
+                    names=["doc_id", "n", "digest", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def _side(filed: DataFrame, s: str) -> DataFrame:
     return filed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "at", "n")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union|. ``class_id`` is the
@@ -179,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     With 24 bands of five coordinates a pair at 0.85 meets in no bucket with probability 1e-6.
     """
     docs = docs.select("doc_id", "text")
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, digest binary, bands array<long>").withColumn("key", F.xxhash64("digest")), "sketch")
+    sketch = stored(docs.mapInArrow(_sketch(bands), "doc_id long, n long, digest binary, bands array<long>").withColumn("key", F.xxhash64("digest")), "sketch")
     classes = sketch.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     firsts = sketch.select("key", F.col("doc_id").alias("class_id"), "bands").join(classes, ["key", "class_id"]).dropDuplicates(["key"])
     filed = firsts.select("key", "class_id", F.explode("bands").alias("bucket"))
@@ -223,3 +226,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("found", "class_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 80, bands: int = 36) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document of each group: the smallest id; repeated rows once.
+
+    With 36 bands a pair at 0.8 meets in no bucket with probability 1e-6. Rows without an id stay while any such row is its group's only kind.
+    """
+    kept = near_duplicates(docs, percent, bands).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)

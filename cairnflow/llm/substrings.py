@@ -172,7 +172,7 @@ def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return _of_docs(stored(windows.groupBy("bucket").applyInArrow(_later, _FOUND), "repeats"))
 
 
-def _cut(size: int):
+def _cut(size: int, layout: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.pieces(batch):
@@ -180,6 +180,7 @@ def _cut(size: int):
                 for text, pos in zip(part.column("text"), part.column("pos"), strict=True):
                     words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                     total.append(len(words))
+                    whole = len(words)
                     if pos.is_valid:
                         edge = np.zeros(len(words) + 1, np.int32)
                         at = np.unique(np.asarray(pos.values))
@@ -188,7 +189,7 @@ def _cut(size: int):
                         stay = np.cumsum(edge[:-1]) == 0
                         words = list(compress(words, stay.tolist()))
                     removed.append(total[-1] - len(words))
-                    kept.append(b" ".join(words))
+                    kept.append(text.as_buffer().to_pybytes() if layout and words and len(words) == whole else b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in part.schema.names if c not in ("text", "pos")), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
                     names=[*(c for c in part.schema.names if c not in ("text", "pos")), "kept", "n_words", "n_removed"],
@@ -197,13 +198,13 @@ def _cut(size: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, block: int = BLOCK, layout: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``kept`` (the words that stay, joined by one space) instead of ``text``, n_words and n_removed.
 
-    Columns named kept, pos, n_words or n_removed are replaced; all others come along.
+    With ``layout``, texts that lose nothing stay as they are. Columns named kept, pos, n_words or n_removed are replaced; all others come along.
     """
     docs = docs.drop("kept", "pos", "n_words", "n_removed")
     gone = repeated_windows(docs, block)
     rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(blobs.NO_ID))).join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return rows.mapInArrow(_cut(2 * block), ", ".join([*fields, "kept string", "n_words long", "n_removed long"]))
+    return rows.mapInArrow(_cut(2 * block, layout), ", ".join([*fields, "kept string", "n_words long", "n_removed long"]))
