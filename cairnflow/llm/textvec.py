@@ -56,7 +56,8 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
     _, off, data = column.buffers()
     o = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    starts, ends = o[:-1].copy(), o[1:].copy()
+    raw = raw[o[0] : o[-1]]  # a slice shares the buffer of its batch
+    starts, ends = o[:-1] - o[0], o[1:] - o[0]
     if column.null_count:
         gone = ~np.asarray(column.is_valid())
         ends[gone] = starts[gone]
