@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.shared import held_out
 
-SAMPLE = 5000
-LINES = 300
+SAMPLE = 4000
+LINES = 200
 LONGEST = 500_000
 STEPS = 120
 THRESHOLD = 0.3
