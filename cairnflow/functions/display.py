@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lightness, chroma and fallback of cluster colours, limits of a view box.
 LIGHTNESS, CHROMA, NO_COLOUR = 0.7193, 0.157, "rgb(113 113 122)"
@@ -46,7 +47,7 @@ def srgb_of(angles: np.ndarray) -> np.ndarray:
     return np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055).T
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def srgb(angle: pd.Series) -> pd.Series:
     """F16 as a column."""
     return pd.Series(list(srgb_of(angle.to_numpy(dtype=float))))
