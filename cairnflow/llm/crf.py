@@ -225,10 +225,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, score (probability of label 1), predicted (1 from THRESHOLD on). ``keep``: other columns that come along."""
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """One row per document: doc_id, held_out, score (probability of label 1), predicted (1 from THRESHOLD on)."""
     model = train(docs, labels, sample)
-    columns = ["doc_id", "held_out", *(c for c in keep or () if c not in ("doc_id", "held_out", "score", "predicted"))]
-    out = docs.withColumn("held_out", held_out(F.col("doc_id"))).select(*dict.fromkeys([*columns, "text"]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*columns).schema]
-    return out.mapInArrow(_classify(model, columns), ", ".join([*fields, "score double", "predicted int"]))
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return out.mapInArrow(_classify(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _good(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.pieces(batch):
+                yield part.filter(pa.array(model.scores(model.quality(part.column("text"))) >= THRESHOLD))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify`` predicts to have label 1."""
+    return docs.mapInArrow(_good(train(docs, labels, sample)), docs.schema)

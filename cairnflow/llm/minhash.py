@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.components import components
-from cairnflow.llm.shared import stored
+from cairnflow.llm.shared import free_name, stored
 
 UNIVERSE = 1 << 22
 ROWS, BANDS = 5, 24
@@ -233,6 +233,7 @@ def keep_one(docs: DataFrame, percent: int = 80, bands: int = 36) -> DataFrame:
 
     With 36 bands a pair at 0.8 meets in no bucket with probability 1e-6. Rows without an id stay while any such row is its group's only kind.
     """
-    kept = near_duplicates(docs, percent, bands).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    mark, same = free_name(docs, "_id"), free_name(docs, "_text")
+    kept = near_duplicates(docs, percent, bands).where("kept").select(F.col("doc_id").alias(mark)).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[mark]), "left_semi")
+    return rows.withColumn(same, F.xxhash64("text")).dropDuplicates(["doc_id", same]).select(docs.columns)

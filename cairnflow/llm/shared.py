@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.sources.tables import table
 
-__all__ = ["held_out", "shared_dir", "stored", "table"]
+__all__ = ["free_name", "held_out", "shared_dir", "stored", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text is divisible by 5 (a null id is held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

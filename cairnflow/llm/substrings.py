@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import stored
+from cairnflow.llm.shared import free_name, stored
 
 BLOCK = 10
 WINDOW = 2 * BLOCK
@@ -172,7 +172,18 @@ def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return _of_docs(stored(windows.groupBy("bucket").applyInArrow(_later, _FOUND), "repeats"))
 
 
-def _cut(size: int, layout: bool):
+def _stay(pos: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of n words no window covers."""
+    edge = np.zeros(n + 1, np.int32)
+    at = np.unique(pos)
+    np.add.at(edge, np.minimum(at, n), 1)
+    np.add.at(edge, np.minimum(at + size, n), -1)
+    return np.cumsum(edge[:-1]) == 0
+
+
+def _cut(size: int):
+    """Words that stay, joined by one space, with counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.pieces(batch):
@@ -180,31 +191,56 @@ def _cut(size: int, layout: bool):
                 for text, pos in zip(part.column("text"), part.column("pos"), strict=True):
                     words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                     total.append(len(words))
-                    whole = len(words)
                     if pos.is_valid:
-                        edge = np.zeros(len(words) + 1, np.int32)
-                        at = np.unique(np.asarray(pos.values))
-                        np.add.at(edge, np.minimum(at, len(words)), 1)
-                        np.add.at(edge, np.minimum(at + size, len(words)), -1)
-                        stay = np.cumsum(edge[:-1]) == 0
-                        words = list(compress(words, stay.tolist()))
+                        words = list(compress(words, _stay(np.asarray(pos.values), len(words), size).tolist()))
                     removed.append(total[-1] - len(words))
-                    kept.append(text.as_buffer().to_pybytes() if layout and words and len(words) == whole else b" ".join(words))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in part.schema.names if c not in ("text", "pos")), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                    names=[*(c for c in part.schema.names if c not in ("text", "pos")), "kept", "n_words", "n_removed"],
-                )
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, block: int = BLOCK, layout: bool = False) -> DataFrame:
-    """The rows of ``docs`` with ``kept`` (the words that stay, joined by one space) instead of ``text``, n_words and n_removed.
+def _rewrite(size: int, mark: str):
+    """Rows with the words removed from their text; texts that lose nothing stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tv.pieces(batch):
+                names = [c for c in part.schema.names if c != mark]
+                texts, lists = part.column("text"), part.column(mark)
+                changed = {}
+                for i in np.flatnonzero(np.asarray(lists.is_valid()) & np.asarray(texts.is_valid())).tolist():
+                    words = texts[i].as_buffer().to_pybytes().split()
+                    kept = list(compress(words, _stay(np.asarray(lists[i].values), len(words), size).tolist()))
+                    if len(kept) < len(words):
+                        changed[i] = b" ".join(kept).decode("utf-8", "replace")
+                columns = {c: part.column(c) for c in names}
+                if changed:
+                    columns["text"] = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
+                    if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
+                        columns["n_chars"] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(columns["n_chars"].to_pylist())], columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return run
+
+
+def _with_windows(docs: DataFrame, block: int, mark: str) -> DataFrame:
+    key = free_name(docs, "_key")
+    gone = repeated_windows(docs, block).select(F.col("doc_id").alias(key), F.col("pos").alias(mark))
+    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(blobs.NO_ID)) == gone[key], "left").select(*(docs[c] for c in docs.columns), gone[mark])
+
+
+def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    rows = _with_windows(docs.select("doc_id", "text"), block, "pos")
+    return rows.mapInArrow(_cut(2 * block), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def rewrite(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without the repeats in their text.
 
-    With ``layout``, texts that lose nothing stay as they are. Columns named kept, pos, n_words or n_removed are replaced; all others come along.
+    A text that loses words becomes the others joined by one space, and n_chars (if there is such a number) its length;
+    other texts stay as they are.
     """
-    docs = docs.drop("kept", "pos", "n_words", "n_removed")
-    gone = repeated_windows(docs, block)
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(blobs.NO_ID))).join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return rows.mapInArrow(_cut(2 * block, layout), ", ".join([*fields, "kept string", "n_words long", "n_removed long"]))
+    mark = free_name(docs, "_windows")
+    return _with_windows(docs, block, mark).mapInArrow(_rewrite(2 * block, mark), docs.schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairnflow.llm import containment, crf, minhash, packing, substrings
 from cairnflow.llm.shared import stored, table
@@ -11,8 +10,7 @@ from cairnflow.llm.shared import stored, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model does not reject."""
-    scored = crf.classify(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where("predicted = 1").select(docs.columns)
+    return crf.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 20-word windows that also start earlier; n_chars follows the text. Emptied documents stay, empty."""
-    out = substrings.remove_repeats(docs, layout=True)
-    changed = out.withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+    return substrings.rewrite(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
