@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of input for a bucket; at least, at most so many buckets.
-BUCKET_BYTES, LEAST, MOST = 24 << 20, 64, 1 << 17
+BUCKET_BYTES, LEAST, MOST = 4 << 20, 64, 1 << 17
 #: Stands for a null id, and sorts after all others.
 NO_ID = np.iinfo(np.int64).max
 

@@ -370,11 +370,11 @@ def remove_repeated_bytes(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     n = blobs.buckets_for(docs)
     rows = docs.withColumn("row", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
     long = rows.where(F.octet_length("text") >= WINDOW).select("row", "text")
-    flagged = stored(long.mapInArrow(_enter(n, often), _SHIPPED).groupBy("bucket").applyInArrow(_repeated(often), _FLAGGED), "anchors")
+    flagged = stored(long.mapInArrow(_enter(n, often), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_repeated(often)), _FLAGGED), "anchors")
     marks = flagged.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list(F.when(F.col("often"), F.col("pos")))).alias("often"), F.flatten(F.collect_list(F.when(~F.col("often"), F.col("pos")))).alias("seldom"))
     marked = stored(long.join(marks, "row"), "marked")
     narrowed = marked.where(F.size("often") > 0).select("row", "text", "often").mapInArrow(_narrow(n), _SHIPPED)
-    left = stored(narrowed.groupBy("bucket").applyInArrow(_again, _FOUND), "windows")
+    left = stored(narrowed.groupBy("bucket").applyInArrow(tv.lean(_again), _FOUND), "windows")
     runs = marked.select("row", "text", "seldom").join(_of_rows(left, "left"), "row", "left").where((F.size("seldom") > 0) | F.col("left").isNotNull())
-    found = stored(runs.mapInArrow(_contexts(n), _SHIPPED).groupBy("bucket").applyInArrow(_sorted_out, _FOUND), "repeats")
+    found = stored(runs.mapInArrow(_contexts(n), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_sorted_out), _FOUND), "repeats")
     return rows.join(_of_rows(found, "pos"), "row", "left").select("doc_id", "text", "pos").mapInArrow(_cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.shared import held_out
 
-SAMPLE = 4000
+SAMPLE = 3000
 LINES = 200
 LONGEST = 500_000
 STEPS = 120
@@ -221,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = min(1.0, sample / n) if n else 0.0
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20))))
     few = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen.limit(2 * sample)), "doc_id")  # bounded by the sample's size
-    rows = sorted((r.doc_id, r.text, r.quality) for r in few.collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    rows = few.select("doc_id", "text", "quality").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    return fit(rows.column("text").to_pylist(), rows.column("quality").to_pylist())
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -176,7 +176,7 @@ def fit(texts: list[tuple[str, str]], pieces: list[bytes]) -> tuple[list[str], n
     finder = Pieces(pieces)
     prob = np.full((len(pieces) + 1, len(langs)), 1 / len(pieces))
     prob[-1] = 0
-    groups = [(at[k : k + 20_000], rows[k : k + 20_000]) for at, rows in _by_length(data, ws[example], we[example]) for k in range(0, len(at), 20_000)]
+    groups = [(at[k : k + 8192], rows[k : k + 8192]) for at, rows in _by_length(data, ws[example], we[example]) for k in range(0, len(at), 8192)]
     for _ in range(ROUNDS):
         count = sum(_expected(finder.substrings(rows), prob, weight[at]) for at, rows in groups)
         count += 0.1 + 0.1 * count.sum(axis=1, keepdims=True) / max(1.0, count.sum()) * 100  # unseen pieces keep a share, common ones more
@@ -263,7 +263,7 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
     if size:
         keep = F.create_map(*(x for lang, n in size.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))[F.col("lang")]
         chosen = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(keep * (1 << 20)))
-        texts = sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect())  # about per_language rows of each language
+        texts = sorted(zip(*(c.to_pylist() for c in chosen.select("lang", "text").toArrow().columns), strict=True))  # about per_language rows of each language
         if texts:
             langs, prob = fit(texts, vocabulary(vocabulary_path))
     model = spark.sparkContext.broadcast(prob)

@@ -57,7 +57,7 @@ def _probe(n_buckets: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch, most=12 << 20):
+            for part in tv.pieces(batch):
                 data, starts, ends = tv.buffers(part.column("text"))
                 ws, we, first = tv.word_spans(data, starts, ends)
                 grams = tv.gram_hashes(tv.word_hashes(data, ws, we), block)
@@ -112,7 +112,7 @@ def _extend(n_buckets: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch, most=12 << 20):
+            for part in tv.pieces(batch):
                 data, starts, ends = tv.buffers(part.column("text"))
                 ws, we, first = tv.word_spans(data, starts, ends)
                 words = tv.word_hashes(data, ws, we)
@@ -166,10 +166,10 @@ def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, pos): starts of the windows of ``2 * block`` words whose sequence also starts earlier; null ids are NO_ID."""
     docs = docs.select("doc_id", "text")
     n = blobs.buckets_for(docs)
-    seeds = stored(docs.mapInArrow(_probe(n, block), _SHIPPED).groupBy("bucket").applyInArrow(_hits(block), _FOUND), "hits")
+    seeds = stored(docs.mapInArrow(_probe(n, block), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_hits(block)), _FOUND), "hits")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
     windows = keyed.join(_of_docs(seeds), "doc_id").mapInArrow(_extend(n, block), _SHIPPED)
-    return _of_docs(stored(windows.groupBy("bucket").applyInArrow(_later, _FOUND), "repeats"))
+    return _of_docs(stored(windows.groupBy("bucket").applyInArrow(tv.lean(_later), _FOUND), "repeats"))
 
 
 def _stay(pos: np.ndarray, n: int, size: int) -> np.ndarray:
