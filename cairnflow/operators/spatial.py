@@ -94,7 +94,8 @@ def polygon_at(pointers: DataFrame, cells: DataFrame) -> DataFrame:
     p = F.col("polygon")
     n = F.size(p)
     side = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (p[(i + 1) % n][0] - p[i][0]) * (F.col("y") - p[i][1]) - (p[(i + 1) % n][1] - p[i][1]) * (F.col("x") - p[i][0]))
-    boxed = cells.where("id is not null").withColumns({f"{c}{k}": f(F.transform(p, lambda q, i=i: q[i])) for c, i in (("x", 0), ("y", 1)) for k, f in ((0, F.array_min), (1, F.array_max))})
+    xs, ys = F.transform(p, lambda q: q[0]), F.transform(p, lambda q: q[1])
+    boxed = cells.where("id is not null").withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
     near = cell_candidates(pointers, boxed)
     return near.where(F.forall(side, lambda s: s >= -1e-9) | F.forall(side, lambda s: s <= 1e-9)).groupBy("pointer").agg(F.min("id").alias("id"))
 
