@@ -39,10 +39,12 @@ def filter_active(query: Column, session_weights: Column, active_weights: Column
 def best_faces(faces: DataFrame, weights: DataFrame) -> DataFrame:
     """For each family and target weight the nearest face within the window; the first face wins ties.
 
-    ``faces``: family, face_ord, actual_weight, ...; ``weights``: target, a handful of rows made by the caller's configuration.
+    ``faces``: family, face_ord, actual_weight, ...; ``weights``: target. Windows meet faces on tiles of fifty, an equi join.
     The best is kept by a partial aggregate, so a family with very many faces costs one row a task.
     """
-    near = faces.crossJoin(F.broadcast(weights)) if weights.isEmpty() else faces.join(F.broadcast(weights.limit(1000)), names.in_weight_window(F.col("target"), F.col("actual_weight")))
+    tiles = F.sequence(F.floor((F.col("target") - 50) / 50), F.floor((F.col("target") + 50) / 50))
+    asked = weights.select("target", F.explode(tiles).alias("_tile"))
+    near = faces.withColumn("_tile", F.floor(F.col("actual_weight") / 50)).join(asked, "_tile").where(names.in_weight_window(F.col("target"), F.col("actual_weight")))
     rest = [c for c in faces.columns if c != "family"]
     best = near.groupBy("family", "target").agg(F.min(F.struct(F.abs(F.col("actual_weight") - F.col("target")).alias("_d"), F.col("face_ord"), *(F.col(c) for c in rest if c != "face_ord"))).alias("b"))
     return best.select("family", "target", *(F.col(f"b.{c}").alias(c) for c in rest))

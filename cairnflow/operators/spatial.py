@@ -73,7 +73,7 @@ def nearest_within(pointers: DataFrame, points: DataFrame, radius: float) -> Dat
 
 def pick(boxes: DataFrame, dots: DataFrame, points: DataFrame, pointers: DataFrame, radius: float) -> DataFrame:
     """An exemplar's image box (key, x0, y0, x1, y1) first, else the nearer of merge dot and point, dots winning ties."""
-    hit = pointers.join(F.broadcast(boxes.limit(10_000)), F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).groupBy("pointer").agg(F.min("key").alias("key"))
+    hit = cell_candidates(pointers, boxes).groupBy("pointer").agg(F.min("key").alias("key"))
     ranked = hit.select("pointer", "key", F.lit(0).alias("rank"), F.lit(0.0).alias("d2"), F.lit("image").alias("kind"))
     for kind, table in (("dot", dots), ("point", points)):
         ranked = ranked.unionByName(nearest_within(pointers, table, radius).select("pointer", "key", F.lit(1).alias("rank"), "d2", F.lit(kind).alias("kind")))
