@@ -1,8 +1,7 @@
 """Entries (document, position, key) of many documents, shuffled as one binary value per batch and bucket.
 
-Values are laid out byte plane by byte plane, so that Spark's shuffle compression removes the planes
-that are mostly zero. A bucket holds a bounded number of entries: the number of buckets follows the
-size of the input.
+Numbers are cut to the bytes that the batch needs. A bucket holds a bounded number of entries: the number of
+buckets follows the size of the input, and batches grow with it, so that values do not get too small.
 """
 
 from __future__ import annotations
@@ -34,35 +33,58 @@ def ids_back(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NO_ID)
 
 
-def _planes(a: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def piece_bytes(n_buckets: int) -> int:
+    """Bytes of text that are dealt over the buckets at once: 4 MB, more for very many buckets."""
+    return min(32 << 20, max(4 << 20, n_buckets << 8))
 
 
-def _unplanes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+def _cut(a: np.ndarray, width: int) -> np.ndarray:
+    """Rows of the low bytes of unsigned numbers."""
+    return np.ascontiguousarray(a.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _width(most: int) -> int:
+    return max(1, (int(most).bit_length() + 7) // 8)
+
+
+def _whole(raw: np.ndarray, n: int, width: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = raw[: n * width].reshape(width, n).T
+    out[:, :width] = raw.reshape(n, width)
     return out.view("<u8").ravel()
 
 
-def encode(docs: np.ndarray, pos: np.ndarray, keys: list[tuple[np.ndarray, int]]) -> bytes:
-    """Entries whose documents come in runs; each key with the number of its low bytes to keep."""
-    n = len(docs)
-    new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if n else np.zeros(0, np.int64)
-    runs = np.diff(np.concatenate([new, [n]]))
-    ids = docs[new].view(np.uint64)
-    step = ids - np.concatenate([[np.uint64(0)], ids[:-1]])
-    return np.array([n, len(new)], "<u8").tobytes() + _planes(step, 8) + _planes(runs, 4) + _planes(pos, 4) + b"".join(_planes(k, w) for k, w in keys)
+def deal(bucket: np.ndarray, n_buckets: int, docs: np.ndarray, pos: np.ndarray, keys: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(bucket, blob, entries) for every bucket that has entries; each key with the number of its low bytes to keep."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32), kind="stable")
+    bucket, ids, pos = bucket[order], docs[order], pos[order]
+    base = int(ids.min())
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])]))
+    runs = np.diff(np.concatenate([new, [len(ids)]]))
+    step = ids[new].view(np.uint64) - np.uint64(base & (1 << 64) - 1)
+    widths = _width(step.max()), _width(runs.max()), _width(pos.max())
+    columns = [_cut(step, widths[0]), _cut(runs, widths[1]), _cut(pos, widths[2]), *(_cut(k[order], w) for k, w in keys)]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.concatenate([first[1:], [len(bucket)]])
+    at, until = np.searchsorted(new, first), np.searchsorted(new, ends)
+    tail = base.to_bytes(8, "little", signed=True) + bytes(widths)
+    for b, i, j, x, y in zip(bucket[first].tolist(), first.tolist(), ends.tolist(), at.tolist(), until.tolist(), strict=True):
+        head = (j - i).to_bytes(8, "little") + (y - x).to_bytes(8, "little") + tail
+        yield b, b"".join((head, columns[0][x:y].tobytes(), columns[1][x:y].tobytes(), *(c[i:j].tobytes() for c in columns[2:]))), order[i:j]
 
 
 def decode(blob: bytes, widths: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Documents, positions and keys of a blob, in the order in which they were dealt."""
     raw = np.frombuffer(blob, np.uint8)
     n, m = (int(x) for x in raw[:16].view("<u8"))
-    at = 16
+    base, own = raw[16:24].view("<i8")[0], raw[24:27].tolist()
+    at = 27
     parts = []
-    for size, width in [(m, 8), (m, 4), (n, 4), *((n, w) for w in widths)]:
-        parts.append(_unplanes(raw[at : at + size * width], size, width))
+    for size, width in [(m, own[0]), (m, own[1]), (n, own[2]), *((n, w) for w in widths)]:
+        parts.append(_whole(raw[at : at + size * width], size, width))
         at += size * width
-    docs = np.repeat(np.cumsum(parts[0], dtype=np.uint64).view(np.int64), parts[1].astype(np.int64))
+    docs = np.repeat((parts[0] + base.view(np.uint64)).view(np.int64), parts[1].astype(np.int64))
     return docs, parts[2].astype(np.int64), parts[3:]
 
 
@@ -74,15 +96,6 @@ def decode_all(table: pa.Table, widths: list[int]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), [np.concatenate([f[2][i] for f in found]) for i in range(len(widths))]
 
 
-def dealt(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each bucket that has entries, their places in order."""
-    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if edges[b + 1] > edges[b]:
-            yield b, order[edges[b] : edges[b + 1]]
-
-
 def by_doc(docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
     """Distinct documents with their positions as int lists (in no order)."""
     order = np.argsort(docs, kind="stable")

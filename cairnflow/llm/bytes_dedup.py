@@ -81,13 +81,13 @@ def _runs(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return long[doc], s, np.minimum(until[fits], last[doc]), at[s - lo], key[s - lo], data, starts
 
 
-def _send(rows: dict[str, list], n_buckets: int, docs: np.ndarray, pos: np.ndarray, **more) -> pa.RecordBatch:
+def _send(rows: list[tuple[int, bytes]], n_buckets: int, docs: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Blobs, and settled positions of documents, which are dealt over the buckets too."""
     ids, lists = blobs.by_doc(docs, pos)
-    k = len(rows["bucket"])
+    k = len(rows)
     columns = [
-        pa.array([*rows["bucket"], *(np.arange(len(ids)) % n_buckets).tolist()], pa.int32()),
-        pa.array([*rows["blob"], *[None] * len(ids)], pa.binary()),
+        pa.array([*(b for b, _ in rows), *(np.arange(len(ids)) % n_buckets).tolist()], pa.int32()),
+        pa.array([*(blob for _, blob in rows), *[None] * len(ids)], pa.binary()),
         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(ids, pa.int64())]),
         pa.concat_arrays([pa.nulls(k, pa.list_(pa.int32())), lists.cast(pa.list_(pa.int32()))]),
     ]
@@ -103,7 +103,7 @@ def _enter(n_buckets: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch):
+            for part in tv.pieces(batch, most=blobs.piece_bytes(n_buckets)):
                 row, s, _, _, key, _, starts = _runs(part)
                 ids = np.asarray(part.column("row"))
                 order = np.argsort(key, kind="stable")
@@ -115,13 +115,10 @@ def _enter(n_buckets: int, limit: int):
                 sent = np.sort(order[one | ~often])
                 weight = np.ones(len(order), np.uint64)
                 weight[order[head]] = np.where(count > limit, count, 1)
-                rows = {"bucket": [], "blob": []}
-                for b, at in blobs.dealt((key[sent] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                    e = sent[at]
-                    rows["bucket"].append(b)
-                    rows["blob"].append(blobs.encode(ids[row[e]], s[e] - starts[row[e]], [(key[e] >> np.uint64(24), 5), (weight[e], 4)]))
+                k = key[sent]
+                dealt = blobs.deal((k % np.uint64(n_buckets)).astype(np.int64), n_buckets, ids[row[sent]], s[sent] - starts[row[sent]], [(k >> np.uint64(24), 5), (weight[sent], 4)])
                 gone = order[often & ~one]
-                yield _send(rows, n_buckets, ids[row[gone]], s[gone] - starts[row[gone]])
+                yield _send([(b, blob) for b, blob, _ in dealt], n_buckets, ids[row[gone]], s[gone] - starts[row[gone]])
 
     return run
 
@@ -163,7 +160,7 @@ def _narrow(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch):
+            for part in tv.pieces(batch, most=blobs.piece_bytes(n_buckets)):
                 row, s, e, at, key, data, starts = _runs(part)
                 k = _chosen(part, "often", row, s, starts)
                 start = _ranges(s[k], e[k])
@@ -176,12 +173,9 @@ def _narrow(n_buckets: int):
                 head, run_of = blobs.groups(key[order])
                 many = (np.diff(np.concatenate([head, [len(order)]])) > 1)[run_of] if len(order) else np.zeros(0, bool)
                 sent = np.sort(order[head])
-                rows = {"bucket": [], "blob": []}
-                for b, a in blobs.dealt((key[sent] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                    x = sent[a]
-                    rows["bucket"].append(b)
-                    rows["blob"].append(blobs.encode(ids[x], pos[x], [(key[x] >> np.uint64(16), 6)]))
-                yield _spans(_send(rows, n_buckets, ids[order[many]], pos[order[many]]))
+                k = key[sent]
+                dealt = blobs.deal((k % np.uint64(n_buckets)).astype(np.int64), n_buckets, ids[sent], pos[sent], [(k >> np.uint64(16), 6)])
+                yield _spans(_send([(b, blob) for b, blob, _ in dealt], n_buckets, ids[order[many]], pos[order[many]]))
 
     return run
 
@@ -231,7 +225,7 @@ def _contexts(n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch):
+            for part in tv.pieces(batch, most=blobs.piece_bytes(n_buckets)):
                 row, s, e, at, key, data, starts = _runs(part)
                 k = _chosen(part, "seldom", row, s, starts)
                 row_k, s_k, e_k, at_k, key_k = row[k], s[k], e[k], at[k], key[k]
@@ -258,12 +252,11 @@ def _contexts(n_buckets: int):
                         settled.add(f)
                         settled.add(i)
                 sent = np.flatnonzero(size)
-                rows = {"bucket": [], "blob": []}
-                for x, a in blobs.dealt((key_k[sent] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                    i = sent[a]
-                    head = blobs.encode(ids[row_k[i]], s_k[i] - starts[row_k[i]], [((at_k[i] - s_k[i]).astype(np.uint64), 2), (size[i].astype(np.uint64), 4), (key_k[i], 8)])
-                    rows["bucket"].append(x)
-                    rows["blob"].append(len(head).to_bytes(8, "little") + head + b"".join(raw[p : p + m] for p, m in zip(s_k[i].tolist(), size[i].tolist(), strict=True)))
+                r, a, m, h = row_k[sent], s_k[sent], size[sent], key_k[sent]
+                keys = [((at_k[sent] - a).astype(np.uint64), 2), (m.astype(np.uint64), 4), (h, 8)]
+                rows = []
+                for b, head, i in blobs.deal((h % np.uint64(n_buckets)).astype(np.int64), n_buckets, ids[r], a - starts[r], keys):
+                    rows.append((b, len(head).to_bytes(8, "little") + head + b"".join(raw[p : p + x] for p, x in zip(a[i].tolist(), m[i].tolist(), strict=True))))
                 done = np.array(sorted(settled), np.int64)
                 pairs = np.stack([s_k[done], e_k[done]], axis=1) - starts[row_k[done]][:, None]
                 yield _send(rows, n_buckets, np.repeat(ids[row_k[done]], 2), pairs.ravel())

@@ -35,9 +35,11 @@ _SHIPPED = "bucket int, blob binary, doc_id long, pos array<int>"
 _FOUND = "doc_id long, pos array<int>"
 
 
-def _shipped(bucket: list[int], blob: list[bytes], docs: np.ndarray, pos: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+def _shipped(dealt: Iterator[tuple[int, bytes, np.ndarray]], docs: np.ndarray, pos: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """Blobs for buckets, and settled positions of documents, dealt over the buckets too."""
     ids, lists = blobs.by_doc(docs, pos)
+    rows = [(b, x) for b, x, _ in dealt]
+    bucket, blob = [b for b, _ in rows], [x for _, x in rows]
     none = len(bucket)
     columns = [
         pa.array([*bucket, *(np.arange(len(ids)) % n_buckets).tolist()], pa.int32()),
@@ -57,7 +59,7 @@ def _probe(n_buckets: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch):
+            for part in tv.pieces(batch, most=blobs.piece_bytes(n_buckets)):
                 data, starts, ends = tv.buffers(part.column("text"))
                 ws, we, first = tv.word_spans(data, starts, ends)
                 grams = tv.gram_hashes(tv.word_hashes(data, ws, we), block)
@@ -82,12 +84,7 @@ def _probe(n_buckets: int, block: int):
                 keep[chosen[done]] = True
                 sent = np.sort(order[keep])
                 bucket = (key[sent] % np.uint64(n_buckets)).astype(np.int64)
-                names, packed = [], []
-                for b, at in blobs.dealt(bucket, n_buckets):
-                    e = sent[at]
-                    names.append(b)
-                    packed.append(blobs.encode(doc[e], pos[e], [(key[e] >> np.uint64(24), 5)]))
-                yield _shipped(names, packed, doc[settled], pos[settled], n_buckets)
+                yield _shipped(blobs.deal(bucket, n_buckets, doc[sent], pos[sent], [(key[sent] >> np.uint64(24), 5)]), doc[settled], pos[settled], n_buckets)
 
     return run
 
@@ -112,7 +109,7 @@ def _extend(n_buckets: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.pieces(batch):
+            for part in tv.pieces(batch, most=blobs.piece_bytes(n_buckets)):
                 data, starts, ends = tv.buffers(part.column("text"))
                 ws, we, first = tv.word_spans(data, starts, ends)
                 words = tv.word_hashes(data, ws, we)
@@ -136,12 +133,8 @@ def _extend(n_buckets: int, block: int):
                 same = (doc[order] == doc[order][head]) & (pos[order] == pos[order][head])
                 later = order[~same]
                 sent = np.sort(order[new])
-                names, packed = [], []
-                for b, at in blobs.dealt((key[sent] % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-                    e = sent[at]
-                    names.append(b)
-                    packed.append(blobs.encode(doc[e], pos[e], [(key[e], 8), (more[e], 4)]))
-                yield _shipped(names, packed, doc[later], pos[later], n_buckets)
+                bucket = (key[sent] % np.uint64(n_buckets)).astype(np.int64)
+                yield _shipped(blobs.deal(bucket, n_buckets, doc[sent], pos[sent], [(key[sent], 8), (more[sent], 4)]), doc[later], pos[later], n_buckets)
 
     return run
 
