@@ -193,14 +193,14 @@ class Catalog:
                 self.write(name, new, self.read(name, session).drop("session_id"))
         return new
 
+    def remove(self, name: str, session: str) -> bool:
+        """Drops a session's rows of one table; whether there were any."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._at(name)}/session_id={session}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def delete(self, session: str) -> bool:
         """Whether there was such a session."""
-        jvm = self.spark.sparkContext._jvm
-        gone = False
-        for name in self.TABLES:
-            at = jvm.org.apache.hadoop.fs.Path(f"{self._at(name)}/session_id={session}")
-            gone |= at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        return gone
+        return any([self.remove(name, session) for name in self.TABLES])
 
     def payload(self, session: str) -> dict:
         """D15 and the load of a session: its configuration, items with assignments, and merges; the number of items is that loaded."""
