@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnflow.functions import names
+from cairnflow.sources.store import stored
 
 
-def indexed(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Rows numbered from 0 in the order of their key, without one task that sorts all rows.
+def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` over each row and all rows before it, without one task that sorts all rows.
 
-    Range partitions are counted first; a row's number is its place in its partition after the partitions before it.
+    Range partitions are summed first; a row's total is that of its partition so far, after the partitions before it.
+    The partitions are stored, since their bounds are sampled anew whenever they are computed.
     """
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.withColumn("_place", place).join(before, "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = sums.alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
+    so_far = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_so_far", so_far).join(before, "_part").withColumn(name, F.col("_so_far") + F.col("_before")).drop("_part", "_so_far", "_before")
+
+
+def indexed(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """Rows numbered from 0 in the order of their key."""
+    return running_total(df, [F.col(key)], F.lit(1), name).withColumn(name, F.col(name) - 1)
 
 
 def interactive_filter(items: DataFrame, weights: Sequence[int], clusters: Sequence[int] = (), hits: DataFrame | None = None, key: str = "key") -> DataFrame:

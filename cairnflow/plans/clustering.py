@@ -96,7 +96,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("dendrogram_ancestry")
 def dendrogram_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node above each visible item of label 1."""
+    """Every node above each visible item."""
     nodes = stored(topology.topology(*_tree(spark, sf_dir)), "nodes")
-    ids = table(spark, sf_dir, "embeddings").where("label = 1").select(F.lit("all").alias("session_id"), F.col("vec_id").alias("id"))
+    ids = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("session_id"), F.col("vec_id").alias("id"))
     return topology.ancestry(nodes, ids).select("id", "node", F.round("height", 5).alias("height"), "depth")

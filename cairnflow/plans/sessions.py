@@ -35,11 +35,11 @@ def latest_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.latest_clustered(_sessions(spark, sf_dir)).select("session_id")
 
 
-@query("running_first_order", f"SELECT session_id, row_number() OVER (ORDER BY running DESC, modified_at DESC, session_id) AS place FROM ({_SESSIONS}) WHERE o_custkey < 100 ORDER BY place LIMIT 50")
+@query("running_first_order", f"SELECT session_id, row_number() OVER (ORDER BY running DESC, modified_at DESC, session_id) AS place FROM ({_SESSIONS})")
 def running_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: the first fifty of one group's sessions."""
-    top = selection.running_first(_sessions(spark, sf_dir).where("o_custkey < 100")).limit(50)
-    return selection.indexed(top.withColumn("_k", F.struct(~F.col("running"), -F.col("modified_at").cast("timestamp").cast("double"), "session_id")), "_k").select("session_id", (F.col("idx") + 1).alias("place"))
+    """T4, as places, since a table has no order."""
+    order = [F.desc("running"), F.desc("modified_at"), F.asc("session_id")]
+    return selection.running_total(_sessions(spark, sf_dir).select("session_id", "running", "modified_at"), order, F.lit(1), "place").select("session_id", "place")
 
 
 @query("unseen_completed", f"SELECT session_id FROM ({_SESSIONS}) WHERE process_status = 'clustered' AND NOT running AND session_id % 3 <> 0")
@@ -66,8 +66,8 @@ def version_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where(names.supported_version(F.lit(None).cast("string"), F.when(F.col("o_orderkey") % 11 == 0, F.lit("?")).otherwise(version))).select("o_orderkey")
 
 
-@query("cache_eviction", """SELECT o_orderkey AS key FROM (SELECT o_orderkey, sum(floor(o_totalprice)::BIGINT) OVER (ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders WHERE o_custkey % 10 = 0) WHERE total > 20000000""")
+@query("cache_eviction", """SELECT o_orderkey AS key FROM (SELECT o_orderkey, sum(floor(o_totalprice)::BIGINT) OVER (ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders) WHERE total > 20000000""")
 def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S29."""
-    cache = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("bytes"), F.col("o_orderdate").alias("used_at"))
+    cache = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("bytes"), F.col("o_orderdate").alias("used_at"))
     return items.evicted(cache, 20_000_000).select("key")

@@ -116,10 +116,9 @@ def seeded(sessions: DataFrame, examples: DataFrame, version: str) -> DataFrame:
 
 def evicted(cache: DataFrame, most: int = CACHE_BYTES) -> DataFrame:
     """Entries (key, bytes, used_at) beyond the cache's size, least recently used first."""
-    from pyspark.sql.window import Window
+    from cairnflow.operators.selection import running_total
 
-    total = F.sum("bytes").over(Window.orderBy(F.desc("used_at"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    return cache.withColumn("_total", total).where(F.col("_total") > most).drop("_total")
+    return running_total(cache, [F.desc("used_at"), F.asc("key")], F.col("bytes"), "_total").where(F.col("_total") > most).drop("_total")
 
 
 def pack_folder(folder: str, path: str) -> None:
