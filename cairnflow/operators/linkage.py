@@ -30,7 +30,8 @@ def distances(points: np.ndarray) -> np.ndarray:
 def merge(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
     """G1: merges (left, right, height), nodes from n on in the order of merges; ties go to the smallest pair.
 
-    Nearest neighbours are kept per row, so a merge costs the rows whose neighbour changed (Lance-Williams updates).
+    A lower bound of each row's nearest distance is kept, and a row is searched again only when its bound is the least
+    and its neighbour is gone; distances follow Lance and Williams.
     """
     if method not in METHODS:
         raise ValueError(f"unknown linkage {method}")
@@ -45,7 +46,11 @@ def merge(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
     least = d[np.arange(n), near] if n > 1 else np.full(n, np.inf)
     out = []
     for step in range(n - 1):
-        i = int(np.where(alive, least, np.inf).argmin())
+        i = int(least.argmin())
+        while near[i] < 0:
+            near[i] = d[i].argmin()
+            least[i] = d[i, near[i]]
+            i = int(least.argmin())
         j = int(near[i])
         h = d[i, j]
         a, b, c = size[i], size[j], size
@@ -75,13 +80,13 @@ def merge(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
         least[j] = np.inf
         size[i] += size[j]
         node[i] = n + step
-        changed = alive & ((near == i) | (near == j))
-        changed[i] = True
-        rows = np.flatnonzero(changed)
-        near[rows] = d[rows].argmin(axis=1)
-        least[rows] = d[rows, near[rows]]
-        closer = alive & ~changed & ((new < least) | ((new == least) & (i < near)))
+        stale = alive & ((near == i) | (near == j))
+        near[stale] = -1
+        least[stale] = np.minimum(least[stale], new[stale])  # a bound still: only the distance to the merged pair changed
+        closer = alive & ~stale & ((new < least) | ((new == least) & (i < near)))
         near[closer], least[closer] = i, new[closer]
+        near[i] = new.argmin()
+        least[i] = new[near[i]]
     order = sorted(range(n - 1), key=lambda s: (out[s][2], s)) if method not in ("centroid", "median") else range(n - 1)
     place = {n + s: n + k for k, s in enumerate(order)}
     return [(*sorted((place.get(out[s][0], out[s][0]), place.get(out[s][1], out[s][1]))), out[s][2]) for s in order]
@@ -139,6 +144,16 @@ def leaves_of(n: int, merges: list[tuple[int, int, float]]) -> list[int]:
     return out
 
 
+def _least_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The min-plus product: for each row of a and column of b the least sum over what joins them."""
+    if a.shape[1] <= a.shape[0]:
+        out = a[:, :1] + b[:1]
+        for k in range(1, a.shape[1]):
+            np.minimum(out, a[:, k : k + 1] + b[k], out=out)
+        return out
+    return np.stack([(row[:, None] + b).min(axis=0) for row in a])
+
+
 def optimal_order(dist: np.ndarray, merges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """The merges with children flipped so that the sum of distances between neighbours round the ring is least.
 
@@ -157,12 +172,20 @@ def optimal_order(dist: np.ndarray, merges: list[tuple[int, int, float]]) -> lis
         """Costs of the subtree's orders from leaf a to each of its leaves x."""
         return np.where(meet[a, x] == node, best[a, x], np.inf) if node >= n else np.zeros(1)
 
+    def across(node: int, gap: np.ndarray) -> np.ndarray:
+        """For each leaf a of the subtree the least cost of an order from a, and on from its far end along ``gap``.
+
+        The far end lies in the other child, so each child is tried against the other one only.
+        """
+        if node < n:
+            return gap
+        first, second, _ = merges[node - n]
+        own, one = best[np.ix_(members[first], members[second])], len(members[first])
+        return np.concatenate([_least_sum(own, gap[one:]), _least_sum(own.T, gap[:one])])
+
     for step, (left, right, _) in enumerate(merges):
         x, y = members[left], members[right]
-        # the far end of each start within a child, then across to the other child
-        inner = np.stack([(within(left, a, x)[:, None] + dist[np.ix_(x, y)]).min(axis=0) for a in x])
-        beyond = np.stack([within(right, b, y) for b in y])
-        full = np.stack([(row[:, None] + beyond).min(axis=0) for row in inner])
+        full = across(right, across(left, dist[np.ix_(x, y)]).T).T
         best[np.ix_(x, y)], best[np.ix_(y, x)] = full, full.T
         meet[np.ix_(x, y)] = meet[np.ix_(y, x)] = n + step
         members.append(np.concatenate([x, y]))

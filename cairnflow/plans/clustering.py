@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import display
 from cairnflow.functions import vectors as V
-from cairnflow.operators import graph, linkage, selection, topology
+from cairnflow.operators import graph, linkage, pairs, selection, topology
 from cairnflow.plans.registry import query
-from cairnflow.plans.vectors import _PAIRS, _pairs
+from cairnflow.plans.vectors import _PAIRS, _vectors
 from cairnflow.sources.store import stored
 from cairnflow.sources.tables import table
 
@@ -23,10 +23,10 @@ _LABELS = f"""WITH RECURSIVE p AS MATERIALIZED ({_PAIRS}), m AS (SELECT max(d) A
 @query("single_linkage_cut", f"{_LABELS} SELECT node AS vec_id, dense_rank() OVER (ORDER BY root) - 1 AS k FROM c")
 def single_linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1, G3, G4, W2 for single linkage: components of the pairs within the threshold, in unit-diameter space."""
-    e = table(spark, sf_dir, "embeddings")
-    pairs = stored(_pairs(e), "pairs")
-    near = pairs.crossJoin(F.broadcast(pairs.agg(F.max("d").alias("m")))).where(F.col("d") / F.col("m") <= THRESHOLD).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return graph.single_linkage_labels(e.select(F.col("vec_id").alias("node")), near).select(F.col("node").alias("vec_id"), "k")
+    v = _vectors(spark, sf_dir)
+    widest = pairs.farthest(v).first().m or 0.0  # one row
+    near = pairs.within(v, THRESHOLD * widest)
+    return graph.single_linkage_labels(v.select(F.col("id").alias("node")), near.select("a", "b")).select(F.col("node").alias("vec_id"), "k")
 
 
 @query("single_linkage_sizes", f"{_LABELS} SELECT root AS k_root, count(*) AS size FROM c GROUP BY root ORDER BY size DESC, k_root LIMIT 9")
@@ -60,12 +60,6 @@ def dendrogram_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.dendrogram(_session(spark, sf_dir), "average").withColumn("height", F.round("height", 5))
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A balanced tree over the items in pairs, so that SQL can express it: level by level, neighbours are merged."""
-    leaves = selection.indexed(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    return leaves.select(F.col("idx").cast("int").alias("idx"), F.col("vec_id").alias("id"), "label")
-
-
 @query("leaf_angles", "SELECT vec_id, round((row_number() OVER (ORDER BY vec_id) - 0.5) * 2 * pi() / count(*) OVER (), 6) AS angle FROM embeddings")
 def leaf_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1, G8."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.functions import vectors as V
-from cairnflow.operators import features, selection
+from cairnflow.operators import features, pairs, selection
 from cairnflow.plans.registry import query
 from cairnflow.sources.tables import table
 
@@ -25,10 +25,8 @@ def vec_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(V.squared_norm(F.col("embedding"))), 6).alias("norm"))
 
 
-def _pairs(e: DataFrame) -> DataFrame:
-    """All pairs i < j. The result is quadratic by its definition; a session's size bounds it."""
-    x, y = (e.select(F.col("vec_id").alias(f"id_{s}"), V.doubles(F.col("embedding")).alias(f"v_{s}")) for s in "ab")
-    return x.join(y, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", V.distance(F.col("v_a"), F.col("v_b")).alias("d"))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"))
 
 
 _PAIRS = "SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
@@ -37,14 +35,13 @@ _PAIRS = "SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_distance(a.embedding::
 @query("pairwise_distances_top", f"SELECT id_a, id_b, round(d, 6) AS d FROM ({_PAIRS}) ORDER BY d, id_a, id_b LIMIT 100")
 def pairwise_distances_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10, V10 and the hundred nearest pairs."""
-    return _pairs(table(spark, sf_dir, "embeddings")).orderBy("d", "id_a", "id_b").limit(100).select("id_a", "id_b", F.round("d", 6).alias("d"))
+    return pairs.nearest_pairs(_vectors(spark, sf_dir), 100).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("d", 6).alias("d"))
 
 
 @query("unit_diameter_rescale", f"WITH m AS (SELECT max(d) AS d FROM ({_PAIRS})) SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / m.d)), 6) AS total, round(embedding[1]::DOUBLE / m.d, 6) AS first FROM embeddings, m")
 def unit_diameter_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V11, A6."""
-    e = table(spark, sf_dir, "embeddings")
-    widest = _pairs(e).agg(F.max("d").alias("m"))
+    e, widest = table(spark, sf_dir, "embeddings"), pairs.farthest(_vectors(spark, sf_dir))
     scaled = e.crossJoin(F.broadcast(widest)).select("vec_id", V.divided(F.col("embedding"), F.col("m")).alias("v"))
     return scaled.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
@@ -53,11 +50,7 @@ def unit_diameter_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id""")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest item of every item (the tree search in the optional subpackage avoids all pairs)."""
-    e = table(spark, sf_dir, "embeddings")
-    x, y = (e.select(F.col("vec_id").alias(f"id_{s}"), V.doubles(F.col("embedding")).alias(f"v_{s}")) for s in "ab")
-    d = x.join(y, F.col("id_a") != F.col("id_b")).select("id_a", "id_b", V.distance(F.col("v_a"), F.col("v_b")).alias("d"))
-    best = d.groupBy("id_a").agg(F.min(F.struct(F.round("d", 9).alias("r"), "id_b", "d")).alias("m"))
-    return best.select(F.col("id_a").alias("vec_id"), F.col("m.id_b").alias("neighbor"), F.round("m.d", 6).alias("d"))
+    return pairs.nearest_of_each(_vectors(spark, sf_dir)).select(F.col("a").alias("vec_id"), F.col("b").alias("neighbor"), F.round("d", 6).alias("d"))
 
 
 @query("column_mean_std", "SELECT i AS component, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY i")
