@@ -10,6 +10,21 @@ OLDEST_VERSION = (0, 26, 1)
 REQUIRED_ASSETS = ("model.json", "model.onnx", "attribute_directions.json")
 LANGUAGES = ("en-US", "en", "1033")
 
+#: The attributes that a model's directions have.
+ATTRIBUTES = (
+    "angular", "artistic", "attention-grabbing", "attractive", "bad", "boring", "calm", "capitals", "charming", "clumsy", "complex", "cursive", "delicate",
+    "disorderly", "display", "dramatic", "formal", "fresh", "friendly", "gentle", "graceful", "happy", "italic", "legible", "modern", "monospace", "playful",
+    "pretentious", "serif", "sharp", "sloppy", "soft", "strong", "technical", "thin", "warm", "wide",
+)
+#: The levels of the default emphasis; all other attributes have level 0.
+DEFAULT_EMPHASIS = {
+    "serif": 3, "cursive": 2, "italic": -2, "formal": 2, "playful": 2, "thin": -2, "angular": 2, "artistic": 2, "attention-grabbing": 2, "attractive": 2,
+    "bad": 1, "boring": -1, "capitals": -2, "charming": 2, "clumsy": 1, "complex": 1, "disorderly": 2, "display": -2, "dramatic": 1, "gentle": 2, "graceful": 2,
+    "happy": 1, "modern": 2, "monospace": -2, "pretentious": 2, "sharp": 1, "sloppy": 1, "strong": 1, "warm": 1, "wide": 2,
+}
+#: How many families a set of the catalog has, most popular first; 0 for all.
+POPULAR = (100, 200, 300, 500, 1000, 1500, 0)
+
 
 def safe_name(family: Column, weight: Column) -> Column:
     """``weight_family`` with blanks and slashes as underscores (F1; different families can collide)."""
@@ -149,7 +164,7 @@ def valid_release(r: Column, required: tuple[str, ...] = REQUIRED_ASSETS) -> Col
     return F.coalesce(~r["draft"] & ~r["prerelease"] & (names == F.array(*map(F.lit, sorted(required)))) & each, F.lit(False))
 
 
-def valid_directions(directions: Column, names: tuple[str, ...], dim: int = 512) -> Column:
+def valid_directions(directions: Column, names: tuple[str, ...] = ATTRIBUTES, dim: int = 512) -> Column:
     """Exactly these names, each a finite vector of this length and of unit norm within a hundredth (of the square)."""
     unit = lambda v: F.abs(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) - 1) <= 0.01
     finite = lambda v: F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -201,7 +216,8 @@ def preview_key(*inputs: Column) -> Column:
     return F.xxhash64(*(F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(" ")) for c in inputs))
 
 
-def emphasis_preset(levels: Column, default: Column) -> Column:
+def emphasis_preset(levels: Column, default: Column | None = None) -> Column:
     """``none`` if every level is zero, ``default`` if they equal the preset, else ``custom``."""
+    default = F.create_map(*(F.lit(x) for kv in DEFAULT_EMPHASIS.items() for x in kv)) if default is None else default
     entries = lambda m: F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: v != 0)))
     return F.when(F.size(entries(levels)) == 0, "none").when(entries(levels) == entries(default), "default").otherwise("custom")

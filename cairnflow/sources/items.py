@@ -63,7 +63,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.png$", 1).alias("id"), "content")
 
 
-def read_directions(spark: SparkSession, path: str, attributes: tuple[str, ...], dim: int = 512) -> dict[str, list[float]]:
+def read_directions(spark: SparkSession, path: str, attributes: tuple[str, ...] = names.ATTRIBUTES, dim: int = 512) -> dict[str, list[float]]:
     """Attribute directions (a small JSON object), refused unless they are sound."""
     df = spark.read.schema("directions map<string,array<double>>").option("multiLine", True).json(path)
     row = df.where(names.valid_directions(F.col("directions"), attributes, dim)).select("directions").first()

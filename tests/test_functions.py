@@ -103,6 +103,8 @@ def test_settings(spark):
     assert [tuple(r) for r in one(spark, names.active_emphasis(levels))] == [("a", -4), ("b", 4)]
     zero, preset = F.create_map(F.lit("a"), F.lit(0)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(0))
     assert [one(spark, names.emphasis_preset(x, preset)) for x in (zero, F.create_map(F.lit("a"), F.lit(2)), F.create_map(F.lit("a"), F.lit(1)))] == ["none", "default", "custom"]
+    assert one(spark, names.emphasis_preset(F.create_map(*(F.lit(x) for kv in names.DEFAULT_EMPHASIS.items() for x in kv)))) == "default"
+    assert len(set(names.ATTRIBUTES)) == 37 and set(names.DEFAULT_EMPHASIS) < set(names.ATTRIBUTES)
     assert one(spark, names.preview_key(F.lit("a"), F.lit(""))) == one(spark, names.preview_key(F.lit("a"), F.lit(" ")))
 
 
