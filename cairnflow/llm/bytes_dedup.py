@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import stored
+from cairnflow.llm.shared import discard, stored
 from cairnflow.llm.suffixes import deep_shallow
 
 WINDOW, GRAM = 400, 64
@@ -366,8 +366,10 @@ def remove_repeated_bytes(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     flagged = stored(long.mapInArrow(_enter(n, often), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_repeated(often)), _FLAGGED), "anchors")
     marks = flagged.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list(F.when(F.col("often"), F.col("pos")))).alias("often"), F.flatten(F.collect_list(F.when(~F.col("often"), F.col("pos")))).alias("seldom"))
     marked = stored(long.join(marks, "row"), "marked")
+    discard(flagged)
     narrowed = marked.where(F.size("often") > 0).select("row", "text", "often").mapInArrow(_narrow(n), _SHIPPED)
     left = stored(narrowed.groupBy("bucket").applyInArrow(tv.lean(_again), _FOUND), "windows")
     runs = marked.select("row", "text", "seldom").join(_of_rows(left, "left"), "row", "left").where((F.size("seldom") > 0) | F.col("left").isNotNull())
     found = stored(runs.mapInArrow(_contexts(n), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_sorted_out), _FOUND), "repeats")
+    discard(marked, left)
     return rows.join(_of_rows(found, "pos"), "row", "left").select("doc_id", "text", "pos").mapInArrow(_cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

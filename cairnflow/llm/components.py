@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.llm.shared import stored
+from cairnflow.llm.shared import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,20 +31,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long), the component being its smallest node.
 
     Rounds go on until the edges stay the same (a star for each component); each round's edges are
-    stored in the shared folder. Self-loops and nulls are ignored.
+    stored in the shared folder, and the last round's are what the result reads. Self-loops and nulls are ignored.
     """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = _digest(now)
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = stored(_star(_star(now, True), False), "edges")
+        before, now = now, stored(_star(_star(now, True), False), "edges")
         got = _digest(now)
+        discard(before)
         if got == seen:
             break
         seen = got
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).union(
-        now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("component"))
-    ).distinct()
+    out = now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).union(now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("component"))).distinct()
+    out.stored_at = now.stored_at
+    return out

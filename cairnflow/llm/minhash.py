@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.components import components
-from cairnflow.llm.shared import free_name, stored
+from cairnflow.llm.shared import discard, free_name, stored
 
 UNIVERSE = 1 << 22
 ROWS, BANDS = 5, 24
@@ -192,13 +192,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> D
     keyed = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "digest binary, set array<long>").select(F.xxhash64("digest").alias("key"), "set")
     sets = stored(keyed.groupBy("key").agg(F.first("set").alias("set")), "sets")
     links = stored(_confirm(sets, tried, percent), "links")
-    joined = components(links)
+    joined, used = components(links), [members, tried, sets, links]
 
     labelled = members.select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
     open_keys = labelled.join(split, "bucket", "left_semi").select("key").distinct()
     rare = stored(_rare_prefixes(sets.join(open_keys, "key", "left_semi"), percent), "rare")
     found = True
+    used.append(rare)
     for step in range(ROUNDS + 1):
         now = rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"), "at", "n", "alone")
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
@@ -210,11 +211,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> D
         else:
             pairs = _central(now, percent)
         more = stored(_confirm(sets, pairs, percent), "links")
+        used += [now, more]
         if found := more.limit(1).count():
             links = links.union(more)
-            joined = components(links)
+            before, joined = joined, components(links)
+            used.append(before)
         if last:
             break
+    discard(*used)
     label = (
         joined.withColumnRenamed("node", "key").join(classes, "key").groupBy("component").agg(F.min("class_id").alias("found"))
         .join(joined.withColumnRenamed("node", "key"), "component").select("key", "found")

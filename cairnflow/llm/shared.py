@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.sources.tables import table
 
-__all__ = ["free_name", "held_out", "shared_dir", "stored", "table"]
+__all__ = ["discard", "free_name", "held_out", "shared_dir", "stored", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,15 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: its lineage is cut and survives lost executors.
 
-    The files go when the application ends.
+    The files go with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _file(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more (tables of any other kind are left alone)."""
+    for t in tables:
+        if path := getattr(t, "stored_at", None):
+            at, fs = _file(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def held_out(doc_id: Column) -> Column:

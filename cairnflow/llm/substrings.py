@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import free_name, stored
+from cairnflow.llm.shared import discard, free_name, stored
 
 BLOCK = 10
 WINDOW = 2 * BLOCK
@@ -168,7 +168,9 @@ def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     seeds = stored(docs.mapInArrow(_probe(n, block), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_hits(block)), _FOUND), "hits")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
     windows = keyed.join(_of_docs(seeds), "doc_id").mapInArrow(_extend(n, block), _SHIPPED)
-    return _of_docs(stored(windows.groupBy("bucket").applyInArrow(tv.lean(_later), _FOUND), "repeats"))
+    repeats = stored(windows.groupBy("bucket").applyInArrow(tv.lean(_later), _FOUND), "repeats")
+    discard(seeds)
+    return _of_docs(repeats)
 
 
 def _stay(pos: np.ndarray, n: int, size: int) -> np.ndarray:
