@@ -1,10 +1,16 @@
 """Cross-entropy difference of two bigram models (Moore and Lewis, 2010).
 
-The target and the background model share one vocabulary, the first ``VOCABULARY`` ids of a public
-byte-level vocabulary, and one smoothing. Their counts are gathered from all rows of both corpora. A
-model is a table of VOCABULARY + 1 rows by VOCABULARY, whatever the input's size, so that it can be sent to
-all tasks. A document's score is the mean, over its tokens, of background loss less target loss: the
-larger, the more it resembles the target.
+The target and the background model share one vocabulary, the whole of a public byte-level one, and one
+smoothing. Bigrams are counted over all rows of both corpora, as a keyed table that grows with them:
+
+1. Tasks tokenise, and deal the distinct bigrams of each batch, with counts, over buckets by the bigram's hash.
+   The documents' tokens are stored beside them.
+2. In a bucket the counts of all batches are added up, and the bigrams of each batch of documents get both corpora's counts.
+3. The answers come back to their batch's tokens, which are scored. Only what the vocabulary bounds travels
+   to all tasks: the counts of single tokens, and of tokens as contexts.
+
+A document's score is the mean, over its tokens, of background loss less target loss: the larger, the more
+it resembles the target.
 
 Defined results: a text without tokens, or null, has no losses (null) and score 0; a corpus without rows
 gives a uniform model; null ids and repeated rows are scored like others.
@@ -12,21 +18,30 @@ gives a uniform model; null ids and repeated rows are scored like others.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.packing import WordTokenizer
+from cairnflow.llm.shared import stored
 
-VOCABULARY = 2048
 #: Pseudo-counts that the unigram model gets in every context.
 PRIOR = 16.0
-_SHARDS = 64
+#: Tokens beyond which a batch is dealt out.
+_TOKENS = 1 << 21
+_BUCKET_BYTES = 16 << 20
+_TARGET, _BACKGROUND, _DOCS = range(3)
+_CELLS, _TEXTS, _TOTALS = range(3)
+_DEALT = "corpus int, part int, bucket int, batch long, blob binary, ids array<long>, n array<long>, heads array<long>"
+_SCORED = "doc_id long, n_tokens long, ce_target double, ce_background double, score double"
 
 
 class SpacedTokenizer(WordTokenizer):
@@ -62,83 +77,166 @@ def tokenizer(path: str, size: int) -> SpacedTokenizer:
     return _tokenizers[path, size]
 
 
-def _pairs(part: pa.RecordBatch, path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its cell (token before, or the start, times the size, plus token), and where each text's begin."""
-    ids, at = tokenizer(path, size).encode(part.column("text"))
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[at[:-1][np.diff(at) > 0]] = size
-    return before * size + ids, at
+@functools.cache
+def whole(path: str) -> int:
+    """The size of a vocabulary: one more than its largest id."""
+    with open(path, encoding="utf-8") as f:
+        return max(json.load(f)["model"]["vocab"].values()) + 1
 
 
-def _count(path: str, size: int):
-    """Counts of a partition, as one value per shard of contexts."""
+def _before(ids: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The token before each token; ``size`` at the start of a text (``n``: tokens of each text)."""
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[(np.cumsum(n) - n)[n > 0]] = size
+    return before
+
+
+def _bucket(cells: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (tv.mix(cells.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, each number in the bytes that its column needs."""
+    widths = [blobs._width(c.max(initial=0)) for c in columns]
+    return bytes(widths) + b"".join(blobs._cut(c, w).tobytes() for c, w in zip(columns, widths, strict=True))
+
+
+def _unpack(blob: bytes, k: int) -> list[np.ndarray]:
+    raw = np.frombuffer(blob, np.uint8)
+    widths = raw[:k].tolist()
+    n, at, out = (len(raw) - k) // sum(widths), k, []
+    for w in widths:
+        out.append(blobs._whole(raw[at : at + n * w], n, w).astype(np.int64))
+        at += n * w
+    return out
+
+
+def _rows(corpus: int, part: int, bucket: list | None, batch: int, blob: list, *lists: list | None) -> pa.RecordBatch:
+    n = len(blob)
+    columns = [
+        pa.array([corpus] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(bucket or [None] * n, pa.int32()), pa.array([batch] * n, pa.int64()), pa.array(blob, pa.binary()),
+        *(pa.array([x] * n, pa.list_(pa.int64())) for x in (*lists, None, None, None)[:3]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["corpus", "part", "bucket", "batch", "blob", "ids", "n", "heads"])
+
+
+def _enter(corpus: int, path: str, size: int, n_buckets: int):
+    """Step 1: the bigrams of each batch by bucket, the counts of its tokens and contexts, and its tokens (of documents only)."""
+
+    def dealt(batch: int, docs: list, sizes: list[np.ndarray], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, n = np.concatenate(tokens), np.concatenate(sizes)
+        if corpus == _DOCS:
+            yield _rows(corpus, _TEXTS, None, batch, [ids.astype("<u2").tobytes()], docs, n)
+        if not len(ids):
+            return
+        before = _before(ids, n, size)
+        ones, heads = np.bincount(ids, minlength=size + 1), np.bincount(before, minlength=size + 1)
+        some = np.flatnonzero(ones + heads)
+        yield _rows(corpus, _TOTALS, None, batch, [None], some, ones[some], heads[some])
+        cells, count = np.unique(before * size + ids, return_counts=True)
+        bucket = _bucket(cells, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        head, _ = blobs.groups(bucket[order])
+        own = [order[i:j] for i, j in zip(head, [*head[1:], len(order)], strict=True)]
+        yield _rows(corpus, _CELLS, bucket[order[head]].tolist(), batch, [_pack(np.diff(cells[o], prepend=0), count[o]) for o in own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size + 1) * size, np.int64)
-        for batch in batches:
-            for part in tv.pieces(batch):
-                total += np.bincount(_pairs(part, path, size)[0], minlength=len(total))
-        cells = np.flatnonzero(total)
-        shard = cells // size % _SHARDS
-        for s in range(_SHARDS):
-            own = cells[shard == s]
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_encode(own, total[own])], pa.binary())], names=["shard", "blob"])
+        batch, held = TaskContext.get().partitionId() << 32, 0
+        docs, sizes, tokens = [], [], []
+        for rows in batches:
+            for part in tv.pieces(rows):
+                ids, at = tokenizer(path, size).encode(part.column("text"))
+                docs += part.column("doc_id").to_pylist() if corpus == _DOCS else []
+                sizes.append(np.diff(at))
+                tokens.append(ids)
+                held += len(ids) + part.num_rows
+                if held >= _TOKENS:
+                    yield from dealt(batch, docs, sizes, tokens)
+                    batch, held, docs, sizes, tokens = batch + 1, 0, [], [], []
+        if sizes:
+            yield from dealt(batch, docs, sizes, tokens)
 
     return run
 
 
-def _encode(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    return cells.astype("<u4").tobytes() + counts.astype("<u8").tobytes()
-
-
-def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 12
-    return np.frombuffer(blob, "<u4", n).astype(np.int64), np.frombuffer(blob, "<u8", n, 4 * n).astype(np.int64)
+def _answer(background: int):
+    """Step 2: for each batch of documents, the counts of its bigrams in both corpora, in the order of the bigrams."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = [(c, b, *_unpack(x, 2)) for c, b, x in zip(*(table.column(k).to_pylist() for k in ("corpus", "batch", "blob")), strict=True)]
+        rows = [(c, b, np.cumsum(step), count) for c, b, step, count in rows]
+        counts = []
+        for corpus in (_TARGET, background):
+            cells, which = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for c, _, x, _ in rows if c == corpus)]), return_inverse=True)
+            counts.append((cells, np.bincount(which, np.concatenate([np.zeros(0, np.int64), *(n for c, _, _, n in rows if c == corpus)]), len(cells)).astype(np.int64)))
 
-def _add(table: pa.Table) -> pa.Table:
-    parts = [_decode(b) for b in table.column("blob").to_pylist()]
-    cells, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(which, np.concatenate([p[1] for p in parts])).astype(np.int64)
-    return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([_encode(cells, counts)], pa.binary())})
+        def of(cells: np.ndarray, count: np.ndarray, x: np.ndarray) -> np.ndarray:
+            if not len(cells):
+                return np.zeros(len(x), np.int64)
+            i = np.minimum(np.searchsorted(cells, x), len(cells) - 1)
+            return np.where(cells[i] == x, count[i], 0)
 
+        out = [(b, _pack(*(of(*c, x) for c in counts))) for corpus, b, x, _ in rows if corpus == _DOCS]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket] * len(out), pa.int32()), "batch": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
-def train(texts: DataFrame, path: str, size: int = VOCABULARY) -> np.ndarray:
-    """Log probabilities (size + 1 contexts, the last the start of a text, by size tokens) from all rows of ``texts``."""
-    counted = texts.select("text").mapInArrow(_count(path, size), "shard int, blob binary").groupBy("shard").applyInArrow(_add, "shard int, blob binary")
-    c = np.zeros((size + 1) * size, np.float32)
-    for row in counted.toLocalIterator():  # at most a cell of the table each, whatever the corpus
-        cells, counts = _decode(bytes(row.blob))
-        c[cells] = counts
-    c = c.reshape(size + 1, size)
-    single = c.sum(axis=0, dtype=np.float64) + 1
-    single /= single.sum()
-    c += (PRIOR * single).astype(np.float32)
-    c /= c.sum(axis=1, dtype=np.float64, keepdims=True).astype(np.float32)
-    return np.log(c, out=c)
+    return run
 
 
-def _score(model, path: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = (m.ravel() for m in model.value)
-        for batch in batches:
-            for part in tv.pieces(batch):
-                cells, at = _pairs(part, path, size)
-                n = np.diff(at)
-                row = np.repeat(np.arange(part.num_rows), n)
-                loss = [-np.bincount(row, m[cells], minlength=part.num_rows) / np.maximum(n, 1) for m in (target, background)]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in loss), pa.array(np.where(none, 0.0, loss[1] - loss[0]))],
-                    names=["doc_id", "n_tokens", "ce_target", "ce_background", "score"],
-                )
+def _score(totals, size: int, n_buckets: int):
+    """Step 3: the scores of a batch of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        answers, texts = [], None
+        for bucket, blob, docs, n in zip(*(table.column(k) for k in ("bucket", "blob", "ids", "n")), strict=True):
+            if bucket.is_valid:
+                answers.append((bucket.as_py(), _unpack(blob.as_buffer().to_pybytes(), 2)))
+            else:
+                texts = np.frombuffer(blob.as_buffer().to_pybytes(), "<u2").astype(np.int64), docs.values, np.asarray(n.values)
+        ids, docs, n = texts
+        cells, which = np.unique(_before(ids, n, size) * size + ids, return_inverse=True)
+        order = np.argsort(_bucket(cells, n_buckets), kind="stable")
+        answers.sort(key=lambda a: a[0])
+        row, loss = np.repeat(np.arange(len(n)), n), []
+        for k, (single, heads) in enumerate(totals.value):
+            count = np.zeros(len(cells), np.int64)
+            count[order] = np.concatenate([np.zeros(0, np.int64), *(a[k] for _, a in answers)])
+            cost = np.log(heads[cells // size] + PRIOR) - np.log(count + PRIOR * single[cells % size])
+            loss.append(np.bincount(row, cost[which], minlength=len(n)) / np.maximum(n, 1))
+        none = n == 0
+        columns = [docs, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in loss), pa.array(np.where(none, 0.0, loss[1] - loss[0]))]
+        return pa.table(dict(zip(("doc_id", "n_tokens", "ce_target", "ce_background", "score"), columns, strict=True)))
 
     return run
 
 
-def score(docs: DataFrame, target: DataFrame, background: DataFrame, path: str, size: int = VOCABULARY) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ce_target, ce_background, score (background less target, in nats a token)."""
-    model = docs.sparkSession.sparkContext.broadcast((train(target, path, size), train(background, path, size)))
-    return docs.select("doc_id", "text").mapInArrow(_score(model, path, size), "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+def _totals(dealt: DataFrame, size: int, corpora: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each corpus the smoothed unigram probabilities, and how often each token (and the start) is a context."""
+    rows = dealt.where(F.col("part") == _TOTALS).select("corpus", F.inline(F.arrays_zip("ids", "n", "heads"))).groupBy("corpus", "ids").agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"))
+    found = rows.toArrow()  # at most a row for each corpus and piece of the vocabulary
+    corpus, ids, n, heads = (np.asarray(found.column(k)) for k in ("corpus", "ids", "n", "heads"))
+    out = []
+    for c in corpora:
+        own, one, head = corpus == c, np.zeros(size + 1), np.zeros(size + 1)
+        one[ids[own]], head[ids[own]] = n[own], heads[own]
+        single = one[:size] + 1
+        out.append((single / single.sum(), head))
+    return out
+
+
+def score(docs: DataFrame, target: DataFrame, background: DataFrame, path: str, size: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ce_target, ce_background, score (background less target, in nats a token).
+
+    ``size`` keeps only the first ids of the vocabulary; without it the whole vocabulary is used.
+    """
+    size = size or whole(path)
+    n = blobs.buckets_for(docs, _BUCKET_BYTES)
+    own = _DOCS if background is docs else _BACKGROUND  # documents that are the background are read once
+    corpora = {_DOCS: docs.select("doc_id", "text"), _TARGET: target.select("text")} | ({} if own == _DOCS else {_BACKGROUND: background.select("text")})
+    dealt = stored(functools.reduce(DataFrame.unionAll, (t.mapInArrow(_enter(c, path, size, n), _DEALT) for c, t in corpora.items())), "bigrams")
+    totals = docs.sparkSession.sparkContext.broadcast(_totals(dealt, size, [_TARGET, own]))
+    cells = dealt.where(F.col("part") == _CELLS).select("corpus", "bucket", "batch", "blob")
+    answers = cells.groupBy("bucket").applyInArrow(tv.lean(_answer(own)), "bucket int, batch long, blob binary")
+    texts = dealt.where(F.col("part") == _TEXTS).select("bucket", "batch", "blob", "ids", "n")
+    return texts.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInArrow(tv.lean(_score(totals, size, n)), _SCORED)

@@ -114,6 +114,17 @@ def test_cross_entropy_of_odd_rows(spark, hostile, no_rows):
     assert lmscore.score(no_rows, no_rows, no_rows, BYTES, 300).count() == 0
 
 
+def test_cross_entropy_counts_the_whole_vocabulary(spark):
+    tok = lmscore.tokenizer(BYTES, lmscore.whole(BYTES))
+    late = [w for w in ("mitochondria", "archipelago", "thermodynamic", "parliament") if max(tok.encoder.encode(f" {w}").ids) >= 2048]
+    assert late
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(late)], "doc_id long, text string")
+    target = spark.createDataFrame([(f"{late[0]} " * 20,)], "text string")
+    out = {r.doc_id: r for r in lmscore.score(docs, target, docs, BYTES).collect()}
+    assert all(out[i].n_tokens == len(tok.encoder.encode(f" {w}").ids) for i, w in enumerate(late))
+    assert max(out.values(), key=lambda r: r.score).doc_id == 0
+
+
 def check_packing(out, texts, window=packing.WINDOW):
     from tokenizers import Tokenizer
 
