@@ -8,9 +8,10 @@ threshold: an item at the threshold is missed with probability below ``MISS``. C
 exact containment of the item's shingles in the document's.
 
 Items travel to all tasks while they are small (``MOST_SHINGLES``); beyond that, sketches and documents meet
-in a shuffle on the shingle. Defined results: items with fewer than five words, or null, have no shingle and
+in a shuffle on the shingle, where texts are known by a 128-bit key, so that the rows found do not depend
+on the branch. Defined results: items with fewer than five words, or null, have no shingle and
 are in no document; equal items each give their row; repeated rows of a pair are one row; rows with a null
-id are left out, since no pair could name them.
+id are left out of the pairs, since none could name them, but judged in decontamination.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
@@ -151,17 +152,17 @@ def _clean(index, percent: int):
 
 
 def _sketched(percent: int):
-    """Rows (item_id, set, shingle, weight, need) for the shuffled search."""
+    """Rows (item, shingle, weight, need) for the shuffled search."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, s in zip(batch.column("item_id").to_pylist(), _five(batch), strict=True):
+            for i, s in zip(batch.column("item").to_pylist(), _five(batch), strict=True):
                 if len(s):
                     need = hits_needed(coordinates(partition_of(len(s))), percent)
                     out += [(i, int(h.view(np.int64)), int(c), need) for h, c in zip(*sketch(s), strict=True)]
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "shingle", "weight", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["item", "shingle", "weight", "need"])
 
     return run
 
@@ -195,6 +196,29 @@ def _index(items: DataFrame, percent: int, most_shingles: int):
     return items, items.sparkSession.sparkContext.broadcast(Index(own, percent))
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """The distinct texts, by their key."""
+    return df.where("text is not null").select(_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+
+
+def _key(text: Column) -> Column:
+    """What a text is known by in a shuffle: equal texts hold the same items, under whatever id."""
+    return F.unhex(F.md5(text))
+
+
+def _shuffled(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(key, item, n_item_shingles, n_shared) for the texts of ``docs`` and the items' texts that they hold, both by key."""
+    texts, own = _keyed(docs), _keyed(items).withColumnRenamed("key", "item")
+    shingles = texts.mapInArrow(_sets("key"), "key binary, set array<long>").select("key", F.explode("set").alias("shingle")).distinct()
+    sketches = own.mapInArrow(_sketched(percent), "item binary, shingle long, weight long, need long")
+    hits = shingles.join(sketches, "shingle").groupBy("key", "item").agg(F.sum("weight").alias("w"), F.max("need").alias("need")).where("w >= need")
+    hits = stored(hits.select("key", "item"), "hits")
+    doc_sets = texts.join(hits, "key", "left_semi").mapInArrow(_sets("key"), "key binary, set array<long>")
+    item_sets = own.mapInArrow(_sets("item"), "item binary, set array<long>").withColumnRenamed("set", "own")
+    both = hits.join(doc_sets, "key").join(item_sets, "item")
+    return both.select("key", "item", F.size("own").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("own", "set")).cast("long").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent)
+
+
 def contained(docs: DataFrame, items: DataFrame, percent: int = 80, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) for every item with at least ``percent`` % of its five-word shingles in a document."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -202,20 +226,16 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 80, most_shingle
     if index is not None:
         pairs = docs.mapInArrow(_search(index, percent), _PAIRS)
     else:
-        shingles = docs.mapInArrow(_sets("doc_id"), "doc_id long, set array<long>").select("doc_id", F.explode("set").alias("shingle")).distinct()
-        sketches = items.mapInArrow(_sketched(percent), "item_id long, shingle long, weight long, need long")
-        hits = shingles.join(sketches, "shingle").groupBy("doc_id", "item_id").agg(F.sum("weight").alias("w"), F.max("need").alias("need")).where("w >= need")
-        hits = stored(hits.select("doc_id", "item_id"), "hits")
-        doc_sets = docs.join(hits, "doc_id", "left_semi").mapInArrow(_sets("doc_id"), "doc_id long, set array<long>")
-        item_sets = items.mapInArrow(_sets("item_id"), "item_id long, set array<long>").withColumnRenamed("set", "own")
-        both = hits.join(doc_sets, "doc_id").join(item_sets, "item_id")
-        pairs = both.select("doc_id", "item_id", F.size("own").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("own", "set")).cast("long").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent)
+        found = _shuffled(docs, items, percent)
+        named = found.join(docs.select("doc_id", _key(F.col("text")).alias("key")), "key").join(items.select("item_id", _key(F.col("text")).alias("item")), "item")
+        pairs = named.select("doc_id", "item_id", "n_item_shingles", "n_shared")
     return pairs.distinct().withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80, most_shingles: int = MOST_SHINGLES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item (rows without an id are judged too while the items are small)."""
-    small, index = _index(items, percent, most_shingles)
+    """The rows of ``docs``, with all their columns, that hold no item: every row is judged by its own text, whatever its id."""
+    items, index = _index(items, percent, most_shingles)
     if index is not None:
         return docs.mapInArrow(_clean(index, percent), docs.schema)
-    return docs.join(contained(docs, small, percent, most_shingles).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = _shuffled(docs, items, percent).select("key").distinct()
+    return docs.join(gone, _key(docs["text"]) == gone["key"], "left_anti")

@@ -265,6 +265,19 @@ def test_containment_of_odd_rows(spark, hostile, no_rows):
     assert containment.decontaminate(df, items.limit(0)).count() == len(rows)
 
 
+def test_decontamination_judges_every_row_by_its_text(spark):
+    words = [f"w{i}" for i in range(400)]
+    item, long, clean = " ".join(words[:20]), " ".join(words[100:300]), " ".join(words[300:])
+    rows = [(None, f"a {item} b", 1), (None, clean, 2), (7, f"{item} c", 3), (7, clean, 4), (8, None, 5), (9, clean, 6), (10, f"x {item}", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    items = spark.createDataFrame([(1, item), (1, long)], "item_id long, text string")  # one id, two texts of different sizes
+    for bound in (containment.MOST_SHINGLES, 0):
+        left = containment.decontaminate(docs, items, most_shingles=bound)
+        assert left.schema == docs.schema
+        assert {tuple(r) for r in left.collect()} == {rows[i] for i in (1, 3, 4, 5)}
+        assert {(r.doc_id, r.item_id, r.n_shared) for r in containment.contained(docs, items, most_shingles=bound).collect()} == {(7, 1, 16), (10, 1, 16)}
+
+
 def test_hits_needed_keeps_the_miss_rate():
     for k in (16, 32, 64):
         m = containment.hits_needed(k, 80)
