@@ -53,14 +53,22 @@ def _whole(raw: np.ndarray, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def deal(bucket: np.ndarray, n_buckets: int, docs: np.ndarray, pos: np.ndarray, keys: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(bucket, blob, entries) for every bucket that has entries; each key with the number of its low bytes to keep."""
+def deal(bucket: np.ndarray, n_buckets: int, docs: np.ndarray, pos: np.ndarray, keys: list[tuple[np.ndarray, int]], tags: np.ndarray | None = None) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(bucket, blob, entries) for every bucket that has entries; each key with the number of its low bytes to keep.
+
+    ``tags`` tell the rows of one id apart, and take their room once for each run of entries of a row.
+    """
     if not len(bucket):
         return
     order = np.argsort(bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32), kind="stable")
     bucket, ids, pos = bucket[order], docs[order], pos[order]
     base = int(ids.min())
-    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])]))
+    other = (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])
+    if tags is not None:
+        tags = tags[order]
+        other |= tags[1:] != tags[:-1]
+    new = np.flatnonzero(np.concatenate([[True], other]))
+    tagged = np.zeros((len(new), 0), np.uint8) if tags is None else _cut(tags[new], 8)
     runs = np.diff(np.concatenate([new, [len(ids)]]))
     step = ids[new].view(np.uint64) - np.uint64(base & (1 << 64) - 1)
     widths = _width(step.max()), _width(runs.max()), _width(pos.max())
@@ -71,29 +79,32 @@ def deal(bucket: np.ndarray, n_buckets: int, docs: np.ndarray, pos: np.ndarray,
     tail = base.to_bytes(8, "little", signed=True) + bytes(widths)
     for b, i, j, x, y in zip(bucket[first].tolist(), first.tolist(), ends.tolist(), at.tolist(), until.tolist(), strict=True):
         head = (j - i).to_bytes(8, "little") + (y - x).to_bytes(8, "little") + tail
-        yield b, b"".join((head, columns[0][x:y].tobytes(), columns[1][x:y].tobytes(), *(c[i:j].tobytes() for c in columns[2:]))), order[i:j]
+        yield b, b"".join((head, columns[0][x:y].tobytes(), columns[1][x:y].tobytes(), tagged[x:y].tobytes(), *(c[i:j].tobytes() for c in columns[2:]))), order[i:j]
 
 
-def decode(blob: bytes, widths: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Documents, positions and keys of a blob, in the order in which they were dealt."""
+def decode(blob: bytes, widths: list[int], tagged: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Documents, positions and keys of a blob, in the order in which they were dealt; the tags are one more key."""
     raw = np.frombuffer(blob, np.uint8)
     n, m = (int(x) for x in raw[:16].view("<u8"))
     base, own = raw[16:24].view("<i8")[0], raw[24:27].tolist()
     at = 27
     parts = []
-    for size, width in [(m, own[0]), (m, own[1]), (n, own[2]), *((n, w) for w in widths)]:
+    for size, width in [(m, own[0]), (m, own[1]), *([(m, 8)] * tagged), (n, own[2]), *((n, w) for w in widths)]:
         parts.append(_whole(raw[at : at + size * width], size, width))
         at += size * width
-    docs = np.repeat((parts[0] + base.view(np.uint64)).view(np.int64), parts[1].astype(np.int64))
-    return docs, parts[2].astype(np.int64), parts[3:]
+    runs = parts[1].astype(np.int64)
+    docs = np.repeat((parts[0] + base.view(np.uint64)).view(np.int64), runs)
+    tags = [np.repeat(parts.pop(2), runs)] if tagged else []
+    return docs, parts[2].astype(np.int64), parts[3:] + tags
 
 
-def decode_all(table: pa.Table, widths: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def decode_all(table: pa.Table, widths: list[int], tagged: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The entries of all blobs of a bucket."""
-    found = [decode(b.as_buffer(), widths) for b in table.column("blob").combine_chunks() if b.is_valid]
+    found = [decode(b.as_buffer(), widths, tagged) for b in table.column("blob").combine_chunks() if b.is_valid]
+    n_keys = len(widths) + tagged
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in widths]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), [np.concatenate([f[2][i] for f in found]) for i in range(len(widths))]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in range(n_keys)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), [np.concatenate([f[2][i] for f in found]) for i in range(n_keys)]
 
 
 def by_doc(docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -104,6 +115,14 @@ def by_doc(docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.ListArray]
     return docs[new], pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(docs)]]), pa.int32()), pa.array(pos, pa.int32()))
 
 
+def by_row(docs: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Distinct pairs of document and tag with their positions as int lists (in no order)."""
+    order = np.lexsort((tags, docs))
+    docs, tags, pos = docs[order], tags[order], pos[order]
+    new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])) if len(docs) else np.zeros(0, np.int64)
+    return docs[new], tags[new], pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(docs)]]), pa.int32()), pa.array(pos, pa.int32()))
+
+
 def groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place of each run of equal keys, and for each place the number of its run."""
     new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, bool)

@@ -12,8 +12,8 @@ anchors at equal places, so repeats are looked for among the anchors' contexts o
 
 Contexts that are equal within a task are settled there and travel once, so a group of copies costs a
 task one entry. Defined results: a null text is empty; texts shorter than a window keep all bytes; a
-repeated row repeats every string of its text, so both are removed alike; ids are keys, and spans found in
-any text of an id apply to all its texts, as far as these reach; null ids are allowed, as one more id.
+repeated row repeats every string of its text, so both are removed alike; a row is known by the
+64-bit hash of its id and text, so spans apply to the text they were found in alone; null ids are allowed.
 """
 
 from __future__ import annotations
@@ -361,7 +361,7 @@ def remove_repeated_bytes(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     n = blobs.buckets_for(docs)
-    rows = docs.withColumn("row", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
+    rows = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(blobs.NO_ID)), "text"))
     long = rows.where(F.octet_length("text") >= WINDOW).select("row", "text")
     flagged = stored(long.mapInArrow(_enter(n, often), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_repeated(often)), _FLAGGED), "anchors")
     marks = flagged.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list(F.when(F.col("often"), F.col("pos")))).alias("often"), F.flatten(F.collect_list(F.when(~F.col("often"), F.col("pos")))).alias("seldom"))

@@ -7,13 +7,13 @@ their sequences, and runs of windows that also start earlier are the maximal exa
 
 Per task, an occurrence that is settled inside the task travels as its result, and only one
 representative of a repeated run goes to the bucket of its key. Blocks begin at an offset that
-depends on the document's id, so that a passage at the same place of very many documents meets block
+depends on the row, so that a passage at the same place of very many documents meets block
 starts in each of its runs; a passage that a third of all documents share thus costs a task a few entries.
 
-Defined results: a null text has no words; documents with the same id and start count as the same
-occurrence, so repeated rows do not remove each other; ids are keys, and windows found in any text of an id
-apply to all its texts, as far as these reach; null ids are one more id, which sorts last. Sequences are compared by 96 bits
-of independent hashes.
+Defined results: a null text has no words; a row is known by its id and a tag, the
+64-bit hash of its text; rows equal in both are one, so repeated rows do not remove each other, and windows
+apply to the text they were found in alone; texts of one id come in the order of their tags; null ids sort
+last. Sequences are compared by 96 bits of independent hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm import blobs
@@ -32,13 +32,13 @@ from cairnflow.llm.shared import discard, free_name, stored
 
 BLOCK = 10
 WINDOW = 2 * BLOCK
-_SHIPPED = "bucket int, blob binary, doc_id long, pos array<int>"
-_FOUND = "doc_id long, pos array<int>"
+_SHIPPED = "bucket int, blob binary, doc_id long, tag long, pos array<int>"
+_FOUND = "doc_id long, tag long, pos array<int>"
 
 
-def _shipped(dealt: Iterator[tuple[int, bytes, np.ndarray]], docs: np.ndarray, pos: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """Blobs for buckets, and settled positions of documents, dealt over the buckets too."""
-    ids, lists = blobs.by_doc(docs, pos)
+def _shipped(dealt: Iterator[tuple[int, bytes, np.ndarray]], docs: np.ndarray, tags: np.ndarray, pos: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Blobs for buckets, and settled positions of rows, dealt over the buckets too."""
+    ids, tags, lists = blobs.by_row(docs, tags, pos)
     rows = [(b, x) for b, x, _ in dealt]
     bucket, blob = [b for b, _ in rows], [x for _, x in rows]
     none = len(bucket)
@@ -46,18 +46,28 @@ def _shipped(dealt: Iterator[tuple[int, bytes, np.ndarray]], docs: np.ndarray, p
         pa.array([*bucket, *(np.arange(len(ids)) % n_buckets).tolist()], pa.int32()),
         pa.array([*blob, *[None] * len(ids)], pa.binary()),
         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(ids, pa.int64())]),
+        pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(tags.view(np.int64))]),
         pa.concat_arrays([pa.nulls(none, pa.list_(pa.int32())), lists.cast(pa.list_(pa.int32()))]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "blob", "doc_id", "pos"])
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "blob", "doc_id", "tag", "pos"])
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    return table.select(["doc_id", "pos"]).filter(pa.compute.is_valid(table.column("doc_id")))
+    return table.select(["doc_id", "tag", "pos"]).filter(pa.compute.is_valid(table.column("doc_id")))
 
 
-def _starts_block(docs: np.ndarray, pos: np.ndarray, block: int) -> np.ndarray:
+def _rows(docs: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> pa.Table:
+    ids, tags, lists = blobs.by_row(docs, tags, pos)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "tag": pa.array(tags.view(np.int64)), "pos": lists})
+
+
+def _tags(part: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(part.column("tag")).view(np.uint64)
+
+
+def _starts_block(docs: np.ndarray, tags: np.ndarray, pos: np.ndarray, block: int) -> np.ndarray:
     """Whether a reference block begins there."""
-    return (pos + (tv.mix(docs.view(np.uint64)) % np.uint64(block)).astype(np.int64)) % block == 0
+    return (pos + (tv.mix(docs.view(np.uint64) ^ tags) % np.uint64(block)).astype(np.int64)) % block == 0
 
 
 def _probe(n_buckets: int, block: int):
@@ -75,10 +85,11 @@ def _probe(n_buckets: int, block: int):
                 row = np.repeat(np.arange(part.num_rows), size)
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 key, doc = grams[first[row] + pos] if len(row) else grams[:0], ids[row]
+                tag = _tags(part)[row]
                 del grams, row
                 order = np.argsort(key, kind="stable")
                 head, run_of = blobs.groups(key[order])
-                aligned = _starts_block(doc, pos, block)[order]
+                aligned = _starts_block(doc, tag, pos, block)[order]
                 many = np.diff(np.concatenate([head, [len(order)]])) > 1
                 # a repeated run with a reference block is settled; its first reference block represents it
                 place = np.where(aligned, np.arange(len(order)), len(order))
@@ -90,22 +101,21 @@ def _probe(n_buckets: int, block: int):
                 keep[chosen[done]] = True
                 sent = np.sort(order[keep])
                 bucket = (key[sent] % np.uint64(n_buckets)).astype(np.int64)
-                yield _shipped(blobs.deal(bucket, n_buckets, doc[sent], pos[sent], [(key[sent] >> np.uint64(24), 5)]), doc[settled], pos[settled], n_buckets)
+                yield _shipped(blobs.deal(bucket, n_buckets, doc[sent], pos[sent], [(key[sent] >> np.uint64(24), 5)], tag[sent]), doc[settled], tag[settled], pos[settled], n_buckets)
 
     return run
 
 
 def _hits(block: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, pos, (key,) = blobs.decode_all(table, [5])
+        doc, pos, (key, tag) = blobs.decode_all(table, [5], True)
         order = np.argsort(key, kind="stable")
         head, run_of = blobs.groups(key[order])
         if len(head):
-            aligned = np.maximum.reduceat(_starts_block(doc, pos, block)[order].astype(np.int8), head) > 0
+            aligned = np.maximum.reduceat(_starts_block(doc, tag, pos, block)[order].astype(np.int8), head) > 0
             hit = (aligned & (np.diff(np.concatenate([head, [len(order)]])) > 1))[run_of]
             order = order[hit]
-        ids, lists = blobs.by_doc(doc[order], pos[order])
-        return pa.concat_tables([_settled(table), pa.table({"doc_id": pa.array(ids, pa.int64()), "pos": lists})])
+        return pa.concat_tables([_settled(table), _rows(doc[order], tag[order], pos[order])])
 
     return run
 
@@ -132,45 +142,50 @@ def _extend(n_buckets: int, block: int):
                 key = tv.gram_hashes(words, 2 * block)[start]
                 more = tv.gram_hashes(tv.mix(words ^ np.uint64(0xA5A5A5A55A5A5A5A)), 2 * block)[start] >> np.uint64(32)
                 doc, pos = blobs.ids_of(part.column("doc_id"))[row], start - first[row]
-                order = np.lexsort((pos, doc, more, key))
+                tag = _tags(part)[row]
+                order = np.lexsort((pos, tag, doc, more, key))
                 k, m = key[order], more[order]
                 new = np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]) if len(k) else np.zeros(0, bool)
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
-                same = (doc[order] == doc[order][head]) & (pos[order] == pos[order][head])
+                same = (doc[order] == doc[order][head]) & (tag[order] == tag[order][head]) & (pos[order] == pos[order][head])
                 later = order[~same]
                 sent = np.sort(order[new])
                 bucket = (key[sent] % np.uint64(n_buckets)).astype(np.int64)
-                yield _shipped(blobs.deal(bucket, n_buckets, doc[sent], pos[sent], [(key[sent], 8), (more[sent], 4)]), doc[later], pos[later], n_buckets)
+                yield _shipped(blobs.deal(bucket, n_buckets, doc[sent], pos[sent], [(key[sent], 8), (more[sent], 4)], tag[sent]), doc[later], tag[later], pos[later], n_buckets)
 
     return run
 
 
 def _later(table: pa.Table) -> pa.Table:
     """Windows whose sequence also starts earlier."""
-    doc, pos, (key, more) = blobs.decode_all(table, [8, 4])
-    order = np.lexsort((pos, doc, more, key))
-    k, m, doc, pos = key[order], more[order], doc[order], pos[order]
+    doc, pos, (key, more, tag) = blobs.decode_all(table, [8, 4], True)
+    order = np.lexsort((pos, tag, doc, more, key))
+    k, m, doc, tag, pos = key[order], more[order], doc[order], tag[order], pos[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])]) if len(k) else np.zeros(0, bool)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    gone = (doc != doc[head]) | (pos != pos[head])
-    ids, lists = blobs.by_doc(doc[gone], pos[gone])
-    return pa.concat_tables([_settled(table), pa.table({"doc_id": pa.array(ids, pa.int64()), "pos": lists})])
+    gone = (doc != doc[head]) | (tag != tag[head]) | (pos != pos[head])
+    return pa.concat_tables([_settled(table), _rows(doc[gone], tag[gone], pos[gone])])
 
 
-def _of_docs(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+def _of_rows(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("pos")).alias("pos"))
 
 
 def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, pos): starts of the windows of ``2 * block`` words whose sequence also starts earlier; null ids are NO_ID."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, tag, pos): starts of the windows of ``2 * block`` words whose sequence also starts earlier; null ids are NO_ID."""
+    docs = docs.select("doc_id", "text", _tag(docs).alias("tag"))
     n = blobs.buckets_for(docs)
     seeds = stored(docs.mapInArrow(_probe(n, block), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_hits(block)), _FOUND), "hits")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
-    windows = keyed.join(_of_docs(seeds), "doc_id").mapInArrow(_extend(n, block), _SHIPPED)
+    windows = keyed.join(_of_rows(seeds), ["doc_id", "tag"]).mapInArrow(_extend(n, block), _SHIPPED)
     repeats = stored(windows.groupBy("bucket").applyInArrow(tv.lean(_later), _FOUND), "repeats")
     discard(seeds)
-    return _of_docs(repeats)
+    return _of_rows(repeats)
+
+
+def _tag(docs: DataFrame) -> Column:
+    """Tells the rows of one id apart: equal texts have equal windows."""
+    return F.xxhash64(docs["text"])
 
 
 def _stay(pos: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -226,9 +241,9 @@ def _rewrite(size: int, mark: str):
 
 
 def _with_windows(docs: DataFrame, block: int, mark: str) -> DataFrame:
-    key = free_name(docs, "_key")
-    gone = repeated_windows(docs, block).select(F.col("doc_id").alias(key), F.col("pos").alias(mark))
-    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(blobs.NO_ID)) == gone[key], "left").select(*(docs[c] for c in docs.columns), gone[mark])
+    key, tag = free_name(docs, "_key"), free_name(docs, "_tag")
+    gone = repeated_windows(docs, block).select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("pos").alias(mark))
+    return docs.join(gone, (F.coalesce(docs["doc_id"], F.lit(blobs.NO_ID)) == gone[key]) & (_tag(docs) == gone[tag]), "left").select(*(docs[c] for c in docs.columns), gone[mark])
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:

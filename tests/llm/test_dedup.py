@@ -112,6 +112,29 @@ def test_rewrite_keeps_columns_and_untouched_texts(hostile):
             assert (r.key, r.pos, r.kept, r._windows, r._id) == ("k", "p", "b", "w", "i")
 
 
+def test_windows_stay_with_the_text_they_were_found_in(spark):
+    word = iter(f"w{i:05d}" for i in range(10**5))
+    text = lambda n: " ".join(next(word) for _ in range(n))
+    passage, other, long, twice = text(70), text(70), text(70), text(70)
+    rows = [
+        (1, f"{passage} {text(30)}"), (None, f"{passage} {text(30)}"), (None, text(100)), (None, f"{text(30)} {text(90)}"),  # windows of one null id
+        (2, f"{other} {text(30)}"), (5, text(100)), (5, f"{other} {text(30)}"),  # of one of an id's texts
+        (None, f"{long} {text(9)}"), (None, f"{long} {text(8)}"), (6, twice), (6, twice), (7, None), (None, None),  # the same place in two null ids; equal rows
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect())
+    gone = {1: 70, 6: 70}
+    own = [(d, len((t or "").split()), gone.get(i, 0)) for i, (d, t) in enumerate(rows)]
+    first, second = [list(own), list(own)]  # which of two null ids comes first is up to their hashes
+    first[7], second[8] = (None, 79, 70), (None, 78, 70)
+    assert kept in [sorted((str(d), n, r) for d, n, r in x) for x in (first, second)]
+    assert sorted(r.text or "" for r in substrings.rewrite(df).collect()) in [sorted(" ".join((t or "").split()[r:]) for (_, t), (_, _, r) in zip(rows, x, strict=True)) for x in (first, second)]
+    whole = brute.byte_dedup([(i, t) for i, (_, t) in enumerate(rows)])
+    for often in (1, 32):
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in bytes_dedup.remove_repeated_bytes(df, often).collect())
+        assert got == sorted((str(d), *whole[i]) for i, (d, _) in enumerate(rows))
+
+
 def test_empty_tables(no_rows):
     assert minhash.near_duplicates(no_rows).count() == 0
     assert minhash.keep_one(no_rows).count() == 0
