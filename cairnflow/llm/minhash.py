@@ -6,9 +6,10 @@ universe; a second one, circularly shifted by 0, 1, 2, ..., gives every coordina
 Bands of the signature propose pairs; a pair is a link only after its full sets are compared.
 
 Defined results: a text without words, or null, has an empty set and no links; a text with fewer words
-than a shingle is one shingle, the whole sequence; equal sets are one class, represented by its
-smallest id; rows with a null id belong to their class but cannot represent it; repeated rows repeat
-in the result. Set members are 64-bit hashes of the shingles' words.
+than a shingle is one shingle, the whole sequence; equal sets (by a 128-bit digest) are one class,
+represented by its smallest id; rows with a null id are linked like others but come last, so that a class or
+component has no id only where none of its rows has; repeated rows repeat in the result. Set members are
+64-bit hashes of the shingles' words.
 """
 
 from __future__ import annotations
@@ -95,8 +96,8 @@ def _sketch(bands: int):
                 counts[np.array(rows, np.int64) + 1] = bands
                 flat = _bands(np.stack(found), bands).ravel() if found else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(flat))],
-                    names=["doc_id", "n", "digest", "bands"],
+                    [part.column("doc_id"), part.column("tag"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(flat))],
+                    names=["doc_id", "tag", "n", "digest", "bands"],
                 )
 
     return run
@@ -107,15 +108,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tv.pieces(batch):
             sets = list(shingle_sets(part))
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            digests = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["digest", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["key", "set"])
 
 
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
+    """Those of the distinct ``pairs`` (a, b) whose full sets, one a key, are similar enough."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b").distinct()
+    return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b")
 
 
 def _hubs(filed: DataFrame) -> DataFrame:
@@ -130,8 +130,8 @@ def _star(near: DataFrame) -> DataFrame:
     return best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
-def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, key, at, n, alone): the shared ones among each set's rarest shingles, any two similar sets sharing one.
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, n, alone, shared): of each set's rarest shingles those that other sets hold too, any two similar sets sharing one.
 
     Shingles are ordered by how many of the sets hold them; those of a single set come first and are
     counted only. Two sets over the bound share a shingle among the first n - ceil(n * percent / 100) + 1.
@@ -141,8 +141,18 @@ def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     ordered = each.join(held, "bucket").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    cut = ordered.where(length > 0).select("key", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("i", "s"))
-    return cut.select(F.col("s.bucket").alias("bucket"), "key", (F.col("alone") + F.col("i")).alias("at"), "n", "alone")
+    return ordered.where(length > 0).select("key", "n", alone.alias("alone"), F.slice("shared", F.lit(1), length.cast("int"))["bucket"].alias("shared"))
+
+
+def _spread(rarest: DataFrame) -> DataFrame:
+    """A row for each shared shingle: bucket, and at, its place in the rarity order; with the other columns."""
+    others = [c for c in rarest.columns if c != "shared"]
+    return rarest.select(*others, F.posexplode("shared").alias("i", "bucket")).select("bucket", *others, (F.col("alone") + F.col("i")).alias("at"))
+
+
+def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, key, n, alone, at) of the shared ones among each set's rarest shingles."""
+    return _spread(_rarest(sets, percent))
 
 
 def _may(percent: int):
@@ -168,40 +178,31 @@ def _side(filed: DataFrame, s: str) -> DataFrame:
     return filed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "at", "n")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id, kept.
-
-    Two documents are linked if 100 * |intersection| >= ``percent`` * |union|. ``class_id`` is the
-    smallest id with the same set; ``component_id`` the smallest id reachable over links.
-
-    Work: a class is compared with one hub of the band buckets that it shares, and the links found are
-    contracted. Classes that still share a bucket with another component are filed under their rarest
-    shingles (an exact filter); there they are compared with central hubs of other components as long as that
-    finds links, and at last every pair from different components that sizes and places allow. So a group of near copies costs about one
-    comparison a member, and no link between components is left out among the band buckets' classes.
-    With 24 bands of five coordinates a pair at 0.85 meets in no bucket with probability 1e-6.
-    """
-    docs = docs.select("doc_id", "text")
-    sketch = stored(docs.mapInArrow(_sketch(bands), "doc_id long, n long, digest binary, bands array<long>").withColumn("key", F.xxhash64("digest")), "sketch")
-    classes = sketch.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    firsts = sketch.select("key", F.col("doc_id").alias("class_id"), "bands").join(classes, ["key", "class_id"]).dropDuplicates(["key"])
-    filed = firsts.select("key", "class_id", F.explode("bands").alias("bucket"))
+def _components(docs: DataFrame, percent: int, bands: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, tag (the hash of its text), n, own and best (the representatives of
+    its class and component: none, doc_id, tag of their least row; null without words)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    sketch = stored(docs.mapInArrow(_sketch(bands), "doc_id long, tag long, n long, digest binary, bands array<long>"), "sketch")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    whole = sketch.where("n > 0").groupBy("digest").agg(F.min(least).alias("own"), F.first("bands").alias("bands"))
+    classes = stored(whole.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbered once: the files hold the numbers
+    filed = classes.select("key", F.explode("bands").alias("bucket"))
     members = stored(filed.join(_hubs(filed), "bucket"), "members")
     tried = stored(_star(members.where("key <> hub")), "tried")
-    ids = members.select(F.col("class_id").alias("doc_id")).distinct()
-    keyed = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "digest binary, set array<long>").select(F.xxhash64("digest").alias("key"), "set")
-    sets = stored(keyed.groupBy("key").agg(F.first("set").alias("set")), "sets")
+    firsts = classes.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("own.doc_id").alias("id"), F.col("own.tag").alias("of"))
+    keyed = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["id"]) & (docs["tag"] == firsts["of"])).select("key", "text")
+    sets = stored(keyed.mapInArrow(_sets, "key long, set array<long>").groupBy("key").agg(F.first("set").alias("set")), "sets")
     links = stored(_confirm(sets, tried, percent), "links")
     joined, used = components(links), [members, tried, sets, links]
 
     labelled = members.select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
     open_keys = labelled.join(split, "bucket", "left_semi").select("key").distinct()
-    rare = stored(_rare_prefixes(sets.join(open_keys, "key", "left_semi"), percent), "rare")
+    rare = stored(_rarest(sets.join(open_keys, "key", "left_semi"), percent), "rare")
     found = True
     used.append(rare)
     for step in range(ROUNDS + 1):
-        now = rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"), "at", "n", "alone")
+        now = _spread(rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"), "n", "alone", "shared"))
         mixed = now.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
         now = stored(now.join(mixed, "bucket", "left_semi"), "open")
         last = step == ROUNDS or not found
@@ -219,25 +220,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> D
         if last:
             break
     discard(*used)
-    label = (
-        joined.withColumnRenamed("node", "key").join(classes, "key").groupBy("component").agg(F.min("class_id").alias("found"))
-        .join(joined.withColumnRenamed("node", "key"), "component").select("key", "found")
-    )
-    return (
-        sketch.select("doc_id", "n", "key")
-        .join(classes, "key", "left")
-        .join(label, "key", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("found", "class_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
-    )
+    of = joined.withColumnRenamed("node", "key").join(classes.select("key", "own"), "key")
+    label = of.groupBy("component").agg(F.min("own").alias("best")).join(of.select("key", "component"), "component").select("key", "best")
+    named = classes.select("digest", "key", "own").join(label, "key", "left").select("digest", "own", F.coalesce("best", "own").alias("best"))
+    return sketch.select("doc_id", "tag", "n", "digest").join(named, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id, component_id, kept.
+
+    Two documents are linked if 100 * |intersection| >= ``percent`` * |union|. ``class_id`` is the
+    smallest id with the same set; ``component_id`` the smallest id reachable over links.
+
+    Work: a class is compared with one hub of the band buckets that it shares, and the links found are
+    contracted. Classes that still share a bucket with another component are filed under their rarest
+    shingles (an exact filter); there they are compared with central hubs of other components as long as that
+    finds links, and at last every pair from different components that sizes and places allow. So a group of near copies costs about one
+    comparison a member, and no link between components is left out among the band buckets' classes.
+    With 24 bands of five coordinates a pair at 0.85 meets in no bucket with probability 1e-6.
+    """
+    rows = _components(docs, percent, bands)
+    ids = [F.when(F.col("n") > 0, F.col(f"{c}.doc_id")).otherwise(F.col("doc_id")) for c in ("own", "best")]
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), ids[0].alias("class_id"), ids[1].alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, bands: int = 36) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document of each group: the smallest id; repeated rows once.
+    """The rows of ``docs``, with all their columns, of one document of each group: that of the smallest id (of
+    several texts of one id, or where no row has an id, that of the smallest hash); repeated rows once.
 
-    With 36 bands a pair at 0.8 meets in no bucket with probability 1e-6. Rows without an id stay while any such row is its group's only kind.
+    With 36 bands a pair at 0.8 meets in no bucket with probability 1e-6. Rows without words stay.
     """
-    mark, same = free_name(docs, "_id"), free_name(docs, "_text")
-    kept = near_duplicates(docs, percent, bands).where("kept").select(F.col("doc_id").alias(mark)).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[mark]), "left_semi")
-    return rows.withColumn(same, F.xxhash64("text")).dropDuplicates(["doc_id", same]).select(docs.columns)
+    mark, same, tag = free_name(docs, "_id"), free_name(docs, "_text"), free_name(docs, "_tag")
+    mine = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.tag") == F.col("tag"))
+    kept = _components(docs, percent, bands).where(F.col("best").isNull() | mine).select(F.col("doc_id").alias(mark), F.col("tag").alias(same)).distinct()
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+    rows = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept[mark]) & (tagged[tag] == kept[same]), "left_semi")
+    return rows.dropDuplicates(["doc_id", tag]).select(docs.columns)
