@@ -3,13 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary. The likelihood of a word is
 the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product over its
 words. Probabilities are fitted by expectation-maximisation on a bounded sample of labelled rows
-(``PER_LANGUAGE`` rows of a language on average, of at most ``LONGEST`` bytes each); prediction reads
-whole texts. A word's likelihoods are computed once in a worker and remembered.
+(``PER_LANGUAGE`` rows of a language on average, and of all languages together about ``SAMPLE_BYTES``, one whole row of each
+language at least); prediction reads whole texts. A word's likelihoods are computed once in a worker and remembered.
 
-Words are runs of letters (ASCII letters and all bytes from 0x80), lower-cased for ASCII and Latin-1; longer
-ones than ``CUT`` bytes are scored in pieces of that length. Defined results: a null text, or one without any
-letter, is ``und`` with score 0, and so are all texts if there is nothing to learn from; ties go to the
-language whose name sorts first; null ids are held out of learning; rows are judged one by one.
+Words are runs of letters (ASCII letters and all bytes from 0x80), lower-cased for ASCII and Latin-1. Words of more than
+``CUT`` bytes are scored whole too, side by side with rescaled sums; only in fitting are they learned from in parts of that
+length. Defined results: a null text, or one without any letter, is ``und`` with score 0, and so are all texts if there is
+nothing to learn from; ties go to the language whose name sorts first; null ids are held out of learning; rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.shared import held_out
 
 PER_LANGUAGE = 1000
-LONGEST = 200_000
+SAMPLE_BYTES = 64 << 20
 CUT = 40
 ROUNDS = 4
 #: Languages beyond which the model is refused: it is sent to all workers.
@@ -47,13 +48,13 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def vocabulary(path: str, longest: int = 16) -> list[bytes]:
+def vocabulary(path: str) -> list[bytes]:
     """Pieces of a word-level byte-pair vocabulary as bytes, with an end byte where a piece ends a word."""
     with open(path, encoding="utf-8") as f:
         pieces = json.load(f)["model"]["vocab"]
     to = _byte_chars()
     out = {bytes(to[c] for c in p.removesuffix("</w>")) + bytes([_END] * p.endswith("</w>")) for p in pieces}
-    return sorted(p for p in out | {bytes([b]) for b in range(256)} if 0 < len(p) <= longest)
+    return sorted(p for p in out | {bytes([b]) for b in range(256)} if p)
 
 
 def _hash_rows(rows: np.ndarray) -> np.ndarray:
@@ -69,6 +70,7 @@ class Pieces:
         by = {}
         for i, p in enumerate(pieces):
             by.setdefault(len(p), []).append(i)
+        self.sizes = sorted(by)
         self.hash = np.zeros(self.n + 1, np.uint64)
         for size, ids in by.items():
             self.hash[ids] = _hash_rows(np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(-1, size))
@@ -103,7 +105,7 @@ class Pieces:
         n, size = words.shape
         p = np.zeros((n, size + 1), np.uint64)
         np.cumsum(tv._VALUE[words] * tv._POW[:size], axis=1, out=p[:, 1:])
-        return [[(i, self.find(tv.mix((p[:, j] - p[:, i]) * tv._INV[i] + np.uint64(j - i)))) for i in range(max(0, j - self.longest), j)] for j in range(1, size + 1)]
+        return [[(i, self.find(tv.mix((p[:, j] - p[:, i]) * tv._INV[i] + np.uint64(j - i)))) for i in (j - k for k in reversed(self.sizes) if k <= j)] for j in range(1, size + 1)]
 
 
 def forward(found: list[list[tuple[int, np.ndarray]]], prob: np.ndarray) -> list[np.ndarray]:
@@ -115,6 +117,54 @@ def forward(found: list[list[tuple[int, np.ndarray]]], prob: np.ndarray) -> list
     return alpha
 
 
+def forward_long(data: np.ndarray, ws: np.ndarray, we: np.ndarray, finder: Pieces, prob: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of words of any length, each followed by the end byte.
+
+    All words go on by one byte at a time, the longest first. The pieces that end there are found for a stretch of
+    bytes at once; the sums over the last prefixes stand in a ring as long as the longest piece and are
+    scaled down together, so that neither memory nor range grows with a word.
+    """
+    order = np.argsort(ws - we, kind="stable")
+    ws, size = ws[order], (we - ws)[order] + 1
+    ring, n, langs = finder.longest + 1, len(ws), prob.shape[1]
+    alpha, scale, out = np.zeros((ring, n, langs)), np.zeros((n, langs)), np.empty((n, langs))
+    alpha[0] = 1
+    sizes = np.array(finder.sizes)
+    at, last = 0, int(size[0])
+    while at < last:
+        m = int(np.searchsorted(-size, -at, "left"))  # words with more than ``at`` bytes
+        stretch = min(last - at, max(16, (1 << 20) // (m * len(sizes))))
+        begin = max(0, at - finder.longest)
+        place = np.arange(begin, at + stretch)
+        raw = data[np.minimum(ws[:m, None] + place, len(data) - 1)]
+        raw = np.where(place == (size[:m] - 1)[:, None], np.uint8(_END), raw)
+        p = np.zeros((m, len(place) + 1), np.uint64)
+        np.cumsum(tv._VALUE[raw] * tv._POW[: len(place)], axis=1, out=p[:, 1:])
+        ids = np.full((stretch, len(sizes), m), finder.n, np.int32)
+        for c, k in enumerate(finder.sizes):
+            t = np.arange(max(at + 1, k), at + stretch + 1)
+            j = t - begin
+            if len(t):
+                ids[t - at - 1, c] = finder.find(tv.mix((p[:, j] - p[:, j - k]) * tv._INV[j - k] + np.uint64(k)).ravel()).reshape(m, -1).T
+        some = (ids < finder.n).any(axis=2)
+        for t in range(at + 1, at + stretch + 1):
+            m = int(np.searchsorted(-size, -t, "right"))
+            c = np.flatnonzero(some[t - at - 1])
+            alpha[t % ring, :m] = (alpha[(t - sizes[c]) % ring, :m] * prob[ids[t - at - 1, c, :m]]).sum(axis=0)
+            if t % 16 == 0:
+                most = alpha[:, :m].max(axis=0)
+                most[most <= 0] = 1
+                alpha[:, :m] /= most
+                scale[:m] += np.log(most)
+            if size[m - 1] == t:
+                ends = np.flatnonzero(size[:m] == t)
+                out[ends] = np.log(np.maximum(alpha[t % ring, ends], 1e-300)) + scale[ends]
+        at += stretch
+    back_to = np.empty(n, np.int64)
+    back_to[order] = np.arange(n)
+    return out[back_to]
+
+
 def _expected(found, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces, each word counted by its row of ``weight`` (words, languages)."""
     alpha = forward(found, prob)
@@ -132,8 +182,8 @@ def _expected(found, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def letters(batch_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, then start, end and text of every run of letters (cut to CUT bytes)."""
+def letters(batch_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, then start, end and text of every run of letters (with ``cut`` in parts of CUT bytes)."""
     data = tv.LOWER[batch_bytes]
     after = np.concatenate([[0], batch_bytes[:-1]]) == 0xC3
     data[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
@@ -149,7 +199,7 @@ def letters(batch_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     ws = np.flatnonzero(first)
     we = np.flatnonzero(mask[:-1] & (~mask[1:] | first[1:])) + 1
     long = np.flatnonzero(we - ws > CUT)
-    if len(long):
+    if cut and len(long):
         more = np.concatenate([np.arange(ws[i] + CUT, we[i], CUT) for i in long])
         ws = np.sort(np.concatenate([ws, more]))
         we = np.sort(np.concatenate([we, more]))
@@ -168,7 +218,7 @@ def fit(texts: list[tuple[str, str]], pieces: list[bytes]) -> tuple[list[str], n
     """Languages, and for each piece (and a last row of zeros) its probability in every language."""
     langs = sorted({lang for lang, _ in texts})
     column = pa.array([t for _, t in texts], pa.large_string())
-    data, ws, we, row = letters(*tv.buffers(column))
+    data, ws, we, row = letters(*tv.buffers(column), cut=True)
     h = tv.word_hashes(data, ws, we)
     _, example, which = np.unique(h, return_index=True, return_inverse=True)
     of = np.array([langs.index(lang) for lang, _ in texts])[row]
@@ -210,9 +260,13 @@ class Scorer:
         if new.any():
             fresh = example[new]
             value = np.empty((len(fresh), self.prob.shape[1]), np.float32)
-            for places, rows in _by_length(data, ws[fresh], we[fresh]):
+            size = we[fresh] - ws[fresh]
+            short, long = np.flatnonzero(size <= CUT), np.flatnonzero(size > CUT)
+            for places, rows in _by_length(data, ws[fresh[short]], we[fresh[short]]):
                 for k in range(0, len(places), 8192):
-                    value[places[k : k + 8192]] = np.log(np.maximum(forward(self.finder.substrings(rows[k : k + 8192]), self.prob)[-1], 1e-300))
+                    value[short[places[k : k + 8192]]] = np.log(np.maximum(forward(self.finder.substrings(rows[k : k + 8192]), self.prob)[-1], 1e-300))
+            if len(long):
+                value[long] = forward_long(data, ws[fresh[long]], we[fresh[long]], self.finder, self.prob)
             known = np.concatenate([self.known, unique[new]])
             order = np.argsort(known)
             self.known, self.value = known[order], np.concatenate([self.value, value])[order]
@@ -255,15 +309,17 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
     import uuid
 
     spark = docs.sparkSession
-    learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST))
-    size = {lang: n for lang, n in learn.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at"))
+    size = learn.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text")), F.min("at")).limit(MOST_LANGUAGES + 1).collect()
     if len(size) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs, prob = [], np.zeros((1, 0))
     if size:
-        keep = F.create_map(*(x for lang, n in size.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))))[F.col("lang")]
-        chosen = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(keep * (1 << 20)))
-        texts = sorted(zip(*(c.to_pylist() for c in chosen.select("lang", "text").toArrow().columns), strict=True))  # about per_language rows of each language
+        room = SAMPLE_BYTES // len(size)
+        keep = F.create_map(*(x for lang, n, total, first in size for x in (F.lit(lang), F.lit(max(first, int(min(1.0, per_language / n, room / max(1, total)) * (1 << 40)))))))[F.col("lang")]
+        before = Window.partitionBy("lang").orderBy("at", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+        chosen = learn.where(F.col("at") <= keep).withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < room)
+        texts = sorted(zip(*(c.to_pylist() for c in chosen.select("lang", "text").toArrow().columns), strict=True))
         if texts:
             langs, prob = fit(texts, vocabulary(vocabulary_path))
     model = spark.sparkContext.broadcast(prob)

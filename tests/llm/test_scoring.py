@@ -52,6 +52,32 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got[0], [total(word, 0), total(word, 1)])
 
 
+def test_forward_over_long_words():
+    rng = np.random.default_rng(2)
+    pieces = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choice(list(b"abc\xe6"), n)) for n in (2, 3, 5, 7) for _ in range(30)} | {b"a\xff", b"bc\xff"})
+    prob = np.concatenate([rng.random((len(pieces), 3)) / 50, np.zeros((1, 3))])
+    words = [bytes(rng.choice(list(b"abc\xe6"), n)) for n in (5, 41, 41, 120, 300, 77)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    got = langid.forward_long(data, ends - [len(w) for w in words], ends, langid.Pieces(pieces), prob)
+    for w, value in zip(words, got, strict=True):
+        logs = [np.zeros(3)]
+        for j in range(1, len(w) + 2):
+            s = (w + b"\xff")[:j]
+            terms = [logs[j - len(p)] + np.log(prob[i]) for i, p in enumerate(pieces) if s.endswith(p)]
+            logs.append(np.logaddexp.reduce(terms, axis=0) if terms else np.full(3, -np.inf))
+        assert np.allclose(value, logs[-1])
+
+
+def test_language_of_texts_without_spaces(spark):
+    known = [(i, ("de la que el en y a los" if i % 2 else "the of and to in is that") + f" {i}", "es" if i % 2 else "en") for i in range(60)]
+    joined = [(100, "thatisthe\u00a0ofandtheinto" * 9, None), (101, "quelosen\u00a0delaqueel" * 9, None)]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(known + joined, "doc_id long, text string, lang string"), WORDS).collect()}
+    assert (out[100], out[101]) == ("en", "es")
+    vast = spark.createDataFrame([(i, ("the of and " if i % 2 else "de la que ") * 200_000, "en" if i % 2 else "es") for i in (1, 2, 3, 4)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.identify(vast, WORDS, 1).orderBy("doc_id").collect()] == ["en", "es", "en", "es"]  # languages with long texts alone are learned
+
+
 def test_fit_raises_the_likelihood():
     texts = [("x", "aab aab aba"), ("y", "bba bbb bab")] * 5
     pieces = [bytes([b]) for b in range(256)] + [b"aa", b"bb", b"ab"]
