@@ -118,10 +118,19 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b")
 
 
+# What is gathered of each bucket is stored before it is joined back: only a join of two plain exchanges is
+# one whose large buckets Spark deals over several tasks.
+
+
 def _hubs(filed: DataFrame) -> DataFrame:
     """The hub of every bucket with several keys: the smallest key after a scrambling that differs from bucket to bucket."""
     low = filed.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.col("bucket"))).alias("o"), F.min("key").alias("l"), F.max("key").alias("h"))
-    return low.where("l < h").select("bucket", F.col("o").bitwiseXOR(F.col("bucket")).alias("hub"))
+    return stored(low.where("l < h").select("bucket", F.col("o").bitwiseXOR(F.col("bucket")).alias("hub")), "hubs")
+
+
+def _mixed(filed: DataFrame) -> DataFrame:
+    """The buckets with keys of several components."""
+    return stored(filed.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket"), "mixed")
 
 
 def _star(near: DataFrame) -> DataFrame:
@@ -137,7 +146,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     counted only. Two sets over the bound share a shingle among the first n - ceil(n * percent / 100) + 1.
     """
     each = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("bucket"))
-    held = each.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
+    held = stored(each.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1"), "held")
     ordered = each.join(held, "bucket").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
@@ -167,7 +176,7 @@ def _central(now: DataFrame, percent: int) -> DataFrame:
     The hub of a bucket is the key with the fewest shingles of its own, so the one that most others resemble.
     """
     hubs = now.groupBy("bucket").agg(F.min(F.struct("alone", "at", "n", "key", "comp")).alias("h")).select("bucket", *(F.col(f"h.{c}").alias(f"{c}_y") for c in ("key", "comp", "at", "n", "alone")))
-    near = _side(now, "x").join(hubs, "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent))
+    near = _side(now, "x").join(stored(hubs, "central"), "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent))
     each = near.groupBy("key_x", "key_y").agg(F.count("*").alias("c"), F.min("alone_y").alias("alone"))
     picks = each.groupBy("key_x").agg(F.max_by("key_y", F.struct("c", "key_y")).alias("p"), F.min_by("key_y", F.struct("alone", "key_y")).alias("q"))
     pairs = picks.select("key_x", F.explode(F.array_distinct(F.array("p", "q"))).alias("key_y"))
@@ -196,15 +205,13 @@ def _components(docs: DataFrame, percent: int, bands: int) -> DataFrame:
     joined, used = components(links), [members, tried, sets, links]
 
     labelled = members.select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
-    split = labelled.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
-    open_keys = labelled.join(split, "bucket", "left_semi").select("key").distinct()
+    open_keys = labelled.join(_mixed(labelled), "bucket", "left_semi").select("key").distinct()
     rare = stored(_rarest(sets.join(open_keys, "key", "left_semi"), percent), "rare")
     found = True
     used.append(rare)
     for step in range(ROUNDS + 1):
         now = _spread(rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"), "n", "alone", "shared"))
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket")
-        now = stored(now.join(mixed, "bucket", "left_semi"), "open")
+        now = stored(now.join(_mixed(now), "bucket", "left_semi"), "open")
         last = step == ROUNDS or not found
         if last:
             pairs = _side(now, "x").join(_side(now, "y"), "bucket").where((F.col("comp_x") < F.col("comp_y")) & _may(percent))
