@@ -1,7 +1,9 @@
 """Cross-entropy difference of two bigram models (Moore and Lewis, 2010).
 
-The target and the background model share one vocabulary, the whole of a public byte-level one, and one
-smoothing. Bigrams are counted over all rows of both corpora, as a keyed table that grows with them:
+The target and the background model are matched in vocabulary (the whole of a public byte-level one), order and
+smoothing. Bigrams are counted over all rows of both corpora, as a keyed table that grows with them; where the
+documents are the background themselves, a document's own counts are taken out of the model that scores it,
+so that no model has seen what it scores:
 
 1. Tasks tokenise, and deal the distinct bigrams of each batch, with counts, over buckets by the bigram's hash.
    The documents' tokens are stored beside them.
@@ -12,8 +14,8 @@ smoothing. Bigrams are counted over all rows of both corpora, as a keyed table t
 A document's score is the mean, over its tokens, of background loss less target loss: the larger, the more
 it resembles the target.
 
-Defined results: a text without tokens, or null, has no losses (null) and score 0; a corpus without rows
-gives a uniform model; null ids and repeated rows are scored like others.
+Defined results: a text without tokens, or null, has no losses (null) and score 0; a corpus without rows (or with
+no other document than the one scored) gives a uniform model; null ids and repeated rows are scored like others.
 """
 
 from __future__ import annotations
@@ -184,7 +186,22 @@ def _answer(background: int):
     return run
 
 
-def _score(totals, size: int, n_buckets: int):
+def _own(row: np.ndarray, which: np.ndarray, heads: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For every token: how often its document has its bigram, its context and the token itself, and the document's length."""
+
+    def times(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+        head, run_of = blobs.groups(key[order])
+        out = np.empty(len(key), np.int64)
+        out[order] = np.diff(np.concatenate([head, [len(key)]]))[run_of] if len(key) else 0
+        return out
+
+    cell = row * (len(heads) + 1) + which  # bigrams are numbered in the order of their contexts
+    order = np.argsort(cell, kind="stable")
+    token = row * (int(ids.max(initial=0)) + 1) + ids
+    return times(cell, order), times(row * (int(heads.max(initial=0)) + 1) + heads[which], order), times(token, np.argsort(token, kind="stable")), n[row]
+
+
+def _score(totals, size: int, n_buckets: int, held_out: bool):
     """Step 3: the scores of a batch of documents."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -199,11 +216,13 @@ def _score(totals, size: int, n_buckets: int):
         order = np.argsort(_bucket(cells, n_buckets), kind="stable")
         answers.sort(key=lambda a: a[0])
         row, loss = np.repeat(np.arange(len(n)), n), []
-        for k, (single, heads) in enumerate(totals.value):
+        for k, (one, heads) in enumerate(totals.value):
             count = np.zeros(len(cells), np.int64)
             count[order] = np.concatenate([np.zeros(0, np.int64), *(a[k] for _, a in answers)])
-            cost = np.log(heads[cells // size] + PRIOR) - np.log(count + PRIOR * single[cells % size])
-            loss.append(np.bincount(row, cost[which], minlength=len(n)) / np.maximum(n, 1))
+            own = _own(row, which, cells // size, ids, n) if k and held_out else (0, 0, 0, 0)
+            single = (one[ids] - own[2] + 1) / (one.sum() + size - own[3])
+            cost = np.log((heads[cells // size])[which] - own[1] + PRIOR) - np.log(count[which] - own[0] + PRIOR * single)
+            loss.append(np.bincount(row, cost, minlength=len(n)) / np.maximum(n, 1))
         none = n == 0
         columns = [docs, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in loss), pa.array(np.where(none, 0.0, loss[1] - loss[0]))]
         return pa.table(dict(zip(("doc_id", "n_tokens", "ce_target", "ce_background", "score"), columns, strict=True)))
@@ -212,7 +231,7 @@ def _score(totals, size: int, n_buckets: int):
 
 
 def _totals(dealt: DataFrame, size: int, corpora: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each corpus the smoothed unigram probabilities, and how often each token (and the start) is a context."""
+    """For each corpus how often each token occurs, and how often it (and the start) is a context."""
     rows = dealt.where(F.col("part") == _TOTALS).select("corpus", F.inline(F.arrays_zip("ids", "n", "heads"))).groupBy("corpus", "ids").agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"))
     found = rows.toArrow()  # at most a row for each corpus and piece of the vocabulary
     corpus, ids, n, heads = (np.asarray(found.column(k)) for k in ("corpus", "ids", "n", "heads"))
@@ -220,8 +239,7 @@ def _totals(dealt: DataFrame, size: int, corpora: list[int]) -> list[tuple[np.nd
     for c in corpora:
         own, one, head = corpus == c, np.zeros(size + 1), np.zeros(size + 1)
         one[ids[own]], head[ids[own]] = n[own], heads[own]
-        single = one[:size] + 1
-        out.append((single / single.sum(), head))
+        out.append((one[:size], head))
     return out
 
 
@@ -239,4 +257,4 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame, path: str,
     cells = dealt.where(F.col("part") == _CELLS).select("corpus", "bucket", "batch", "blob")
     answers = cells.groupBy("bucket").applyInArrow(tv.lean(_answer(own)), "bucket int, batch long, blob binary")
     texts = dealt.where(F.col("part") == _TEXTS).select("bucket", "batch", "blob", "ids", "n")
-    return texts.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInArrow(tv.lean(_score(totals, size, n)), _SCORED)
+    return texts.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInArrow(tv.lean(_score(totals, size, n, own == _DOCS)), _SCORED)
