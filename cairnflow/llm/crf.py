@@ -2,8 +2,9 @@
 
 Every line that is not blank has a state, good or bad. A line's score comes from its own features and those of
 the lines before and after it; neighbouring states are tied by a transition table. The model is fitted on a
-bounded sample of labelled documents (about ``SAMPLE`` of them, and their first ``LINES`` lines), whose lines take
-their document's label. Whole texts are scored: forward-backward gives each line its marginal of being good, and
+bounded sample of whole labelled documents (about ``SAMPLE`` of them, chosen by a hash of their ids, as long as they have
+``SAMPLE_BYTES`` bytes together), whose lines take their document's label; the lines' features are computed by the
+executors. Whole texts are scored: forward-backward gives each line its marginal of being good, and
 their mean weighted by length is the document's quality, which a logistic curve of the same sample turns into
 the probability of label 1.
 
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import held_out
+from cairnflow.llm.shared import discard, held_out, stored
 
 SAMPLE = 3000
-LINES = 200
-LONGEST = 500_000
+SAMPLE_BYTES = 24 << 20
 STEPS = 120
 THRESHOLD = 0.3
+_FEATURED = "at long, doc_id long, tag long, quality int, n_bytes long, sizes array<int>, x binary"
 
 
 def _class(members: bytes) -> np.ndarray:
@@ -148,12 +149,16 @@ class Model:
     def quality(self, column: pa.Array) -> np.ndarray:
         """Length-weighted mean marginal of good lines of each text; NaN without lines."""
         row, size, x = lines(column)
-        out = np.full(len(column), np.nan)
+        return self.quality_of(len(column), row, size, x)
+
+    def quality_of(self, n: int, row: np.ndarray, size: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The same of the lines of n texts."""
+        out = np.full(n, np.nan)
         if len(row):
             marginal, _, _ = Chains(row).marginals(with_neighbours(row, x) @ self.weights, self.table)
-            weight = np.bincount(row, size, minlength=len(column))
+            weight = np.bincount(row, size, minlength=n)
             with np.errstate(invalid="ignore", divide="ignore"):
-                out = np.bincount(row, size * marginal, minlength=len(column)) / weight
+                out = np.bincount(row, size * marginal, minlength=n) / weight
         return out
 
     def scores(self, quality: np.ndarray) -> np.ndarray:
@@ -171,12 +176,14 @@ def _adam(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
-    """Fits the chain by maximum conditional likelihood, documents weighted alike."""
-    labels = np.asarray(labels)
+    """Fits the chain to whole texts."""
+    return fit_lines(np.asarray(labels), *lines(pa.array(texts, pa.large_string())), steps)
+
+
+def fit_lines(labels: np.ndarray, row: np.ndarray, size: np.ndarray, x: np.ndarray, steps: int = STEPS) -> Model:
+    """Fits the chain by maximum conditional likelihood to the lines (as ``lines`` gives them) of labelled texts."""
     width = 3 * OWN + 3
     base = float(labels.mean()) if len(labels) else 0.5
-    column = pa.array(["\n".join(t.split("\n")[:LINES]) for t in texts], pa.large_string())
-    row, _, x = lines(column)
     if not len(row) or len(set(labels[row])) < 2:
         return Model(np.zeros(width, np.float32), np.zeros((2, 2)), 1.0, np.log((base + 1e-3) / (1 - base + 1e-3)), base)
     z = with_neighbours(row, x)
@@ -191,7 +198,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
 
     p = _adam(gradient, np.zeros(width + 4), steps, 0.15)
     model = Model(p[:width].astype(np.float32), p[width:].reshape(2, 2), base=base)
-    q = model.quality(column)
+    q = model.quality_of(len(labels), row, size, x)
     some = ~np.isnan(q)
     q = np.clip(q[some], 1e-4, 1 - 1e-4)
     u, t = np.log(q / (1 - q)), labels[some]
@@ -219,10 +226,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
     n = known.count()
     share = min(1.0, sample / n) if n else 0.0
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20))))
-    few = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen.limit(2 * sample)), "doc_id")  # bounded by the sample's size
-    rows = few.select("doc_id", "text", "quality").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("quality").to_pylist())
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    chosen = known.withColumn("at", at).where(F.col("at") < int(np.ceil(share * (1 << 20)))).orderBy("at", "doc_id", "quality").limit(2 * sample)
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("tag", F.xxhash64("text"))  # bounded by the sample's size
+    found = stored(few.select("at", "doc_id", "tag", "quality", "text").mapInArrow(_featured, _FEATURED), "lines")
+    place = F.struct("at", "doc_id", "tag", "quality")
+    sizes = found.select(place.alias("place"), "n_bytes").orderBy("place").limit(2 * sample).collect()
+    until = next((i for i, b in enumerate(np.cumsum([r.n_bytes for r in sizes]).tolist(), 1) if b >= SAMPLE_BYTES), len(sizes))
+    if not sizes:
+        return fit([], [])
+    last = F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(("at", "doc_id", "tag", "quality"), sizes[until - 1].place, ("long", "long", "long", "int"), strict=True)))
+    rows = found.where(place <= last).orderBy("at", "doc_id", "tag", "quality").limit(until).select("quality", "sizes", "x").toArrow().combine_chunks()
+    discard(found)
+    lists = rows.column("sizes").combine_chunks()
+    per = np.asarray(pa.compute.list_value_length(lists), dtype=np.int64)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, OWN)
+    return fit_lines(np.asarray(rows.column("quality")), np.repeat(np.arange(len(per)), per), np.asarray(lists.flatten(), dtype=np.int64), x)
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lengths and features of every document's lines."""
+    for batch in batches:
+        for part in tv.pieces(batch):
+            row, size, x = lines(part.column("text"))
+            first = np.searchsorted(row, np.arange(part.num_rows + 1))
+            blobs = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            n_bytes = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
+            kept = [part.column(c) for c in ("at", "doc_id", "tag", "quality")]
+            yield pa.RecordBatch.from_arrays([*kept, n_bytes, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(size, pa.int32())), pa.array(blobs, pa.binary())], names=["at", "doc_id", "tag", "quality", "n_bytes", "sizes", "x"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
