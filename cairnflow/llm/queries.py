@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import bytes_dedup, containment, crf, kmeans_tree, langid, lmscore, minhash, packing, substrings, urlfilter
+from cairnflow.llm import bytes_dedup, containment, crf, kmeans_tree, langid, lmscore, minhash, oracles, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
@@ -70,4 +70,10 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
-ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": oracles.repeated_bytes(),
+    "op3_url_filters": urlfilter.oracle(),
+    "op5_circulant_minhash": oracles.near_duplicates(),
+    "op8_minhash_containment": oracles.contained(),
+    "op10_fixed_block_anchors": oracles.repeated_words(),
+}

@@ -88,7 +88,9 @@ def test_fit_raises_the_likelihood():
 
 def test_urls_equal_sql(spark, sf):
     odd = [None, "", "no scheme", "http://", "http://NET", "http://net/", "https://a.Net/x?y#z", "ftp://example.net/en/a", "http://example.net/en", "http://xexample.com/de/", "http://example.com/de/?q", "http://casino-win.example.org/fr/1",
-           "http://www.casino-win.example.com:80/a", "http://u@spam-farm.org#f", "http://a://b/c", "HTTP://ORG/fr/", "http://.net/", "http://ads.example.com", "x://y.net\n/z", "http://example.org?//net/"]
+           "http://www.casino-win.example.com:80/a", "http://u@spam-farm.org#f", "http://a://b/c", "HTTP://ORG/fr/", "http://.net/", "http://ads.example.com", "x://y.net\n/z", "http://example.org?//net/",
+           "http://ads.a.org/x/banner/1", "http://b.ads.org/banner/", "http://bads.org/banner/", "http://c.org/track/a/b.GIF", "http://c.org/track/a.gif/", "http://c.org/wp-login.php", "http://c.org/WP-LOGIN.php5",
+           "http://c.org/a/affiliate/1/click", "http://c.org/affiliate-click", "http://doorway.org/redirect", "http://c.org/utm-spam", "http://c.org/" + "x/" * 40_000 + "xmlrpc.php"]
     rows = [(i, u, "r", "h") for i, u in enumerate(odd)] + [(3, "http://net/", "r", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, rule string, host string")
     got = sorted(map(str, map(tuple, urlfilter.filter_urls(pages).collect())))
@@ -100,6 +102,10 @@ def test_urls_equal_sql(spark, sf):
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
     assert sorted(map(str, map(tuple, queries.op3_url_filters(spark, sf).collect()))) == sorted(map(str, con.execute(urlfilter.oracle()).fetchall()))
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
+    assert [r.page_id for r in urlfilter.filter_urls(pages.selectExpr("cast(null as bigint) as page_id", "url").limit(2)).collect()] == [None, None]
+    many = [urlfilter.Rule.pattern(f"/p{i}/*/q{i}^") for i in range(3000)]
+    hits = spark.createDataFrame([(i, f"http://h.org/p{i}/x/q{i + i % 2}") for i in range(50)], "page_id long, url string")
+    assert {r.page_id: r.patterns for r in urlfilter.filter_urls(hits, many).collect()} == {i: "" if i % 2 else f"/p{i}/*/q{i}^" for i in range(50)}
     with pytest.raises(ValueError):
         urlfilter.filter_urls(pages, [])
 
@@ -124,14 +130,22 @@ def test_cross_entropy_against_plain_counts(spark, documents):
         single = lambda i: (one[i] + 1) / (n + size)
         return lambda b, i: (c[b][i] + lmscore.PRIOR * single(i)) / (sum(c[b].values()) + lmscore.PRIOR)
 
-    models = model([t for _, t in rows[:40]]), model([t for _, t in rows])
-    for d, t in rows[:15]:
-        x = ids(t)
+    near = model([t for _, t in rows[:40]])
+    for at, (d, t) in enumerate(rows[:15]):
+        x, models = ids(t), (near, model([t for i, (_, t) in enumerate(rows) if i != at]))  # what is scored is held out
         loss = [-sum(math.log(m(b, i)) for b, i in zip([size, *x], x, strict=False)) / len(x) for m in models]
         assert got[d].n_tokens == len(x)
         assert np.allclose([got[d].ce_target, got[d].ce_background, got[d].score], [*loss, loss[1] - loss[0]], atol=1e-4)
 
 
+def test_a_background_apart_from_the_documents(spark):
+    texts = ["a b c a b", "b c d", "a a b"]
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "d d")], "doc_id long, text string")
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = lmscore.score(docs, table, table, BYTES, 600).collect()
+    assert len(out) == 3 and all(abs(r.score) < 1e-12 and r.ce_target == r.ce_background for r in out)  # one corpus on both sides
+
+
 def test_cross_entropy_of_odd_rows(spark, hostile, no_rows):
     df, rows = hostile
     out = lmscore.score(df, no_rows, df, BYTES, 300).collect()
@@ -256,12 +270,39 @@ def test_neighbours_with_a_tree_and_odd_vectors(spark):
     assert kmeans_tree.search(few.limit(0), few).count() == 0
 
 
+def test_neighbours_through_several_levels(spark):
+    rng = np.random.default_rng(11)
+    n, d = 30_000, 24
+    centres = rng.normal(size=(300, d))
+    x = (centres[rng.integers(0, 300, n)] + 0.7 * rng.normal(size=(n, d))).astype(np.float32)
+    df = spark.createDataFrame(kmeans_tree.pa.table({"vec_id": np.arange(n), "embedding": kmeans_tree.pa.array(list(x), kmeans_tree.pa.list_(kmeans_tree.pa.float32()))})).repartition(4)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    tree = kmeans_tree.Tree(unit[:: n // 16_384 + 1], n // kmeans_tree.LEAF)
+    tree.calibrate(unit[:: n // 16_384 + 1], 5)
+    deep = [c for node in tree.children[tree.root] if node >= 0 for c in tree.children[node]]
+    assert len(deep) > 20 and tree.n_leaves > 50 and tree.visits < tree.n_leaves / 2
+    out = kmeans_tree.search(df, df.where("vec_id % 300 = 0")).collect()
+    found = {(r.query_id, r.vec_id) for r in out}
+    near = unit[::300] @ unit.T
+    near[np.arange(len(near)), np.arange(0, n, 300)] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    assert len(out) == 5 * len(best)
+    assert np.mean([(300 * i, int(j)) in found for i, row in enumerate(best) for j in row]) >= 0.9
+    kmeans_tree.QUERIES, before = 16, kmeans_tree.QUERIES  # a leaf's queries over several blocks
+    try:
+        assert {(r.query_id, r.rank, r.vec_id) for r in kmeans_tree.search(df, df.where("vec_id % 300 = 0")).collect()} == {(r.query_id, r.rank, r.vec_id) for r in out}
+    finally:
+        kmeans_tree.QUERIES = before
+
+
 def contained(docs, items, percent=80):
-    s = {d: brute.shingles(t) if len(brute.WORD.findall(t or "")) >= 5 else set() for d, t in docs}
+    words = {d: brute.WORD.findall(brute.lower(t or "")) for d, t in docs}
+    s = {n: {d: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for d, w in words.items()} for n in range(1, 6)}
     out = set()
     for i, t in items:
-        own = brute.shingles(t) if len(brute.WORD.findall(t or "")) >= 5 else set()
-        out |= {(d, i, len(own), len(own & x)) for d, x in s.items() if own and 100 * len(own & x) >= percent * len(own)}
+        own = brute.shingles(t)  # of an item of fewer than five words the whole sequence, looked for as such
+        held = s[min(5, len(brute.WORD.findall(t or "")) or 5)]
+        out |= {(d, i, len(own), len(own & x)) for d, x in held.items() if own and 100 * len(own & x) >= percent * len(own)}
     return out
 
 
@@ -283,7 +324,7 @@ def test_containment_of_odd_rows(spark, hostile, no_rows):
     assert len(want) > 50
     for bound in (containment.MOST_SHINGLES, 0):
         assert {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in containment.contained(df, items, most_shingles=bound).collect()} == want
-        left = containment.decontaminate(df, items, most_shingles=bound)
+        left = containment.decontaminate(df, items, most_shingles=bound, least_words=1)
         assert left.schema == df.schema
         assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(d for d, _ in rows if d is not None and d not in {w[0] for w in want})
     assert containment.contained(no_rows, items).count() == 0
@@ -304,6 +345,15 @@ def test_decontamination_judges_every_row_by_its_text(spark):
         assert {(r.doc_id, r.item_id, r.n_shared) for r in containment.contained(docs, items, most_shingles=bound).collect()} == {(7, 1, 16), (10, 1, 16)}
 
 
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "the Capital of France Paris is"), (2, "capital of france"), (3, "paris"), (4, "of france paris capital"), (5, None), (6, "x capital of france paris")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of france paris"), (2, "paris"), (3, ""), (4, "of  france")], "item_id long, text string")
+    want = {(1, 1), (6, 1), (1, 2), (3, 2), (4, 2), (6, 2), (1, 4), (2, 4), (4, 4), (6, 4)}
+    for bound in (containment.MOST_SHINGLES, 0):
+        assert {(r.doc_id, r.item_id) for r in containment.contained(docs, items, most_shingles=bound).collect()} == want
+        assert {r.doc_id for r in containment.decontaminate(docs, items, most_shingles=bound).collect()} == {2, 3, 4, 5}  # one or two words condemn no document
+
+
 def test_hits_needed_keeps_the_miss_rate():
     for k in (16, 32, 64):
         m = containment.hits_needed(k, 80)
