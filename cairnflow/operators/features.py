@@ -5,11 +5,13 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler  # noqa: F401
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Floors that the definitions fix.
 SMALLEST_STD, SMALLEST_NORM = 1e-6, 1e-6
@@ -54,10 +56,18 @@ def pca(df: DataFrame, column: str, dims: int, out: str) -> DataFrame:
 
 
 def project(df: DataFrame, column: str, rows: np.ndarray, centre: np.ndarray, out: str) -> DataFrame:
-    """Coordinates of (vector - centre) along the rows of a small matrix, as an array column."""
-    axes = [(F.array(*map(F.lit, map(float, r))), float(r @ centre)) for r in rows]
-    v = F.col(column).cast("array<double>")
-    return df.withColumn(out, F.array(*(F.aggregate(F.zip_with(v, a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) - F.lit(c) for a, c in axes)))
+    """Coordinates of (vector - centre) along the rows of a small matrix, as an array column: a matrix product for each Arrow batch."""
+    axes, shift = np.asarray(rows, dtype=float).T.copy(), np.asarray(rows, dtype=float) @ np.asarray(centre, dtype=float)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def coordinates(vectors: pd.Series) -> pd.Series:
+        some = vectors.dropna()
+        if some.empty:
+            return pd.Series([None] * len(vectors), dtype=object)
+        found = np.stack(some.to_numpy()).astype(float) @ axes - shift
+        return pd.Series([*found], index=some.index, dtype=object).reindex(vectors.index)
+
+    return df.withColumn(out, coordinates(F.col(column).cast("array<double>")))
 
 
 def standardize(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -108,8 +118,3 @@ def scatter(df: DataFrame, column: str, out: str = "two") -> DataFrame:
     z = standardize(flat, "_p", "_z") if n else flat.withColumn("_z", F.col("_p"))
     at = lambda i: F.coalesce(F.get("_z", F.lit(i)), F.lit(0.0))
     return z.withColumn(out, F.struct(at(0).alias("x"), at(1).alias("y"))).drop("_p", "_z")
-
-
-def blocks(df: DataFrame, column: str) -> DataFrame:
-    """A vector column ready for MLlib, and back: (column as VectorUDT)."""
-    return df.withColumn(column, array_to_vector(F.col(column).cast("array<double>"))).withColumn(f"{column}_array", vector_to_array(F.col(column)))

@@ -11,7 +11,12 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairnflow.sources.store import stored
 
 METHODS = ("single", "complete", "average", "weighted", "ward", "centroid", "median")
 SLOTS = 8
@@ -255,30 +260,51 @@ def cluster(points: np.ndarray, method: str = "complete", threshold: float = 0.2
 
 ASSIGNMENTS = "session_id string, id long, idx int, k int, join_height double, leaf_angle double, cluster_angle double, color_index int"
 MERGES = "session_id string, step int, `left` int, `right` int, height double, representative int"
+_BOTH = f"{ASSIGNMENTS}, {MERGES.split(', ', 1)[1]}"
 
 
-def _grouped(kind: str, method: str, threshold: float, target: int):
+def _grouped(items: bool, merges: bool, method: str, threshold: float, target: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         session = group["session_id"].iloc[0]
         r = cluster(np.stack(group["features"].to_numpy()), method, threshold, target)
-        if kind == "merges":
-            return pd.DataFrame([(session, s, *m) for s, m in enumerate(r["merges"])], columns=["session_id", "step", "left", "right", "height", "representative"])
+        tree = pd.DataFrame([(session, s, *m) for s, m in enumerate(r["merges"])], columns=["session_id", "step", "left", "right", "height", "representative"])
         by = r["stats"]
         k = r["labels"]
-        return pd.DataFrame({
+        own = pd.DataFrame({
             "session_id": session, "id": group["id"].to_numpy(), "idx": np.arange(len(group)), "k": k, "join_height": r["join_height"], "leaf_angle": r["leaf_angle"],
             "cluster_angle": [by[x]["cluster_angle"] for x in k], "color_index": [by[x]["color_index"] for x in k],
         })
+        if not (items and merges):
+            return own if items else tree
+        both = pd.concat([own, tree], ignore_index=True)
+        whole = ["id", "idx", "k", "color_index", "step", "left", "right", "representative"]
+        return both.astype(dict.fromkeys(whole, "Int64"))[[f.split()[0].strip("`") for f in _BOTH.split(", ")]]
 
     return run
 
 
+def _by_session(vectors: DataFrame, run, schema: str) -> DataFrame:
+    return vectors.select("session_id", "id", "features").groupBy("session_id").applyInPandas(run, schema)
+
+
 def assignments(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0) -> DataFrame:
     """Clustering of every session of ``vectors`` (session_id, id, features)."""
-    return vectors.select("session_id", "id", "features").groupBy("session_id").applyInPandas(_grouped("items", method, threshold, target), ASSIGNMENTS)
+    return _by_session(vectors, _grouped(True, False, method, threshold, target), ASSIGNMENTS)
 
 
 def dendrogram(vectors: DataFrame, method: str = "complete") -> DataFrame:
     """The ordered merges of every session."""
-    return vectors.select("session_id", "id", "features").groupBy("session_id").applyInPandas(_grouped("merges", method, 0.0, 0), MERGES)
+    return _by_session(vectors, _grouped(False, True, method, 0.0, 0), MERGES)
+
+
+def clustered(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Assignments and ordered merges of every session, clustered once and stored."""
+    both = stored(_by_session(vectors, _grouped(True, True, method, threshold, target), _BOTH), "clustered")
+    columns = lambda schema: [F.col(f.split()[0].strip("`")).alias(f.split()[0].strip("`")) for f in schema.split(", ")]  # noqa: E731  (new columns: the two may be joined)
+    return both.where("step is null").select(*columns(ASSIGNMENTS)), both.where("step is not null").select(*columns(MERGES))
+
+
+def statistics(items: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
+    """A7 without a group in one task: size and centroid (mean vector) of every cluster of ``items`` by ``keys``."""
+    return items.groupBy(*keys).agg(F.count("*").alias("size"), vector_to_array(Summarizer.mean(array_to_vector(F.col(features).cast("array<double>")))).alias("centroid"))

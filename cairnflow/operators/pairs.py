@@ -69,6 +69,53 @@ def within(vectors: DataFrame, radius: float, block: int = BLOCK) -> DataFrame:
     return _blocks(vectors, run, "a long, b long, d double", block)
 
 
+def _forest(d: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning tree of a dense symmetric matrix (infinite where there is no edge), by Prim."""
+    n = len(d)
+    best, to, open_ = d[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    open_[0] = False
+    best[0] = np.inf
+    out = []
+    for _ in range(n - 1):
+        i = int(np.where(open_, best, np.inf).argmin())
+        if not open_[i] or np.isinf(best[i]):
+            break
+        out.append((int(to[i]), i))
+        open_[i] = False
+        closer = open_ & (d[i] < best)
+        best[closer], to[closer] = d[i][closer], i
+    return out
+
+
+def spanning(vectors: DataFrame, share: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, d): pairs up to ``share`` of the largest distance that connect whatever all such pairs connect.
+
+    One pass: every pair of blocks gives the spanning tree of its own pairs and its farthest pair, since an edge that is in no
+    spanning tree of a part is in none of the whole.
+    """
+    from cairnflow.sources.store import stored
+
+    def run(table: pa.Table) -> pa.Table:
+        strips = [*_each(table)]
+        ids, d, other = np.concatenate([s[0] for s in strips]), np.concatenate([s[1] for s in strips]), strips[0][2]
+        n, m = d.shape
+        if np.array_equal(ids, other):
+            whole, names = d.copy(), ids
+            np.fill_diagonal(whole, np.inf)
+        else:
+            whole, names = np.full((n + m, n + m), np.inf), np.concatenate([ids, other])
+            whole[:n, n:], whole[n:, :n] = d, d.T
+        if len(names) < 2:
+            return _rows([])
+        far = np.unravel_index(np.where(np.isinf(whole), -1, whole).argmax(), whole.shape)
+        i, j = np.array([*_forest(whole), (int(far[0]), int(far[1]))]).T
+        x, y = names[i], names[j]
+        return _rows([(np.minimum(x, y), np.maximum(x, y), whole[i, j])])
+
+    kept = stored(_blocks(vectors, run, "a long, b long, d double", block), "spanning")
+    return kept.crossJoin(F.broadcast(kept.agg(F.max("d").alias("m")))).where(F.col("d") / F.col("m") <= share).select("a", "b", "d")  # one row
+
+
 def nearest_pairs(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k nearest pairs, by distance and ids; each group gives k at most."""
 

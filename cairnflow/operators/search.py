@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Worst accepted score, and the distance that costs a whole point.
 THRESHOLD, DISTANCE = 0.25, 100
+#: What an equal text scores before it is weighted: the step between 1 and the next double.
+EQUAL = 2.0**-52
 
 
 def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int = DISTANCE) -> float | None:
@@ -20,7 +25,7 @@ def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int =
     if len(pattern) > 32:  # longer patterns are matched in pieces, whose scores are averaged
         parts = [bitap(text, pattern[i : i + 32], threshold, distance + i) for i in range(0, len(pattern), 32)]
         return None if any(p is None for p in parts) else sum(parts) / len(parts)
-    n, m = len(text), len(pattern)
+    m = len(pattern)
     best, at = None, text.find(pattern)
     if at >= 0 and at / distance <= threshold:
         best = at / distance
@@ -30,7 +35,7 @@ def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int =
     accept = 1 << m - 1
     rows = [(1 << k) - 1 for k in range(m + 1)]  # k errors match the first k characters at once
     most = min(m - 1, int(threshold * m)) if best is None or best > 0 else 0
-    for i, c in enumerate(text[: n]):
+    for i, c in enumerate(text):
         before, mask = rows[:], masks.get(c, 0)
         rows[0] = (before[0] << 1 | 1) & mask
         for k in range(1, most + 1):
@@ -45,24 +50,44 @@ def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int =
     return best
 
 
-def fuzzy_score(query: str, values: Column) -> Column:
-    """The best score of a query over an array of strings, null if none is accepted; one Arrow batch at a time."""
+def _may_match(query: str, values: Column) -> Column:
+    """A native condition for a match: of k errors' k + 1 parts of the (first 32 characters of the) query, one is in the text as it is."""
+    pattern = query.lower()[:32]
+    parts = int(THRESHOLD * len(pattern)) + 1
+    cuts = [round(i * len(pattern) / parts) for i in range(parts + 1)]
+    own = sorted({pattern[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j})
+    return F.exists(values, lambda v: reduce(lambda a, b: a | b, (F.contains(F.lower(v), F.lit(p)) for p in own)))
+
+
+def fuzzy_score(query: str, keys: list[Column], n_keys: int) -> Column:
+    """The product over all matching strings of score to the power of norm / ``n_keys``, null if none matches: the smaller, the better.
+
+    ``keys`` are arrays of strings, one for each key. A string's norm is one over the root of its number of words, to three
+    digits. A text equal to the query counts as the smallest double step, any other match as 0.001 at least.
+    """
 
     @F.pandas_udf("double")
-    def run(lists: pd.Series) -> pd.Series:
-        def one(strings) -> float | None:
-            found = [s for s in (bitap(v, query) for v in (strings if strings is not None else []) if v) if s is not None]
-            return min(found) if found else None
+    def run(*lists: pd.Series) -> pd.Series:
+        def one(strings: tuple) -> float | None:
+            found = [(bitap(v, query), v) for own in strings for v in (own if own is not None else []) if v and v.strip()]
+            found = [(EQUAL if v.lower() == query.lower() else max(s, 0.001), round(len(v.split(" ")) ** -0.5, 3)) for s, v in found if s is not None]
+            return math.prod(s ** (norm / n_keys) for s, norm in found) if found else None
 
-        return lists.map(one).astype("Float64")
+        return pd.Series([one(row) for row in zip(*lists, strict=True)], dtype="Float64")
 
-    return run(values)
+    return run(*keys)
 
 
-def fuzzy_search(items: DataFrame, query: str, fields: list[Column]) -> DataFrame:
-    """Items with a field within the threshold, with their ``score``; exact hits need no Python: they are found by ``contains`` first."""
-    values = F.filter(F.concat(*fields), lambda v: v.isNotNull())
-    return items.withColumn("score", fuzzy_score(query, values)).where(F.col("score").isNotNull())
+def fuzzy_search(items: DataFrame, query: str, keys: list[Column], n_keys: int | None = None) -> DataFrame:
+    """Items with a string within the threshold, with their ``score``. ``keys``: arrays of strings; ``n_keys``: how many keys share the weight (all of them by default).
+
+    Python sees only rows that share a part of the query, which native conditions find.
+    """
+    if not query:
+        return items.withColumn("score", F.lit(None).cast("double")).limit(0)
+    present = [F.filter(F.coalesce(k, F.array().cast("array<string>")), lambda v: v.isNotNull()) for k in keys]
+    near = items.where(_may_match(query, F.concat(*present)))
+    return near.withColumn("score", fuzzy_score(query, present, n_keys or len(keys))).where(F.col("score").isNotNull())
 
 
 def first_hit(hits: DataFrame, key: str) -> DataFrame:
@@ -70,7 +95,11 @@ def first_hit(hits: DataFrame, key: str) -> DataFrame:
     return hits.orderBy("score", key).limit(1)
 
 
+#: Keys of an item that are searched; maps count twice, once as themselves, which never match.
+NAME_KEYS = 10
+
+
 def name_fields() -> list[Column]:
-    """The searched fields of an item: names, families, publishers and designers, maps flattened."""
-    plain = F.array("font_name", "family_name")
-    return [plain, *(F.coalesce(F.map_values(c), F.array().cast("array<string>")) for c in ("family_names", "preferred_family_names", "publishers", "designers"))]
+    """The searched keys of an item: names, families, publishers and designers, maps flattened."""
+    plain = [F.array("font_name"), F.array("family_name")]
+    return [*plain, *(F.coalesce(F.map_values(c), F.array().cast("array<string>")) for c in ("family_names", "preferred_family_names", "publishers", "designers"))]

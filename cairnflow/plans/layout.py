@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.functions import display
 from cairnflow.operators import layouts, selection, spatial, topology
-from cairnflow.plans.clustering import _tree
 from cairnflow.plans.registry import query
 from cairnflow.sources.store import stored
 from cairnflow.sources.tables import table
@@ -52,14 +51,6 @@ def gridlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.gridlines(y, "y").select("sigma", F.round("position", 5).alias("position"))
 
 
-@query("radial_positions", "SELECT vec_id, round(500 + 500 * cos(a), 5) AS x, round(500 + 500 * sin(a), 5) AS y FROM (SELECT vec_id, -pi() / 2 + 2 * pi() * (row_number() OVER (ORDER BY vec_id) - 0.5) / count(*) OVER () AS a FROM embeddings)")
-def radial_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1's leaves."""
-    i = selection.indexed(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
-    a = display.leaf_angle(F.col("idx"), F.col("n")) - math.pi / 2
-    return i.crossJoin(F.broadcast(i.agg(F.count("*").alias("n")))).select("vec_id", F.round(F.cos(a) * 500 + 500, 5).alias("x"), F.round(F.sin(a) * 500 + 500, 5).alias("y"))
-
-
 _POLAR = f"""WITH p AS (SELECT key, sqrt((x - 500) * (x - 500) + (y - 500) * (y - 500)) AS r, fmod(atan2(y - 500, x - 500) + 2 * pi(), 2 * pi()) AS a FROM ({_POINTS}) WHERE x BETWEEN 50 AND 950 AND y BETWEEN 50 AND 950),
   b AS (SELECT *, floor(r / 32) AS ring, (floor(r / 32) + 0.5) * 32 AS c FROM p), n AS (SELECT *, greatest(1, floor(2 * pi() * c / 32 + 0.5)) AS n FROM b),
   s AS (SELECT *, floor(a / (2 * pi() / n)) % n AS slot FROM n),
@@ -118,28 +109,102 @@ def cluster_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(display.colour_angle(F.col("p_size") * 0.1, F.col("p_partkey") % 6), 6).alias("angle"))
 
 
-def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(topology.topology(*_tree(spark, sf_dir)), "nodes")
+_LEAVES = "SELECT p_type AS kind, p_brand AS brand, p_type || '|' || p_brand || '|' || lpad(p_size::VARCHAR, 3, '0') AS key, count(*) AS n FROM part GROUP BY ALL"
+_TREE = f"""leaf AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS place, count(*) OVER () AS total FROM ({_LEAVES})),
+  brand AS (SELECT kind, brand, min(place) AS first, max(place) AS last, max(total) + row_number() OVER (ORDER BY min(place)) - 1 AS node FROM leaf GROUP BY kind, brand),
+  kind AS (SELECT kind, min(first) AS first, max(last) AS last, (SELECT max(node) FROM brand) + row_number() OVER (ORDER BY min(first)) AS node FROM brand GROUP BY kind),
+  root AS (SELECT max(node) + 1 AS node FROM kind)"""
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree as ``topology`` gives it: types, their brands, and of these the sizes, which are leaves that weigh their parts.
+
+    Its size follows from the catalog's vocabulary, not from the number of parts.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"), F.concat_ws("|", "p_type", "p_brand", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("key"))
+    leaf = stored(selection.indexed(p.groupBy("kind", "brand", "key").agg(F.count("*").alias("n")), "key", "first"), "leaves").withColumns({"last": F.col("first"), "height": F.lit(0.0)})
+    levels, below, offset = [], leaf.withColumn("node", F.col("first")), leaf.count()
+    for depth, by in enumerate((["kind", "brand"], ["kind"], [])):
+        up = below.groupBy(*by).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sort_array(F.collect_list("node")).alias("children"), F.sum("n").alias("n"))
+        up = stored(selection.indexed(up, "first", "rank"), "level").withColumns({"node": F.col("rank") + offset, "height": F.lit(depth + 1.0)}).drop("rank")
+        parent = up.select(F.explode("children").alias("node"), F.col("node").alias("parent"))
+        levels.append(below.join(parent, "node", "left"))
+        below, offset = up, offset + up.count()
+    levels.append(below.withColumn("parent", F.lit(None).cast("long")))
+    whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), levels)
+    children = F.coalesce("children", F.array().cast("array<bigint>")).cast("array<int>")
+    is_leaf = F.size(children) == 0
+    return stored(whole.select(
+        F.lit("all").alias("session_id"), F.col("node").cast("int"), F.when(is_leaf, F.col("node")).alias("id"), children.alias("children"), F.col("parent").cast("int"), (F.col("n") - 1).cast("int").alias("wins"), "height",
+        F.col("first").cast("int").alias("first_place"), F.col("last").cast("int").alias("last_place"), F.when(~is_leaf, F.col("node")).cast("int").alias("merge_index"), F.col("first").cast("int").alias("representative"), "kind"), "nodes")
 
 
-def _layout(name: str, f):
+def _layout(name: str, f, angle: str, x: str, y: str):
+    """``angle``: of a leaf by its place; ``x`` and ``y``: from the mean angle a and the level l."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(_visible(spark, sf_dir)).select("node", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+        return f(_catalog(spark, sf_dir)).select("node", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
     run.__doc__ = f.__doc__
-    query(name)(run)
+    query(name, f"""WITH {_TREE}, a0 AS (SELECT kind, brand, place AS node, place AS id, {angle} AS a, 1.0 AS l FROM leaf), a1 AS (SELECT kind, brand, b.node, avg(a) AS a, 2 / 3.0::DOUBLE AS l FROM a0 JOIN brand b USING (kind, brand) GROUP BY ALL),
+      a2 AS (SELECT kind, k.node, avg(a) AS a, 1 / 3.0::DOUBLE AS l FROM a1 JOIN kind k USING (kind) GROUP BY ALL), a3 AS (SELECT root.node, avg(a) AS a, 0.0 AS l FROM a2, root GROUP BY ALL),
+      whole AS (SELECT node, id, a, l FROM a0 UNION ALL SELECT node, NULL, a, l FROM a1 UNION ALL SELECT node, NULL, a, l FROM a2 UNION ALL SELECT node, NULL, a, l FROM a3)
+      SELECT node, id, round({x}, 4) AS x, round({y}, 4) AS y FROM whole""")(run)
+
+
+_layout("radial_tree", layouts.radial_tree, "-pi() / 2 + 2 * pi() * (place + 0.5) / total", "500 + 500 * l * cos(a)", "500 + 500 * l * sin(a)")
+_layout("horizontal_tree", layouts.horizontal_tree, "(place + 0.5) / total * 900", "1500 * l", "a")
+
+
+@query("radial_positions", "SELECT vec_id, round(500 + 500 * cos(a), 5) AS x, round(500 + 500 * sin(a), 5) AS y FROM (SELECT vec_id, -pi() / 2 + 2 * pi() * (row_number() OVER (ORDER BY vec_id) - 0.5) / count(*) OVER () AS a FROM embeddings)")
+def radial_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 of a forest without merges: the items of one session round the circle."""
+    i = selection.indexed(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
+    place = F.col("idx").cast("int")
+    nodes = i.select(F.lit("all").alias("session_id"), place.alias("node"), F.col("vec_id").alias("id"), F.array().cast("array<int>").alias("children"), F.lit(0.0).alias("height"), place.alias("first_place"))
+    return layouts.radial_tree(nodes).select(F.col("id").alias("vec_id"), F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-_layout("radial_tree", layouts.radial_tree)
-_layout("horizontal_tree", layouts.horizontal_tree)
-_layout("rectangular_treemap", layouts.rectangular_treemap)
+@query("rectangular_treemap", f"""WITH {_TREE}, total AS (SELECT sum(n) AS t FROM leaf),
+  whole AS (SELECT place AS node, n FROM leaf UNION ALL SELECT b.node, sum(n) FROM leaf JOIN brand b USING (kind, brand) GROUP BY ALL UNION ALL SELECT k.node, sum(n) FROM leaf JOIN kind k USING (kind) GROUP BY ALL UNION ALL SELECT root.node, t FROM root, total)
+  SELECT node, round(n * 1500 * 900 / t, 3) AS area, true AS inside FROM whole, total""")
+def rectangular_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: every cell's area, in proportion to its weight, and whether it lies in its parent's cell."""
+    nodes = _catalog(spark, sf_dir)
+    cells = layouts.rectangular_treemap(nodes)
+    above = cells.select(F.col("node").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")))
+    held = cells.join(nodes.select("node", "parent"), "node").join(above, "parent", "left")
+    within = (F.col("x0") >= F.col("p_x0") - 1e-6) & (F.col("x1") <= F.col("p_x1") + 1e-6) & (F.col("y0") >= F.col("p_y0") - 1e-6) & (F.col("y1") <= F.col("p_y1") + 1e-6)
+    return held.select("node", F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 3).alias("area"), F.coalesce(within, F.lit(True)).alias("inside"))
 
 
 @query("voronoi_treemap")
 def voronoi_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L4 over the clusters' sizes: one cell for each of them."""
-    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    nodes = sizes.select(
-        F.lit("all").alias("session_id"), F.col("label").alias("node"), F.col("label").cast("bigint").alias("id"), F.array().cast("array<int>").alias("children"),
-        F.lit(None).cast("int").alias("parent"), (F.col("n") - 1).cast("int").alias("wins"), F.lit(0.0).alias("height"))
-    return layouts.voronoi_treemap(nodes).select("node", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.size("polygon").alias("corners"))
+    """L4 over the catalog's types and brands."""
+    nodes = _catalog(spark, sf_dir).where("id is null")
+    leaf = F.col("height") == 1
+    upper = nodes.withColumns({"id": F.when(leaf, F.col("node").cast("long")), "wins": F.col("wins"), "children": F.when(leaf, F.array().cast("array<int>")).otherwise(F.col("children"))})
+    return layouts.voronoi_treemap(upper).select("node", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.size("polygon").alias("corners"))
+
+
+@query("tree_links", f"""WITH {_TREE}, place AS (SELECT place AS node, 500 * cos(a) + 500 AS x FROM (SELECT place, -pi() / 2 + 2 * pi() * (place + 0.5) / total AS a FROM leaf))
+  SELECT l.place AS child, b.node AS parent, round(p.x, 4) AS x FROM leaf l JOIN brand b USING (kind, brand) JOIN place p ON p.node = l.place""")
+def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from parents to leaves, each ending at its child."""
+    nodes = _catalog(spark, sf_dir)
+    links = layouts.radial_links(layouts.edges(nodes, layouts.radial_tree(nodes)))
+    return links.join(nodes.where("id is not null").select(F.col("node").alias("child")), "child").select("child", "parent", F.round(F.coalesce(F.element_at("arc.x", -1) * 0 + F.col("c.x"), F.col("c.x")), 4).alias("x"))
+
+
+@query("subtree_leaves", f"WITH {_TREE} SELECT k.node AS root, place AS node FROM leaf JOIN kind k USING (kind)")
+def subtree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves below every type."""
+    nodes = _catalog(spark, sf_dir)
+    return topology.subtree_leaves(nodes, nodes.where("height = 2").select("session_id", "node")).select("root", "node")
+
+
+@query("merge_dots", f"WITH {_TREE} SELECT node FROM brand UNION ALL SELECT node FROM kind UNION ALL SELECT node FROM root")
+def merge_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner nodes whose representative is a visible leaf."""
+    nodes = _catalog(spark, sf_dir)
+    return layouts.merge_dots(nodes, layouts.radial_tree(nodes)).select("node")

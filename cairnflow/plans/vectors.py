@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.functions import vectors as V
-from cairnflow.operators import features, pairs, selection
+from cairnflow.operators import features, linkage, pairs, selection
 from cairnflow.plans.registry import query
 from cairnflow.sources.tables import table
 
@@ -55,9 +55,10 @@ def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("column_mean_std", "SELECT i AS component, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY i")
 def column_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5."""
-    each = table(spark, sf_dir, "embeddings").select(F.posexplode(V.doubles(F.col("embedding"))).alias("i", "x"))
-    return each.groupBy(F.col("i").cast("bigint").alias("component")).agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
+    """A5: one row for each component of a vector."""
+    mean, std = features.column_moments(table(spark, sf_dir, "embeddings"), "embedding")
+    rows = spark.createDataFrame([(i, float(m), float(s)) for i, (m, s) in enumerate(zip(mean, std, strict=True))], "component long, mean double, std double")
+    return rows.select("component", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("standardize_columns", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -99,7 +100,21 @@ def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.count("*").alias("components"), F.round(F.sum("v"), 5).alias("variance"))
 
 
-@query("scatter_projection")
+def _axis_sql(k: int, covariance: str) -> str:
+    """The leading axis of a covariance (i, j, v) by repeated squaring, its largest entry positive, and what is left without it."""
+    return f"""sq{k}(step, i, j, v) AS (SELECT 0, i, j, v / (SELECT sum(v) FROM {covariance} WHERE i = j) FROM {covariance} UNION ALL
+    (WITH size AS (SELECT sum(v * v) AS t FROM sq{k}) SELECT a.step + 1, a.i, b.j, sum(a.v * b.v) / max(t) FROM sq{k} a JOIN sq{k} b ON a.j = b.i, size WHERE a.step < 20 GROUP BY ALL)),
+  last{k} AS (SELECT i, j, v FROM sq{k} WHERE step = 20), line{k} AS (SELECT i, v FROM last{k} WHERE j = (SELECT arg_max(i, v) FROM last{k} WHERE i = j)),
+  axis{k} AS (SELECT i, v / sqrt((SELECT sum(v * v) FROM line{k})) * sign((SELECT arg_max(v, abs(v)) FROM line{k})) AS v FROM line{k}),
+  share{k} AS (SELECT sum(c.v * a.v * b.v) AS l FROM {covariance} c JOIN axis{k} a ON a.i = c.i JOIN axis{k} b ON b.i = c.j),
+  rest{k} AS MATERIALIZED (SELECT c.i, c.j, c.v - l * a.v * b.v AS v FROM {covariance} c JOIN axis{k} a ON a.i = c.i JOIN axis{k} b ON b.i = c.j, share{k}),
+  score{k} AS (SELECT vec_id, sum(x * v) AS s FROM x JOIN axis{k} USING (i) GROUP BY vec_id)"""
+
+
+@query("scatter_projection", f"""WITH RECURSIVE raw AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  x AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM raw), cov AS MATERIALIZED (SELECT a.i AS i, b.i AS j, avg(a.x * b.x) AS v FROM x a JOIN x b USING (vec_id) GROUP BY ALL),
+  {_axis_sql(1, 'cov')}, {_axis_sql(2, 'rest1')}
+  SELECT vec_id, round(a.s / greatest((SELECT stddev_pop(s) FROM score1), 1e-6), 4) AS x, round(b.s / greatest((SELECT stddev_pop(s) FROM score2), 1e-6), 4) AS y FROM score1 a JOIN score2 b USING (vec_id)""")
 def scatter_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9."""
     return features.scatter(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", F.round("two.x", 4).alias("x"), F.round("two.y", 4).alias("y"))
@@ -110,6 +125,5 @@ def scatter_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT label AS k, max(n) AS size, round(sum(c), 5) AS total, round(max(c), 5) AS most FROM c GROUP BY label""")
 def cluster_stats_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and centroid of every cluster."""
-    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("i", "x"))
-    c = each.groupBy("label", "i").agg(F.avg("x").alias("c"), F.count("*").alias("n"))
-    return c.groupBy(F.col("label").alias("k")).agg(F.max("n").alias("size"), F.round(F.sum("c"), 5).alias("total"), F.round(F.max("c"), 5).alias("most"))
+    c = linkage.statistics(table(spark, sf_dir, "embeddings").select(F.col("label").alias("k"), "embedding"), ["k"], "embedding")
+    return c.select("k", "size", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(F.array_max("centroid"), 5).alias("most"))
