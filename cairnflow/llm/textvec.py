@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute, in workers too)
 
 #: Bytes that separate words: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
