@@ -38,7 +38,9 @@ from cairnflow.llm.shared import stored
 #: Pseudo-counts that the unigram model gets in every context.
 PRIOR = 16.0
 #: Tokens beyond which a batch is dealt out.
-_TOKENS = 1 << 21
+_TOKENS = 3 << 19
+#: Tokens that are scored at once.
+_SCORED_TOKENS = 1 << 18
 _BUCKET_BYTES = 16 << 20
 _TARGET, _BACKGROUND, _DOCS = range(3)
 _CELLS, _TEXTS, _TOTALS = range(3)
@@ -215,14 +217,25 @@ def _score(totals, size: int, n_buckets: int, held_out: bool):
         cells, which = np.unique(_before(ids, n, size) * size + ids, return_inverse=True)
         order = np.argsort(_bucket(cells, n_buckets), kind="stable")
         answers.sort(key=lambda a: a[0])
-        row, loss = np.repeat(np.arange(len(n)), n), []
-        for k, (one, heads) in enumerate(totals.value):
+        which, ends, loss = which.astype(np.int32), np.cumsum(n), np.zeros((2, len(n)))
+        counts = []
+        for k in range(2):
             count = np.zeros(len(cells), np.int64)
             count[order] = np.concatenate([np.zeros(0, np.int64), *(a[k] for _, a in answers)])
-            own = _own(row, which, cells // size, ids, n) if k and held_out else (0, 0, 0, 0)
-            single = (one[ids] - own[2] + 1) / (one.sum() + size - own[3])
-            cost = np.log((heads[cells // size])[which] - own[1] + PRIOR) - np.log(count[which] - own[0] + PRIOR * single)
-            loss.append(np.bincount(row, cost, minlength=len(n)) / np.maximum(n, 1))
+            counts.append(count)
+        del answers, order
+        first = 0
+        while first < len(n):
+            begin = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begin + _SCORED_TOKENS, "right")))
+            at, some = slice(begin, ends[last - 1]), n[first:last]
+            row, own_ids, own_cells = np.repeat(np.arange(len(some)), some), ids[at], which[at]
+            for k, (one, heads) in enumerate(totals.value):
+                own = _own(row, own_cells, cells // size, own_ids, some) if k and held_out else (0, 0, 0, 0)
+                single = (one[own_ids] - own[2] + 1) / (one.sum() + size - own[3])
+                cost = np.log(heads[cells[own_cells] // size] - own[1] + PRIOR) - np.log(counts[k][own_cells] - own[0] + PRIOR * single)
+                loss[k, first:last] = np.bincount(row, cost, minlength=len(some)) / np.maximum(some, 1)
+            first = last
         none = n == 0
         columns = [docs, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in loss), pa.array(np.where(none, 0.0, loss[1] - loss[0]))]
         return pa.table(dict(zip(("doc_id", "n_tokens", "ce_target", "ce_background", "score"), columns, strict=True)))
