@@ -95,12 +95,12 @@ def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.cell_at(q, cells)
 
 
-@query("zoomed_view", "SELECT p_partkey, round(p_size - (p_size - 10.0) * w / 100, 6) AS x, w AS width FROM (SELECT p_partkey, p_size, least(greatest(100 * p_size / 20.0, 10), 3000)::DOUBLE AS w FROM part)")
+@query("zoomed_view", "SELECT p_partkey, round(p_size - (p_size - 10.0) * w / 100, 6) AS x, round(w, 6) AS width FROM (SELECT p_partkey, p_size, least(greatest(100 * p_size / 20.0, 10), 3000)::DOUBLE AS w FROM part)")
 def zoomed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F24."""
     box = F.struct(F.lit(10.0).alias("x"), F.lit(0.0).alias("y"), F.lit(100.0).alias("width"), F.lit(50.0).alias("height"))
     z = display.zoomed(box, F.col("p_size").cast("double"), F.lit(0.0), F.col("p_size") / 20.0)
-    return table(spark, sf_dir, "part").select("p_partkey", z.alias("z")).select("p_partkey", F.round("z.x", 6).alias("x"), F.col("z.width").alias("width"))
+    return table(spark, sf_dir, "part").select("p_partkey", z.alias("z")).select("p_partkey", F.round("z.x", 6).alias("x"), F.round("z.width", 6).alias("width"))
 
 
 @query("cluster_colours", "SELECT p_partkey, round(p_size * 0.1 + 0.1 * (p_partkey % 6 - p_size * 0.1), 6) AS angle FROM part")

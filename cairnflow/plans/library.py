@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from cairnflow.plans import clustering, discovery, events, layout, relational, sessions, vectors  # noqa: F401
+from cairnflow.plans import clustering, details, discovery, events, layout, relational, sessions, vectors  # noqa: F401
