@@ -1,8 +1,8 @@
 """Deep-shallow ordering of byte strings (Manzini and Ferragina, 2004).
 
-Multikey quicksort splits large groups by eight-byte symbols to a shallow depth. Groups that are small,
-or still together at that depth and so have long common prefixes, are ordered by a blind trie: a
-Patricia trie that holds branching places only, so that an insertion compares one stored string.
+Multikey quicksort splits all groups by eight-byte symbols to a shallow depth, every group's next step
+at once. Groups that are still together at that depth, and so have long common prefixes, are ordered
+by a blind trie: a Patricia trie that holds branching places only, so that an insertion compares one stored string.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import numpy as np
 
 #: Symbols of eight bytes that multikey quicksort looks at.
 SHALLOW = 12
-#: Groups of at most this size go to a blind trie at once.
-SMALL = 64
+#: Groups of at most this size go to a blind trie at once: none but single strings.
+SMALL = 1
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -70,6 +70,34 @@ def blind_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def _multikey(words: np.ndarray, order: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Sorts the segments of ``order`` in place by their rows of symbols as far as the shallow depth; the segments still together there.
+
+    One round parts every open segment in three by the median of its first, middle and last symbol; the middle part goes on
+    to the next symbol.
+    """
+    limit, depth = min(SHALLOW, words.shape[1]), np.zeros(len(start), np.int64)
+    deep: list[tuple[int, int]] = []
+    while True:
+        done = (depth >= limit) | (size <= SMALL)
+        deep += [(a, a + k) for a, k in zip(start[done].tolist(), size[done].tolist(), strict=True) if k > 1]
+        start, size, depth = start[~done], size[~done], depth[~done]
+        if not len(start):
+            return sorted(deep)
+        of = np.repeat(np.arange(len(start)), size)
+        first = np.cumsum(size) - size
+        place = np.arange(len(of)) + (start - first)[of]
+        row = order[place]
+        symbol = words[row, depth[of]]
+        pivot = np.sort(np.stack([symbol[first], symbol[first + size // 2], symbol[first + size - 1]]), axis=0)[1][of]
+        side = 3 * of + (symbol >= pivot) + (symbol > pivot)
+        turn = np.argsort(side, kind="stable")
+        order[place] = row[turn]
+        side = side[turn]
+        cut = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
+        start, size, depth = place[cut], np.diff(np.concatenate([cut, [len(side)]])), depth[of[turn][cut]] + (side[cut] % 3 == 1)
+
+
 def deep_shallow(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows (uint8, all of one width divisible by 8) by (group, bytes), and common prefixes.
 
@@ -79,27 +107,12 @@ def deep_shallow(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nd
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = rows.view(">u8")
-    first = np.argsort(group, kind="stable")
-    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], group[first][1:] != group[first][:-1]])), [n]])
-    out: list[np.ndarray] = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a == 1:
-            out.append(first[a:b])
-            continue
-        stack = [(first[a:b], 0)]
-        while stack:
-            part, depth = stack.pop()
-            if len(part) == 1:
-                out.append(part)
-            elif len(part) <= SMALL or depth >= min(SHALLOW, width // 8):
-                out.append(part[blind_order([r.tobytes() for r in rows[part]])])
-            else:
-                symbol = words[part, depth]
-                pivot = np.partition(symbol, len(symbol) // 2)[len(symbol) // 2]
-                for mask, deeper in ((symbol > pivot, 0), (symbol == pivot, 1), (symbol < pivot, 0)):
-                    if mask.any():
-                        stack.append((part[mask], depth + deeper))
-    order = np.concatenate(out)
+    order = np.argsort(group, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    deep = _multikey(words, order, start, np.diff(np.concatenate([start, [n]])))
+    for a, b in deep:
+        part = order[a:b]
+        order[a:b] = part[blind_order([r.tobytes() for r in rows[part]])]
     shared = np.full(n, -1, np.int64)
     for k in range(1, n, 4096):
         x, y = rows[order[k : k + 4096]], rows[order[k - 1 : k - 1 + len(order[k : k + 4096])]]

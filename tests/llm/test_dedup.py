@@ -1,10 +1,12 @@
 import hashlib
 
+import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairnflow.llm import bytes_dedup, components, minhash, substrings, suffixes
+from cairnflow.llm import bytes_dedup, components, minhash, queries, substrings, suffixes
 from cairnflow.llm import textvec as tv
 from tests.llm import brute
 
@@ -135,6 +137,18 @@ def test_windows_stay_with_the_text_they_were_found_in(spark):
         assert got == sorted((str(d), *whole[i]) for i, (d, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLES)))
+def test_registered_queries_equal_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    out = queries.QUERIES[name](spark, sf)
+    assert sorted(out.columns) == sorted(columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in out.collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_empty_tables(no_rows):
     assert minhash.near_duplicates(no_rows).count() == 0
     assert minhash.keep_one(no_rows).count() == 0
@@ -149,7 +163,7 @@ def test_deep_shallow_order(strings, n_groups):
     rows = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, 16)
     group = np.array([i % n_groups for i in range(len(strings))], np.uint64)
     small = suffixes.SMALL
-    for suffixes.SMALL in (2, 64):
+    for suffixes.SMALL in (1, 2, 64):
         order, shared = suffixes.deep_shallow(rows, group)
         got = [(int(group[i]), strings[i]) for i in order]
         assert got == sorted(got)
