@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import discard, stored
+from cairnflow.llm.shared import discard, lean_batches, stored
 from cairnflow.llm.suffixes import deep_shallow
 
 WINDOW, GRAM = 400, 64
@@ -361,6 +361,7 @@ def remove_repeated_bytes(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     n = blobs.buckets_for(docs)
+    lean_batches(docs, blobs.piece_bytes(n))
     rows = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(blobs.NO_ID)), "text"))
     long = rows.where(F.octet_length("text") >= WINDOW).select("row", "text")
     flagged = stored(long.mapInArrow(_enter(n, often), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_repeated(often)), _FLAGGED), "anchors")

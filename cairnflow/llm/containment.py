@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.minhash import shingle_sets
-from cairnflow.llm.shared import stored
+from cairnflow.llm.shared import lean_batches, stored
 
 MISS = 1e-9
 MOST_SHINGLES = 1 << 21
@@ -211,6 +211,7 @@ def _count_words(text: Column) -> Column:
 
 def _index(items: DataFrame, percent: int, most_shingles: int, least_words: int = 1):
     """The distinct items of enough words, and the broadcast index of them if they are within the bound, else None."""
+    lean_batches(items)
     items = items.select("item_id", "text").where("item_id is not null").where(_count_words(F.col("text")) >= least_words).distinct()
     size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     if (size[0] or 0) > 2 * most_shingles or size[1] > most_shingles:  # a shingle has two bytes at least that the next one has not

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import discard, held_out, stored
+from cairnflow.llm.shared import discard, held_out, lean_batches, stored
 
 SAMPLE = 3000
 SAMPLE_BYTES = 24 << 20
@@ -223,6 +223,7 @@ def _classify(model: Model, carried: list[str]):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from about ``sample`` labelled documents that are not held out, chosen by a hash of their ids."""
+    lean_batches(docs)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
     n = known.count()
     share = min(1.0, sample / n) if n else 0.0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnflow.llm.shared import discard, stored
+from cairnflow.llm.shared import discard, lean_batches, stored
 
 SAMPLE, PER_LEAF = 16_384, 16
 BRANCHES = 8
@@ -185,6 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
         finite = F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
         return df.select("vec_id", v.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0))
 
+    lean_batches(vectors)
     vectors, queries = sound(vectors), sound(queries)
     sizes = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

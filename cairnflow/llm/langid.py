@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import held_out
+from cairnflow.llm.shared import held_out, lean_batches
 
 PER_LANGUAGE = 1000
 SAMPLE_BYTES = 64 << 20
@@ -308,6 +308,7 @@ def identify(docs: DataFrame, vocabulary_path: str, per_language: int = PER_LANG
     """One row per document: doc_id, held_out, lang_pred, score (the posterior of the prediction under equal priors)."""
     import uuid
 
+    lean_batches(docs)
     spark = docs.sparkSession
     learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at"))
     size = learn.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text")), F.min("at")).limit(MOST_LANGUAGES + 1).collect()

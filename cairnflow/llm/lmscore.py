@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.packing import WordTokenizer
-from cairnflow.llm.shared import stored
+from cairnflow.llm.shared import lean_batches, stored
 
 #: Pseudo-counts that the unigram model gets in every context.
 PRIOR = 16.0
@@ -261,6 +261,7 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame, path: str,
 
     ``size`` keeps only the first ids of the vocabulary; without it the whole vocabulary is used.
     """
+    lean_batches(docs)
     size = size or whole(path)
     n = blobs.buckets_for(docs, _BUCKET_BYTES)
     own = _DOCS if background is docs else _BACKGROUND  # documents that are the background are read once

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
 from cairnflow.llm.components import components
-from cairnflow.llm.shared import discard, free_name, stored
+from cairnflow.llm.shared import discard, free_name, lean_batches, stored
 
 UNIVERSE = 1 << 22
 ROWS, BANDS = 5, 24
@@ -118,19 +118,22 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= (F.col("t") - F.col("s")) * percent).select("a", "b")
 
 
-# What is gathered of each bucket is stored before it is joined back: only a join of two plain exchanges is
-# one whose large buckets Spark deals over several tasks.
+def _gathered(df: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """What was gathered of each bucket, stored before it is joined back: only a join of two plain exchanges is one whose
+    large buckets Spark deals over several tasks."""
+    used.append(stored(df, "gathered"))
+    return used[-1]
 
 
-def _hubs(filed: DataFrame) -> DataFrame:
+def _hubs(filed: DataFrame, used: list[DataFrame]) -> DataFrame:
     """The hub of every bucket with several keys: the smallest key after a scrambling that differs from bucket to bucket."""
     low = filed.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.col("bucket"))).alias("o"), F.min("key").alias("l"), F.max("key").alias("h"))
-    return stored(low.where("l < h").select("bucket", F.col("o").bitwiseXOR(F.col("bucket")).alias("hub")), "hubs")
+    return _gathered(low.where("l < h").select("bucket", F.col("o").bitwiseXOR(F.col("bucket")).alias("hub")), used)
 
 
-def _mixed(filed: DataFrame) -> DataFrame:
+def _mixed(filed: DataFrame, used: list[DataFrame]) -> DataFrame:
     """The buckets with keys of several components."""
-    return stored(filed.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket"), "mixed")
+    return _gathered(filed.groupBy("bucket").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("bucket"), used)
 
 
 def _star(near: DataFrame) -> DataFrame:
@@ -139,14 +142,14 @@ def _star(near: DataFrame) -> DataFrame:
     return best.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
-def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+def _rarest(sets: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
     """(key, n, alone, shared): of each set's rarest shingles those that other sets hold too, any two similar sets sharing one.
 
     Shingles are ordered by how many of the sets hold them; those of a single set come first and are
     counted only. Two sets over the bound share a shingle among the first n - ceil(n * percent / 100) + 1.
     """
     each = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("bucket"))
-    held = stored(each.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1"), "held")
+    held = _gathered(each.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1"), used)
     ordered = each.join(held, "bucket").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
@@ -161,7 +164,7 @@ def _spread(rarest: DataFrame) -> DataFrame:
 
 def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(bucket, key, n, alone, at) of the shared ones among each set's rarest shingles."""
-    return _spread(_rarest(sets, percent))
+    return _spread(_rarest(sets, percent, []))
 
 
 def _may(percent: int):
@@ -170,13 +173,13 @@ def _may(percent: int):
     return F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need
 
 
-def _central(now: DataFrame, percent: int) -> DataFrame:
+def _central(now: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
     """Pairs of every key with two hubs of other components: that of most common buckets, and the most central one.
 
     The hub of a bucket is the key with the fewest shingles of its own, so the one that most others resemble.
     """
     hubs = now.groupBy("bucket").agg(F.min(F.struct("alone", "at", "n", "key", "comp")).alias("h")).select("bucket", *(F.col(f"h.{c}").alias(f"{c}_y") for c in ("key", "comp", "at", "n", "alone")))
-    near = _side(now, "x").join(stored(hubs, "central"), "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent))
+    near = _side(now, "x").join(_gathered(hubs, used), "bucket").where((F.col("comp_x") != F.col("comp_y")) & _may(percent))
     each = near.groupBy("key_x", "key_y").agg(F.count("*").alias("c"), F.min("alone_y").alias("alone"))
     picks = each.groupBy("key_x").agg(F.max_by("key_y", F.struct("c", "key_y")).alias("p"), F.min_by("key_y", F.struct("alone", "key_y")).alias("q"))
     pairs = picks.select("key_x", F.explode(F.array_distinct(F.array("p", "q"))).alias("key_y"))
@@ -190,34 +193,37 @@ def _side(filed: DataFrame, s: str) -> DataFrame:
 def _components(docs: DataFrame, percent: int, bands: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, tag (the hash of its text), n, own and best (the representatives of
     its class and component: none, doc_id, tag of their least row; null without words)."""
+    lean_batches(docs)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     sketch = stored(docs.mapInArrow(_sketch(bands), "doc_id long, tag long, n long, digest binary, bands array<long>"), "sketch")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     whole = sketch.where("n > 0").groupBy("digest").agg(F.min(least).alias("own"), F.first("bands").alias("bands"))
     classes = stored(whole.withColumn("key", F.monotonically_increasing_id()), "classes")  # numbered once: the files hold the numbers
     filed = classes.select("key", F.explode("bands").alias("bucket"))
-    members = stored(filed.join(_hubs(filed), "bucket"), "members")
+    used: list[DataFrame] = []
+    members = stored(filed.join(_hubs(filed, used), "bucket"), "members")
     tried = stored(_star(members.where("key <> hub")), "tried")
     firsts = classes.join(members.select("key").distinct(), "key", "left_semi").select("key", F.col("own.doc_id").alias("id"), F.col("own.tag").alias("of"))
     keyed = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["id"]) & (docs["tag"] == firsts["of"])).select("key", "text")
     sets = stored(keyed.mapInArrow(_sets, "key long, set array<long>").groupBy("key").agg(F.first("set").alias("set")), "sets")
     links = stored(_confirm(sets, tried, percent), "links")
-    joined, used = components(links), [members, tried, sets, links]
+    joined = components(links)
+    used += [members, tried, sets, links]
 
     labelled = members.select("bucket", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
-    open_keys = labelled.join(_mixed(labelled), "bucket", "left_semi").select("key").distinct()
-    rare = stored(_rarest(sets.join(open_keys, "key", "left_semi"), percent), "rare")
+    open_keys = labelled.join(_mixed(labelled, used), "bucket", "left_semi").select("key").distinct()
+    rare = stored(_rarest(sets.join(open_keys, "key", "left_semi"), percent, used), "rare")
     found = True
     used.append(rare)
     for step in range(ROUNDS + 1):
         now = _spread(rare.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"), "n", "alone", "shared"))
-        now = stored(now.join(_mixed(now), "bucket", "left_semi"), "open")
+        now = stored(now.join(_mixed(now, used), "bucket", "left_semi"), "open")
         last = step == ROUNDS or not found
         if last:
             pairs = _side(now, "x").join(_side(now, "y"), "bucket").where((F.col("comp_x") < F.col("comp_y")) & _may(percent))
             pairs = pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
         else:
-            pairs = _central(now, percent)
+            pairs = _central(now, percent, used)
         more = stored(_confirm(sets, pairs, percent), "links")
         used += [now, more]
         if found := more.limit(1).count():

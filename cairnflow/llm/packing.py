@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cairnflow.llm import textvec as tv
+from cairnflow.llm.shared import lean_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -202,4 +203,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     ``vocabulary`` is a word-level tokenizer file that every executor can read. Each task packs its own
     partition in one pass without a shuffle; memory holds one batch and at most MOST_OPEN open windows.
     """
+    lean_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(_packed(vocabulary, window), SCHEMA)

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from cairnflow.sources.tables import table
 
-__all__ = ["discard", "free_name", "held_out", "shared_dir", "stored", "table"]
+__all__ = ["discard", "free_name", "held_out", "lean_batches", "shared_dir", "stored", "table"]
+
+#: Bytes of an Arrow batch on its way to Python, where the session has Spark's own 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_set: set[str] = {"67108864b", "64m", "64mb"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +51,15 @@ def _file(spark: SparkSession, path: str) -> tuple:
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def lean_batches(df: DataFrame, least: int = BATCH_BYTES) -> None:
+    """Has the session send Python batches of about ``least`` bytes, unless it was told another size: with thousands of rows a
+    batch, long texts would need many times the memory on either side."""
+    conf = df.sparkSession.conf
+    if str(conf.get(_BATCHES, "64m")).lower() in _set:
+        conf.set(_BATCHES, f"{least}b")
+        _set.add(f"{least}b")
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text is divisible by 5 (a null id is held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

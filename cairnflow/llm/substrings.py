@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.llm import blobs
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.shared import discard, free_name, stored
+from cairnflow.llm.shared import discard, free_name, lean_batches, stored
 
 BLOCK = 10
 WINDOW = 2 * BLOCK
@@ -175,6 +175,7 @@ def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, tag, pos): starts of the windows of ``2 * block`` words whose sequence also starts earlier; null ids are NO_ID."""
     docs = docs.select("doc_id", "text", _tag(docs).alias("tag"))
     n = blobs.buckets_for(docs)
+    lean_batches(docs, blobs.piece_bytes(n))
     seeds = stored(docs.mapInArrow(_probe(n, block), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_hits(block)), _FOUND), "hits")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
     windows = keyed.join(_of_rows(seeds), ["doc_id", "tag"]).mapInArrow(_extend(n, block), _SHIPPED)
