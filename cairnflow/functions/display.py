@@ -34,23 +34,36 @@ def _linear_rgb(lightness: float, chroma: np.ndarray, hue: np.ndarray) -> np.nda
     return to @ lms
 
 
-def srgb_of(angles: np.ndarray) -> np.ndarray:
-    """F16: sRGB (rows of three in 0..1) of cluster angles, chroma reduced until the colour is in the gamut."""
+#: Linear sRGB to linear Display P3 (public matrix of the two spaces' primaries, both under D65).
+_TO_P3 = np.array([[0.8224619687, 0.1775380313, 0.0], [0.0331941989, 0.9668058011, 0.0], [0.0170826307, 0.0723974407, 0.9105199286]])
+
+
+def rgb_of(angles: np.ndarray, space: str = "srgb") -> np.ndarray:
+    """F16: sRGB or Display P3 (``p3``; rows of three in 0..1) of cluster angles, chroma reduced until the colour is in the gamut."""
+    if space not in ("srgb", "p3"):
+        raise ValueError(f"unknown colour space {space}")
+    of = (lambda c: _TO_P3 @ _linear_rgb(LIGHTNESS, c, angles)) if space == "p3" else (lambda c: _linear_rgb(LIGHTNESS, c, angles))
     lo, hi = np.zeros(len(angles)), np.full(len(angles), CHROMA)
-    fits = ((linear := _linear_rgb(LIGHTNESS, hi, angles)) >= -1e-4).all(axis=0) & (linear <= 1 + 1e-4).all(axis=0)
+    fits = ((linear := of(hi)) >= -1e-4).all(axis=0) & (linear <= 1 + 1e-4).all(axis=0)
     for _ in range(20):
         mid = (lo + hi) / 2
-        linear = _linear_rgb(LIGHTNESS, mid, angles)
+        linear = of(mid)
         inside = (linear >= -1e-4).all(axis=0) & (linear <= 1 + 1e-4).all(axis=0)
         lo, hi = np.where(inside, mid, lo), np.where(inside, hi, mid)
-    linear = np.clip(_linear_rgb(LIGHTNESS, np.where(fits, CHROMA, lo), angles), 0, 1)
+    linear = np.clip(of(np.where(fits, CHROMA, lo)), 0, 1)
     return np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055).T
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def srgb(angle: pd.Series) -> pd.Series:
     """F16 as a column."""
-    return pd.Series(list(srgb_of(angle.to_numpy(dtype=float))))
+    return pd.Series(list(rgb_of(angle.to_numpy(dtype=float))))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def p3(angle: pd.Series) -> pd.Series:
+    """F16 in Display P3."""
+    return pd.Series(list(rgb_of(angle.to_numpy(dtype=float), "p3")))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -126,6 +126,53 @@ def cluster_rectangles(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     return cells.join(top, ["session_id", "node"])
 
 
+def boundaries(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """L3: (session_id, node, merge_index, color_angle, x1, y1, x2, y2): the line between the two cells of every merge with two visible children."""
+    at = cells.select("session_id", "node", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    pair = nodes.where("merge_index is not null and size(children) = 2").select("session_id", "node", "merge_index", "color_angle", F.col("children")[0].alias("a"), F.col("children")[1].alias("b"))
+    both = pair.join(at.withColumnsRenamed({"node": "a", "box": "p"}), ["session_id", "a"]).join(at.withColumnsRenamed({"node": "b", "box": "q"}), ["session_id", "b"])
+    beside = (F.col("p.x1") == F.col("q.x0")) | (F.col("q.x1") == F.col("p.x0"))
+    x, y = (F.when(F.col(f"p.{c}1") == F.col(f"q.{c}0"), F.col(f"p.{c}1")).otherwise(F.col(f"q.{c}1")) for c in "xy")
+    low, high = (lambda c: F.greatest(f"p.{c}0", f"q.{c}0")), (lambda c: F.least(f"p.{c}1", f"q.{c}1"))
+    ends = (F.when(beside, x).otherwise(low("x")), F.when(beside, low("y")).otherwise(y), F.when(beside, x).otherwise(high("x")), F.when(beside, high("y")).otherwise(y))
+    return both.select("session_id", "node", "merge_index", "color_angle", *(e.alias(n) for e, n in zip(ends, ("x1", "y1", "x2", "y2"), strict=True)))
+
+
+def shared_edge(first: np.ndarray, second: np.ndarray, eps: float = 1e-7) -> np.ndarray | None:
+    """L4: the longest segment (two points) that edges of two convex polygons have in common, None if there is none."""
+    best, length = None, eps
+    for a, b in zip(first, np.roll(first, -1, axis=0), strict=True):
+        along = b - a
+        size = float(np.hypot(*along))
+        if size <= eps:
+            continue
+        unit = along / size
+        for c, d in zip(second, np.roll(second, -1, axis=0), strict=True):
+            off = [abs(unit[0] * (p - a)[1] - unit[1] * (p - a)[0]) for p in (c, d)]
+            if max(off) > max(eps, eps * size):
+                continue
+            s, t = sorted((float((c - a) @ unit), float((d - a) @ unit)))
+            lo, hi = max(0.0, s), min(size, t)
+            if hi - lo > length:
+                best, length = np.array([a + unit * lo, a + unit * hi]), hi - lo
+    return best
+
+
+def voronoi_boundaries(cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """L4: (session_id, node, segment) of every coloured merge with two visible children whose cells share an edge."""
+    at = cells.select("session_id", "node", "polygon")
+    pair = nodes.where("merge_index is not null and color_angle is not null and size(children) = 2").select("session_id", "node", F.col("children")[0].alias("a"), F.col("children")[1].alias("b"))
+    both = pair.join(at.withColumnsRenamed({"node": "a", "polygon": "p"}), ["session_id", "a"]).join(at.withColumnsRenamed({"node": "b", "polygon": "q"}), ["session_id", "b"])
+
+    @F.pandas_udf("array<array<double>>")
+    def segment(p: pd.Series, q: pd.Series) -> pd.Series:
+        points = lambda x: np.stack([np.asarray(v, dtype=float) for v in x])
+        found = [shared_edge(points(x), points(y)) for x, y in zip(p, q, strict=True)]
+        return pd.Series([None if s is None else s.tolist() for s in found], dtype=object)
+
+    return both.select("session_id", "node", segment("p", "q").alias("segment")).where("segment is not null")
+
+
 def clip(polygon: np.ndarray, normal: np.ndarray, offset: float) -> np.ndarray:
     """The part of a convex polygon where normal . p <= offset."""
     if not len(polygon):

@@ -97,6 +97,15 @@ def union_by_precedence(first: DataFrame, second: DataFrame, key: str) -> DataFr
     return first.unionByName(second.join(first.select(key), key, "left_anti"))
 
 
+def with_missing(models: DataFrame, selected: Sequence[str], loading: bool) -> DataFrame:
+    """The models (id, name, place, availability) in their order, then each selected id that is not among them once, as it was selected."""
+    spark = models.sparkSession
+    rows = [(m, m, i, "loading" if loading else "unknown") for i, m in enumerate(dict.fromkeys(selected))]
+    missing = spark.createDataFrame(rows, "id string, name string, place long, availability string").join(models.select("id"), "id", "left_anti")
+    after = F.broadcast(models.agg((F.coalesce(F.max("place"), F.lit(-1)) + 1).alias("_after")))  # one row
+    return models.unionByName(missing.crossJoin(after).withColumn("place", F.col("place") + F.col("_after")).select("id", "name", "place", "availability"), allowMissingColumns=True)
+
+
 def history(sessions: DataFrame, cap: int = 20) -> DataFrame:
     """The newest sessions up to the cap; protected ones stay beyond it."""
     newest = sessions.orderBy(F.desc("modified_at"), F.desc("session_id")).limit(cap).select("session_id")

@@ -39,9 +39,16 @@ def read_computed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMPUTED).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "computed.json").json(path)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """An ordered JSON array of families; the place in the file is the rank."""
-    whole = spark.read.option("wholetext", True).text(path)
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that there is, else the last one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = ((p, jvm.org.apache.hadoop.fs.Path(p)) for p in paths)
+    return next((p for p, x in at if x.getFileSystem(conf).exists(x)), paths[-1])
+
+
+def read_catalog(spark: SparkSession, *paths: str) -> DataFrame:
+    """An ordered JSON array of families, from the first of the paths that there is; the place in the file is the rank."""
+    whole = spark.read.option("wholetext", True).text(first_existing(spark, *paths))
     return whole.select(F.posexplode(F.from_json("value", f"array<struct<{CATALOG.replace(' ', ':', 1).replace(', variants ', ',variants:').replace(', subsets ', ',subsets:')}>>")).alias("rank", "c")).select("rank", "c.*")
 
 
@@ -57,6 +64,14 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/vector\.bin$", 1).alias("id"), floats("content").alias("embedding")).where("embedding is not null")
 
 
+def checked_vectors(vectors: DataFrame, images: DataFrame) -> DataFrame:
+    """The vectors, refused unless there are as many as images."""
+    n, m = vectors.count(), images.count()
+    if n != m:
+        raise ValueError(f"{n} vectors for {m} images")
+    return vectors
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(id, content) of every sample image, bytes untouched (alpha included)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
@@ -108,10 +123,12 @@ def fetched(rows: DataFrame, fetch, schema: str = "content binary, error string"
     return rows.select(*keep).mapInPandas(run, f"{fields}, {schema}")
 
 
-def seeded(sessions: DataFrame, examples: DataFrame, version: str) -> DataFrame:
-    """The sessions, or the examples under the running version where there is none."""
-    none = sessions.limit(1).count() == 0
-    return sessions.unionByName(examples.withColumn("app_version", F.lit(version))) if none else sessions
+def seeded(sessions: DataFrame, examples: DataFrame, version: str) -> tuple[DataFrame, object]:
+    """The sessions, or the examples under the running version where there is none; and the newest ``modified_at`` of what was added (else None)."""
+    if sessions.limit(1).count():
+        return sessions, None
+    added = examples.withColumn("app_version", F.lit(version))
+    return sessions.unionByName(added), added.agg(F.max("modified_at")).first()[0]
 
 
 def evicted(cache: DataFrame, most: int = CACHE_BYTES) -> DataFrame:
@@ -211,6 +228,15 @@ def encode_png(grey: np.ndarray, alpha: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def cropped(coverage: np.ndarray) -> bytes:
+    """A PNG of the rows and columns that hold ink, white with the coverage as alpha; an empty image is refused."""
+    rows, columns = np.flatnonzero(coverage.any(axis=1)), np.flatnonzero(coverage.any(axis=0))
+    if not len(rows):
+        raise ValueError("the image is empty")
+    ink = np.ascontiguousarray(coverage[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1], dtype=np.uint8)
+    return encode_png(np.full_like(ink, 255), ink)
+
+
 def _resample(size: int, to: int) -> np.ndarray:
     """Weights of Catmull-Rom resampling, widened when shrinking."""
     scale = size / to
@@ -274,6 +300,64 @@ def embed(images: DataFrame, make_encoder, batch: int = 8, width: int = 512) ->
     return images.select("id", "content").mapInPandas(run, "id string, embedding array<float>, error string")
 
 
+def analyzed(images: DataFrame, make_encoder, batch: int = 8, width: int = 512) -> tuple[DataFrame, DataFrame]:
+    """V3: (id, embedding) of the images that succeed, and (id, error) of the others; refused with the first error if none succeeds."""
+    from cairnflow.sources.store import stored
+
+    done = stored(embed(images, make_encoder, batch, width), "vectors")
+    good, bad = done.where("error is null").select("id", "embedding"), done.where("error is not null").select("id", "error")
+    if not good.limit(1).count():
+        first = bad.orderBy("id").first()
+        raise RuntimeError(first.error if first else "there are no images")
+    return good, bad
+
+
+#: Tags of the language numbers of Windows names that are told apart; 0 of Macintosh names is English.
+LANGUAGE_TAGS = {0x0409: "en-US", 0x0809: "en-GB", 0x0407: "de", 0x040C: "fr", 0x0C0C: "fr-CA", 0x0410: "it", 0x040A: "es", 0x0C0A: "es", 0x0411: "ja", 0x0412: "ko", 0x0804: "zh-Hans", 0x0404: "zh-Hant", 0x0419: "ru", 0x0413: "nl", 0x041D: "sv", 0x0416: "pt-BR"}
+
+
+def language_tag(platform: int, language: int) -> str:
+    """The tag of a name's language; unknown numbers stay numbers, names without a language are ``und``."""
+    if platform == 3:
+        return LANGUAGE_TAGS.get(language, str(language))
+    return "en" if platform == 1 and language == 0 else str(language) if platform == 1 else "und"
+
+
+def _table(content: bytes, index: int, tag: bytes) -> bytes | None:
+    at = struct.unpack(">I", content[12 + 4 * index : 16 + 4 * index])[0] if content[:4] == b"ttcf" else 0
+    n = struct.unpack(">H", content[at + 4 : at + 6])[0]
+    for k in range(n):
+        name, _, offset, size = struct.unpack(">4sIII", content[at + 12 + 16 * k : at + 28 + 16 * k])
+        if name == tag:
+            return content[offset : offset + size]
+    return None
+
+
+def glyph_of(content: bytes, character: str, index: int = 0) -> int:
+    """The glyph that a font's character map (formats 4 and 12) has for a character, 0 for none."""
+    table, code = _table(content, index, b"cmap"), ord(character)
+    for k in range(struct.unpack(">H", table[2:4])[0] if table else 0):
+        at = struct.unpack(">HHI", table[4 + 8 * k : 12 + 8 * k])[2]
+        kind = struct.unpack(">H", table[at : at + 2])[0]
+        if kind == 12:
+            for first, last, glyph in struct.iter_unpack(">III", table[at + 16 : at + 16 + 12 * struct.unpack(">I", table[at + 12 : at + 16])[0]]):
+                if first <= code <= last:
+                    return glyph + code - first
+        elif kind == 4 and code < 0x10000:
+            n = struct.unpack(">H", table[at + 6 : at + 8])[0] // 2
+            part = lambda i: struct.unpack(f">{n}H", table[at + 14 + 2 * n * i + 2 * (i > 0) :][: 2 * n])  # noqa: B023, E731
+            ends, starts, deltas, offsets = (part(i) for i in range(4))
+            s = next((s for s in range(n) if code <= ends[s]), None)
+            if s is None or code < starts[s]:
+                continue
+            if not offsets[s]:
+                return (code + deltas[s]) & 0xFFFF
+            place = at + 16 + 6 * n + 2 * s + offsets[s] + 2 * (code - starts[s])
+            glyph = struct.unpack(">H", table[place : place + 2])[0]
+            return (glyph + deltas[s]) & 0xFFFF if glyph else 0
+    return 0
+
+
 def parse_names(content: bytes, index: int = 0) -> list[tuple[int, int, int, int, str]]:
     """The name table of a font (platform, encoding, language, name id, value), Unicode and Mac Roman entries."""
     at = 0
@@ -293,8 +377,9 @@ def parse_names(content: bytes, index: int = 0) -> list[tuple[int, int, int, int
     return []
 
 
-def scan_fonts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, font_index, names) of every font file; files that cannot be parsed are left out."""
+def scan_fonts(spark: SparkSession, path: str, text: str = "") -> DataFrame:
+    """(path, font_index, names) of every face that has a glyph for each character of the text and no internal
+    name among its families, styles and full name; files that cannot be parsed are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ttf,otf,ttc}").load(path).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,9 +391,11 @@ def scan_fonts(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(faces):
                     try:
                         found = parse_names(content, i)
+                        whole = all(c in "\0\ufffd" or glyph_of(content, c, i) for c in text)
                     except (struct.error, UnicodeDecodeError):
                         continue
-                    out.append((where, i, [{"language": str(x[2]), "name_id": x[3], "value": x[4]} for x in found]))
+                    if whole and not any("LastResort" in x[4] or x[4].startswith(".") for x in found if x[3] in (1, 2, 4, 16, 17)):
+                        out.append((where, i, [{"language": language_tag(x[0], x[2]), "name_id": x[3], "value": x[4]} for x in found]))
             yield pd.DataFrame(out, columns=["path", "font_index", "names"])
 
     return files.mapInPandas(run, "path string, font_index int, names array<struct<language:string,name_id:int,value:string>>")

@@ -139,6 +139,45 @@ def distinct_snapshots(log: DataFrame, key: str) -> DataFrame:
     return log.withColumn("_before", before).where(~F.col("snapshot").eqNullSafe(F.col("_before"))).drop("_before")
 
 
+def known(event: Column) -> Column:
+    """E5: whether an event is of the vocabulary; a model's download has events of its own."""
+    return event.isin(*EVENTS) | event.startswith("model_download_")
+
+
+class History:
+    """The snapshots of a selection, with undo, redo and reset. Equal neighbours are one; a commit after an undo drops what was undone."""
+
+    def __init__(self, snapshot: object = None):
+        self.log, self.at = [snapshot], 0
+
+    def commit(self, snapshot: object) -> None:
+        if snapshot != self.log[self.at]:
+            self.log[self.at + 1 :] = [snapshot]
+            self.at += 1
+
+    def undo(self, current: object = None) -> object:
+        """The snapshot before; what is selected now is committed first if it is given."""
+        if current is not None:
+            self.commit(current)
+        self.at = max(0, self.at - 1)
+        return self.log[self.at]
+
+    def redo(self) -> object:
+        self.at = min(len(self.log) - 1, self.at + 1)
+        return self.log[self.at]
+
+    def reset(self, snapshot: object) -> None:
+        self.log, self.at = [snapshot], 0
+
+    @property
+    def can_undo(self) -> bool:
+        return self.at > 0
+
+    @property
+    def can_redo(self) -> bool:
+        return self.at < len(self.log) - 1
+
+
 class CachedCatalog:
     """A fetched value for five minutes; if fetching fails, the last good one with a warning."""
 

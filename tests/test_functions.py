@@ -126,7 +126,7 @@ def test_view_boxes(spark):
 def test_colours(spark):
     assert one(spark, display.css_colour(F.lit(None).cast("double"))) == display.NO_COLOUR
     assert one(spark, display.css_colour(F.lit(math.pi))) == "oklch(0.7193 0.157 180.0000)"
-    rgb = display.srgb_of(np.linspace(0, 6, 13))
+    rgb = display.rgb_of(np.linspace(0, 6, 13))
     assert rgb.shape == (13, 3) and (rgb >= 0).all() and (rgb <= 1).all()
     assert one(spark, display.percent(F.lit(7), F.lit(3))) == 100
     assert len(one(spark, display.srgb(F.lit(1.0)))) == 3
