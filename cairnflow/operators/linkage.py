@@ -232,8 +232,9 @@ def ring_colours(ring: list[int], n_labels: int, slots: int = SLOTS) -> list[int
     return slot
 
 
-def cluster(points: np.ndarray, method: str = "complete", threshold: float = 0.25, target: int = 0) -> dict:
-    """Everything that a session's clustering yields, in unit-diameter space."""
+def cluster(points: np.ndarray, method: str = "complete", threshold: float = 0.25, target: int = 0, order: bool = True) -> dict:
+    """Everything that a session's clustering yields, in unit-diameter space. Without ``order`` leaves stay
+    in the order of the merges as they were found, which spares the dearest step where no places or angles are asked for."""
     points = np.asarray(points, dtype=float)
     n = len(points)
     if n > MOST_ITEMS:
@@ -245,17 +246,17 @@ def cluster(points: np.ndarray, method: str = "complete", threshold: float = 0.2
     merges = merge(dist, method) if n > 1 else []
     joined, rep = bookkeeping(points, merges)
     labels, roots, cut_height = cut(n, merges, threshold, target)
-    merges = optimal_order(dist, merges)
-    order = leaves_of(n, merges)
+    merges = optimal_order(dist, merges) if order else merges
+    ring_order = leaves_of(n, merges)
     angle = np.zeros(n)
-    angle[order] = 2 * math.pi * (np.arange(n) + 0.5) / max(n, 1)
-    ring = list(dict.fromkeys(labels[order].tolist()))
+    angle[ring_order] = 2 * math.pi * (np.arange(n) + 0.5) / max(n, 1)
+    ring = list(dict.fromkeys(labels[ring_order].tolist()))
     colours = ring_colours(ring, len(roots))
     stats = []
     for node, k in sorted(roots.items(), key=lambda r: r[1]):
         own = labels == k
         stats.append({"k": k, "size": int(own.sum()), "centroid": points[own].mean(axis=0).tolist(), "diameter": float(merges[node - n][2]) if node >= n else 0.0, "cluster_angle": float(angle[own].mean()), "color_index": colours[k]})
-    return {"merges": [(*m, r) for m, r in zip(merges, rep, strict=True)], "join_height": joined, "leaf_angle": angle, "labels": labels, "cut_height": cut_height, "order": order, "stats": stats}
+    return {"merges": [(*m, r) for m, r in zip(merges, rep, strict=True)], "join_height": joined, "leaf_angle": angle, "labels": labels, "cut_height": cut_height, "order": ring_order, "stats": stats}
 
 
 ASSIGNMENTS = "session_id string, id long, idx int, k int, join_height double, leaf_angle double, cluster_angle double, color_index int"
@@ -263,11 +264,11 @@ MERGES = "session_id string, step int, `left` int, `right` int, height double, r
 _BOTH = f"{ASSIGNMENTS}, {MERGES.split(', ', 1)[1]}"
 
 
-def _grouped(items: bool, merges: bool, method: str, threshold: float, target: int):
+def _grouped(items: bool, merges: bool, method: str, threshold: float, target: int, order: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         session = group["session_id"].iloc[0]
-        r = cluster(np.stack(group["features"].to_numpy()), method, threshold, target)
+        r = cluster(np.stack(group["features"].to_numpy()), method, threshold, target, order)
         tree = pd.DataFrame([(session, s, *m) for s, m in enumerate(r["merges"])], columns=["session_id", "step", "left", "right", "height", "representative"])
         by = r["stats"]
         k = r["labels"]
@@ -288,19 +289,19 @@ def _by_session(vectors: DataFrame, run, schema: str) -> DataFrame:
     return vectors.select("session_id", "id", "features").groupBy("session_id").applyInPandas(run, schema)
 
 
-def assignments(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0) -> DataFrame:
+def assignments(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0, order: bool = True) -> DataFrame:
     """Clustering of every session of ``vectors`` (session_id, id, features)."""
-    return _by_session(vectors, _grouped(True, False, method, threshold, target), ASSIGNMENTS)
+    return _by_session(vectors, _grouped(True, False, method, threshold, target, order), ASSIGNMENTS)
 
 
-def dendrogram(vectors: DataFrame, method: str = "complete") -> DataFrame:
-    """The ordered merges of every session."""
-    return _by_session(vectors, _grouped(False, True, method, 0.0, 0), MERGES)
+def dendrogram(vectors: DataFrame, method: str = "complete", order: bool = True) -> DataFrame:
+    """The merges of every session, by default with their children in the leaves' best order."""
+    return _by_session(vectors, _grouped(False, True, method, 0.0, 0, order), MERGES)
 
 
-def clustered(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Assignments and ordered merges of every session, clustered once and stored."""
-    both = stored(_by_session(vectors, _grouped(True, True, method, threshold, target), _BOTH), "clustered")
+def clustered(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0, order: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Assignments and merges of every session, clustered once and stored."""
+    both = stored(_by_session(vectors, _grouped(True, True, method, threshold, target, order), _BOTH), "clustered")
     columns = lambda schema: [F.col(f.split()[0].strip("`")).alias(f.split()[0].strip("`")) for f in schema.split(", ")]  # noqa: E731  (new columns: the two may be joined)
     return both.where("step is null").select(*columns(ASSIGNMENTS)), both.where("step is not null").select(*columns(MERGES))
 

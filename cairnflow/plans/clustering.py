@@ -71,7 +71,7 @@ def _merges_sql(method: str, target: int = 12) -> str:
 
 def _method(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = linkage.assignments(_session(spark, sf_dir), name, threshold=0.0, target=12)
+        r = linkage.assignments(_session(spark, sf_dir), name, threshold=0.0, target=12, order=False)
         return r.select(F.col("id").alias("vec_id"), "k", F.round("join_height", 5).alias("join_height"))
 
     run.__doc__ = f"G1-G4, J5 with {name} linkage, cut to twelve clusters."
@@ -85,7 +85,7 @@ for _m in linkage.METHODS:
 @query("dendrogram_merges", f"{_merges_sql('average')} SELECT s AS step, min(node) AS low, max(node) AS high, round(max(h), 5) AS height FROM tree GROUP BY s")
 def dendrogram_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges and the nodes that they join, free of their order."""
-    m = linkage.dendrogram(_session(spark, sf_dir), "average")
+    m = linkage.dendrogram(_session(spark, sf_dir), "average", order=False)
     return m.select("step", F.least("left", "right").alias("low"), F.greatest("left", "right").alias("high"), F.round("height", 5).alias("height"))
 
 
@@ -119,7 +119,7 @@ def dendrogram_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items, merges = linkage.clustered(_session(spark, sf_dir), "average", 0.0, 25)
+    items, merges = linkage.clustered(_session(spark, sf_dir), "average", 0.0, 25, order=False)
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return items.join(labels, "id").select("session_id", "idx", "id", (F.col("label") != 0).alias("visible"), "k", "cluster_angle"), merges
 
