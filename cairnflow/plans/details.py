@@ -307,8 +307,7 @@ def emphasis_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to NDJSON lines and back."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.to_json(F.struct("event_id", "value")).alias("payload"))
-    back = E.parsed(E.event_lines(e))
-    return back.select("event", F.get_json_object("payload", "$.event_id").cast("bigint").alias("id"), F.get_json_object("payload", "$.value").cast("double").alias("value"))
+    return E.parsed(E.event_lines(e), {"id": ("$.payload.event_id", "bigint"), "value": ("$.payload.value", "double")}).select("event", "id", "value")
 
 
 @query("run_plans", """SELECT * FROM (VALUES ('empty', 'rendering,analysis,clustering', true), ('rendered', 'analysis,clustering', true), ('analyzed', 'clustering', true), ('clustered', '', false)) AS t(status, stages, model)""")

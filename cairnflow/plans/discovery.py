@@ -64,7 +64,7 @@ def family_from_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("name_preference", """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name WHEN p_size % 4 = 1 THEN p_type WHEN p_size % 4 = 2 THEN p_brand ELSE p_name END AS name,
   CASE WHEN p_size % 4 = 0 THEN p_name WHEN p_size % 4 = 1 THEN p_type ELSE 'Regular' END AS style FROM part""")
 def name_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3-F8."""
+    """F3, F6, F7."""
     kind = F.col("p_size") % 4
     none = F.expr("cast(map() as map<string,string>)")
     typographic = F.when(kind == 0, F.create_map(F.lit("en-US"), "p_name", F.lit("en"), "p_brand")).when(kind == 1, F.create_map(F.lit("fr"), "p_name", F.lit("en"), "p_type")).otherwise(none)
@@ -149,7 +149,7 @@ def catalog_union_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V14."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    return search.fuzzy_search(p, "brnd#12", [F.array("p_brand", "p_name")]).select("p_partkey", F.round("score", 6).alias("score"))
+    return search.fuzzy_search(p, "brnd#12", [F.array("p_brand"), F.array("p_name")]).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query("name_edit_distance", "SELECT p_partkey, levenshtein(lower(p_brand), 'brand#11') AS edits FROM part WHERE levenshtein(lower(p_brand), 'brand#11') <= 1")

@@ -46,8 +46,7 @@ def event_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events from NDJSON lines, lines that are no JSON left out."""
     e = table(spark, sf_dir, "events")
     line = F.when(F.col("event_id") % 10 == 3, F.lit("not json")).otherwise(F.concat(F.lit('{"event":"'), "event_type", F.lit('","payload":{"id":'), F.col("event_id").cast("string"), F.lit(',"props":'), "props", F.lit("}}")))
-    p = E.parsed(e.select(line.alias("value")))
-    return p.select(F.get_json_object("payload", "$.id").cast("bigint").alias("event_id"), "event", F.get_json_object("payload", "$.props.k").cast("bigint").alias("k"))
+    return E.parsed(e.select(line.alias("value")), {"event_id": ("$.payload.id", "bigint"), "k": ("$.payload.props.k", "bigint")}).select("event_id", "event", "k")
 
 
 @query("plugin_liveness", """SELECT user_id AS plugin_id, event_id, floor(epoch((SELECT max(ts) FROM events)) - epoch(max_ts)) <= 5 AS alive FROM

@@ -78,10 +78,15 @@ def progress_stream(events: DataFrame) -> DataFrame:
         _progress, "run_id string, stage string, numerator long, denominator long", "numerator long, denominator long", "update", GroupStateTimeout.NoTimeout)
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Events of NDJSON lines (value); lines that are no JSON object with an event are left out."""
-    json = F.try_parse_json(F.col("value"))
-    return lines.select(F.try_variant_get(json, "$.event", "string").alias("event"), F.to_json(F.try_variant_get(json, "$.payload", "variant")).alias("payload")).where("event is not null")
+def parsed(lines: DataFrame, fields: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Events of NDJSON lines (value); lines that are no JSON object with an event are left out.
+
+    A line is parsed once. ``fields`` (column: path, type) takes values out of it; without them comes the payload as JSON.
+    """
+    json = lines.select(F.try_parse_json(F.col("value")).alias("_line"))
+    wanted = [F.try_variant_get("_line", path, kind).alias(c) for c, (path, kind) in (fields or {}).items()]
+    rest = wanted or [F.to_json(F.try_variant_get("_line", "$.payload", "variant")).alias("payload")]
+    return json.select(F.try_variant_get("_line", "$.event", "string").alias("event"), *rest).where("event is not null")
 
 
 def event_lines(events: DataFrame) -> DataFrame:
