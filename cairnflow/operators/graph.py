@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnflow.sources.store import stored
+from cairnflow.sources.store import discard, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         hung = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = hung.groupBy("a").agg(F.min("b").alias("m"))
-        now = stored(hung.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct(), "edges")
+        before, now = now, stored(hung.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct(), "edges")
+        discard(before)
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

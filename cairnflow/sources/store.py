@@ -11,14 +11,24 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` (or the warehouse, where that is unset) and read back; removed when the application ends."""
+    """``df`` written once below ``spark.checkpoint.dir`` (or the warehouse, where that is unset) and read back; removed by ``discard``, or when the application ends."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more (other tables are left alone)."""
+    for t in tables:
+        if path := getattr(t, "stored_at", None):
+            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_json(path: str, value: dict) -> None:
