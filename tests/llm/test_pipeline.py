@@ -57,3 +57,35 @@ def test_run_and_registration(spark, sf):
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
     assert corpus_pipeline.run(spark, sf).count() > 0 and "pipeline" in names
+
+
+def test_registered_queries_give_a_row_for_every_document(spark, sf):
+    from cairnflow.llm import queries
+
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    columns = {
+        "op1_segmentation_unigrams": ["doc_id", "held_out", "lang_pred", "score"],
+        "op4_cross_entropy_difference": ["doc_id", "n_tokens", "ce_target", "ce_background", "score"],
+        "op9_line_crf": ["doc_id", "held_out", "score", "predicted"],
+    }
+    for name, wanted in columns.items():
+        out = queries.QUERIES[name](spark, sf).toPandas()
+        assert list(out.columns) == wanted and len(out) == n and out["doc_id"].is_unique
+        if name != "op4_cross_entropy_difference":
+            assert out["score"].between(0, 1).all()
+    pieces = queries.QUERIES["op6_sum_of_squares_packing"](spark, sf).toPandas()
+    assert (pieces.groupby("doc_id")["length"].sum() == pieces.groupby("doc_id")["doc_tokens"].first()).all() and pieces["doc_id"].nunique() == n
+    fill = pieces.groupby("sequence_id")["length"].sum()
+    assert ((fill == 2048) | (fill & (fill - 1) == 0)).all()
+
+
+def test_learning_reads_whole_texts_within_its_bound(spark, monkeypatch):
+    good, bad = "\n".join(["Some words of a decent line of prose, and more of them."] * 300), "\n".join(["!!!! $$$$ 1234 |||"] * 300)
+    texts = [(i, (good if i % 2 else bad) * (40 if i % 10 < 2 else 1)) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    assert max(len(t) for _, t in texts) > 500_000
+    for most in (crf.SAMPLE_BYTES, 1 << 20):
+        monkeypatch.setattr(crf, "SAMPLE_BYTES", most)
+        out = crf.classify(docs, labels).toPandas().set_index("doc_id")
+        assert ((out["predicted"] == 1) == (out.index % 2 == 1)).all()

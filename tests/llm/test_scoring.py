@@ -268,6 +268,8 @@ def test_neighbours_with_a_tree_and_odd_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert kmeans_tree.search(few, few.where("vec_id % 50 = 0")).count() == 4
     assert kmeans_tree.search(few.limit(0), few).count() == 0
+    clash = few.selectExpr("vec_id", "embedding", "1 as leaf", "2 as part", "3 as block", "4 as query_id", "5 as score")
+    assert sorted(map(tuple, kmeans_tree.search(clash, clash.where("vec_id % 50 = 0")).collect())) == sorted(map(tuple, kmeans_tree.search(few, few.where("vec_id % 50 = 0")).collect()))
 
 
 def test_neighbours_through_several_levels(spark):
