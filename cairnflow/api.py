@@ -53,9 +53,9 @@ class Engine:
         emphasis = options.emphasis if options.enable_attribute_emphasis else None
         built = features.build_features(vectors, "embedding", "features", options.enable_preprocess_pca, options.pca_dimensions, emphasis, directions).select("session_id", "id", "features")
         built = features.scatter(built, "features")
-        out = linkage.assignments(built, options.method, options.distance_threshold, options.target_cluster_count)
+        out, merges = linkage.clustered(built, options.method, options.distance_threshold, options.target_cluster_count)
         self.catalog.write("assignments", session, out.join(built.select("id", "two"), "id").drop("session_id"))
-        self.catalog.write("merges", session, linkage.dendrogram(built, options.method).drop("session_id"))
+        self.catalog.write("merges", session, merges.drop("session_id"))
         stored = self.catalog.read("assignments", session)
         stats = stored.groupBy("k").agg(F.count("*").alias("size"), F.first("cluster_angle").alias("cluster_angle"), F.first("color_index").alias("color_index"))
         self.catalog.write("cluster_stats", session, stats)
@@ -88,6 +88,10 @@ class Engine:
                 self.spark.removeTag(session)
         return session
 
+    def reconcile(self) -> list[str]:
+        """Removes what is left of sessions that have no configuration."""
+        return sorted(self.catalog.reconcile())
+
     def stop(self, session: str) -> None:
         sessions.cancel(self.spark, session)
 
@@ -161,6 +165,39 @@ class Bridge:
         return sorted(k for k, b in self.beats.items() if int(self.clock() - b["last_seen"]) <= events.ALIVE_SECONDS)
 
 
+class BridgeServer:
+    """A bridge on a local port. A request is read once, up to ``REQUEST_BYTES``, answered as JSON that any page may read, and closed."""
+
+    REQUEST_BYTES = 4096
+
+    def __init__(self, bridge: Bridge, port: int = 0):
+        import socketserver
+
+        class Handler(socketserver.BaseRequestHandler):
+            def handle(self) -> None:
+                self.request.sendall(BridgeServer.response(bridge, self.request.recv(BridgeServer.REQUEST_BYTES)))
+
+        self.server = socketserver.ThreadingTCPServer(("localhost", port), Handler)
+        self.port = self.server.server_address[1]
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    @staticmethod
+    def response(bridge: Bridge, request: bytes) -> bytes:
+        import http
+        import json
+
+        head, _, body = request.decode("utf-8", "replace").partition("\r\n\r\n")
+        line = head.split("\r\n", 1)[0].split(" ")
+        status, value = bridge.answer(line[0], line[1], body) if len(line) == 3 else (400, None)
+        content = b"" if status == 204 else json.dumps(value).encode()
+        allow = "Access-Control-Allow-Origin: *\r\nAccess-Control-Allow-Methods: GET, POST, OPTIONS\r\nAccess-Control-Allow-Headers: Content-Type\r\n"
+        return f"HTTP/1.1 {status} {http.HTTPStatus(status).phrase}\r\nContent-Type: application/json\r\n{allow}Content-Length: {len(content)}\r\nConnection: close\r\n\r\n".encode() + content
+
+    def close(self) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
 def listed(items: DataFrame) -> DataFrame:
     """Clustered items in the order of their leaf angle, with their place in the circular list."""
     return selection.indexed(items.where("k is not null").withColumn("_order", F.struct("leaf_angle", "id")), "_order", "place").drop("_order")

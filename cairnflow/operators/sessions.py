@@ -119,6 +119,17 @@ class Pipeline:
         return status
 
 
+def resolve(catalogs: list[Catalog], session: str, restore=None) -> Catalog:
+    """The first of the catalogs (being processed, open, restored) that has the session; else the last one, into which
+    ``restore(session)`` puts it back from its archive (false if there is none)."""
+    found = next((c for c in catalogs if c.has("sessions", session)), None)
+    if found is None and restore is not None and restore(session):
+        found = catalogs[-1]
+    if found is None:
+        raise KeyError(session)
+    return found
+
+
 def cancel(spark: SparkSession, session: str) -> None:
     """Stops the Spark jobs that were started under the session's tag (``spark.addTag(session)``)."""
     spark.interruptTag(session)
@@ -198,6 +209,21 @@ class Catalog:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._at(name)}/session_id={session}")
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def listed(self, name: str) -> set[str]:
+        """The sessions that have rows of a table, from its folders alone."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return {str(x.getPath().getName()).removeprefix("session_id=") for x in fs.listStatus(at) if str(x.getPath().getName()).startswith("session_id=")} if fs.exists(at) else set()
+
+    def reconcile(self) -> set[str]:
+        """Removes what belongs to sessions without a configuration, as an ended process may leave it; the sessions it belonged to."""
+        sound, left = self.listed("sessions"), set()
+        for name in self.TABLES[1:]:
+            for session in self.listed(name) - sound:
+                self.remove(name, session)
+                left.add(session)
+        return left
+
     def delete(self, session: str) -> bool:
         """Whether there was such a session."""
         return any([self.remove(name, session) for name in self.TABLES])

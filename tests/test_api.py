@@ -61,3 +61,45 @@ def test_bridge():
     assert b.active() == ["p"]
     now[0] = 6.0
     assert b.active() == []
+
+
+def test_what_is_left_of_unknown_sessions_goes(engine):
+    s = engine.catalog.create({"title": "kept"})
+    rows = engine.spark.range(2).withColumnRenamed("id", "weight")
+    for session in (s, "left-over"):
+        engine.catalog.write("items", session, rows)
+    assert engine.reconcile() == ["left-over"] and engine.reconcile() == []
+    assert engine.catalog.has("items", s) and not engine.catalog.has("items", "left-over")
+
+
+def test_sessions_are_found_where_they_are(engine, tmp_path):
+    from cairnflow.operators import sessions
+
+    other = sessions.Catalog(engine.spark, f"file://{tmp_path}/other")
+    s = other.create({"title": "x"})
+    assert sessions.resolve([engine.catalog, other], s) is other
+    with pytest.raises(KeyError):
+        sessions.resolve([engine.catalog, other], "nowhere")
+    assert sessions.resolve([engine.catalog, other], "archived", lambda session: session == "archived") is other
+
+
+def test_bridge_on_a_port():
+    import json
+    import socket
+    import urllib.request
+
+    bridge = api.Bridge(lambda: 10.0)
+    bridge.send({"a": 1})
+    server = api.BridgeServer(bridge)
+    try:
+        with urllib.request.urlopen(f"http://localhost:{server.port}/data") as r:
+            assert json.load(r) == {"a": 1} and r.headers["Access-Control-Allow-Origin"] == "*"
+        with socket.create_connection(("localhost", server.port)) as c:  # head and body in one packet, as they are read at once
+            body = json.dumps({"plugin_id": "p"})
+            c.sendall(f"POST /heartbeat HTTP/1.1\r\nContent-Length: {len(body)}\r\n\r\n{body}".encode())
+            assert c.recv(100).startswith(b"HTTP/1.1 200 OK")
+        assert bridge.active() == ["p"]
+        assert api.BridgeServer.response(bridge, b"OPTIONS /data HTTP/1.1\r\n\r\n").startswith(b"HTTP/1.1 204 No Content")
+        assert api.BridgeServer.response(bridge, b"nonsense").startswith(b"HTTP/1.1 400")
+    finally:
+        server.close()
