@@ -66,3 +66,14 @@ later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY m ORDER
 gone AS (SELECT DISTINCT r, i + unnest(range(0, {size})) AS i FROM later),
 kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts) ANTI JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)"""
+
+
+def nearest(k: int = 5, every: int = 50) -> str:
+    """The exact nearest vectors, which the tree finds for certain while it has one leaf (below 800 vectors)."""
+    return f"""
+WITH sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= {k}"""

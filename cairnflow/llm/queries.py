@@ -74,6 +74,7 @@ ORACLES: dict[str, str] = {
     "op2_suffix_array_dedup": oracles.repeated_bytes(),
     "op3_url_filters": urlfilter.oracle(),
     "op5_circulant_minhash": oracles.near_duplicates(),
+    "op7_kmeans_tree": oracles.nearest(),
     "op8_minhash_containment": oracles.contained(),
     "op10_fixed_block_anchors": oracles.repeated_words(),
 }
