@@ -289,8 +289,19 @@ def radial_links(links: DataFrame) -> DataFrame:
 def arc_points(start: Column, end: Column, radius: Column, chord: float = 3.0) -> Column:
     """Points along an arc, the start left out, the end included, at most ``chord`` apart."""
     steps = F.greatest(F.lit(1), F.ceil(F.abs(end - start) * radius / chord).cast("int"))
-    at = lambda i: start + (end - start) * i / steps
-    return F.transform(F.sequence(F.lit(1), steps), lambda i: F.struct((F.lit(SIZE / 2) + radius * F.cos(at(i))).alias("x"), (F.lit(SIZE / 2) + radius * F.sin(at(i))).alias("y")))
+
+    def point(k: Column, angle: Column) -> Column:
+        return F.struct((F.lit(SIZE / 2) + k["radius"] * F.cos(angle)).alias("x"), (F.lit(SIZE / 2) + k["radius"] * F.sin(angle)).alias("y"))
+
+    return _with_constants(
+        {"start": start, "span": end - start, "radius": radius, "steps": steps},
+        lambda k: F.transform(F.transform(F.sequence(F.lit(1), k["steps"]), lambda i: k["start"] + k["span"] * i / k["steps"]), lambda a: point(k, a)),
+    )
+
+
+def _with_constants(values: dict[str, Column], f) -> Column:
+    """``f`` of a struct of values that are computed once, not again for every element of what ``f`` makes."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(c) for c, v in values.items()))), f), F.lit(0))
 
 
 def curve_points(child: Column, parent: Column, unit: Column) -> Column:
@@ -299,14 +310,14 @@ def curve_points(child: Column, parent: Column, unit: Column) -> Column:
     hx = F.when(F.abs(dx) > 1e-6, child["x"] + dx * 0.5).otherwise(child["x"] - F.least(F.abs(dy) / 2, unit * 12))
     n = F.greatest(F.lit(8), F.least(F.lit(256), F.ceil(F.sqrt(F.sqrt(dx * dx + dy * dy) / unit / 0.25)).cast("int")))
 
-    def at(i: Column) -> Column:
-        t = i / n
+    def at(k: Column, t: Column) -> Column:
         s = F.lit(1.0) - t
-        x = s * s * s * child["x"] + (s * s * t + s * t * t) * 3 * hx + t * t * t * parent["x"]
-        y = (s * s * s + s * s * t * 3) * child["y"] + (s * t * t * 3 + t * t * t) * parent["y"]
+        x = s * s * s * k["x0"] + (s * s * t + s * t * t) * 3 * k["hx"] + t * t * t * k["x1"]
+        y = (s * s * s + s * s * t * 3) * k["y0"] + (s * t * t * 3 + t * t * t) * k["y1"]
         return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), n), at)
+    ends = {"x0": child["x"], "y0": child["y"], "x1": parent["x"], "y1": parent["y"], "hx": hx, "n": n}
+    return _with_constants(ends, lambda k: F.transform(F.transform(F.sequence(F.lit(0), k["n"]), lambda i: i / k["n"]), lambda t: at(k, t)))
 
 
 def merge_dots(nodes: DataFrame, positions: DataFrame) -> DataFrame:
