@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairnflow.llm.divergence import TERM
 from cairnflow.llm.urlfilter import LOWER, UPPER
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -77,3 +78,30 @@ WITH sound AS (
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
 ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM pairs)
 SELECT * FROM ranked WHERE rank <= {k}"""
+
+
+def divergences(least: int = 3, top: int = 200) -> str:
+    """Sources against each other and terms against their language, over the whole grid of sources and kept terms."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
+    share = "1 + (1000000000::HUGEINT * (n + 1)) // ({} + v)"
+    f = "((p - q) * (p - q)) // q"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {words} AS w FROM documents),
+terms AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= {least}),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+whole AS (SELECT lang, term, {share.format("total")} AS q FROM kept JOIN sizes USING (lang)),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms GROUP BY ALL),
+grid AS (SELECT lang, source, term, coalesce(c.n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+shares AS MATERIALIZED (SELECT lang, source, term, n, {share.format("sum(n) OVER (PARTITION BY lang, source)")} AS p FROM grid JOIN sizes USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(max(value), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum({f}) AS value FROM shares x JOIN (SELECT lang, source, term, p AS q FROM shares) y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  GROUP BY ALL),
+marked AS (SELECT lang, source, 'term' AS part, term AS item, {f} AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM marked))
+WHERE part = 'pair' OR rank <= {top}"""

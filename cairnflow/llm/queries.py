@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import bytes_dedup, containment, crf, kmeans_tree, langid, lmscore, minhash, oracles, packing, substrings, urlfilter
+from cairnflow.llm import bytes_dedup, containment, crf, divergence, kmeans_tree, langid, lmscore, minhash, oracles, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
@@ -69,6 +69,11 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_count_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that set a source off."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {
     "op2_suffix_array_dedup": oracles.repeated_bytes(),
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op7_kmeans_tree": oracles.nearest(),
     "op8_minhash_containment": oracles.contained(),
     "op10_fixed_block_anchors": oracles.repeated_words(),
+    "op12_count_histograms": oracles.divergences(),
 }
