@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import bytes_dedup, containment, crf, divergence, kmeans_tree, langid, lmscore, minhash, oracles, packing, substrings, urlfilter
+from cairnflow.llm import bit_slices, bytes_dedup, containment, crf, divergence, kmeans_tree, langid, lmscore, minhash, oracles, packing, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
@@ -74,6 +74,12 @@ def op12_count_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, with every seventh label shifted."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bit_slices.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {
     "op2_suffix_array_dedup": oracles.repeated_bytes(),
@@ -82,5 +88,6 @@ ORACLES: dict[str, str] = {
     "op7_kmeans_tree": oracles.nearest(),
     "op8_minhash_containment": oracles.contained(),
     "op10_fixed_block_anchors": oracles.repeated_words(),
+    "op13_bit_sliced_negatives": oracles.hard_negatives(),
     "op12_count_histograms": oracles.divergences(),
 }
