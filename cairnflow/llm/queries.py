@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnflow.llm import bit_slices, bytes_dedup, containment, crf, divergence, kmeans_tree, langid, lmscore, minhash, oracles, packing, substrings, urlfilter
+from cairnflow.llm import bit_slices, bytes_dedup, containment, crf, divergence, kmeans_tree, langid, lmscore, minhash, oracles, packing, pii, substrings, urlfilter
 from cairnflow.llm.shared import table
 
 
@@ -69,6 +69,14 @@ def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
 def op12_count_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart, and the terms that set a source off."""
     return divergence.audit(table(spark, sf_dir, "documents"))
