@@ -6,8 +6,8 @@ in one, count in the other): ``f`` is evaluated once for each combination, times
 have are tallied by joining counts on the term; the cells with a zero follow from each source's own histogram less
 what the joint one already holds, so that no term is written out for a source that does not have it.
 
-1. Words of whole texts are counted by (lang, source, term), with the number of documents; terms in fewer than
-   ``least`` documents of their language go.
+1. Terms of whole texts are counted by (lang, source, term), with the number of documents, in each batch and then by key; those in
+   fewer than ``least`` documents of their language go.
 2. Pairs of sources that share a term are tallied by their two counts, and completed by the implied zero cells.
 3. ``f`` of each cell, both ways, gives the value of each ordered pair. Terms that stand out in a source against
    its whole language are ranked by the same f.
@@ -20,20 +20,26 @@ kept every pair's value is 0; repeated rows and rows without ids count as docume
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnflow.llm.shared import stored
-from cairnflow.llm.urlfilter import LOWER, UPPER
+from cairnflow.llm import textvec as tv
+from cairnflow.llm.shared import lean_batches, stored
 
 #: What the shares of a source's terms add up to, about.
 SCALE = 1_000_000_000
 #: Documents of a language that a kept term occurs in, and terms reported for each source.
 LEAST, TOP = 3, 200
+#: What a term is, and the bytes that are in none.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_OUTSIDE = np.zeros(256, bool)
+_OUTSIDE[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -47,12 +53,33 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each batch by group: occurrences, and documents."""
+    for batch in batches:
+        for part in tv.pieces(batch):
+            data, starts, ends = tv.buffers(part.column("text"))
+            ws, we, first = tv.word_spans(data, starts, ends, _OUTSIDE)
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[ws] += 1
+            inside[we] -= 1
+            letters = tv.LOWER[data][np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+            ends_at = np.concatenate([[0], np.cumsum(we - ws)]).astype(np.int32)
+            terms = pa.StringArray.from_buffers(len(ws), pa.py_buffer(ends_at), pa.py_buffer(letters)).dictionary_encode()
+            lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
+            width, sources = max(1, len(terms.dictionary)), max(1, len(source.dictionary))
+            group = np.asarray(lang.indices, np.int64) * sources + np.asarray(source.indices, np.int64)
+            held, times = np.unique(np.repeat(np.arange(part.num_rows), np.diff(first)) * width + np.asarray(terms.indices, np.int64), return_counts=True)
+            key, which = np.unique(group[held // width] * width + held % width, return_inverse=True)
+            n, docs = np.bincount(which, times, len(key)).astype(np.int64), np.bincount(which, minlength=len(key))
+            columns = [lang.dictionary.take(pa.array(key // width // sources)), source.dictionary.take(pa.array(key // width % sources)), terms.dictionary.take(pa.array(key % width)), pa.array(n), pa.array(docs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that have the term."""
-    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    tagged = lambda terms, first: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(first).alias("first")))
-    rows = docs.select(*_group(), words.alias("words")).select("lang", "source", F.inline(F.concat(tagged(F.col("words"), 0), tagged(F.array_distinct("words"), 1))))
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("docs"))
+    lean_batches(docs)
+    rows = docs.select(*_group(), "text").mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _group() -> list[Column]:

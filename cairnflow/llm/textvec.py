@@ -101,12 +101,12 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
     trim()
 
 
-def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each text (and past the last) its first word."""
+def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each text (and past the last) its first word; ``outside``: which bytes separate words."""
     if not len(starts) or ends[-1] <= starts[0]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts) + 1, np.int64)
     a, b = int(starts[0]), int(ends[-1])
-    word = ~SPACE[data[a:b]]
+    word = ~outside[data[a:b]]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
