@@ -96,9 +96,14 @@ def _pairwise(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most:
     return np.concatenate(parts) if parts else np.zeros(0, x.dtype)
 
 
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """x, or for Python's integers their ranks."""
+    return np.unique(x, return_inverse=True)[1] if x.dtype == object else x
+
+
 def _kth(i: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
     """For each of n anchors the k-th largest of its values (_NONE with fewer)."""
-    order = np.lexsort((-value, i))
+    order = np.lexsort((-_sortable(value), i))
     first = np.searchsorted(i[order], np.arange(n + 1))
     at = first[:-1] + k - 1
     out = np.full(n, _NONE, value.dtype)
@@ -109,7 +114,7 @@ def _kth(i: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
 
 def _first(i: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each i: by score, then by the smaller id."""
-    order = np.lexsort((ids, -score, i))
+    order = np.lexsort((ids, -_sortable(score), i))
     sorted_i = i[order]
     place = np.arange(len(order)) - np.searchsorted(sorted_i, sorted_i)
     return order[place < k]

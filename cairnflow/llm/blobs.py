@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 #: Bytes of input for a bucket; at least, at most so many buckets.
@@ -108,22 +109,35 @@ def decode_all(table: pa.Table, widths: list[int], tagged: bool = False) -> tupl
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), [np.concatenate([f[2][i] for f in found]) for i in range(n_keys)]
 
 
-def by_doc(docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Distinct documents with their positions as int lists (in no order)."""
-    order = np.argsort(docs, kind="stable")
+def by_doc(docs: np.ndarray, pos: np.ndarray, once: bool = False) -> tuple[np.ndarray, pa.ListArray]:
+    """Distinct documents with their positions as int lists (in no order; each position of a document only once, with ``once``)."""
+    order = np.lexsort((pos, docs)) if once else np.argsort(docs, kind="stable")
     docs, pos = docs[order], pos[order]
+    if once and len(docs):
+        new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1])])
+        docs, pos = docs[new], pos[new]
     new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
     return docs[new], pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(docs)]]), pa.int32()), pa.array(pos, pa.int32()))
 
 
 def by_row(docs: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
-    """Distinct pairs of document and tag with their positions as int lists (in no order)."""
-    order = np.lexsort((tags, docs))
+    """Distinct pairs of document and tag with their distinct positions as int lists."""
+    order = np.lexsort((pos, tags, docs))
     docs, tags, pos = docs[order], tags[order], pos[order]
+    if len(docs):
+        new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]) | (pos[1:] != pos[:-1])])
+        docs, tags, pos = docs[new], tags[new], pos[new]
     new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])) if len(docs) else np.zeros(0, np.int64)
     return docs[new], tags[new], pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(docs)]]), pa.int32()), pa.array(pos, pa.int32()))
 
 
+def flat(lists: pa.ChunkedArray, *of: np.ndarray) -> list[np.ndarray]:
+    """The members of lists, and for each what ``of`` says of its list."""
+    lists = lists.combine_chunks()
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), dtype=np.int64)
+    return [np.asarray(lists.flatten(), dtype=np.int64), *(np.repeat(x, sizes) for x in of)]
+
+
 def groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place of each run of equal keys, and for each place the number of its run."""
     new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, bool)

@@ -10,8 +10,8 @@ anchors at equal places, so repeats are looked for among the anchors' contexts o
    sorting. A window reaches o bytes left and 400 - o right; it is repeated if another context lies in the
    same class of both sorted orders at these depths.
 
-Contexts that are equal within a task are settled there and travel once, so a group of copies costs a
-task one entry. Defined results: a null text is empty; texts shorter than a window keep all bytes; a
+Rows equal in id and text are one row from step 2 on; that there are several removes all of them. Contexts that are
+equal within a task are settled there and travel once, so a group of copies costs a task one entry. Defined results: a null text is empty; texts shorter than a window keep all bytes; a
 repeated row repeats every string of its text, so both are removed alike; a row is known by the
 64-bit hash of its id and text, so spans apply to the text they were found in alone; null ids are allowed.
 """
@@ -86,7 +86,7 @@ def _send(rows: list[tuple[int, bytes]], n_buckets: int, docs: np.ndarray, pos:
     ids, lists = blobs.by_doc(docs, pos)
     k = len(rows)
     columns = [
-        pa.array([*(b for b, _ in rows), *(np.arange(len(ids)) % n_buckets).tolist()], pa.int32()),
+        pa.array([*(b for b, _ in rows), *(tv.mix(ids.view(np.uint64)) % np.uint64(n_buckets)).tolist()], pa.int32()),
         pa.array([*(blob for _, blob in rows), *[None] * len(ids)], pa.binary()),
         pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(ids, pa.int64())]),
         pa.concat_arrays([pa.nulls(k, pa.list_(pa.int32())), lists.cast(pa.list_(pa.int32()))]),
@@ -131,12 +131,14 @@ def _repeated(limit: int):
         order = np.argsort(key, kind="stable")
         head, run_of = blobs.groups(key[order])
         total = np.add.reduceat(weight[order].astype(np.int64), head)[run_of] if len(head) else np.zeros(0, np.int64)
+        settled = _settled(table)
+        places, own = blobs.flat(settled.column("pos"), settled.column("doc_id").to_numpy())
         parts = []
         for often, keep in ((False, (total > 1) & (total <= limit)), (True, total > limit)):
-            ids, lists = blobs.by_doc(doc[order[keep]], pos[order[keep]])
-            parts.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "pos": lists, "often": pa.array([often] * len(ids), pa.bool_())}))
-        settled = _settled(table)
-        return pa.concat_tables([*parts, settled.append_column("often", pa.array([True] * settled.num_rows, pa.bool_()))])
+            docs, at = (doc[order[keep]], pos[order[keep]]) if not often else (np.concatenate([doc[order[keep]], own]), np.concatenate([pos[order[keep]], places]))
+            ids, lists = blobs.by_doc(docs, at, once=True)  # copies of a row have the same places
+            parts.append(pa.table({"doc_id": pa.array(ids, pa.int64()), "pos": lists.cast(pa.list_(pa.int32())), "often": pa.array([often] * len(ids), pa.bool_())}))
+        return pa.concat_tables(parts)
 
     return run
 
@@ -365,12 +367,16 @@ def remove_repeated_bytes(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     rows = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(blobs.NO_ID)), "text"))
     long = rows.where(F.octet_length("text") >= WINDOW).select("row", "text")
     flagged = stored(long.mapInArrow(_enter(n, often), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_repeated(often)), _FLAGGED), "anchors")
-    marks = flagged.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list(F.when(F.col("often"), F.col("pos")))).alias("often"), F.flatten(F.collect_list(F.when(~F.col("often"), F.col("pos")))).alias("seldom"))
-    marked = stored(long.join(marks, "row"), "marked")
+    lists = lambda often: F.flatten(F.collect_list(F.when(F.col("often") == often, F.col("pos")))).alias("often" if often else "seldom")
+    marks = flagged.groupBy(F.col("doc_id").alias("row")).agg(lists(True), lists(False))
+    once = long.groupBy("row").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    marked = stored(once.join(marks, "row"), "marked")
     discard(flagged)
     narrowed = marked.where(F.size("often") > 0).select("row", "text", "often").mapInArrow(_narrow(n), _SHIPPED)
     left = stored(narrowed.groupBy("bucket").applyInArrow(tv.lean(_again), _FOUND), "windows")
     runs = marked.select("row", "text", "seldom").join(_of_rows(left, "left"), "row", "left").where((F.size("seldom") > 0) | F.col("left").isNotNull())
     found = stored(runs.mapInArrow(_contexts(n), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_sorted_out), _FOUND), "repeats")
-    discard(marked, left)
-    return rows.join(_of_rows(found, "pos"), "row", "left").select("doc_id", "text", "pos").mapInArrow(_cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = marked.where("times > 1").select(F.col("row").alias("doc_id"), F.array(F.lit(0), F.octet_length("text") - WINDOW).alias("pos"))
+    spans = stored(_of_rows(found.unionByName(whole), "pos"), "spans")  # stored, so that Spark splits the join of a row with many copies
+    discard(marked, left, found)
+    return rows.join(spans, "row", "left").select("doc_id", "text", "pos").mapInArrow(_cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

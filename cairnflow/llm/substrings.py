@@ -43,7 +43,7 @@ def _shipped(dealt: Iterator[tuple[int, bytes, np.ndarray]], docs: np.ndarray, t
     bucket, blob = [b for b, _ in rows], [x for _, x in rows]
     none = len(bucket)
     columns = [
-        pa.array([*bucket, *(np.arange(len(ids)) % n_buckets).tolist()], pa.int32()),
+        pa.array([*bucket, *(tv.mix(ids.view(np.uint64) ^ tags) % np.uint64(n_buckets)).tolist()], pa.int32()),
         pa.array([*blob, *[None] * len(ids)], pa.binary()),
         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(ids, pa.int64())]),
         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(tags.view(np.int64))]),
@@ -109,13 +109,18 @@ def _probe(n_buckets: int, block: int):
 def _hits(block: int):
     def run(table: pa.Table) -> pa.Table:
         doc, pos, (key, tag) = blobs.decode_all(table, [5], True)
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((pos, tag, doc, key))
+        if len(order):  # copies of a row are one
+            other = np.any([x[order][1:] != x[order][:-1] for x in (key, doc, tag, pos)], axis=0)
+            order = order[np.concatenate([[True], other])]
         head, run_of = blobs.groups(key[order])
         if len(head):
             aligned = np.maximum.reduceat(_starts_block(doc, tag, pos, block)[order].astype(np.int8), head) > 0
             hit = (aligned & (np.diff(np.concatenate([head, [len(order)]])) > 1))[run_of]
             order = order[hit]
-        return pa.concat_tables([_settled(table), _rows(doc[order], tag[order], pos[order])])
+        settled = _settled(table)
+        places, docs, tags = blobs.flat(settled.column("pos"), settled.column("doc_id").to_numpy(), settled.column("tag").to_numpy().view(np.uint64))
+        return _rows(np.concatenate([doc[order], docs]), np.concatenate([tag[order], tags]), np.concatenate([pos[order], places]))
 
     return run
 
@@ -178,10 +183,12 @@ def repeated_windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     lean_batches(docs, blobs.piece_bytes(n))
     seeds = stored(docs.mapInArrow(_probe(n, block), _SHIPPED).groupBy("bucket").applyInArrow(tv.lean(_hits(block)), _FOUND), "hits")
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(blobs.NO_ID)))
-    windows = keyed.join(_of_rows(seeds), ["doc_id", "tag"]).mapInArrow(_extend(n, block), _SHIPPED)
+    once = keyed.groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
+    windows = once.join(_of_rows(seeds), ["doc_id", "tag"]).select("doc_id", "text", "tag", "pos").mapInArrow(_extend(n, block), _SHIPPED)
     repeats = stored(windows.groupBy("bucket").applyInArrow(tv.lean(_later), _FOUND), "repeats")
-    discard(seeds)
-    return _of_rows(repeats)
+    out = stored(_of_rows(repeats), "gone")  # stored, so that Spark splits the join of a row with many copies
+    discard(seeds, repeats)
+    return out
 
 
 def _tag(docs: DataFrame) -> Column:
