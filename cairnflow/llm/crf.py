@@ -3,8 +3,8 @@
 Every line that is not blank has a state, good or bad. A line's score comes from its own features and those of
 the lines before and after it; neighbouring states are tied by a transition table. The model is fitted on a
 bounded sample of whole labelled documents (about ``SAMPLE`` of them, chosen by a hash of their ids, as long as they have
-``SAMPLE_BYTES`` bytes together), whose lines take their document's label; the lines' features are computed by the
-executors. Whole texts are scored: forward-backward gives each line its marginal of being good, and
+``SAMPLE_LINES`` lines together; a document with over an eighth of that is not chosen), whose lines take their document's label; the
+lines' features are computed by the executors, and only these reach the driver. Whole texts are scored: forward-backward gives each line its marginal of being good, and
 their mean weighted by length is the document's quality, which a logistic curve of the same sample turns into
 the probability of label 1.
 
@@ -26,10 +26,11 @@ from cairnflow.llm import textvec as tv
 from cairnflow.llm.shared import discard, held_out, lean_batches, stored
 
 SAMPLE = 3000
-SAMPLE_BYTES = 24 << 20
+#: Lines of the sample: 10 MB of features, 34 MB with those of neighbours.
+SAMPLE_LINES = 200_000
 STEPS = 120
 THRESHOLD = 0.3
-_FEATURED = "at long, doc_id long, tag long, quality int, n_bytes long, sizes array<int>, x binary"
+_FEATURED = "at long, doc_id long, tag long, quality int, sizes array<int>, x binary"
 
 
 def _class(members: bytes) -> np.ndarray:
@@ -230,15 +231,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     chosen = known.withColumn("at", at).where(F.col("at") < int(np.ceil(share * (1 << 20)))).orderBy("at", "doc_id", "quality").limit(2 * sample)
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("tag", F.xxhash64("text"))  # bounded by the sample's size
-    found = stored(few.select("at", "doc_id", "tag", "quality", "text").mapInArrow(_featured, _FEATURED), "lines")
+    kept = stored(few.select("at", "doc_id", "tag", "quality", "text").mapInArrow(_featured, _FEATURED), "lines")
     place = F.struct("at", "doc_id", "tag", "quality")
-    sizes = found.select(place.alias("place"), "n_bytes").orderBy("place").limit(2 * sample).collect()
-    until = next((i for i, b in enumerate(np.cumsum([r.n_bytes for r in sizes]).tolist(), 1) if b >= SAMPLE_BYTES), len(sizes))
-    if not sizes:
+    found = kept.where(F.size("sizes") <= SAMPLE_LINES // 8)
+    sizes = found.select(place.alias("place"), F.size("sizes").alias("n")).orderBy("place").limit(2 * sample).collect()
+    until = int(np.searchsorted(np.cumsum([r.n for r in sizes]), SAMPLE_LINES, "right"))
+    if not until:
         return fit([], [])
     last = F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(("at", "doc_id", "tag", "quality"), sizes[until - 1].place, ("long", "long", "long", "int"), strict=True)))
     rows = found.where(place <= last).orderBy("at", "doc_id", "tag", "quality").limit(until).select("quality", "sizes", "x").toArrow().combine_chunks()
-    discard(found)
+    discard(kept)
     lists = rows.column("sizes").combine_chunks()
     per = np.asarray(pa.compute.list_value_length(lists), dtype=np.int64)
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, OWN)
@@ -252,9 +254,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, size, x = lines(part.column("text"))
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
             blobs = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            n_bytes = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
             kept = [part.column(c) for c in ("at", "doc_id", "tag", "quality")]
-            yield pa.RecordBatch.from_arrays([*kept, n_bytes, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(size, pa.int32())), pa.array(blobs, pa.binary())], names=["at", "doc_id", "tag", "quality", "n_bytes", "sizes", "x"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(size, pa.int32())), pa.array(blobs, pa.binary())], names=["at", "doc_id", "tag", "quality", "sizes", "x"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

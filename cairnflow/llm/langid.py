@@ -7,14 +7,15 @@ words. Probabilities are fitted by expectation-maximisation on a bounded sample
 language at least); prediction reads whole texts. A word's likelihoods are computed once in a worker and remembered.
 
 Words are runs of letters (ASCII letters and all bytes from 0x80), lower-cased for ASCII and Latin-1. Words of more than
-``CUT`` bytes are scored whole too, side by side with rescaled sums; only in fitting are they learned from in parts of that
-length. Defined results: a null text, or one without any letter, is ``und`` with score 0, and so are all texts if there is
+``LONG`` bytes are learned from and scored whole too, side by side and with logarithms of the sums; in fitting, rows of a language are left
+out of the sample that would bring more than ``LONG_BYTES`` of such words (but for one row of each language). Defined results: a null text, or one without any letter, is ``und`` with score 0, and so are all texts if there is
 nothing to learn from; ties go to the language whose name sorts first; null ids are held out of learning; rows are judged one by one.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from cairnflow.llm.shared import held_out, lean_batches
 
 PER_LANGUAGE = 1000
 SAMPLE_BYTES = 64 << 20
-CUT = 40
+LONG, LONG_BYTES = 40, 256 << 10
 ROUNDS = 4
 #: Languages beyond which the model is refused: it is sent to all workers.
 MOST_LANGUAGES = 256
@@ -182,8 +183,50 @@ def _expected(found, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def letters(batch_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, then start, end and text of every run of letters (with ``cut`` in parts of CUT bytes)."""
+def expected_long(data: np.ndarray, ws: np.ndarray, we: np.ndarray, finder: Pieces, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The same as ``_expected`` for words of any length, each followed by the end byte: forward and backward sums as logarithms.
+
+    The longest words come first, so that at each place those that reach it are the first ones.
+    """
+    order = np.argsort(ws - we, kind="stable")
+    ws, size, weight = ws[order], (we - ws)[order] + 1, weight[order]
+    n, top, langs = len(ws), int(size[0]), prob.shape[1]
+    place = np.arange(top)
+    raw = data[np.minimum(ws[:, None] + place, len(data) - 1)]
+    raw = np.where(place == (size - 1)[:, None], np.uint8(_END), raw)
+    p = np.zeros((n, top + 1), np.uint64)
+    pow_, inv = tv._powers(tv._BASE, top + 1), tv._powers(pow(tv._BASE, -1, 1 << 64), top + 1)
+    np.cumsum(tv._VALUE[raw] * pow_[:top], axis=1, out=p[:, 1:])
+    reach = np.searchsorted(-size, -np.arange(top + 1), "right")  # words with so many bytes at least
+
+    def ending(t: int) -> list[tuple[int, np.ndarray]]:
+        """(start, piece numbers of the words that reach t) where some word has a piece."""
+        starts = [t - k for k in finder.sizes if k <= t]
+        ids = finder.find(tv.mix((p[: reach[t], t, None] - p[: reach[t], starts]) * inv[starts] + (t - np.array(starts)).astype(np.uint64)).ravel()).reshape(reach[t], -1)
+        return [(i, ids[:, c]) for c, i in enumerate(starts) if (ids[:, c] < finder.n).any()]
+
+    found = [ending(t) for t in range(1, top + 1)]
+    ahead, back = np.zeros((top + 1, n, langs)), np.full((top + 1, n, langs), -np.inf)
+    for t in range(1, top + 1):
+        m, base = reach[t], ahead[t - 1, : reach[t]]
+        ahead[t, :m] = base + np.log(sum(np.exp(ahead[i, :m] - base) * prob[ids] for i, ids in found[t - 1]))
+    back[size, np.arange(n)] = 0
+    whole = ahead[size, np.arange(n)]
+    out = np.zeros_like(prob)
+    for t in range(top, 0, -1):
+        m = reach[t]
+        for i, ids in found[t - 1]:
+            step = np.log(np.maximum(prob[ids], 1e-300)) + back[t, :m]
+            back[i, :m] = np.logaddexp(back[i, :m], step)
+            used = np.exp(ahead[i, :m] + step - whole[:m]) * weight[:m]
+            for k in range(langs):
+                out[:, k] += np.bincount(ids, used[:, k], minlength=len(prob))
+    out[-1] = 0
+    return out
+
+
+def letters(batch_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, then start, end and text of every run of letters."""
     data = tv.LOWER[batch_bytes]
     after = np.concatenate([[0], batch_bytes[:-1]]) == 0xC3
     data[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
@@ -198,11 +241,6 @@ def letters(batch_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut:
     first = mask & ~np.concatenate([[False], mask[:-1]]) | mask & edge
     ws = np.flatnonzero(first)
     we = np.flatnonzero(mask[:-1] & (~mask[1:] | first[1:])) + 1
-    long = np.flatnonzero(we - ws > CUT)
-    if cut and len(long):
-        more = np.concatenate([np.arange(ws[i] + CUT, we[i], CUT) for i in long])
-        ws = np.sort(np.concatenate([ws, more]))
-        we = np.sort(np.concatenate([we, more]))
     return data, ws, we, np.searchsorted(starts, ws, "right") - 1
 
 
@@ -214,11 +252,27 @@ def _by_length(data: np.ndarray, ws: np.ndarray, we: np.ndarray):
         yield at, np.concatenate([data[ws[at, None] + np.arange(n)], np.full((len(at), 1), _END, np.uint8)], axis=1)
 
 
+def _within(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The rows, by a hash of their text, that keep each language's bytes in long words within LONG_BYTES; one row of each language at least."""
+    _, ws, we, row = letters(*tv.buffers(pa.array([t for _, t in texts], pa.large_string())))
+    size = we - ws
+    long = np.bincount(row, np.where(size > LONG, size, 0), minlength=len(texts))
+    used, out = {}, {}
+    for i in sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i][1].encode("utf-8", "replace")), texts[i])):
+        lang = texts[i][0]
+        if used.get(lang, 0) + long[i] <= LONG_BYTES:
+            used[lang] = used.get(lang, 0) + long[i]
+            out.setdefault(lang, []).append(i)
+    for lang in {lang for lang, _ in texts} - set(out):
+        out[lang] = [min((i for i in range(len(texts)) if texts[i][0] == lang), key=lambda i: long[i])]
+    return [texts[i] for i in sorted(i for rows in out.values() for i in rows)]
+
+
 def fit(texts: list[tuple[str, str]], pieces: list[bytes]) -> tuple[list[str], np.ndarray]:
     """Languages, and for each piece (and a last row of zeros) its probability in every language."""
     langs = sorted({lang for lang, _ in texts})
-    column = pa.array([t for _, t in texts], pa.large_string())
-    data, ws, we, row = letters(*tv.buffers(column), cut=True)
+    texts = _within(texts)
+    data, ws, we, row = letters(*tv.buffers(pa.array([t for _, t in texts], pa.large_string())))
     h = tv.word_hashes(data, ws, we)
     _, example, which = np.unique(h, return_index=True, return_inverse=True)
     of = np.array([langs.index(lang) for lang, _ in texts])[row]
@@ -226,9 +280,21 @@ def fit(texts: list[tuple[str, str]], pieces: list[bytes]) -> tuple[list[str], n
     finder = Pieces(pieces)
     prob = np.full((len(pieces) + 1, len(langs)), 1 / len(pieces))
     prob[-1] = 0
-    groups = [(at[k : k + 8192], rows[k : k + 8192]) for at, rows in _by_length(data, ws[example], we[example]) for k in range(0, len(at), 8192)]
+    ws, we = ws[example], we[example]
+    short, long = np.flatnonzero(we - ws <= LONG), np.flatnonzero(we - ws > LONG)
+    groups = [(short[at[k : k + 8192]], rows[k : k + 8192]) for at, rows in _by_length(data, ws[short], we[short]) for k in range(0, len(at), 8192)]
+    long = long[np.argsort(ws[long] - we[long], kind="stable")]
+    width = [max(1, (1 << 21) // len(langs) // int(n)) for n in we[long] - ws[long]]
+    chunks, at = [], 0
+    while at < len(long):
+        chunks.append(long[at : at + width[at]])
+        at += width[at]
     for _ in range(ROUNDS):
-        count = sum(_expected(finder.substrings(rows), prob, weight[at]) for at, rows in groups)
+        count = np.zeros_like(prob)
+        for at, rows in groups:
+            count += _expected(finder.substrings(rows), prob, weight[at])
+        for at in chunks:
+            count += expected_long(data, ws[at], we[at], finder, prob, weight[at])
         count += 0.1 + 0.1 * count.sum(axis=1, keepdims=True) / max(1.0, count.sum()) * 100  # unseen pieces keep a share, common ones more
         prob = count / count[:-1].sum(axis=0)
         prob[-1] = 0
@@ -261,7 +327,7 @@ class Scorer:
             fresh = example[new]
             value = np.empty((len(fresh), self.prob.shape[1]), np.float32)
             size = we[fresh] - ws[fresh]
-            short, long = np.flatnonzero(size <= CUT), np.flatnonzero(size > CUT)
+            short, long = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
             for places, rows in _by_length(data, ws[fresh[short]], we[fresh[short]]):
                 for k in range(0, len(places), 8192):
                     value[short[places[k : k + 8192]]] = np.log(np.maximum(forward(self.finder.substrings(rows[k : k + 8192]), self.prob)[-1], 1e-300))

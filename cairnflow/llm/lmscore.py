@@ -256,15 +256,15 @@ def _totals(dealt: DataFrame, size: int, corpora: list[int]) -> list[tuple[np.nd
     return out
 
 
-def score(docs: DataFrame, target: DataFrame, background: DataFrame, path: str, size: int | None = None) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, path: str, background: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ce_target, ce_background, score (background less target, in nats a token).
 
-    ``size`` keeps only the first ids of the vocabulary; without it the whole vocabulary is used.
+    Without a ``background`` the documents are it, each scored by all others; a table given as ``background`` counts whole. ``size`` keeps only the first ids of the vocabulary; without it the whole vocabulary is used.
     """
     lean_batches(docs)
     size = size or whole(path)
     n = blobs.buckets_for(docs, _BUCKET_BYTES)
-    own = _DOCS if background is docs else _BACKGROUND  # documents that are the background are read once
+    own = _DOCS if background is None else _BACKGROUND
     corpora = {_DOCS: docs.select("doc_id", "text"), _TARGET: target.select("text")} | ({} if own == _DOCS else {_BACKGROUND: background.select("text")})
     dealt = stored(functools.reduce(DataFrame.unionAll, (t.mapInArrow(_enter(c, path, size, n), _DEALT) for c, t in corpora.items())), "bigrams")
     totals = docs.sparkSession.sparkContext.broadcast(_totals(dealt, size, [_TARGET, own]))

@@ -33,8 +33,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more every document resembles the conversations than the documents."""
-    docs = table(spark, sf_dir, "documents")
-    return lmscore.score(docs, table(spark, sf_dir, "conversations"), docs, _vocabulary("byte_bpe_50k.json"))
+    return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"), _vocabulary("byte_bpe_50k.json"))
 
 
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

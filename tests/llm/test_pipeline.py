@@ -85,7 +85,7 @@ def test_learning_reads_whole_texts_within_its_bound(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
     assert max(len(t) for _, t in texts) > 500_000
-    for most in (crf.SAMPLE_BYTES, 1 << 20):
-        monkeypatch.setattr(crf, "SAMPLE_BYTES", most)
+    for most in (crf.SAMPLE_LINES, 4000):
+        monkeypatch.setattr(crf, "SAMPLE_LINES", most)
         out = crf.classify(docs, labels).toPandas().set_index("doc_id")
         assert ((out["predicted"] == 1) == (out.index % 2 == 1)).all()

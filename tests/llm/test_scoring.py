@@ -52,6 +52,26 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got[0], [total(word, 0), total(word, 1)])
 
 
+def test_expectations_of_long_words(monkeypatch):
+    rng = np.random.default_rng(7)
+    pieces = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choice(list(b"abc\xe6"), n)) for n in (2, 3, 5) for _ in range(20)} | {b"a\xff", b"bc\xff"})
+    prob = np.concatenate([rng.random((len(pieces), 2)) / 50, np.zeros((1, 2))])
+    words = [bytes(rng.choice(list(b"abc\xe6"), n)) for n in (7, 12, 12, 30, 3)]
+    data, weight = np.frombuffer(b" ".join(words), np.uint8), rng.integers(1, 5, (5, 2)).astype(float)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    finder = langid.Pieces(pieces)
+    want = sum(langid._expected(finder.substrings(np.frombuffer(w + b"\xff", np.uint8)[None]), prob, weight[[i]]) for i, w in enumerate(words))
+    got = langid.expected_long(data, ends - [len(w) for w in words], ends, finder, prob, weight)
+    assert np.allclose(got[:-1], want[:-1]) and got[:-1].sum() > 0
+    texts = [("x", "abcab bca " * 3 + "ca" * 30), ("y", "bb cc " * 5 + "cb" * 25 + " a")] * 2
+    whole = langid.fit(texts, pieces)[1]
+    monkeypatch.setattr(langid, "LONG", 1000)
+    assert np.allclose(langid.fit(texts, pieces)[1], whole, rtol=1e-6)  # the same model by sums as by logarithms
+    monkeypatch.setattr(langid, "LONG", 10)
+    monkeypatch.setattr(langid, "LONG_BYTES", 70)
+    assert sorted(langid._within([*texts, ("z", "q" * 500)])) == sorted({*texts, ("z", "q" * 500)})
+
+
 def test_forward_over_long_words():
     rng = np.random.default_rng(2)
     pieces = sorted({bytes([b]) for b in range(256)} | {bytes(rng.choice(list(b"abc\xe6"), n)) for n in (2, 3, 5, 7) for _ in range(30)} | {b"a\xff", b"bc\xff"})
@@ -114,7 +134,7 @@ def test_cross_entropy_against_plain_counts(spark, documents):
     df, rows = documents
     size = 600
     target = spark.createDataFrame([(t,) for _, t in rows[:40]], "text string").repartition(3)
-    got = {r.doc_id: r for r in lmscore.score(df, target, df, BYTES, size).collect()}
+    got = {r.doc_id: r for r in lmscore.score(df, target, BYTES, size=size).collect()}
     tok = lmscore.tokenizer(BYTES, size)
     ids = lambda t: [i for w in brute.WORD.findall(t or "") for i in tok.encoder.encode(f" {w}", add_special_tokens=False).ids]
 
@@ -138,20 +158,28 @@ def test_cross_entropy_against_plain_counts(spark, documents):
         assert np.allclose([got[d].ce_target, got[d].ce_background, got[d].score], [*loss, loss[1] - loss[0]], atol=1e-4)
 
 
+def test_the_background_is_named_not_recognised(spark, documents):
+    df, _ = documents
+    docs, plain = df.limit(20), lambda rows: sorted((r.doc_id, round(r.score, 9)) for r in rows.collect())
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    apart = plain(lmscore.score(docs, docs, BYTES, docs, 500))
+    assert apart == plain(lmscore.score(docs, docs, BYTES, docs.select("*"), 500)) != plain(lmscore.score(docs, docs, BYTES, size=500))
+
+
 def test_a_background_apart_from_the_documents(spark):
     texts = ["a b c a b", "b c d", "a a b"]
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "d d")], "doc_id long, text string")
     table = spark.createDataFrame([(t,) for t in texts], "text string")
-    out = lmscore.score(docs, table, table, BYTES, 600).collect()
+    out = lmscore.score(docs, table, BYTES, table, 600).collect()
     assert len(out) == 3 and all(abs(r.score) < 1e-12 and r.ce_target == r.ce_background for r in out)  # one corpus on both sides
 
 
 def test_cross_entropy_of_odd_rows(spark, hostile, no_rows):
     df, rows = hostile
-    out = lmscore.score(df, no_rows, df, BYTES, 300).collect()
+    out = lmscore.score(df, no_rows, BYTES, size=300).collect()
     assert len(out) == len(rows)
     assert all((r.ce_target is None and r.score == 0) if r.n_tokens == 0 else r.ce_target > 0 for r in out)
-    assert lmscore.score(no_rows, no_rows, no_rows, BYTES, 300).count() == 0
+    assert lmscore.score(no_rows, no_rows, BYTES, no_rows, 300).count() == 0
 
 
 def test_cross_entropy_counts_the_whole_vocabulary(spark):
@@ -160,7 +188,7 @@ def test_cross_entropy_counts_the_whole_vocabulary(spark):
     assert late
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(late)], "doc_id long, text string")
     target = spark.createDataFrame([(f"{late[0]} " * 20,)], "text string")
-    out = {r.doc_id: r for r in lmscore.score(docs, target, docs, BYTES).collect()}
+    out = {r.doc_id: r for r in lmscore.score(docs, target, BYTES).collect()}
     assert all(out[i].n_tokens == len(tok.encoder.encode(f" {w}").ids) for i, w in enumerate(late))
     assert max(out.values(), key=lambda r: r.score).doc_id == 0
 
