@@ -1,8 +1,7 @@
 """Hierarchical clustering of a session's items: seven linkages, the cut, leaf order, ring colours and statistics.
 
-One session is one group: linkage is sequential by nature and holds a distance matrix, so ``MOST_ITEMS`` bounds a
-group, and many sessions run side by side. Beyond that bound single linkage has a distributed form in
-``graph.single_linkage_labels``.
+One session is one group here, which holds a distance matrix: ``MOST_ITEMS`` bounds it, and many sessions run side by side.
+``hierarchy`` has merges, cut and labels of reducible linkages for sessions of any size.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ def distances(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
-    """G1: merges (left, right, height), nodes from n on in the order of merges; ties go to the smallest pair.
+def merge(dist: np.ndarray, method: str, sizes: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """G1: merges (left, right, height), nodes from n on in the order of merges; ties go to the smallest pair. ``sizes``: of clusters to begin with.
 
     A lower bound of each row's nearest distance is kept, and a row is searched again only when its bound is the least
     and its neighbour is gone; distances follow Lance and Williams.
@@ -45,7 +44,7 @@ def merge(dist: np.ndarray, method: str) -> list[tuple[int, int, float]]:
     if method in ("ward", "centroid", "median"):
         d *= d
     np.fill_diagonal(d, np.inf)
-    size, node = np.ones(n), np.arange(n)
+    size, node = np.ones(n) if sizes is None else sizes.astype(float), np.arange(n)
     alive = np.ones(n, bool)
     near = d.argmin(axis=1) if n > 1 else np.zeros(n, int)
     least = d[np.arange(n), near] if n > 1 else np.full(n, np.inf)
@@ -109,7 +108,7 @@ def bookkeeping(points: np.ndarray, merges: list[tuple[int, int, float]]) -> tup
         total = size[left] + size[right]
         c = (centre[left] * size[left] + centre[right] * size[right]) / total
         apart = [float(((points[rep[k]] - c) ** 2).sum()) for k in (left, right)]
-        rep.append(rep[left] if apart[0] <= apart[1] else rep[right])
+        rep.append(rep[left] if apart[0] <= apart[1] * (1 + 1e-9) else rep[right])
         centre.append(c)
         size.append(total)
     return joined, rep[n:]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import display
 from cairnflow.functions import vectors as V
-from cairnflow.operators import graph, linkage, pairs, selection, topology
+from cairnflow.operators import graph, hierarchy, linkage, pairs, selection, topology
 from cairnflow.plans.registry import query
 from cairnflow.plans.vectors import _PAIRS, _vectors
 from cairnflow.sources.store import stored
@@ -71,7 +71,10 @@ def _merges_sql(method: str, target: int = 12) -> str:
 
 def _method(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = linkage.assignments(_session(spark, sf_dir), name, threshold=0.0, target=12, order=False)
+        if name in hierarchy.METHODS:
+            r, _ = hierarchy.clustered(_session(spark, sf_dir), name, threshold=0.0, target=12)
+        else:
+            r = linkage.assignments(_session(spark, sf_dir), name, threshold=0.0, target=12, order=False)
         return r.select(F.col("id").alias("vec_id"), "k", F.round("join_height", 5).alias("join_height"))
 
     run.__doc__ = f"G1-G4, J5 with {name} linkage, cut to twelve clusters."
@@ -85,8 +88,15 @@ for _m in linkage.METHODS:
 @query("dendrogram_merges", f"{_merges_sql('average')} SELECT s AS step, min(node) AS low, max(node) AS high, round(max(h), 5) AS height FROM tree GROUP BY s")
 def dendrogram_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges and the nodes that they join, free of their order."""
-    m = linkage.dendrogram(_session(spark, sf_dir), "average", order=False)
-    return m.select("step", F.least("left", "right").alias("low"), F.greatest("left", "right").alias("high"), F.round("height", 5).alias("height"))
+    m = hierarchy.dendrogram(_session(spark, sf_dir), "average")
+    return m.select("step", F.col("left").alias("low"), F.col("right").alias("high"), F.round("height", 5).alias("height"))
+
+
+@query("single_linkage_merges", f"{_merges_sql('single')} SELECT s AS step, min(node) AS low, max(node) AS high, round(max(h), 5) AS height FROM tree GROUP BY s")
+def single_linkage_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tree of single linkage, contracted from spanning forests."""
+    m = hierarchy.dendrogram(_session(spark, sf_dir), "single")
+    return m.select("step", F.col("left").alias("low"), F.col("right").alias("high"), F.round("height", 5).alias("height"))
 
 
 @query("leaf_angles", "SELECT vec_id, round((row_number() OVER (ORDER BY vec_id) - 0.5) * 2 * pi() / count(*) OVER (), 6) AS angle FROM embeddings")
@@ -119,9 +129,10 @@ def dendrogram_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items, merges = linkage.clustered(_session(spark, sf_dir), "average", 0.0, 25, order=False)
+    items, merges = hierarchy.clustered(_session(spark, sf_dir), "average", 0.0, 25)
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return items.join(labels, "id").select("session_id", "idx", "id", (F.col("label") != 0).alias("visible"), "k", "cluster_angle"), merges
+    leaves = items.join(labels, "id").select("session_id", "idx", "id", (F.col("label") != 0).alias("visible"), "k", F.lit(None).cast("double").alias("cluster_angle"))
+    return stored(leaves, "leaves"), merges
 
 
 @query("dendrogram_ancestry", f"""{_merges_sql('average')} SELECT vec_id AS id, up.node, round(coalesce(heights.h, 0), 5) AS height, depth FROM up JOIN down USING (node) JOIN e ON e.i = up.leaf LEFT JOIN heights USING (node)""")
