@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.functions import display
+from cairnflow.operators.selection import running_total
+from cairnflow.sources.store import discard, stored
 
 #: Fixed sizes of the graph: the square of radial layouts, and the rectangle of the others.
 SIZE, WIDTH, HEIGHT = 1000.0, 1500.0, 900.0
@@ -17,48 +21,94 @@ SIZE, WIDTH, HEIGHT = 1000.0, 1500.0, 900.0
 VORONOI_SIDES, VORONOI_ROUNDS, VORONOI_RATIO, VORONOI_SEED = 128, 100, 0.005, 42
 
 
-def _bottom_up(nodes: pd.DataFrame, leaf: dict[int, float]) -> dict[int, float]:
-    """Values of inner nodes as means of their children's, which have smaller numbers."""
-    out = dict(leaf)
-    for r in nodes.sort_values("node").itertuples():
-        if r.node not in out:
-            out[r.node] = float(np.mean([out[c] for c in r.children]))
-    return out
-
-
-def _tree(kind: str):
-    def run(nodes: pd.DataFrame) -> pd.DataFrame:
-        leaves = nodes[nodes["id"].notna()]
-        total = len(leaves)
-        most = float(nodes["height"].max())
-        place = {int(n): int(p) for n, p in zip(leaves["node"], leaves["first_place"], strict=True)}
-        level = [1.0 if not len(c) else (0.0 if most <= 0 else 1 - h / most) for c, h in zip(nodes["children"], nodes["height"], strict=True)]
-        out = nodes[["session_id", "node", "id"]].copy()
-        if kind == "radial":
-            angle = _bottom_up(nodes, {n: -math.pi / 2 + 2 * math.pi * (p + 0.5) / total for n, p in place.items()})
-            out["angle"] = [angle[n] for n in nodes["node"]]
-            out["radius"] = [SIZE / 2 * v for v in level]
-            out["x"], out["y"] = SIZE / 2 + out["radius"] * np.cos(out["angle"]), SIZE / 2 + out["radius"] * np.sin(out["angle"])
-        else:
-            y = _bottom_up(nodes, {n: (p + 0.5) / total * HEIGHT for n, p in place.items()})
-            out["angle"], out["radius"] = np.nan, np.nan
-            out["x"], out["y"] = [WIDTH * v for v in level], [y[n] for n in nodes["node"]]
-        return out
-
-    return run
-
-
-_POSITIONS = "session_id string, node int, id long, angle double, radius double, x double, y double"
+def child_means(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(session_id, node, value) of every node: a leaf's own, else the mean of the children's. ``leaves``: session_id, node, value.
+
+    The tree is contracted: a node with one child left to find is a linear function of it, and such functions are put into
+    each other by doubling, so a chain of any length takes as many rounds as its length has bits.
+    """
+    known = stored(leaves.select("session_id", "node", "value"), "known")
+    links = stored(nodes.select("session_id", "node", F.size("children").alias("k"), F.explode("children").alias("child")), "links")
+    linear = known.select("session_id", "node", F.col("node").alias("on"), F.col("value").alias("p"), F.col("value").alias("q")).limit(0)
+    while True:
+        at = known.select("session_id", F.col("node").alias("child"), "value")
+        state = links.join(at, ["session_id", "child"], "left").groupBy("session_id", "node").agg(
+            (F.coalesce(F.sum("value"), F.lit(0.0)) / F.first("k")).alias("q"), F.count_if(F.col("value").isNull()).alias("open"), F.max(F.when(F.col("value").isNull(), F.col("child"))).alias("on"), (F.lit(1.0) / F.first("k")).alias("p"))
+        state = stored(state, "state")
+        every = linear.unionByName(state.where("open = 1").select("session_id", "node", "on", "p", "q"))
+        on = known.select("session_id", F.col("node").alias("on"), "value")
+        after = every.select("session_id", F.col("node").alias("on"), F.col("on").alias("_on"), F.col("p").alias("_p"), F.col("q").alias("_q"))
+        step = every.join(on, ["session_id", "on"], "left").join(after, ["session_id", "on"], "left")
+        step = stored(step.select("session_id", "node", F.coalesce("_on", "on").alias("on"), (F.col("p") * F.coalesce("_p", F.lit(1.0))).alias("p"), (F.col("q") + F.col("p") * F.coalesce("_q", F.lit(0.0))).alias("q"), (F.col("p") * F.col("value") + F.col("q")).alias("value")), "linear")
+        found = state.where("open = 0").select("session_id", "node", F.col("q").alias("value")).union(step.where("value is not null").select("session_id", "node", "value"))
+        before, known = known, stored(known.union(found), "known")
+        links = links.join(state.where("open < 2").select("session_id", "node"), ["session_id", "node"], "left_anti")
+        linear = step.where("value is null").select("session_id", "node", "on", "p", "q")
+        discard(before)
+        if not (links.limit(1).count() or linear.limit(1).count()):
+            return known
+        links = stored(links, "links")
+
+
+def _placed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(session_id, node, id, share, level): how far from the top of the tree; and the leaves with their share of the way round."""
+    whole = nodes.groupBy("session_id").agg(F.count_if(F.col("id").isNotNull()).alias("_total"), F.max("height").alias("_most"))
+    known = nodes.join(whole, "session_id")
+    level = F.when(F.size("children") == 0, 1.0).when(F.col("_most") <= 0, 0.0).otherwise(1 - F.col("height") / F.col("_most"))
+    leaves = known.where("id is not null").select("session_id", "node", ((F.col("first_place") + 0.5) / F.col("_total")).alias("value"))
+    return known.select("session_id", "node", "id", level.alias("level")), leaves
 
 
 def radial_tree(nodes: DataFrame) -> DataFrame:
     """L1: leaves evenly round a circle in their order, inner nodes at the mean of their children's angles, nearer the centre the higher."""
-    return nodes.groupBy("session_id").applyInPandas(_tree("radial"), _POSITIONS)
+    known, leaves = _placed(nodes)
+    at = child_means(nodes, leaves.withColumn("value", F.col("value") * 2 * math.pi - math.pi / 2)).withColumnRenamed("value", "angle")
+    out = known.join(at, ["session_id", "node"]).withColumn("radius", F.col("level") * SIZE / 2)
+    return out.select("session_id", "node", "id", "angle", "radius", (F.col("radius") * F.cos("angle") + SIZE / 2).alias("x"), (F.col("radius") * F.sin("angle") + SIZE / 2).alias("y"))
 
 
 def horizontal_tree(nodes: DataFrame) -> DataFrame:
     """L2: leaves at the right edge in their order, inner nodes at the mean of their children, to the left the higher."""
-    return nodes.groupBy("session_id").applyInPandas(_tree("horizontal"), _POSITIONS)
+    known, leaves = _placed(nodes)
+    at = child_means(nodes, leaves.withColumn("value", F.col("value") * HEIGHT)).withColumnRenamed("value", "y")
+    none = F.lit(None).cast("double")
+    return known.join(at, ["session_id", "node"]).select("session_id", "node", "id", none.alias("angle"), none.alias("radius"), (F.col("level") * WIDTH).alias("x"), "y")
+
+
+def weights(nodes: DataFrame) -> DataFrame:
+    """(session_id, node, weight): a leaf weighs its wins and one, a node what its leaves weigh: sums over their places."""
+    one = nodes.where("id is not null").select("session_id", F.col("first_place").alias("place"), (F.col("wins") + 1).cast("long").alias("own"))
+    until = stored(running_total(one, [F.col("session_id"), F.col("place")], F.col("own"), "until"), "until")
+    first = until.select("session_id", F.col("place").alias("first_place"), (F.col("until") - F.col("own")).alias("_before"))
+    last = until.select("session_id", F.col("place").alias("last_place"), F.col("until").alias("_until"))
+    both = nodes.select("session_id", "node", "first_place", "last_place").join(first, ["session_id", "first_place"]).join(last, ["session_id", "last_place"])
+    return both.select("session_id", "node", (F.col("_until") - F.col("_before")).cast("double").alias("weight"))
+
+
+def _down(nodes: DataFrame, whole: list, cut) -> DataFrame:
+    """(session_id, node, shape) of every node, from the roots down: a level's shapes are handed to its children, and each set of
+    siblings cuts that of its parent in a group of its own. ``cut``: shapes of siblings from parent's shape, weights and parent's number."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        shapes = cut(group.column("shape")[0].as_py(), group.column("weight").to_numpy(), group.column("parent")[0].as_py())
+        return pa.table({"session_id": group.column("session_id"), "node": group.column("node"), "shape": pa.array(shapes, kind)})
+
+    deep = isinstance(whole[0], list)
+    kind = pa.list_(pa.list_(pa.float64())) if deep else pa.list_(pa.float64())
+    sql = "array<array<double>>" if deep else "array<double>"
+    place = nodes.select("session_id", F.col("node").alias("parent"), F.posexplode("children").alias("at", "node"))
+    known = nodes.select("session_id", "node", "depth").join(place, ["session_id", "node"], "left").join(weights(nodes), ["session_id", "node"])
+    known = stored(known.withColumns({"parent": F.coalesce("parent", F.lit(-1)), "at": F.when(F.col("parent").isNull(), F.col("node")).otherwise(F.col("at"))}), "siblings")
+    levels = known.agg(F.max("depth")).first()[0]
+    top = F.array(*(F.array(*map(F.lit, p)) for p in whole)) if deep else F.array(*map(F.lit, whole))
+    above, out = known.select("session_id").distinct().select("session_id", F.lit(-1).alias("parent"), top.alias("shape")), []
+    for depth in range((levels if levels is not None else -1) + 1):
+        level = known.where(F.col("depth") == depth).join(above, ["session_id", "parent"])
+        out.append(stored(level.groupBy("session_id", "parent").applyInArrow(run, f"session_id string, node int, shape {sql}"), "level"))
+        above = out[-1].select("session_id", F.col("node").alias("parent"), "shape")
+    empty = above.select("session_id", F.col("parent").cast("int").alias("node"), "shape").limit(0)
+    return reduce(DataFrame.union, out, empty)
 
 
 def _split(weights: list[float], i: int, j: int, box: tuple, out: dict) -> None:
@@ -85,37 +135,18 @@ def _split(weights: list[float], i: int, j: int, box: tuple, out: dict) -> None:
             stack += [(i, k, (x0, y0, x1, cut)), (k, j, (x0, cut, x1, y1))]
 
 
-def _weights(nodes: pd.DataFrame) -> dict[int, float]:
-    out: dict[int, float] = {}
-    for r in nodes.sort_values("node").itertuples():
-        out[r.node] = float(r.wins) + 1 if not len(r.children) else sum(out[c] for c in r.children)
-    return out
-
-
-def _rectangles(nodes: pd.DataFrame) -> pd.DataFrame:
-    weight, kids = _weights(nodes), {r.node: list(r.children) for r in nodes.itertuples()}
-    parents = set(nodes["node"])
-    roots = [r.node for r in nodes.sort_values("node").itertuples() if pd.isna(r.parent) or r.parent not in parents]
-    boxes: dict[int, tuple] = {}
-    todo = [(roots, (0.0, 0.0, WIDTH, HEIGHT))]
-    while todo:
-        own, box = todo.pop()
-        cells: dict[int, tuple] = {}
-        _split([weight[c] for c in own], 0, len(own), box, cells)
-        for i, c in enumerate(own):
-            boxes[c] = cells[i]
-            if kids[c]:
-                todo.append((kids[c], cells[i]))
-    out = nodes[["session_id", "node", "id"]].copy()
-    for k, name in enumerate(("x0", "y0", "x1", "y1")):
-        out[name] = [boxes[n][k] for n in nodes["node"]]
-    out["x"], out["y"] = (out["x0"] + out["x1"]) / 2, (out["y0"] + out["y1"]) / 2
-    return out
+def _rectangles(box: list[float], weight: np.ndarray, parent: int) -> list[list[float]]:
+    cells: dict[int, tuple] = {}
+    _split(weight.tolist(), 0, len(weight), tuple(box), cells)
+    return [list(map(float, cells[i])) for i in range(len(weight))]
 
 
 def rectangular_treemap(nodes: DataFrame) -> DataFrame:
     """L3: cells of all nodes, a leaf weighing its wins and one; positions are centres."""
-    return nodes.groupBy("session_id").applyInPandas(_rectangles, "session_id string, node int, id long, x0 double, y0 double, x1 double, y1 double, x double, y double")
+    cells = _down(nodes, [0.0, 0.0, WIDTH, HEIGHT], _rectangles)
+    corners = [F.col("shape")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    found = nodes.select("session_id", "node", "id").join(cells, ["session_id", "node"]).select("session_id", "node", "id", *corners)
+    return found.withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2})
 
 
 def cluster_rectangles(cells: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,19 +204,34 @@ def voronoi_boundaries(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("session_id", "node", segment("p", "q").alias("segment")).where("segment is not null")
 
 
-def clip(polygon: np.ndarray, normal: np.ndarray, offset: float) -> np.ndarray:
-    """The part of a convex polygon where normal . p <= offset."""
-    if not len(polygon):
-        return polygon
-    d = polygon @ normal - offset
+def clip(polygon: list[tuple], a: float, b: float, c: float) -> list[tuple]:
+    """The part of a convex polygon where a x + b y <= c."""
     out = []
-    for i in range(len(polygon)):
-        j = (i + 1) % len(polygon)
-        if d[i] <= 0:
-            out.append(polygon[i])
-        if (d[i] < 0 < d[j]) or (d[j] < 0 < d[i]):
-            out.append(polygon[i] + (polygon[j] - polygon[i]) * d[i] / (d[i] - d[j]))
-    return np.array(out).reshape(-1, 2)
+    side = [a * x + b * y - c for x, y in polygon]
+    for i, (x, y) in enumerate(polygon):
+        before = side[i - 1]
+        if before * side[i] < 0:
+            u, v = polygon[i - 1]
+            t = before / (before - side[i])
+            out.append((u + (x - u) * t, v + (y - v) * t))
+        if side[i] <= 0:
+            out.append((x, y))
+    return out
+
+
+def _moments(polygon: list[tuple]) -> tuple[float, float, float]:
+    """Centre and area of a polygon."""
+    area = cx = cy = 0.0
+    u, v = polygon[-1]
+    for x, y in polygon:
+        cross = u * y - x * v
+        area += cross
+        cx += (u + x) * cross
+        cy += (v + y) * cross
+        u, v = x, y
+    if abs(area) < 2e-12:
+        return sum(x for x, _ in polygon) / len(polygon), sum(y for _, y in polygon) / len(polygon), 0.0
+    return cx / (3 * area), cy / (3 * area), abs(area) / 2
 
 
 def centroid(polygon: np.ndarray) -> tuple[np.ndarray, float]:
@@ -198,60 +244,62 @@ def centroid(polygon: np.ndarray) -> tuple[np.ndarray, float]:
     return np.array([((x + np.roll(x, -1)) * cross).sum(), ((y + np.roll(y, -1)) * cross).sum()]) / (6 * area), abs(area)
 
 
-def power_cells(polygon: np.ndarray, weights: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+def power_cells(polygon: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
     """L4: cells of a convex polygon with areas in proportion to the weights (power diagram, moved to centroids round by round)."""
-    n = len(weights)
+    n = len(weight)
+    whole = [tuple(map(float, p)) for p in polygon]
     if n == 1:
-        return [polygon]
-    share = weights / weights.sum()
-    middle, area = centroid(polygon)
-    spread = np.abs(polygon - middle).max(axis=0)
-    sites = middle + (rng.random((n, 2)) - 0.5) * spread
-    power = np.zeros(n)
-    cells = [polygon] * n
+        return [np.array(whole)]
+    share = (weight / weight.sum()).tolist()
+    mx, my, area = _moments(whole)
+    wide, high = (max(abs(p[k] - m) for p in whole) for k, m in ((0, mx), (1, my)))
+    sites = [(mx + (a - 0.5) * wide, my + (b - 0.5) * high) for a, b in rng.random((n, 2)).tolist()]
+    power = [0.0] * n
+    best, least = [], math.inf
     for _ in range(VORONOI_ROUNDS):
         cells = []
-        for i in range(n):
-            cell = polygon
-            for j in range(n):
-                if i != j and len(cell):
-                    d = sites[j] - sites[i]
-                    cell = clip(cell, 2 * d, sites[j] @ sites[j] - sites[i] @ sites[i] - power[j] + power[i])
+        for i, (x, y) in enumerate(sites):
+            near = sorted(((u - x) ** 2 + (v - y) ** 2 - power[j], j) for j, (u, v) in enumerate(sites) if j != i)
+            cell = whole
+            for _, j in near:
+                u, v = sites[j]
+                cell = clip(cell, 2 * (u - x), 2 * (v - y), u * u + v * v - x * x - y * y - power[j] + power[i])
+                if len(cell) < 3:
+                    break
             cells.append(cell)
-        got = np.array([centroid(c)[1] if len(c) > 2 else 0.0 for c in cells]) / area
-        if np.abs(got - share).sum() / 2 <= VORONOI_RATIO:
+        moments = [_moments(c) if len(c) > 2 else (*s, 0.0) for c, s in zip(cells, sites, strict=True)]
+        off = sum(abs(m[2] / area - w) for m, w in zip(moments, share, strict=True)) / 2
+        if off < least:
+            best, least = cells, off
+        if off <= VORONOI_RATIO:
             break
-        sites = np.array([centroid(c)[0] if len(c) > 2 else s for c, s in zip(cells, sites, strict=True)])
-        power += (share - got) * area * 0.5
-        power -= power.min()
-    return cells
-
-
-def _voronoi(nodes: pd.DataFrame) -> pd.DataFrame:
-    rng = np.random.default_rng(VORONOI_SEED)
-    weight, kids = _weights(nodes), {r.node: list(r.children) for r in nodes.itertuples()}
-    known = set(nodes["node"])
-    roots = [r.node for r in nodes.sort_values("node").itertuples() if pd.isna(r.parent) or r.parent not in known]
-    turn = 2 * math.pi * np.arange(VORONOI_SIDES) / VORONOI_SIDES
-    shape: dict[int, np.ndarray] = {}
-    todo = [(roots, np.stack([SIZE / 2 + SIZE / 2 * np.cos(turn), SIZE / 2 + SIZE / 2 * np.sin(turn)], axis=1))]
-    while todo:
-        own, polygon = todo.pop()
-        cells = power_cells(polygon, np.array([weight[c] for c in own]), rng) if len(polygon) > 2 else [polygon] * len(own)
-        for c, cell in zip(own, cells, strict=True):
-            shape[c] = cell if len(cell) > 2 else polygon
-            if kids[c]:
-                todo.append((kids[c], shape[c]))
-    out = nodes[["session_id", "node", "id"]].copy()
-    out["polygon"] = [shape[n].tolist() for n in nodes["node"]]
-    at = [centroid(shape[n])[0] for n in nodes["node"]]
-    out["x"], out["y"] = [a[0] for a in at], [a[1] for a in at]
-    return out
+        sites = [m[:2] for m in moments]
+        power = [p + (w * area - m[2]) * 0.5 for p, w, m in zip(power, share, moments, strict=True)]
+        low = min(power)
+        power = [p - low for p in power]
+    return [np.array(c).reshape(-1, 2) for c in best]
+
+
+def _voronoi(polygon: list, weight: np.ndarray, parent: int) -> list[list]:
+    cells = power_cells(np.array(polygon), weight, np.random.default_rng([VORONOI_SEED, parent + 1])) if len(polygon) > 2 else [np.array(polygon)] * len(weight)
+    return [c.tolist() if len(c) > 2 else polygon for c in cells]
 
 
 def voronoi_treemap(nodes: DataFrame) -> DataFrame:
     """L4: convex cells in a 128-gon, nested along the tree, with the rectangular treemap's weights."""
-    return nodes.groupBy("session_id").applyInPandas(_voronoi, "session_id string, node int, id long, polygon array<array<double>>, x double, y double")
+    turn = [2 * math.pi * k / VORONOI_SIDES for k in range(VORONOI_SIDES)]
+    cells = _down(nodes, [[SIZE / 2 + SIZE / 2 * math.cos(t), SIZE / 2 + SIZE / 2 * math.sin(t)] for t in turn], _voronoi)
+    found = nodes.select("session_id", "node", "id").join(cells.withColumnRenamed("shape", "polygon"), ["session_id", "node"])
+    return found.withColumn("_m", moments(F.col("polygon"))).select("session_id", "node", "id", "polygon", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"))
+
+
+def moments(polygon: Column) -> Column:
+    """Centre (x, y) and area of a convex polygon with an area: sums over its edges."""
+    before = F.concat(F.slice(polygon, -1, 1), F.slice(polygon, 1, F.size(polygon) - 1))
+    cross = F.zip_with(before, polygon, lambda p, q: F.struct((p[0] * q[1] - q[0] * p[1]).alias("c"), (p[0] + q[0]).alias("x"), (p[1] + q[1]).alias("y")))
+    total = lambda f: F.aggregate(cross, F.lit(0.0), lambda s, e: s + f(e))
+    area = total(lambda e: e["c"])
+    return F.struct((total(lambda e: e["x"] * e["c"]) / (3 * area)).alias("x"), (total(lambda e: e["y"] * e["c"]) / (3 * area)).alias("y"), (F.abs(area) / 2).alias("area"))
 
 
 def scatter_plot(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

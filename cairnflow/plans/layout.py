@@ -128,14 +128,14 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         up = below.groupBy(*by).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sort_array(F.collect_list("node")).alias("children"), F.sum("n").alias("n"))
         up = stored(selection.indexed(up, "first", "rank"), "level").withColumns({"node": F.col("rank") + offset, "height": F.lit(depth + 1.0)}).drop("rank")
         parent = up.select(F.explode("children").alias("node"), F.col("node").alias("parent"))
-        levels.append(below.join(parent, "node", "left"))
+        levels.append(below.join(parent, "node", "left").withColumn("depth", F.lit(3 - depth)))
         below, offset = up, offset + up.count()
-    levels.append(below.withColumn("parent", F.lit(None).cast("long")))
+    levels.append(below.withColumns({"parent": F.lit(None).cast("long"), "depth": F.lit(0)}))
     whole = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), levels)
     children = F.coalesce("children", F.array().cast("array<bigint>")).cast("array<int>")
     is_leaf = F.size(children) == 0
     return stored(whole.select(
-        F.lit("all").alias("session_id"), F.col("node").cast("int"), F.when(is_leaf, F.col("node")).alias("id"), children.alias("children"), F.col("parent").cast("int"), (F.col("n") - 1).cast("int").alias("wins"), "height",
+        F.lit("all").alias("session_id"), F.col("node").cast("int"), F.when(is_leaf, F.col("node")).alias("id"), children.alias("children"), F.col("parent").cast("int"), (F.col("n") - 1).cast("int").alias("wins"), "height", "depth",
         F.col("first").cast("int").alias("first_place"), F.col("last").cast("int").alias("last_place"), F.when(~is_leaf, F.col("node")).cast("int").alias("merge_index"), F.col("first").cast("int").alias("representative"), "kind"), "nodes")
 
 
@@ -165,35 +165,56 @@ def radial_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.radial_tree(nodes).select(F.col("id").alias("vec_id"), F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@query("rectangular_treemap", f"""WITH {_TREE}, total AS (SELECT sum(n) AS t FROM leaf),
-  whole AS (SELECT place AS node, n FROM leaf UNION ALL SELECT b.node, sum(n) FROM leaf JOIN brand b USING (kind, brand) GROUP BY ALL UNION ALL SELECT k.node, sum(n) FROM leaf JOIN kind k USING (kind) GROUP BY ALL UNION ALL SELECT root.node, t FROM root, total)
-  SELECT node, round(n * 1500 * 900 / t, 3) AS area, true AS inside FROM whole, total""")
+_ROLLED = f"""{_TREE}, rolled AS (SELECT place AS node, place AS first, b.node AS parent, n FROM leaf JOIN brand b USING (kind, brand) UNION ALL
+    SELECT b.node, min(b.first), max(k.node), sum(n) FROM leaf JOIN brand b USING (kind, brand) JOIN kind k USING (kind) GROUP BY ALL UNION ALL
+    SELECT k.node, min(k.first), max(root.node), sum(n) FROM leaf JOIN kind k USING (kind), root GROUP BY ALL UNION ALL SELECT root.node, 0, NULL, sum(n) FROM leaf, root GROUP BY ALL)"""
+
+
+@query("rectangular_treemap", f"""WITH RECURSIVE {_ROLLED},
+  ranked AS MATERIALIZED (SELECT node, parent, n, row_number() OVER (PARTITION BY parent ORDER BY first) - 1 AS i, sum(n) OVER (PARTITION BY parent ORDER BY first) AS until, count(*) OVER (PARTITION BY parent) AS many FROM rolled),
+  cells(parent, i, j, x0, y0, x1, y1) AS (
+    SELECT -1::BIGINT, 0::BIGINT, 1::BIGINT, 0::DOUBLE, 0::DOUBLE, 1500::DOUBLE, 900::DOUBLE UNION ALL
+    (WITH wide AS (SELECT c.parent, c.i, c.j, x0, y0, x1, y1, sum(CASE WHEN r.i = c.i - 1 THEN r.until ELSE 0 END) AS a, sum(CASE WHEN r.i = c.j - 1 THEN r.until ELSE 0 END) AS b FROM cells c JOIN ranked r ON r.parent = c.parent WHERE c.j - c.i > 1 GROUP BY ALL),
+     half AS (SELECT w.*, min(CASE WHEN r.i >= w.i AND r.until >= a + (b - a) / 2 THEN r.i END) AS m FROM wide w JOIN ranked r ON r.parent = w.parent AND r.i < w.j GROUP BY ALL),
+     cut AS (SELECT * EXCLUDE m, greatest(least(coalesce(m, j) + 1, j - 1), i + 1) AS k FROM half),
+     near AS (SELECT c.* EXCLUDE k, CASE WHEN c.i + 1 < k AND a + (b - a) / 2 - p.until < q.until - a - (b - a) / 2 THEN k - 1 ELSE k END AS k FROM cut c JOIN ranked p ON p.parent = c.parent AND p.i = k - 2 + CASE WHEN k = 1 THEN 1 ELSE 0 END JOIN ranked q ON q.parent = c.parent AND q.i = k - 1),
+     done AS (SELECT n.*, (r.until - a) AS l, x1 - x0 > y1 - y0 AS across FROM near n JOIN ranked r ON r.parent = n.parent AND r.i = k - 1),
+     halves AS (SELECT *, CASE WHEN across THEN (x0 * (b - a - l) + x1 * l) / (b - a) ELSE (y0 * (b - a - l) + y1 * l) / (b - a) END AS c FROM done)
+     SELECT parent, i, k, x0, y0, CASE WHEN across THEN c ELSE x1 END, CASE WHEN across THEN y1 ELSE c END FROM halves UNION ALL
+     SELECT parent, k, j, CASE WHEN across THEN c ELSE x0 END, CASE WHEN across THEN y0 ELSE c END, x1, y1 FROM halves UNION ALL
+     SELECT r.node, 0, (SELECT count(*) FROM rolled u WHERE u.parent = r.node), x0, y0, x1, y1 FROM cells c JOIN ranked r ON coalesce(r.parent, -1) = c.parent AND r.i = c.i WHERE c.j - c.i = 1 AND EXISTS (SELECT 1 FROM rolled u WHERE u.parent = r.node)))
+  SELECT node, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM cells c JOIN ranked r ON coalesce(r.parent, -1) = c.parent AND r.i = c.i WHERE c.j - c.i = 1""")
 def rectangular_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3: every cell's area, in proportion to its weight, and whether it lies in its parent's cell."""
-    nodes = _catalog(spark, sf_dir)
-    cells = layouts.rectangular_treemap(nodes)
-    above = cells.select(F.col("node").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("x0", "y0", "x1", "y1")))
-    held = cells.join(nodes.select("node", "parent"), "node").join(above, "parent", "left")
-    within = (F.col("x0") >= F.col("p_x0") - 1e-6) & (F.col("x1") <= F.col("p_x1") + 1e-6) & (F.col("y0") >= F.col("p_y0") - 1e-6) & (F.col("y1") <= F.col("p_y1") + 1e-6)
-    return held.select("node", F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 3).alias("area"), F.coalesce(within, F.lit(True)).alias("inside"))
+    """L3: the corners of every cell."""
+    cells = layouts.rectangular_treemap(_catalog(spark, sf_dir))
+    return cells.select("node", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-@query("voronoi_treemap")
+@query("voronoi_treemap", f"WITH {_ROLLED} SELECT node, n::DOUBLE AS weight, true AS fits, true AS tiled FROM rolled")
 def voronoi_treemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L4 over the catalog's types and brands."""
-    nodes = _catalog(spark, sf_dir).where("id is null")
-    leaf = F.col("height") == 1
-    upper = nodes.withColumns({"id": F.when(leaf, F.col("node").cast("long")), "wins": F.col("wins"), "children": F.when(leaf, F.array().cast("array<int>")).otherwise(F.col("children"))})
-    return layouts.voronoi_treemap(upper).select("node", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.size("polygon").alias("corners"))
-
-
-@query("tree_links", f"""WITH {_TREE}, place AS (SELECT place AS node, 500 * cos(a) + 500 AS x FROM (SELECT place, -pi() / 2 + 2 * pi() * (place + 0.5) / total AS a FROM leaf))
-  SELECT l.place AS child, b.node AS parent, round(p.x, 4) AS x FROM leaf l JOIN brand b USING (kind, brand) JOIN place p ON p.node = l.place""")
+    """L4: whether every cell has its share of its parent's area, and what its children have adds up to its own."""
+    nodes = _catalog(spark, sf_dir)
+    sized = stored(layouts.voronoi_treemap(nodes).select("node", layouts.moments(F.col("polygon"))["area"].alias("area")), "cells")
+    whole = layouts.weights(nodes).select("node", "weight").join(sized, "node").join(nodes.select("node", "parent"), "node")
+    above = whole.select(F.col("node").alias("parent"), F.col("area").alias("_area"), F.col("weight").alias("_weight"))
+    below = whole.groupBy(F.col("parent").alias("node")).agg(F.sum("area").alias("_sum"))
+    each = whole.join(above, "parent", "left").join(below, "node", "left")
+    fits = F.abs(F.col("area") / F.col("_area") - F.col("weight") / F.col("_weight")) <= 2 * layouts.VORONOI_RATIO
+    tiled = F.abs(F.col("_sum") / F.col("area") - 1) <= 1e-6
+    return each.select("node", "weight", F.coalesce(fits, F.lit(True)).alias("fits"), F.coalesce(tiled, F.lit(True)).alias("tiled"))
+
+
+@query("tree_links", f"""WITH {_TREE}, a0 AS (SELECT kind, brand, place AS child, -pi() / 2 + 2 * pi() * (place + 0.5) / total AS c FROM leaf), a1 AS (SELECT kind, brand, avg(c) AS p, count(*) AS many FROM a0 GROUP BY kind, brand),
+  links AS (SELECT child, b.node AS parent, c, p, 1000 / 6.0 * 2 AS r, many FROM a0 JOIN a1 USING (kind, brand) JOIN brand b USING (kind, brand))
+  SELECT child, parent, CASE WHEN many = 1 THEN 'straight' ELSE 'elbow' END AS kind, CASE WHEN many > 1 THEN round(500 + r * cos(c), 4) END AS elbow_x, CASE WHEN many > 1 THEN round(500 + r * sin(c), 4) END AS elbow_y,
+    CASE WHEN many > 1 THEN greatest(1, ceil(abs(c - p) * r / 3))::INT END AS n_points,
+    CASE WHEN many > 1 THEN round(500 + r * cos(p + (c - p) / greatest(1, ceil(abs(c - p) * r / 3))), 4) END AS first_x, CASE WHEN many > 1 THEN round(500 + r * sin(c), 4) END AS last_y FROM links""")
 def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links from parents to leaves, each ending at its child."""
+    """Links from parents to leaves: their kind, the elbow, and the arc from the parent's angle to the child's."""
     nodes = _catalog(spark, sf_dir)
     links = layouts.radial_links(layouts.edges(nodes, layouts.radial_tree(nodes)))
-    return links.join(nodes.where("id is not null").select(F.col("node").alias("child")), "child").select("child", "parent", F.round(F.coalesce(F.element_at("arc.x", -1) * 0 + F.col("c.x"), F.col("c.x")), 4).alias("x"))
+    ends = {"elbow_x": F.col("elbow.x"), "elbow_y": F.col("elbow.y"), "first_x": F.element_at("arc.x", 1), "last_y": F.element_at("arc.y", -1)}
+    return links.join(nodes.where("id is not null").select(F.col("node").alias("child")), "child").select("child", "parent", "kind", F.when(F.col("arc").isNotNull(), F.size("arc")).alias("n_points"), *(F.round(v, 4).alias(c) for c, v in ends.items()))
 
 
 @query("subtree_leaves", f"WITH {_TREE} SELECT k.node AS root, place AS node FROM leaf JOIN kind k USING (kind)")
