@@ -101,7 +101,7 @@ class Engine:
     def history(self) -> DataFrame:
         """Sessions, newest first, running ones on top."""
         known = self.catalog.read("sessions").withColumn("running", F.col("session_id").isin(*self.running()) if self.running() else F.lit(False))
-        return selection.running_first(known)
+        return selection.running_first(known).orderBy("place")
 
     def prune(self, cap: int = 20) -> list[str]:
         """Deletes sessions of unsupported versions, and those beyond the cap that do not run."""

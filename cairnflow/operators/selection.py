@@ -20,7 +20,7 @@ def running_total(df: DataFrame, order: list[Column], value: Column, name: str)
     """
     ranged = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
     so_far = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("_so_far", so_far).join(before, "_part").withColumn(name, F.col("_so_far") + F.col("_before")).drop("_part", "_so_far", "_before")
 
@@ -97,13 +97,13 @@ def union_by_precedence(first: DataFrame, second: DataFrame, key: str) -> DataFr
     return first.unionByName(second.join(first.select(key), key, "left_anti"))
 
 
-def with_missing(models: DataFrame, selected: Sequence[str], loading: bool) -> DataFrame:
-    """The models (id, name, place, availability) in their order, then each selected id that is not among them once, as it was selected."""
-    spark = models.sparkSession
-    rows = [(m, m, i, "loading" if loading else "unknown") for i, m in enumerate(dict.fromkeys(selected))]
-    missing = spark.createDataFrame(rows, "id string, name string, place long, availability string").join(models.select("id"), "id", "left_anti")
-    after = F.broadcast(models.agg((F.coalesce(F.max("place"), F.lit(-1)) + 1).alias("_after")))  # one row
-    return models.unionByName(missing.crossJoin(after).withColumn("place", F.col("place") + F.col("_after")).select("id", "name", "place", "availability"), allowMissingColumns=True)
+def with_missing(models: DataFrame, selected: DataFrame, loading: bool) -> DataFrame:
+    """The models (id, name, place, availability) in their order, then each id of ``selected`` (id, at) that is not among them once, in the order of its first ``at``."""
+    once = selected.groupBy("id").agg(F.min("at").alias("_at")).join(models.select("id"), "id", "left_anti")
+    placed = running_total(once, [F.col("_at"), F.col("id")], F.lit(1), "_n")
+    after = F.broadcast(models.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("_after")))  # one row
+    missing = placed.crossJoin(after).select("id", F.col("id").cast("string").alias("name"), (F.col("_n") + F.col("_after")).alias("place"), F.lit("loading" if loading else "unknown").alias("availability"))
+    return models.unionByName(missing, allowMissingColumns=True)
 
 
 def history(sessions: DataFrame, cap: int = 20) -> DataFrame:
@@ -113,8 +113,8 @@ def history(sessions: DataFrame, cap: int = 20) -> DataFrame:
 
 
 def running_first(sessions: DataFrame) -> DataFrame:
-    """T4."""
-    return sessions.orderBy(F.desc("running"), F.desc("modified_at"), "session_id")
+    """T4: running sessions, then the newest, then by id, with their ``place`` from 1 in that order."""
+    return running_total(sessions, [F.desc("running"), F.desc("modified_at"), F.asc("session_id")], F.lit(1), "place")
 
 
 def latest_clustered(sessions: DataFrame) -> DataFrame:
@@ -154,7 +154,11 @@ def presentation(points: DataFrame, selected: str | None, family: str | None, al
     })
 
 
-def available_modes(has_dendrogram: bool, has_scatter: bool) -> list[str]:
-    """P20."""
-    trees = ["radial-tree", "horizontal-tree", "rectangular-treemap", "voronoi-treemap"]
-    return [*(trees if has_dendrogram else []), *(["scatter-plot"] if has_scatter else [])]
+#: The kinds of graph, trees first.
+TREES = ("radial-tree", "horizontal-tree", "rectangular-treemap", "voronoi-treemap")
+
+
+def available_modes(has_dendrogram: Column, has_scatter: Column) -> Column:
+    """P20: the kinds of graph that a session can be shown as."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(has_dendrogram, F.array(*map(F.lit, TREES))).otherwise(none), F.when(has_scatter, F.array(F.lit("scatter-plot"))).otherwise(none))

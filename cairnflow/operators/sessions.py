@@ -88,6 +88,16 @@ def needs_model(resume: str, c: Clustering) -> bool:
     return resume in STATUSES[:2] or (resume == "analyzed" and c.enable_preprocess_pca and c.enable_attribute_emphasis and any(c.emphasis.values()))
 
 
+def open_stages(status: Column) -> Column:
+    """D1, D5 for a table of sessions: the stages that are still to run."""
+    return F.slice(F.array(*map(F.lit, STAGES)), (F.least(ordinal(status), F.lit(len(STAGES)).cast("bigint")) + 1).cast("int"), len(STAGES))
+
+
+def model_wanted(resume: Column, pca: Column, emphasis: Column, levels: Column) -> Column:
+    """D4 for a table of sessions: before the analysis always, before the clustering if emphasis is on and some level is not 0."""
+    return (ordinal(resume) < 2) | ((resume == "analyzed") & pca & emphasis & F.exists(levels, lambda v: v != 0))
+
+
 def check_mode(mode: str, patch: dict) -> None:
     """D3: a fresh run states all three parts."""
     if mode not in RUN_MODES:

@@ -14,9 +14,10 @@ _EPS = 2.220446049250313e-16
 GAPS = {"plane": (60, 40), "tree": (32, 16), "exemplar": (24, 24)}
 
 
-def gap_of(mode: str, images: bool) -> int:
-    """L11."""
-    return GAPS["tree" if mode.endswith("tree") else "plane"][0 if images else 1]
+def gap_of(mode: Column, images: Column) -> Column:
+    """The gap between samples of a kind of graph."""
+    pick = lambda kind: F.when(images, GAPS[kind][0]).otherwise(GAPS[kind][1])
+    return F.when(mode.endswith("tree"), pick("tree")).otherwise(pick("plane"))
 
 
 def polar_cells(points: DataFrame, gap: float) -> DataFrame:

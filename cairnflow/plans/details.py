@@ -11,6 +11,7 @@ from cairnflow import api
 from cairnflow.functions import display, names
 from cairnflow.operators import features, layouts, search, selection, sessions, spatial, topology
 from cairnflow.plans.layout import _POINTS, _points
+from cairnflow.plans.discovery import FUZZY_SQL
 from cairnflow.plans.registry import query
 from cairnflow.sources import items
 from cairnflow.sources.tables import table
@@ -257,11 +258,12 @@ def circular_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.listed(p).select("id", "place", api.place_on_ring(F.col("place") + 7, F.lit(5)).alias("ring"))
 
 
-@query("first_search_hit", "SELECT p_partkey AS key FROM part WHERE contains(p_name, 'ring') ORDER BY p_size, p_partkey LIMIT 1")
+@query("first_search_hit", f"SELECT p_partkey AS key, score FROM ({FUZZY_SQL}) ORDER BY score, key LIMIT 1")
 def first_search_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best score, then the smallest key."""
-    hits = _parts(spark, sf_dir).where(F.contains("p_name", F.lit("ring"))).select(F.col("p_partkey").alias("key"), F.col("p_size").alias("score"))
-    return search.first_hit(hits, "key").select("key")
+    """The best of the search's hits, then the smallest key."""
+    p = _parts(spark, sf_dir).withColumn("key", F.col("p_partkey"))
+    hit = search.first_hit(search.fuzzy_search(p, "brnd#12", [F.array("p_brand"), F.array("p_name")]), "key")
+    return hit.select("key", F.round("score", 6).alias("score"))
 
 
 @query("exact_name_search", "SELECT p_partkey, round(pow(2.0, -52 * 0.707 / 2) * CASE WHEN lower(p_brand) = 'zzz' THEN 2 ELSE 1 END, 8) AS score FROM part WHERE p_name = 'red widget'")
@@ -271,12 +273,12 @@ def exact_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.lower("p_name") == "red widget").select("p_partkey", F.round("score", 8).alias("score"))
 
 
-@query("selected_models", "SELECT s_suppkey AS id, 'known' AS state FROM supplier UNION ALL SELECT DISTINCT o_custkey, 'missing' FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+@query("selected_models", """WITH m AS (SELECT s_suppkey AS id, s_name AS name, s_suppkey AS place, 'ready' AS availability FROM supplier), o AS (SELECT o_custkey AS id, min(o_orderkey) AS first FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY o_custkey)
+  SELECT * FROM m UNION ALL SELECT id, id::VARCHAR, (SELECT max(place) FROM m) + row_number() OVER (ORDER BY first, id), 'loading' FROM o""")
 def selected_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The models that there are, and those that are selected but missing, once each."""
-    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("known").alias("state"))
-    selected = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct().withColumn("state", F.lit("missing"))
-    return selection.union_by_precedence(known, selected, "id")
+    """The models that there are, then those that are selected but missing, once each, in the order of their selection."""
+    known = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("place"), F.lit("ready").alias("availability"))
+    return selection.with_missing(known, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at")), True)
 
 
 @query("representative_wins", "SELECT p_partkey AS idx, count(l_partkey) AS wins FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
@@ -310,14 +312,27 @@ def event_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.parsed(E.event_lines(e), {"id": ("$.payload.event_id", "bigint"), "value": ("$.payload.value", "double")}).select("event", "id", "value")
 
 
-@query("run_plans", """SELECT * FROM (VALUES ('empty', 'rendering,analysis,clustering', true), ('rendered', 'analysis,clustering', true), ('analyzed', 'clustering', true), ('clustered', '', false)) AS t(status, stages, model)""")
+_RUNS = "SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'clustered' ELSE 'empty' END WHEN 'P' THEN 'analyzed' ELSE 'rendered' END AS status, o_orderkey % 3 <> 0 AS pca, o_custkey % 4 <> 0 AS emphasis, o_custkey % 5 AS level FROM orders"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with their status and options (orders stand for sessions)."""
+    s, key, other = F.col("o_orderstatus"), F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when((s == "F") & (key % 2 == 0), "clustered").when(s == "F", "empty").when(s == "P", "analyzed").otherwise("rendered")
+    return table(spark, sf_dir, "orders").select(key.alias("session_id"), status.alias("status"), (key % 3 != 0).alias("pca"), (other % 4 != 0).alias("emphasis"), (other % 5).alias("level"))
+
+
+@query("run_plans", f"""SELECT session_id, CASE status WHEN 'empty' THEN 'rendering,analysis,clustering' WHEN 'rendered' THEN 'analysis,clustering' WHEN 'analyzed' THEN 'clustering' ELSE '' END AS stages,
+  status IN ('empty', 'rendered') OR (status = 'analyzed' AND pca AND emphasis AND level <> 0) AS model FROM ({_RUNS})""")
 def run_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages that each status still needs, and whether the model is among what they need with emphasis switched on."""
-    on = sessions.Clustering(enable_attribute_emphasis=True, emphasis={"calm": 1})
-    return spark.createDataFrame([(s, ",".join(sessions.stages_to_run(s)), sessions.needs_model(s, on)) for s in sessions.STATUSES], "status string, stages string, model boolean")
+    """The stages that every session still needs, and whether its run needs the model."""
+    wanted = sessions.model_wanted(F.col("status"), F.col("pca"), F.col("emphasis"), F.array("level"))
+    return _runs(spark, sf_dir).select("session_id", F.array_join(sessions.open_stages(F.col("status")), ",").alias("stages"), wanted.alias("model"))
 
 
-@query("graph_modes", """SELECT * FROM (VALUES ('radial-tree', 32, 16), ('horizontal-tree', 32, 16), ('rectangular-treemap', 60, 40), ('voronoi-treemap', 60, 40), ('scatter-plot', 60, 40)) AS t(mode, images, labels)""")
+@query("graph_modes", f"""SELECT session_id, mode, CASE WHEN mode IN ('radial-tree', 'horizontal-tree') THEN CASE WHEN pca THEN 32 ELSE 16 END ELSE CASE WHEN pca THEN 60 ELSE 40 END END AS gap
+  FROM (SELECT session_id, pca, unnest(CASE WHEN status = 'clustered' THEN ['radial-tree', 'horizontal-tree', 'rectangular-treemap', 'voronoi-treemap'] ELSE [] END || CASE WHEN status IN ('analyzed', 'clustered') AND emphasis THEN ['scatter-plot'] ELSE [] END) AS mode FROM ({_RUNS}))""")
 def graph_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The modes that a clustered session has, with their gaps."""
-    return spark.createDataFrame([(m, spatial.gap_of(m, True), spatial.gap_of(m, False)) for m in selection.available_modes(True, True)], "mode string, images int, labels int")
+    """The kinds of graph that every session can be shown as, with the gap between samples (images, or labels only)."""
+    modes = selection.available_modes(F.col("status") == "clustered", F.col("status").isin("analyzed", "clustered") & F.col("emphasis"))
+    return _runs(spark, sf_dir).select("session_id", "pca", F.explode(modes).alias("mode")).select("session_id", "mode", spatial.gap_of(F.col("mode"), F.col("pca")).alias("gap"))

@@ -145,10 +145,13 @@ def catalog_union_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.union_by_precedence(local, remote, "id")
 
 
-@query("fuzzy_name_search", """WITH t AS (SELECT p_partkey, unnest([p_brand, p_name]) AS v FROM part), ends AS (SELECT p_partkey, v, unnest(range(1, len(v) + 1)) AS e FROM t),
+FUZZY_SQL = """WITH t AS (SELECT p_partkey, unnest([p_brand, p_name]) AS v FROM part), ends AS (SELECT p_partkey, v, unnest(range(1, len(v) + 1)) AS e FROM t),
   near AS (SELECT p_partkey, v, e, min(levenshtein(substr(lower(v), e - n + 1, n), 'brnd#12')) AS k FROM ends, (SELECT unnest([6, 7, 8]) AS n) WHERE n <= e GROUP BY ALL),
   best AS (SELECT p_partkey, v, min(k / 7 + greatest(0, e - 7) / 100) AS s FROM near WHERE k <= 1 AND k / 7 + greatest(0, e - 7) / 100 <= 0.25 GROUP BY ALL)
-  SELECT p_partkey, round(product(pow(CASE WHEN lower(v) = 'brnd#12' THEN pow(2.0, -52) ELSE greatest(s, 0.001) END, round(1 / sqrt(len(string_split(v, ' '))), 3) / 2)), 6) AS score FROM best GROUP BY p_partkey""")
+  SELECT p_partkey, round(product(pow(CASE WHEN lower(v) = 'brnd#12' THEN pow(2.0, -52) ELSE greatest(s, 0.001) END, round(1 / sqrt(len(string_split(v, ' '))), 3) / 2)), 6) AS score FROM best GROUP BY p_partkey"""
+
+
+@query("fuzzy_name_search", FUZZY_SQL)
 def fuzzy_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substrings within one error of the query, scored by errors and place, over two keys."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")

@@ -33,6 +33,20 @@ def progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fold_progress(_ops(spark, sf_dir), ["user_id"])
 
 
+@query("debounced_selections", """SELECT user_id, event_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR epoch(n) - epoch(ts) >= 3600""")
+def debounced_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of each user's events before an hour without any."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("seq"), "event_type")
+    return E.debounced(e, "user_id", 3600).select("user_id", F.col("seq").alias("event_id"), "event_type")
+
+
+@query("plugin_connections", """WITH b AS (SELECT user_id, ts, lag(ts) OVER w AS p, lead(ts) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+  SELECT user_id AS plugin_id, ts, true AS connected FROM b WHERE p IS NULL OR floor(epoch(ts) - epoch(p)) > 5 UNION ALL SELECT user_id, ts + INTERVAL 6 SECONDS, false FROM b WHERE n IS NULL OR floor(epoch(n) - epoch(ts)) > 5""")
+def plugin_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4, P14 by event time: when each plugin connects and falls silent."""
+    return E.connections(table(spark, sf_dir, "events").select(F.col("user_id").alias("plugin_id"), "ts"))
+
+
 @query("progress_overall", "SELECT event_id, round(0.2 * least(1, value / 100) + 0.6 * CASE WHEN event_id % 7 <= 0 THEN 0 ELSE least(1, 3 / (event_id % 7)::DOUBLE) END + 0.2 * 0.5, 6) AS progress FROM events")
 def progress_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""

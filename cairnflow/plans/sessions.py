@@ -38,8 +38,7 @@ def latest_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("running_first_order", f"SELECT session_id, row_number() OVER (ORDER BY running DESC, modified_at DESC, session_id) AS place FROM ({_SESSIONS})")
 def running_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4, as places, since a table has no order."""
-    order = [F.desc("running"), F.desc("modified_at"), F.asc("session_id")]
-    return selection.running_total(_sessions(spark, sf_dir).select("session_id", "running", "modified_at"), order, F.lit(1), "place").select("session_id", "place")
+    return selection.running_first(_sessions(spark, sf_dir).select("session_id", "running", "modified_at")).select("session_id", "place")
 
 
 @query("unseen_completed", f"SELECT session_id FROM ({_SESSIONS}) WHERE process_status = 'clustered' AND NOT running AND session_id % 3 <> 0")

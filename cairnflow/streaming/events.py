@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+from cairnflow.sources.store import stored
 
 #: Fixed vocabulary (E5), seconds of a plugin's life (P14) and items between progress reports.
 EVENTS = (
@@ -17,36 +20,37 @@ EVENTS = (
 ALIVE_SECONDS = 5
 REPORT_EVERY = {"rendering": 4, "analysis": 32, "clustering": 1}
 
-_STATE = "struct<numerator:bigint,denominator:bigint>"
-
-
-def _state(numerator: Column, denominator: Column) -> Column:
-    return F.struct(numerator.cast("bigint").alias("numerator"), denominator.cast("bigint").alias("denominator"))
-
-
-def step(state: Column, op: Column, x: Column) -> Column:
-    """One progress operation: reset, set, inc or dec."""
-    n, d, zero = state["numerator"], state["denominator"], F.lit(0).cast("bigint")
-    up, down = F.greatest(x, zero), F.greatest(d - F.greatest(x, zero), zero)
-    return (
-        F.when(op == "reset", _state(zero, F.lit(1)))
-        .when((op == "set") & (x <= 0), _state(F.lit(1), F.lit(1)))
-        .when(op == "set", _state(F.least(n, x), x))
-        .when(op == "inc", _state(F.least(n + up, d), d))
-        .when(op == "dec", _state(F.least(n, down), down))
-        .otherwise(state)
-    )
-
-
 def fold_progress(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Numerator and denominator of every key after its operations (seq, op, x) in order.
+    """Numerator and denominator of every key after its operations (seq, op, x) in order; a null x counts as 0.
 
-    The fold does not commute, so a key's operations are gathered in order; a key is one stage of one run.
+    Operations do not commute, but runs of them can be put together: a denominator is the last one set, less what was
+    taken off since; and every operation takes a numerator n to min(n + a, b), or to a constant, and so does any run of them. Range
+    partitions of the keys' sequences are folded side by side, and a key is put together from one row for each partition it lies in.
     """
-    ops = F.sort_array(F.collect_list(F.struct("seq", "op", F.col("x").cast("bigint").alias("x"))))
-    start = _state(F.lit(0), F.lit(1)).cast(_STATE)
-    folded = events.groupBy(*keys).agg(F.aggregate(ops, start, lambda s, e: step(s, e["op"], e["x"])).alias("p"))
-    return folded.select(*keys, "p.numerator", "p.denominator")
+    n, x = F.lit(0).cast("bigint"), F.coalesce(F.col("x").cast("bigint"), F.lit(0).cast("bigint"))
+    ranged = stored(events.select(*keys, "seq", "op", x.alias("x")).repartitionByRange(*keys, "seq").withColumn("_part", F.spark_partition_id()), "ranges")
+    to_one = (F.col("op") == "reset") | ((F.col("op") == "set") & (F.col("x") <= 0))
+    total, off = F.when(to_one, F.lit(1).cast("bigint")).when(F.col("op") == "set", F.col("x")), F.when(F.col("op") == "dec", F.greatest("x", n)).otherwise(n)
+    fixed, add = F.when(F.col("op") == "reset", n).when(to_one, n + 1), F.when(F.col("op") == "inc", F.greatest("x", n)).otherwise(n)
+    each = ranged.select(*keys, "seq", "_part", total.alias("total"), off.alias("off"), fixed.alias("fixed"), add.alias("add"))
+    run = lambda by, order: Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    own = run(["_part"], "seq")
+    each = each.withColumns({"set": F.last("total", ignorenulls=True).over(own), "since": F.count("total").over(own), "turn": F.count("fixed").over(own)})
+    each = each.withColumn("gone", F.sum("off").over(run(["_part", "since"], "seq")))
+    ends = each.groupBy(*keys, "_part").agg(F.max_by(F.struct("set", "gone"), "seq").alias("e")).select(*keys, "_part", F.col("e.set").alias("set"), F.col("e.gone").alias("gone"))
+    over = run([], "_part")  # a row for each partition
+    ends = ends.withColumns({"_set": F.coalesce(F.last("set", ignorenulls=True).over(over), n + 1), "_since": F.count("set").over(over)})
+    after = F.greatest(F.col("_set") - F.sum("gone").over(run(["_since"], "_part")), n)
+    ends = ends.withColumn("after", after).withColumn("before", F.coalesce(F.lag("after").over(Window.partitionBy(*keys).orderBy("_part")), n + 1))
+
+    at = each.join(ends.select(*keys, "_part", "before"), [*keys, "_part"]).withColumn("d", F.greatest(F.coalesce("set", "before") - F.col("gone"), n))
+    at = at.withColumns({"sum": F.sum("add").over(run(["_part", "turn"], "seq")), "last": F.max("turn").over(Window.partitionBy(*keys, "_part"))}).where("turn = last")
+    runs = at.groupBy(*keys, "_part").agg(F.max("fixed").alias("fixed"), F.sum("add").alias("sum"), F.min(F.col("d") - F.col("sum")).alias("least"), F.max_by("d", "seq").alias("d"))
+    parts = F.sort_array(F.collect_list(F.struct("_part", "fixed", "sum", "least")))
+    put = lambda s, r: F.least(F.coalesce(r["fixed"], s), r["least"]) + r["sum"]
+    folded = runs.groupBy(*keys).agg(F.aggregate(parts, n, put).alias("numerator"), F.max_by("d", "_part").alias("denominator"))
+    return folded.select(*keys, "numerator", "denominator")
 
 
 def fold_one(numerator: int, denominator: int, op: str, x: int) -> tuple[int, int]:
@@ -96,8 +100,6 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 def with_session(events: DataFrame) -> DataFrame:
     """Every event with the session that its run last started (run_id, seq, event, payload)."""
-    from pyspark.sql.window import Window
-
     started = F.when(F.col("event") == "session_started", F.get_json_object("payload", "$.sessionId"))
     order = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("session_id", F.last(started, ignorenulls=True).over(order))
@@ -119,6 +121,58 @@ def alive(last_seen: Column, now: Column) -> Column:
     return F.floor(now.cast("timestamp").cast("double") - last_seen.cast("timestamp").cast("double")) <= ALIVE_SECONDS
 
 
+def _seconds(c: str) -> Column:
+    return F.col(c).cast("timestamp").cast("double")
+
+
+def debounced(events: DataFrame, key: str, delay: float) -> DataFrame:
+    """Of each key's events (key, ts, seq, ...) the last one before every quiet gap of ``delay`` seconds or more, the log's end included;
+    of equal times the largest seq is the last."""
+    following = F.lead("ts").over(Window.partitionBy(key).orderBy("ts", "seq"))
+    gap = _seconds("_next") - _seconds("ts")
+    return events.withColumn("_next", following).where(F.col("_next").isNull() | (gap >= delay)).drop("_next")
+
+
+def _quiet(delay: float, key: str):
+    """The state is a key's last event; it is emitted once the watermark, or a later event, shows that nothing followed in time."""
+    wait = int(delay * 1000)
+
+    def run(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        last = state.get if state.exists else None
+        if state.hasTimedOut:
+            out.append(last)
+            state.remove()
+        else:
+            rows = pd.concat(list(parts))
+            times = rows["ts"].astype("datetime64[us]").astype("int64")
+            for event in sorted(zip(times.tolist(), rows["seq"].tolist(), rows["value"].tolist(), strict=True)):
+                if last is not None and event[0] - last[0] >= wait * 1000:
+                    out.append(last)
+                last = event if last is None or event > tuple(last) else last
+            state.update(tuple(last))
+            state.setTimeoutTimestamp(max(last[0] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [of[0]] * len(out), "ts": pd.to_datetime([e[0] for e in out], unit="us"), "seq": [e[1] for e in out], "value": [e[2] for e in out]})
+
+    return run
+
+
+def debounced_stream(events: DataFrame, key: str, delay: float, late: str = "0 seconds") -> DataFrame:
+    """E6 as a stream: events (key: long, ts, seq: long, value: string) with event-time timers; events later than ``late`` behind the newest are dropped."""
+    schema, state = f"{key} long, ts timestamp, seq long, value string", "ts long, seq long, value string"
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(_quiet(delay, key), schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def connections(beats: DataFrame) -> DataFrame:
+    """E4, P14 over a log of heartbeats (plugin_id, ts): (plugin_id, ts, connected) as plugins connect, and fall silent ``ALIVE_SECONDS`` and one after their last beat."""
+    order = Window.partitionBy("plugin_id").orderBy("ts")
+    gap = lambda a, b: F.floor(_seconds(b) - _seconds(a)) > ALIVE_SECONDS
+    each = beats.select("plugin_id", "ts", F.lag("ts").over(order).alias("_before"), F.lead("ts").over(order).alias("_next"))
+    up = each.where(F.col("_before").isNull() | gap("_before", "ts")).select("plugin_id", "ts", F.lit(True).alias("connected"))
+    down = each.where(F.col("_next").isNull() | gap("ts", "_next")).select("plugin_id", (F.col("ts") + F.make_dt_interval(secs=F.lit(ALIVE_SECONDS + 1))).alias("ts"), F.lit(False).alias("connected"))
+    return up.union(down)
+
+
 def _beat(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -138,8 +192,6 @@ def connection_stream(beats: DataFrame) -> DataFrame:
 
 def distinct_snapshots(log: DataFrame, key: str) -> DataFrame:
     """A log (seq, snapshot) per key without snapshots equal to the one before."""
-    from pyspark.sql.window import Window
-
     before = F.lag("snapshot").over(Window.partitionBy(key).orderBy("seq"))
     return log.withColumn("_before", before).where(~F.col("snapshot").eqNullSafe(F.col("_before"))).drop("_before")
 

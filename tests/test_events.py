@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,46 @@ def test_progress_fold(spark):
     assert {r.run_id: (r.numerator, r.denominator) for r in got} == {f"r{n}": STATES[n - 1] for n in range(1, 7)}
 
 
+def test_progress_of_one_long_key(spark):
+    rng = random.Random(4)
+    rows = [("r" if rng.random() < 0.9 else f"q{i % 5}", i, rng.choice(["set", "inc", "inc", "dec", "dec", "reset", "other"] if i % 97 == 0 else ["inc", "dec", "set" if i % 11 == 0 else "inc"]), rng.choice([None, -1, 0, 1, 2, 5, 40])) for i in range(900)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, op string, x long").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r.run_id: (r.numerator, r.denominator) for r in E.fold_progress(df, ["run_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want: dict = {}
+    for key, _, op, x in rows:
+        want[key] = E.fold_one(*want.get(key, (0, 1)), op, x or 0)
+    assert got == want
+
+
+def test_debounced_stream_equals_the_batch(spark, tmp_path):
+    rng, t = random.Random(8), datetime.datetime(2026, 1, 1)
+    rows, now = [], 0
+    for i in range(120):
+        now += rng.choice([1, 2, 3, 30])
+        rows.append((rng.randint(1, 3), t + datetime.timedelta(seconds=now), i, f"v{i}"))
+    rows.append((99, t + datetime.timedelta(seconds=now + 1000), 1000, "end"))  # moves the watermark past all others
+    schema = "user long, ts timestamp, seq long, value string"
+    for part in (rows[:50], rows[50:90], rows[90:-1], rows[-1:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = E.debounced_stream(stream, "user", 20, "60 seconds").writeStream.outputMode("append").format("memory").queryName("quiet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and q.exception() is None
+    plain = lambda df: sorted((r.user, r.seq, r.value) for r in df.collect() if r.user != 99)
+    batch = E.debounced(spark.createDataFrame(rows, schema), "user", 20)
+    assert plain(spark.table("quiet")) == plain(batch) and len(plain(batch)) > 10
+
+
+def test_connections(spark):
+    t = datetime.datetime(2026, 1, 1)
+    beats = spark.createDataFrame([("a", t + datetime.timedelta(seconds=s)) for s in (0, 5, 10.9, 17)] + [("b", t)], "plugin_id string, ts timestamp")
+    at = lambda s: t + datetime.timedelta(seconds=s)
+    assert sorted((r.plugin_id, r.ts, r.connected) for r in E.connections(beats).collect()) == [("a", at(0), True), ("a", at(16.9), False), ("a", at(17), True), ("a", at(23), False), ("b", at(0), True), ("b", at(6), False)]
+
+
 def test_progress_stream(spark, tmp_path):
     schema = "run_id string, stage string, seq long, op string, x long"
     for k, part in enumerate((SEQUENCE[:3], SEQUENCE[3:])):

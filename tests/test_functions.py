@@ -156,6 +156,6 @@ def test_selections(spark):
     assert {r.item: r.face_ord for r in selection.resolve_faces(items, faces).collect()} == {"x": 2, "y": 3, "z": None}
     good, bad = selection.split_errors(selection.with_sources(spark.createDataFrame([("a",), ("b",)], "safe_name string"), spark.createDataFrame([("a", "p")], "safe_name string, path string")))
     assert [r.safe_name for r in good.collect()] == ["a"] and [r.safe_name for r in bad.collect()] == ["b"]
-    assert selection.available_modes(False, True) == ["scatter-plot"] and len(selection.available_modes(True, True)) == 5
+    assert one(spark, selection.available_modes(F.lit(False), F.lit(True))) == ["scatter-plot"] and len(one(spark, selection.available_modes(F.lit(True), F.lit(True)))) == 5
     numbered = selection.indexed(spark.createDataFrame([(x,) for x in "dbcaef"], "k string").repartition(3), "k")
     assert {r.k: r.idx for r in numbered.collect()} == dict(zip("abcdef", range(6), strict=True))

@@ -88,8 +88,31 @@ def test_voronoi_areas():
 
 
 def test_voronoi_nesting(nodes):
-    out = layouts.voronoi_treemap(nodes[0]).collect()
-    assert len(out) == nodes[0].count() and all(len(r.polygon) >= 3 for r in out)
+    out = {r.node: r for r in layouts.voronoi_treemap(nodes[0]).withColumn("m", layouts.moments(F.col("polygon"))).collect()}
+    rows = {r.node: r for r in nodes[0].collect()}
+    weight = {r.node: r.weight for r in layouts.weights(nodes[0]).collect()}
+    assert set(out) == set(rows)
+    for n, r in rows.items():
+        middle, area = layouts.centroid(np.array(out[n].polygon))
+        assert (out[n].x, out[n].y, out[n].m.area) == pytest.approx((*middle, area))
+        if r.children:
+            assert sum(out[c].m.area for c in r.children) == pytest.approx(area)
+            assert all(abs(out[c].m.area / area - weight[c] / weight[n]) <= 2 * layouts.VORONOI_RATIO for c in r.children)
+
+
+def test_means_of_chains_and_bushes(spark):
+    n = 40
+    chain = [("c", n + s, [n + s - 1 if s else 0, s + 1], None) for s in range(n - 1)] + [("c", i, [], i) for i in range(n)]
+    bush = [("b", 100, list(range(9)), None)] + [("b", i, [], i) for i in range(9)]
+    nodes = spark.createDataFrame([r[:3] for r in chain + bush], "session_id string, node int, children array<int>")
+    leaves = spark.createDataFrame([(s, v, float(x * x % 7)) for s, v, _, x in chain + bush if x is not None], "session_id string, node int, value double")
+    got = {(r.session_id, r.node): r.value for r in layouts.child_means(nodes, leaves).collect()}
+    kids = {(s, v): c for s, v, c, _ in chain + bush}
+    want = {(r.session_id, r.node): r.value for r in leaves.collect()}
+    for key in sorted(kids):
+        if kids[key]:
+            want[key] = sum(want[key[0], c] for c in kids[key]) / len(kids[key])
+    assert got == pytest.approx(want)
 
 
 def test_links(spark, nodes):
@@ -129,4 +152,5 @@ def test_hit_testing(spark):
     squares = spark.createDataFrame([(k, [[k * 10.0, 0.0], [k * 10.0 + 10, 0.0], [k * 10.0 + 10, 10.0], [k * 10.0, 10.0]]) for k in range(3)], "id long, polygon array<array<double>>")
     where = spark.createDataFrame([(1, 5.0, 5.0), (2, 25.0, 1.0), (3, 50.0, 5.0)], "pointer long, x double, y double")
     assert {r.pointer: r.id for r in spatial.polygon_at(where, squares).collect()} == {1: 0, 2: 2}
-    assert spatial.gap_of("radial-tree", False) == 16 and spatial.gap_of("scatter-plot", True) == 60
+    gaps = spark.range(1).select(spatial.gap_of(F.lit("radial-tree"), F.lit(False)), spatial.gap_of(F.lit("scatter-plot"), F.lit(True))).first()
+    assert tuple(gaps) == (16, 60)

@@ -115,8 +115,8 @@ def test_seeding_returns_the_newest_time(spark):
 
 def test_missing_models_follow_in_the_order_of_selection(spark):
     known = spark.createDataFrame([("m1", "One", 0, "installed"), ("m2", "Two", 1, "remote")], "id string, name string, place long, availability string")
-    out = selection.with_missing(known, ["x", "m2", "y", "x"], True).orderBy("place").collect()
-    assert [(r.id, r.availability) for r in out] == [("m1", "installed"), ("m2", "remote"), ("x", "loading"), ("y", "loading")]
+    out = selection.with_missing(known, spark.createDataFrame([("x", 0), ("m2", 1), ("y", 2), ("x", 3)], "id string, at long"), True).orderBy("place").collect()
+    assert [(r.id, r.place, r.availability) for r in out] == [("m1", 0, "installed"), ("m2", 1, "remote"), ("x", 2, "loading"), ("y", 3, "loading")]
 
 
 def test_history_and_vocabulary(spark):
