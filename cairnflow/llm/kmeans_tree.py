@@ -4,9 +4,10 @@ The tree is fitted on a bounded sample (``SAMPLE`` vectors, and ``PER_LEAF`` for
 vectors up to ``MOST_LEAVES``, since the tree is sent to all workers. Every vector is then filed under its leaf. A
 query walks the tree with a priority queue: down to the nearest leaf first, then on from the nearest branch left
 aside. How many leaves it visits is calibrated: visits are widened on sample queries until their recall against
-brute force over the sample reaches ``RECALL``. A leaf meets the queries that visit it in bounded blocks, so a vector
-travels once for every ``QUERIES`` visits of its leaf, and leaves that none visits not at all; large leaves are
-dealt over several blocks. Scores are computed in double precision on the original vectors.
+brute force over the sample reaches ``RECALL``. Neighbouring leaves make up bins of about ``BLOCK`` vectors. A query travels
+once to each bin in which it visits leaves, with the list of these; a bin's vectors travel once for every ``QUERIES`` queries, and not
+at all where none comes; leaves larger than a bin are dealt over several blocks. Scores are computed in double precision on the
+original vectors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or a non-finite
 component take no part, nor do null ids; rows that repeat an id with the same vector count once, and of several
@@ -132,12 +133,21 @@ def _file(tree):
     return run
 
 
-def _visit(tree):
+def _visit(tree, bins: np.ndarray):
+    """A row for each query and bin that it visits, with its leaves there; ``bins``: of each leaf, -1 where it is empty."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = _unit(_matrix(b.column("embedding"))) if b.num_rows else []
-            leaves = [tree.value.best_first(q, tree.value.visits) for q in units]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "query", "leaves"])
+            at, bin_of, leaves = [], [], []
+            for i, q in enumerate(_unit(_matrix(b.column("embedding"))) if b.num_rows else []):
+                seen = np.array(tree.value.best_first(q, tree.value.visits))
+                seen = seen[bins[seen] >= 0]
+                for one in np.unique(bins[seen]).tolist():
+                    at.append(i)
+                    bin_of.append(one)
+                    leaves.append(seen[bins[seen] == one])
+            at = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("embedding").take(at), pa.array(bin_of, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "query", "bin", "leaves"])
 
     return run
 
@@ -153,10 +163,13 @@ def _nearest(k: int):
         if queries.num_rows and vectors.num_rows:
             ids, x = vectors.column("vec_id").to_numpy(), _matrix(vectors.column("embedding"))
             own, q = queries.column("query_id").to_numpy(), _matrix(queries.column("query"))
-            units = _unit(x)
+            units, leaf = _unit(x), vectors.column("leaf").to_numpy()
+            known, leaf = np.unique(leaf, return_inverse=True)
+            asked = queries.column("leaves").to_pylist()
             for a in range(0, len(q), 256):
                 near = _unit(q[a : a + 256]) @ units.T
                 near[own[a : a + 256, None] == ids[None, :]] = -9
+                near[~np.stack([np.isin(known, seen) for seen in asked[a : a + 256]])[:, leaf]] = -9  # leaves that the query doesn't visit
                 for i, row in enumerate(near):
                     most = k
                     while True:  # rows that repeat an id may fill places: then more are taken
@@ -203,18 +216,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     model.calibrate(sample, k, recall)
     tree = spark.sparkContext.broadcast(model)  # bounded by the number of leaves
     filed = stored(vectors.mapInArrow(_file(tree), "vec_id long, embedding array<double>, leaf int"), "leaves")
-    walked = stored(queries.mapInArrow(_visit(tree), "query_id long, query array<double>, leaves array<int>"), "walks")
-    visits = walked.select("query_id", "query", F.explode("leaves").alias("leaf"))
-    blocks = lambda count, most: F.ceil(F.count("*") / most).cast("int").alias(count)
-    shape = F.broadcast(stored(filed.groupBy("leaf").agg(blocks("parts", BLOCK)).join(visits.groupBy("leaf").agg(blocks("blocks", QUERIES)), "leaf"), "shape"))  # a row for each leaf
+    sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row for each leaf
+    bins, fill = np.full(model.n_leaves, -1, np.int32), []
+    for leaf in sorted(sizes):  # leaves are numbered along the tree
+        if not fill or fill[-1] + sizes[leaf] > BLOCK:
+            fill.append(0)
+        fill[-1] += sizes[leaf]
+        bins[leaf] = len(fill) - 1
+    walked = stored(queries.mapInArrow(_visit(tree, bins), "query_id long, query array<double>, bin int, leaves array<int>"), "walks")
+    of_leaf = spark.createDataFrame([(leaf, int(bins[leaf]), max(1, -(-fill[bins[leaf]] // BLOCK))) for leaf in sorted(sizes)], "leaf int, bin int, parts int")
+    blocks = walked.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    shape = stored(of_leaf.join(blocks, "bin"), "shape")
+    per_leaf, per_bin = F.broadcast(shape), F.broadcast(shape.select("bin", "parts", "blocks").distinct())  # at most a row for each leaf
     one_of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = visits.join(shape, "leaf").withColumn("block", one_of("query_id", "blocks")).withColumn("part", each_of("parts"))
-    dealt = filed.join(shape, "leaf").withColumn("part", one_of("vec_id", "parts")).withColumn("block", each_of("blocks"))
-    key, schema = ["leaf", "part", "block"], "query_id long, vec_id long, score double"
-    asked, dealt = asked.select(*key, "query_id", "query"), dealt.select(*key, "vec_id", "embedding")
+    asked = walked.join(per_bin, "bin").withColumn("block", one_of("query_id", "blocks")).withColumn("part", each_of("parts"))
+    dealt = filed.join(per_leaf, "leaf").withColumn("part", one_of("vec_id", "parts")).withColumn("block", each_of("blocks"))
+    key, schema = ["bin", "part", "block"], "query_id long, vec_id long, score double"
+    asked, dealt = asked.select(*key, "query_id", "query", "leaves"), dealt.select(*key, "vec_id", "embedding", "leaf")
     found = stored(asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_nearest(k), schema), "near")
-    discard(filed, walked)
+    discard(filed, walked, shape)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
