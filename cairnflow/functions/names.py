@@ -80,7 +80,7 @@ def subset_requirements(text: Column, subsets_of: Column) -> Column:
 
 def covers(requirements: Column, subsets: Column) -> Column:
     """Every requirement shares a subset with those offered; none asks for nothing (P5)."""
-    return F.forall(requirements, lambda r: F.arrays_overlap(r, subsets))
+    return F.exists(F.array(subsets), lambda offered: F.forall(requirements, lambda r: F.arrays_overlap(r, offered)))  # what is offered is computed once
 
 
 def api_weight(weight: Column, variants: Column) -> Column:

@@ -39,6 +39,12 @@ def column_moments(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(mean), np.sqrt(np.maximum(variance, 0))
 
 
+def component_moments(df: DataFrame, column: str) -> DataFrame:
+    """A5 as a table: (component, mean, std) of a vector column."""
+    each = df.select(F.posexplode(F.col(column).cast("array<double>")).alias("component", "x"))
+    return each.groupBy("component").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+
+
 def pca(df: DataFrame, column: str, dims: int, out: str) -> DataFrame:
     """V4: centred scores on the first components, without whitening; each loading's largest entry is positive.
 

@@ -56,9 +56,8 @@ def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("column_mean_std", "SELECT i AS component, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY i")
 def column_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: one row for each component of a vector."""
-    mean, std = features.column_moments(table(spark, sf_dir, "embeddings"), "embedding")
-    rows = spark.createDataFrame([(i, float(m), float(s)) for i, (m, s) in enumerate(zip(mean, std, strict=True))], "component long, mean double, std double")
-    return rows.select("component", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    rows = features.component_moments(table(spark, sf_dir, "embeddings"), "embedding")
+    return rows.select(F.col("component").cast("long").alias("component"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("standardize_columns", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

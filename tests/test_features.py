@@ -5,8 +5,8 @@ import pytest
 
 from cairnflow.operators import features
 
-F4X6 = [[1, 0, 0.2, 0.9, 0.1, 0.4], [0, 1, 0.8, 0.1, 0.7, 0.3], [0.5, 0.5, 0.1, 0.6, 0.2, 0.9], [0.9, 0.2, 0.4, 0.3, 0.8, 0.1]]
-F6X4 = [[1, 0.2, 0.5, 0.9], [0.1, 0.8, 0.3, 0.2], [0.7, 0.4, 0.9, 0.1], [0.3, 0.6, 0.2, 0.8], [0.9, 0.1, 0.7, 0.4], [0.2, 0.9, 0.4, 0.6]]
+RNG = np.random.default_rng(11)
+FEW, MANY = RNG.normal(size=(5, 7)).tolist(), RNG.normal(size=(9, 4)).tolist()
 
 
 def frame(spark, rows):
@@ -24,17 +24,17 @@ def svd_scores(x, k):
 
 
 def test_features_without_emphasis_are_components(spark):
-    got = column(features.build_features(frame(spark, F4X6), "v", "f", dims=3), "f")
-    assert np.allclose(np.abs(got), np.abs(svd_scores(F4X6, 3)), atol=1e-9)
+    got = column(features.build_features(frame(spark, FEW), "v", "f", dims=3), "f")
+    assert np.allclose(np.abs(got), np.abs(svd_scores(FEW, 3)), atol=1e-9)
 
 
 def test_features_without_pca_are_the_vectors(spark):
-    got = column(features.build_features(frame(spark, F4X6), "v", "f", use_pca=False, dims=2, emphasis={"serif": 4}, directions={"serif": [1.0] + [0.0] * 5}), "f")
-    assert got.tolist() == F4X6
+    got = column(features.build_features(frame(spark, FEW), "v", "f", use_pca=False, dims=2, emphasis={"serif": 4}, directions={"serif": [1.0] + [0.0] * 6}), "f")
+    assert got.tolist() == FEW
 
 
 def test_scatter_axes_are_standardised(spark):
-    out = features.scatter(frame(spark, F6X4), "v").orderBy("id").collect()
+    out = features.scatter(frame(spark, MANY), "v").orderBy("id").collect()
     xy = np.array([[r.two.x, r.two.y] for r in out])
     assert np.allclose(xy.mean(axis=0), 0, atol=1e-9) and np.allclose(xy.var(axis=0), 1)
 
@@ -46,12 +46,14 @@ def test_scatter_of_a_single_column(spark):
 
 
 def test_gram_schmidt():
-    q = features.orthonormal(np.array([[2.0, 0, 0], [1, 3, 0], [4, 0, 0]]))
-    assert np.allclose(q[:2] @ q[:2].T, np.eye(2)) and not q[2].any()
+    rows = RNG.normal(size=(4, 6))
+    q = features.orthonormal(np.concatenate([rows, rows[:1] + rows[2:3]]))  # the last one depends on the others
+    assert np.allclose(q[:4] @ q[:4].T, np.eye(4)) and not q[4].any()
+    assert np.allclose(rows @ q[:4].T, np.tril(rows @ q[:4].T))
 
 
 def test_emphasis_doubles_with_each_level(spark):
-    rows = [[((r * 7 + c) % 13) * 0.01 - 0.06 for c in range(32)] for r in range(8)]
+    rows = (RNG.normal(size=(8, 32)) / 20).tolist()
     direction = [0.0] * 31 + [1.0]
     one, two = (column(features.build_features(frame(spark, rows), "v", "f", dims=4, emphasis={"serif": k}, directions={"serif": direction}), "f")[:, -1] for k in (1, 2))
     assert abs(one.mean()) < 1e-9 and np.allclose(two, 2 * one)
@@ -62,8 +64,8 @@ def test_emphasis_doubles_with_each_level(spark):
 def test_missing_directions_are_skipped(spark):
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
-        got = column(features.build_features(frame(spark, F4X6), "v", "f", dims=3, emphasis={"thin": 2}), "f")
-    assert any("directions" in str(w.message) for w in seen) and got.shape == (4, 3)
+        got = column(features.build_features(frame(spark, FEW), "v", "f", dims=3, emphasis={"thin": 2}), "f")
+    assert any("directions" in str(w.message) for w in seen) and got.shape == (5, 3)
 
 
 def test_components_need_two_rows(spark):
