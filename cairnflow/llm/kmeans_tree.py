@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample (``SAMPLE`` vectors, and ``PER_LEAF`` for
 vectors up to ``MOST_LEAVES``, since the tree is sent to all workers. Every vector is then filed under its leaf. A
 query walks the tree with a priority queue: down to the nearest leaf first, then on from the nearest branch left
 aside. How many leaves it visits is calibrated: visits are widened on sample queries until their recall against
-brute force over the sample reaches ``RECALL``. Neighbouring leaves make up bins of about ``BLOCK`` vectors. A query travels
+brute force over the sample reaches ``RECALL``. Neighbouring leaves make up bins of at most ``BLOCK`` vectors. A query travels
 once to each bin in which it visits leaves, with the list of these; a bin's vectors travel once for every ``QUERIES`` queries, and not
 at all where none comes; leaves larger than a bin are dealt over several blocks. Scores are computed in double precision on the
 original vectors.
@@ -34,8 +34,9 @@ LEAF, MOST_LEAVES = 400, 8192
 #: What the sample must reach; the contract asks for 0.9.
 RECALL = 0.95
 PROBES = 128
-#: Rows of a block of candidates, and of queries.
+#: Rows of a block of candidates (fewer in small tables, so that all tasks have some), and of queries.
 BLOCK, QUERIES = 8192, 8192
+SMALL, BINS = 1024, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -217,14 +218,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     tree = spark.sparkContext.broadcast(model)  # bounded by the number of leaves
     filed = stored(vectors.mapInArrow(_file(tree), "vec_id long, embedding array<double>, leaf int"), "leaves")
     sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row for each leaf
-    bins, fill = np.full(model.n_leaves, -1, np.int32), []
+    bins, fill, block = np.full(model.n_leaves, -1, np.int32), [], min(BLOCK, max(SMALL, n // BINS))
     for leaf in sorted(sizes):  # leaves are numbered along the tree
-        if not fill or fill[-1] + sizes[leaf] > BLOCK:
+        if not fill or fill[-1] + sizes[leaf] > block:
             fill.append(0)
         fill[-1] += sizes[leaf]
         bins[leaf] = len(fill) - 1
     walked = stored(queries.mapInArrow(_visit(tree, bins), "query_id long, query array<double>, bin int, leaves array<int>"), "walks")
-    of_leaf = spark.createDataFrame([(leaf, int(bins[leaf]), max(1, -(-fill[bins[leaf]] // BLOCK))) for leaf in sorted(sizes)], "leaf int, bin int, parts int")
+    of_leaf = spark.createDataFrame([(leaf, int(bins[leaf]), max(1, -(-fill[bins[leaf]] // block))) for leaf in sorted(sizes)], "leaf int, bin int, parts int")
     blocks = walked.groupBy("bin").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     shape = stored(of_leaf.join(blocks, "bin"), "shape")
     per_leaf, per_bin = F.broadcast(shape), F.broadcast(shape.select("bin", "parts", "blocks").distinct())  # at most a row for each leaf
