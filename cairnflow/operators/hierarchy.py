@@ -34,7 +34,7 @@ from cairnflow.sources.store import discard, stored
 
 METHODS = ("single", "complete", "average", "weighted", "ward")
 #: Clusters of a session that are merged in one group.
-FEW = 256
+FEW = 2048
 #: Edges of a spanning forest that are put in order in one group.
 EDGES = 4096
 _TIE = 1 + 1e-9
@@ -120,7 +120,7 @@ def _round(near: DataFrame, clusters: DataFrame, method: str) -> tuple[DataFrame
     made = stored(_next_clusters(clusters, _reciprocal(near)), "merged")
     part = lambda slot, at: made.select("session_id", F.col(slot).alias("slot"), F.col("slot").alias("to"), F.lit(at).alias("part"), "h")
     roles = clusters.select("session_id", "slot", "size").join(part("slot", 0).union(part("j", 1)), ["session_id", "slot"], "left")
-    roles = stored(roles.select("session_id", "slot", "size", F.coalesce("to", "slot").alias("to"), F.coalesce("part", F.lit(0)).alias("part"), "h"), "roles")
+    roles = roles.select("session_id", "slot", "size", F.coalesce("to", "slot").alias("to"), F.coalesce("part", F.lit(0)).alias("part"), "h")
     side = lambda slot, s: roles.select("session_id", F.col("slot").alias(slot), *(F.col(c).alias(f"{c}_{s}") for c in ("to", "part", "h", "size")))
     moved = near.join(side("a", "x"), ["session_id", "a"]).join(side("b", "y"), ["session_id", "b"]).where("to_x <> to_y")
     first = F.col("to_x") < F.col("to_y")
@@ -135,7 +135,6 @@ def _round(near: DataFrame, clusters: DataFrame, method: str) -> tuple[DataFrame
     after = stored(cells.select("session_id", F.col("to_x").alias("a"), F.col("to_y").alias("b"), d.alias("d")), "near")
     gone = made.select("session_id", F.explode(F.array("slot", "j")).alias("slot"))
     rest = stored(clusters.join(gone, ["session_id", "slot"], "left_anti").unionByName(made.select(*clusters.columns)), "clusters")
-    discard(roles)
     return made, after, rest
 
 
@@ -282,10 +281,10 @@ def labels(items: DataFrame, found: DataFrame, threshold: float, target: int) ->
     return found.join(roots, ["session_id", "component"]).select("session_id", "idx", "k")
 
 
-def dendrogram(vectors: DataFrame, method: str = "complete") -> DataFrame:
+def dendrogram(vectors: DataFrame, method: str = "complete", few: int = FEW, most: int = EDGES) -> DataFrame:
     """The merges of every session of ``vectors`` (session_id, id, features), of whatever size."""
     items = _items(vectors)
-    return nodes_of(steps(items, method), _sizes(items))
+    return nodes_of(steps(items, method, few, most=most), _sizes(items))
 
 
 def clustered(vectors: DataFrame, method: str = "complete", threshold: float = 0.25, target: int = 0) -> tuple[DataFrame, DataFrame]:

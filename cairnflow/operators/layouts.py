@@ -260,12 +260,15 @@ def power_cells(polygon: np.ndarray, weight: np.ndarray, rng: np.random.Generato
         cells = []
         for i, (x, y) in enumerate(sites):
             near = sorted(((u - x) ** 2 + (v - y) ** 2 - power[j], j) for j, (u, v) in enumerate(sites) if j != i)
-            cell = whole
-            for _, j in near:
+            cell, reach = whole, math.inf
+            for gap, j in near:
                 u, v = sites[j]
+                if gap + power[i] >= 2 * reach * math.hypot(u - x, v - y):  # the line lies beyond the cell's farthest corner
+                    continue
                 cell = clip(cell, 2 * (u - x), 2 * (v - y), u * u + v * v - x * x - y * y - power[j] + power[i])
                 if len(cell) < 3:
                     break
+                reach = max(math.hypot(a - x, b - y) for a, b in cell)
             cells.append(cell)
         moments = [_moments(c) if len(c) > 2 else (*s, 0.0) for c, s in zip(cells, sites, strict=True)]
         off = sum(abs(m[2] / area - w) for m, w in zip(moments, share, strict=True)) / 2

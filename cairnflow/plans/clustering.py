@@ -92,10 +92,17 @@ def dendrogram_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("step", F.col("left").alias("low"), F.col("right").alias("high"), F.round("height", 5).alias("height"))
 
 
+@query("reciprocal_merges", f"{_merges_sql('complete')} SELECT s AS step, min(node) AS low, max(node) AS high, round(max(h), 5) AS height FROM tree GROUP BY s")
+def reciprocal_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1, G2 by rounds of reciprocal neighbours down to a few clusters, as sessions of many items are merged."""
+    m = hierarchy.dendrogram(_session(spark, sf_dir), "complete", few=200)
+    return m.select("step", F.col("left").alias("low"), F.col("right").alias("high"), F.round("height", 5).alias("height"))
+
+
 @query("single_linkage_merges", f"{_merges_sql('single')} SELECT s AS step, min(node) AS low, max(node) AS high, round(max(h), 5) AS height FROM tree GROUP BY s")
 def single_linkage_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole tree of single linkage, contracted from spanning forests."""
-    m = hierarchy.dendrogram(_session(spark, sf_dir), "single")
+    m = hierarchy.dendrogram(_session(spark, sf_dir), "single", most=300)
     return m.select("step", F.col("left").alias("low"), F.col("right").alias("high"), F.round("height", 5).alias("height"))
 
 
