@@ -103,8 +103,9 @@ def _down(nodes: DataFrame, whole: list, cut) -> DataFrame:
     levels = known.agg(F.max("depth")).first()[0]
     top = F.array(*(F.array(*map(F.lit, p)) for p in whole)) if deep else F.array(*map(F.lit, whole))
     above, out = known.select("session_id").distinct().select("session_id", F.lit(-1).alias("parent"), top.alias("shape")), []
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for depth in range((levels if levels is not None else -1) + 1):
-        level = known.where(F.col("depth") == depth).join(above, ["session_id", "parent"])
+        level = known.where(F.col("depth") == depth).join(above, ["session_id", "parent"]).repartition(parts, "session_id", "parent")  # rows are few, but their work is not
         out.append(stored(level.groupBy("session_id", "parent").applyInArrow(run, f"session_id string, node int, shape {sql}"), "level"))
         above = out[-1].select("session_id", F.col("node").alias("parent"), "shape")
     empty = above.select("session_id", F.col("parent").cast("int").alias("node"), "shape").limit(0)
