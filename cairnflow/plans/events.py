@@ -88,6 +88,25 @@ def distinct_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.distinct_snapshots(log, "user_id").select("event_id")
 
 
+_HISTORY = """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'reset' ELSE 'redo' END WHEN 'error' THEN 'undo' ELSE 'commit' END AS op,
+  CASE WHEN event_type = 'error' AND event_id % 3 > 0 THEN NULL ELSE 's' || event_id % 4 END AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+  f(user_id, r, event_id, h, p) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, [NULL]::VARCHAR[], 1::BIGINT FROM o UNION ALL
+  SELECT user_id, r, event_id, CASE op WHEN 'reset' THEN [s] ELSE h2 END, CASE op WHEN 'reset' THEN 1 WHEN 'undo' THEN greatest(1, p2 - 1) WHEN 'redo' THEN least(len(h2), p2 + 1) ELSE p2 END
+  FROM (SELECT user_id, r, event_id, op, s, CASE WHEN push THEN list_append(h[1:p], s) ELSE h END AS h2, CASE WHEN push THEN p + 1 ELSE p END AS p2
+  FROM (SELECT f.user_id, o.r, o.event_id, o.op, o.s, f.h, f.p, (op = 'commit' OR (op = 'undo' AND s IS NOT NULL)) AND h[p] IS DISTINCT FROM s AS push FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)))
+  SELECT event_id, h[p] AS snapshot, p - 1 AS depth, p > 1 AS can_undo, p < len(h) AS can_redo FROM f WHERE r > 0"""
+
+
+@query("selection_history", _HISTORY)
+def selection_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commits, undos, redos and resets of each user's selection."""
+    t, i = F.col("event_type"), F.col("event_id")
+    op = F.when(t == "purchase", F.when(i % 4 == 0, "reset").otherwise("redo")).when(t == "error", "undo").otherwise("commit")
+    snapshot = F.when((t == "error") & (i % 3 > 0), F.lit(None)).otherwise(F.concat(F.lit("s"), (i % 4).cast("string")))
+    log = table(spark, sf_dir, "events").select("user_id", i.alias("seq"), op.alias("op"), snapshot.alias("snapshot"))
+    return E.selection_history(log, "user_id").select(F.col("seq").alias("event_id"), "snapshot", "depth", "can_undo", "can_redo")
+
+
 @query("progress_reports", "SELECT user_id, ceil(count(*) / 4.0)::BIGINT AS rendering, ceil(count(*) / 32.0)::BIGINT AS analysis FROM events GROUP BY user_id")
 def progress_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2."""

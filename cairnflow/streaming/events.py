@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -201,38 +202,55 @@ def known(event: Column) -> Column:
     return event.isin(*EVENTS) | event.startswith("model_download_")
 
 
-class History:
-    """The snapshots of a selection, with undo, redo and reset. Equal neighbours are one; a commit after an undo drops what was undone."""
+def _epochs(log: DataFrame, key: str) -> DataFrame:
+    """The log with ``_epoch``: how many resets of its key came so far. Range partitions count side by side and are put together from one row for each."""
+    ranged = stored(log.repartitionByRange(key, "seq").withColumn("_part", F.spark_partition_id()), "log")
+    reset = F.when(F.col("op") == "reset", 1).otherwise(0)
+    counts = ranged.groupBy(key, "_part").agg(F.sum(reset).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.sum(reset).over(Window.partitionBy(key, "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    joined = ranged.join(counts, ranged[key].eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("_epoch", F.col("_before") + own).drop("_part", "_key", "_of", "_before")
 
-    def __init__(self, snapshot: object = None):
-        self.log, self.at = [snapshot], 0
 
-    def commit(self, snapshot: object) -> None:
-        if snapshot != self.log[self.at]:
-            self.log[self.at + 1 :] = [snapshot]
-            self.at += 1
+def selection_history(log: DataFrame, key: str) -> DataFrame:
+    """What is selected after every operation of a log (key, seq, op, snapshot: string) of commits, undos, redos and resets.
 
-    def undo(self, current: object = None) -> object:
-        """The snapshot before; what is selected now is committed first if it is given."""
-        if current is not None:
-            self.commit(current)
-        self.at = max(0, self.at - 1)
-        return self.log[self.at]
+    Returns (key, seq, op, snapshot, depth, can_undo, can_redo). A history starts with null; a commit of what is selected changes nothing, any
+    other one drops what was undone; an undo first commits its snapshot, unless that is null; at either end, undo and redo change nothing; a reset starts anew
+    with its snapshot; other operations change nothing. A null key is a key. ``seq`` is unique within a key.
 
-    def redo(self) -> object:
-        self.at = min(len(self.log) - 1, self.at + 1)
-        return self.log[self.at]
-
-    def reset(self, snapshot: object) -> None:
-        self.log, self.at = [snapshot], 0
-
-    @property
-    def can_undo(self) -> bool:
-        return self.at > 0
-
-    @property
-    def can_redo(self) -> bool:
-        return self.at < len(self.log) - 1
+    What lies behind a reset has no effect, so a key's stretches between resets are read side by side, each in order, batch by batch: a task holds
+    one stretch's snapshots that can still be reached, not its log.
+    """
+    k, ahead = log.schema[key].dataType.simpleString(), ["_epoch", "seq"]
+    rows = _epochs(log.select(key, "seq", "op", F.col("snapshot").cast("string").alias("snapshot")), key)
+    seq = log.schema["seq"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, kept, at = None, [None], 0
+        for part in parts:
+            keys, epochs, ops, snapshots = (part.column(part.schema.get_field_index(c)).to_pylist() for c in (key, "_epoch", "op", "snapshot"))
+            out = []
+            for stretch, op, snapshot in zip(zip(keys, epochs, strict=True), ops, snapshots, strict=True):
+                if stretch != of:
+                    of, kept, at = stretch, [None], 0
+                if op == "reset":
+                    kept, at = [snapshot], 0
+                if (op == "commit" or (op == "undo" and snapshot is not None)) and snapshot != kept[at]:
+                    del kept[at + 1 :]
+                    kept.append(snapshot)
+                    at += 1
+                at = max(0, at - 1) if op == "undo" else min(len(kept) - 1, at + 1) if op == "redo" else at
+                out.append((kept[at], at, at > 0, at < len(kept) - 1))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            own = [part.column(part.schema.get_field_index(c)) for c in (key, "seq", "op")]
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, "seq", "op", "snapshot", "depth", "can_undo", "can_redo"])
+
+    dealt = rows.repartition(key, "_epoch").sortWithinPartitions(key, *ahead)
+    return dealt.mapInArrow(run, f"`{key}` {k}, seq {seq}, op string, snapshot string, depth long, can_undo boolean, can_redo boolean")
 
 
 class CachedCatalog:

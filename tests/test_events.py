@@ -92,6 +92,32 @@ def test_sessions_and_snapshots(spark):
     assert sorted(r.seq for r in E.distinct_snapshots(states, "key").collect()) == [0, 2, 4, 5]
 
 
+def test_selection_history(spark):
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        key = rng.choice(["hot", "hot", "hot", "a", None])
+        op = rng.choices(["commit", "undo", "redo", "reset", "other"], [8, 5, 4, 1 if key != "hot" or i > 300 else 0, 1])[0]
+        rows.append((key, i, op, rng.choice(["x", "y", "z", None])))
+    want, logs = {}, {}
+    for key, seq, op, snapshot in rows:
+        before, at = logs.get(key, ([None], 0))
+        if op == "reset":
+            before, at = [snapshot], 0
+        if op in ("commit", "undo") and not (op == "undo" and snapshot is None) and before[at] != snapshot:
+            before, at = before[: at + 1] + [snapshot], at + 1
+        at = max(at - 1, 0) if op == "undo" else min(at + 1, len(before) - 1) if op == "redo" else at
+        logs[key] = before, at
+        want[seq] = (key, before[at], at, at > 0, at + 1 < len(before))
+    log = spark.createDataFrame(rows, "who string, seq long, op string, snapshot string").withColumn("depth", F.lit("a clashing name")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.seq: (r.who, r.snapshot, r.depth, r.can_undo, r.can_redo) for r in E.selection_history(log, "who").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert E.selection_history(log.limit(0), "who").count() == 0
+
+
 def test_cached_catalog():
     now, calls = [0.0], []
 

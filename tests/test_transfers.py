@@ -119,16 +119,7 @@ def test_missing_models_follow_in_the_order_of_selection(spark):
     assert [(r.id, r.place, r.availability) for r in out] == [("m1", 0, "installed"), ("m2", 1, "remote"), ("x", 2, "loading"), ("y", 3, "loading")]
 
 
-def test_history_and_vocabulary(spark):
-    h = events.History("a")
-    for s in ("b", "b", "c"):
-        h.commit(s)
-    assert (h.log, h.can_undo, h.can_redo) == (["a", "b", "c"], True, False)
-    assert (h.undo(), h.undo(), h.undo(), h.redo()) == ("b", "a", "a", "b")
-    h.commit("d")
-    assert h.log == ["a", "b", "d"] and h.undo("e") == "d" and h.redo() == "e"
-    h.reset("z")
-    assert (h.log, h.can_undo, h.can_redo) == (["z"], False, False)
+def test_vocabulary(spark):
     df = spark.createDataFrame([("analysis_start",), ("model_download_progress",), ("other",)], "e string")
     assert [r.k for r in df.select(events.known(F.col("e")).alias("k")).collect()] == [True, True, False]
 
