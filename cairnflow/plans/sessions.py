@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cairnflow.functions import names
 from cairnflow.operators import selection, sessions
 from cairnflow.plans.registry import query
-from cairnflow.sources import items
+from cairnflow.sources import archives, items
+from cairnflow.sources.store import shared_folder
 from cairnflow.sources.tables import table
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'clustered' WHEN 'P' THEN 'analyzed' ELSE 'rendered' END"
@@ -70,3 +71,38 @@ def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S29."""
     cache = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("bytes"), F.col("o_orderdate").alias("used_at"))
     return items.evicted(cache, 20_000_000).select("key")
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> str:
+    """The parts as archives by brand: a member for each part, a document about all of them."""
+    p = table(spark, sf_dir, "part")
+    each = p.select(F.col("p_brand").alias("archive"), F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("name"), F.encode("p_name", "utf-8").alias("content"))
+    about = p.groupBy(F.col("p_brand").alias("archive")).agg(F.encode(F.concat(F.lit('{"parts":'), F.count("*").cast("string"), F.lit("}")), "utf-8").alias("content")).select("archive", F.lit("config.json").alias("name"), "content")
+    folder = shared_folder(spark, "archives")
+    archives.write_archives(each.unionByName(about), folder)
+    return folder
+
+
+_MEMBERS = """SELECT p_brand AS archive, 'parts/' || p_partkey || '.txt' AS name, p_name AS content FROM part UNION ALL SELECT p_brand, 'config.json', '{"parts":' || count(*) || '}' FROM part GROUP BY p_brand"""
+
+
+@query("archive_members", f"SELECT archive, name, strlen(content) AS bytes, content FROM ({_MEMBERS})")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables packed into archives, and all of their members read back."""
+    return archives.read_archives(spark, _archives(spark, sf_dir)).withColumn("content", F.decode("content", "utf-8"))
+
+
+@query("archive_configs", f"""SELECT archive, (content->>'$.parts')::BIGINT AS parts FROM ({_MEMBERS}) WHERE name = 'config.json'""")
+def archive_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One member of each archive."""
+    found = archives.member(spark, _archives(spark, sf_dir), "config.json")
+    return found.select("archive", F.get_json_object(F.decode("content", "utf-8"), "$.parts").cast("bigint").alias("parts"))
+
+
+@query("archive_replaced", f"""SELECT archive, name, CASE WHEN name = 'config.json' AND archive IN (SELECT p_brand FROM part WHERE p_size = 50) THEN '{{"largest":50}}' ELSE content END AS content FROM ({_MEMBERS})""")
+def archive_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document about an archive replaced where it holds a part of the largest size; one for an archive that is not there is left out."""
+    folder = _archives(spark, sf_dir)
+    large = table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_brand").alias("archive")).distinct().union(spark.range(1).select(F.lit("nowhere")))
+    archives.replace_members(spark, folder, large.select("archive", F.lit("config.json").alias("name"), F.encode(F.lit('{"largest":50}'), "utf-8").alias("content")))
+    return archives.read_archives(spark, folder).select("archive", "name", F.decode("content", "utf-8").alias("content"))

@@ -4,20 +4,33 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` (or the warehouse, where that is unset) and read back; removed by ``discard``, or when the application ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir`` (or the warehouse, where that is unset), removed when the application ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path (local, or any that Arrow knows) and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path).rstrip("/"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below ``spark.checkpoint.dir`` (or the warehouse, where that is unset) and read back; removed by ``discard``, or when the application ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
