@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import names
 from cairnflow.operators import features, linkage, selection, sessions
+from cairnflow.sources.eventlog import EventLog
 from cairnflow.streaming import events
 
 
@@ -138,16 +140,18 @@ class Engine:
 class Bridge:
     """What the plugin bridge answers; a server only has to pass requests on."""
 
-    def __init__(self, clock: Callable[[], float]):
-        self.clock, self.beats, self.data = clock, {}, None
+    HELD_SECONDS = 1.0
+
+    def __init__(self, clock: Callable[[], float], log: EventLog | None = None):
+        """Heartbeats are appended to ``log``, if there is one, as lines of (plugin_id, ts: seconds) with the rest of their fields, at most once in ``HELD_SECONDS``."""
+        self.clock, self.log, self.beats, self.data = clock, log, {}, None
+        self.held, self.lock, self.written = [], threading.Lock(), float("-inf")
 
     def send(self, value: object) -> None:
         """Data for the plugins to fetch."""
         self.data = value
 
     def answer(self, method: str, path: str, body: str = "") -> tuple[int, object]:
-        import json
-
         if method == "OPTIONS":
             return 204, None
         if (method, path) == ("GET", "/data"):
@@ -156,11 +160,26 @@ class Bridge:
             try:
                 beat = json.loads(body)
                 self.beats[beat["plugin_id"]] = {**beat, "last_seen": self.clock()}
+                self._hold({**beat, "ts": self.beats[beat["plugin_id"]]["last_seen"]})
             except (ValueError, KeyError, TypeError):
                 return 400, None
             return 200, {"ok": True}
         return 404, None
 
+    def _hold(self, beat: dict) -> None:
+        if self.log is not None:
+            with self.lock:
+                self.held.append(json.dumps(beat))
+            if self.clock() - self.written >= self.HELD_SECONDS:
+                self.flush()
+
+    def flush(self) -> None:
+        """Writes the heartbeats that wait for the log."""
+        with self.lock:
+            held, self.held, self.written = self.held, [], self.clock()
+        if held:
+            self.log.append(held)
+
     def active(self) -> list[str]:
         return sorted(k for k, b in self.beats.items() if int(self.clock() - b["last_seen"]) <= events.ALIVE_SECONDS)
 
@@ -184,7 +203,6 @@ class BridgeServer:
     @staticmethod
     def response(bridge: Bridge, request: bytes) -> bytes:
         import http
-        import json
 
         head, _, body = request.decode("utf-8", "replace").partition("\r\n\r\n")
         line = head.split("\r\n", 1)[0].split(" ")

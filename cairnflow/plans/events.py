@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import display
 from cairnflow.plans.registry import query
+from cairnflow.sources import eventlog
+from cairnflow.sources.store import shared_folder
 from cairnflow.sources.tables import table
 from cairnflow.streaming import events as E
 
@@ -88,6 +90,20 @@ def distinct_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.distinct_snapshots(log, "user_id").select("event_id")
 
 
+@query("event_log_stream", "SELECT event_id, event_type AS event, (props->>'$.k')::BIGINT AS k, row_number() OVER (ORDER BY event_id) - 1 >= 0 AS numbered FROM events WHERE event_id % 10 <> 3")
+def event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table streamed into a log, and the log's offsets, without gaps or repeats, read back with its events."""
+    folder, check = shared_folder(spark, "eventlog"), shared_folder(spark, "check")
+    e = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")
+    line = F.when(F.col("event_id") % 10 == 3, F.lit("not json")).otherwise(F.concat(F.lit('{"event":"'), "event_type", F.lit('","payload":{"id":'), F.col("event_id").cast("string"), F.lit(',"props":'), "props", F.lit("}}")))
+    eventlog.log_sink(source.select(line.alias("value")), folder, check).trigger(availableNow=True).start().awaitTermination()
+    log = eventlog.read_log(spark, folder)
+    whole = log.agg((F.countDistinct("at") == F.max("at") + 1).alias("numbered"))
+    events = E.parsed(log, {"event_id": ("$.payload.id", "bigint"), "k": ("$.payload.props.k", "bigint")})
+    return events.select("event_id", "event", "k").crossJoin(F.broadcast(whole))
+
+
 _HISTORY = """WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'reset' ELSE 'redo' END WHEN 'error' THEN 'undo' ELSE 'commit' END AS op,
   CASE WHEN event_type = 'error' AND event_id % 3 > 0 THEN NULL ELSE 's' || event_id % 4 END AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
   f(user_id, r, event_id, h, p) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, [NULL]::VARCHAR[], 1::BIGINT FROM o UNION ALL

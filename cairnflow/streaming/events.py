@@ -191,6 +191,36 @@ def connection_stream(beats: DataFrame) -> DataFrame:
     return beats.groupBy("plugin_id").applyInPandasWithState(_beat, "plugin_id string, connected boolean", "connected boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def heartbeats(lines: DataFrame) -> DataFrame:
+    """A bridge's log of lines (value) as heartbeats (plugin_id, ts), in batch or as a stream; other lines are left out."""
+    beat = F.from_json("value", "plugin_id string, ts double")
+    return lines.select(beat.alias("b")).where("b.plugin_id is not null and b.ts is not null").select("b.plugin_id", F.timestamp_micros(F.round(F.col("b.ts") * 1_000_000).cast("long")).alias("ts"))
+
+
+def _connected(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state is the last beat; a plugin falls silent at the first later beat, or once the watermark shows that none came in time."""
+    out, last, life = [], state.get[0] if state.exists else None, 1_000_000 * (ALIVE_SECONDS + 1)
+    if state.hasTimedOut:
+        out.append((last + life, False))
+        state.remove()
+    else:
+        for now in sorted(pd.concat(list(parts))["ts"].astype("datetime64[us]").astype("int64").tolist()):
+            if last is not None and now - last >= life:
+                out.append((last + life, False))
+            if last is None or now - last >= life:
+                out.append((now, True))
+            last = now if last is None else max(now, last)
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + life) // 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"plugin_id": [key[0]] * len(out), "ts": pd.to_datetime([o[0] for o in out], unit="us"), "connected": [o[1] for o in out]})
+
+
+def connections_stream(beats: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """:func:`connections` as a stream by event time: beats (plugin_id, ts), dropped if they are later than ``late`` behind the newest."""
+    return beats.withWatermark("ts", late).groupBy("plugin_id").applyInPandasWithState(
+        _connected, "plugin_id string, ts timestamp, connected boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def distinct_snapshots(log: DataFrame, key: str) -> DataFrame:
     """A log (seq, snapshot) per key without snapshots equal to the one before."""
     before = F.lag("snapshot").over(Window.partitionBy(key).orderBy("seq"))
