@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Worst accepted score, and the distance that costs a whole point.
 THRESHOLD, DISTANCE = 0.25, 100
 #: What an equal text scores before it is weighted: the step between 1 and the next double.
 EQUAL = 2.0**-52
+#: Longest piece of a query that is matched as one; a match of the first piece lies within the first ``REACH`` characters.
+PIECE = 32
+REACH = PIECE + int(THRESHOLD * DISTANCE)
 
 
 def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int = DISTANCE) -> float | None:
@@ -22,8 +26,8 @@ def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int =
         return None
     if text == pattern:
         return 0.0
-    if len(pattern) > 32:  # longer patterns are matched in pieces, whose scores are averaged
-        parts = [bitap(text, pattern[i : i + 32], threshold, distance + i) for i in range(0, len(pattern), 32)]
+    if len(pattern) > PIECE:  # longer patterns are matched in pieces, whose scores are averaged
+        parts = [bitap(text, pattern[i : i + PIECE], threshold, distance + i) for i in range(0, len(pattern), PIECE)]
         return None if any(p is None for p in parts) else sum(parts) / len(parts)
     m = len(pattern)
     best, at = None, text.find(pattern)
@@ -50,13 +54,21 @@ def bitap(text: str, pattern: str, threshold: float = THRESHOLD, distance: int =
     return best
 
 
-def _may_match(query: str, values: Column) -> Column:
-    """A native condition for a match: of k errors' k + 1 parts of the (first 32 characters of the) query, one is in the text as it is."""
-    pattern = query.lower()[:32]
+def _parts(query: str) -> list[str]:
+    """Of k errors' k + 1 parts of the (first 32 characters of the) query, one is in a matching text as it is."""
+    pattern = query.lower()[:PIECE]
     parts = int(THRESHOLD * len(pattern)) + 1
     cuts = [round(i * len(pattern) / parts) for i in range(parts + 1)]
-    own = sorted({pattern[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j})
-    return F.exists(values, lambda v: reduce(lambda a, b: a | b, (F.contains(F.lower(v), F.lit(p)) for p in own)))
+    return sorted({pattern[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j})
+
+
+def _has_part(query: str, text: Column) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(p)) for p in _parts(query)))
+
+
+def _may_match(query: str, values: Column) -> Column:
+    """A native condition for a match."""
+    return F.exists(values, lambda v: _has_part(query, v))
 
 
 def fuzzy_score(query: str, keys: list[Column], n_keys: int) -> Column:
@@ -69,8 +81,8 @@ def fuzzy_score(query: str, keys: list[Column], n_keys: int) -> Column:
     @F.pandas_udf("double")
     def run(*lists: pd.Series) -> pd.Series:
         def one(strings: tuple) -> float | None:
-            found = [(bitap(v, query), v) for own in strings for v in (own if own is not None else []) if v and v.strip()]
-            found = [(EQUAL if v.lower() == query.lower() else max(s, 0.001), round(len(v.split(" ")) ** -0.5, 3)) for s, v in found if s is not None]
+            found = [(_string_score(v, query), round(len(v.split(" ")) ** -0.5, 3)) for own in strings for v in (own if own is not None else []) if v]
+            found = [(s, norm) for s, norm in found if s is not None]
             return math.prod(s ** (norm / n_keys) for s, norm in found) if found else None
 
         return pd.Series([one(row) for row in zip(*lists, strict=True)], dtype="Float64")
@@ -90,6 +102,66 @@ def fuzzy_search(items: DataFrame, query: str, keys: list[Column], n_keys: int |
     return near.withColumn("score", fuzzy_score(query, present, n_keys or len(keys))).where(F.col("score").isNotNull())
 
 
+class NameIndex:
+    """V14 by an index: the strings of all items filed under their grams of one to three characters, for searches that read the grams of their query only.
+
+    A row is (bucket, gram, text, key, times); files are partitioned by the gram's bucket and sorted by gram, so that a search prunes buckets and
+    then row groups. Only the first ``REACH`` characters can hold a part of a match, so a string has at most three times as many rows.
+    """
+
+    GRAM, BUCKETS = 3, 64
+
+    def __init__(self, spark: SparkSession, path: str, key_type: str = "string"):
+        self.spark, self.path, self.schema = spark, path, f"gram string, text string, key {key_type}, times long, bucket int"
+
+    @classmethod
+    def build(cls, items: DataFrame, key: str, keys: list[Column], path: str) -> NameIndex:
+        """Writes the index of ``items``, known by ``key``, over the strings of ``keys``; null and blank strings are left out."""
+        strings = F.flatten(F.array(*(F.coalesce(k, F.array().cast("array<string>")) for k in keys)))
+        each = items.select(F.col(key).alias("key"), F.explode(strings).alias("text")).where(F.length(F.trim("text")) > 0)
+        each = each.groupBy("key", "text").agg(F.count("*").alias("times"))
+        low = F.lower("text")
+        starts = lambda n: F.sequence(F.lit(1), F.greatest(F.least(F.length(low) - (n - 1), F.lit(REACH)), F.lit(1)))
+        grams = [F.transform(starts(n), cls._gram(low, n)) for n in range(1, cls.GRAM + 1)]
+        filed = each.select(F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("gram"), "text", "key", "times").withColumn("bucket", cls._bucket(F.col("gram")))
+        # frequent grams fill several files each
+        filed.repartitionByRange("bucket", "gram", "text", "key").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return cls(items.sparkSession, path, items.schema[key].dataType.simpleString())
+
+    @staticmethod
+    def _gram(text: Column, n: int):
+        return lambda start: F.substring(text, start, F.lit(n))
+
+    @classmethod
+    def _bucket(cls, gram: Column) -> Column:
+        return F.pmod(F.crc32(F.encode(gram, "utf-8")), F.lit(cls.BUCKETS)).cast("int")
+
+    def candidates(self, query: str) -> DataFrame:
+        """(key, text, times) of the strings that share a part with the query."""
+        grams = sorted({p[: self.GRAM] for p in _parts(query)})
+        buckets = sorted({zlib.crc32(g.encode()) % self.BUCKETS for g in grams})
+        found = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams) & _has_part(query, F.col("text")))
+        return found.select("key", "text", "times").distinct()
+
+    def search(self, query: str, n_keys: int) -> DataFrame:
+        """The items (key, score) that :func:`fuzzy_search` finds among all; ``n_keys`` keys share the weight."""
+        rows = self.candidates(query) if query else self.candidates("-").limit(0)
+
+        @F.pandas_udf("double")
+        def score(texts: pd.Series) -> pd.Series:
+            return pd.Series([_string_score(v, query) for v in texts], dtype="Float64")
+
+        norm = F.round(F.pow(F.size(F.split("text", " ")), F.lit(-0.5)), 3)
+        hits = rows.withColumn("s", score("text")).where(F.col("s").isNotNull())
+        return hits.groupBy("key").agg(F.product(F.pow("s", norm * F.col("times") / n_keys)).alias("score"))
+
+
+def _string_score(text: str, query: str) -> float | None:
+    """What a string scores before it is weighted."""
+    s = bitap(text, query) if text.strip() else None
+    return None if s is None else EQUAL if text.lower() == query.lower() else max(s, 0.001)
+
+
 def first_hit(hits: DataFrame, key: str) -> DataFrame:
     """The hit to select: best score, then smallest key."""
     return hits.orderBy("score", key).limit(1)

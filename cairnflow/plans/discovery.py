@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnflow.functions import names
 from cairnflow.operators import search, selection
 from cairnflow.plans.registry import query
+from cairnflow.sources.store import shared_folder
 from cairnflow.sources.tables import table
 
 TARGETS = (100, 200, 300, 400, 500)
@@ -158,6 +159,13 @@ def fuzzy_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_search(p, "brnd#12", [F.array("p_brand"), F.array("p_name")]).select("p_partkey", F.round("score", 6).alias("score"))
 
 
+@query("fuzzy_index_search", FUZZY_SQL)
+def fuzzy_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of grams, written and then read at the query's grams."""
+    index = search.NameIndex.build(table(spark, sf_dir, "part"), "p_partkey", [F.array("p_brand"), F.array("p_name")], shared_folder(spark, "names"))
+    return index.search("brnd#12", 2).select(F.col("key").alias("p_partkey"), F.round("score", 6).alias("score"))
+
+
 @query("name_edit_distance", "SELECT p_partkey, levenshtein(lower(p_brand), 'brand#11') AS edits FROM part WHERE levenshtein(lower(p_brand), 'brand#11') <= 1")
 def name_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V14's native approximation."""

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -150,6 +151,24 @@ def test_fuzzy_search(spark):
     assert selection.interactive_filter(weights, (400,), (), hits).count() == 2
 
 
+def test_index_finds_what_the_scan_finds(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdAü ") for _ in range(n))
+    rows = [(i, rng.choice([None, word(rng.choice([1, 3, 8, 20, 90]))]), [rng.choice([word(6), "Sans", "", " ", None]) for _ in range(rng.randint(0, 3))]) for i in range(300)]
+    items = spark.createDataFrame([*rows, (300, "x" * 24 + "abcdabcd", None), (301, "a" * 40, ["a" * 40, "a" * 40])], "id long, name string, more array<string>")
+    keys = [F.array("name"), F.col("more")]
+    index = search.NameIndex.build(items, "id", keys, str(tmp_path / "i"))
+    for query in ("a", "dc", "abc", "sans", "Abcda", "abcdabcd", word(12).strip() or "a", "a" * 40, "zz"):
+        want = {r.id: r.score for r in search.fuzzy_search(items, query, keys).collect()}
+        got = {r.key: r.score for r in index.search(query, 2).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-30) for k in want), query
+    assert index.search("", 2).count() == 0
+    plan = index.candidates("abcdabcd")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(gram" in plan
+    empty = search.NameIndex.build(items.limit(0), "id", keys, str(tmp_path / "e"))
+    assert empty.search("abc", 2).count() == 0
+
+
 def test_selections(spark):
     faces = spark.createDataFrame([(1, "ps", 400, ["A"]), (2, "ps", 700, ["B"]), (3, None, 430, ["A", "C"])], "face_ord long, postscript_name string, weight int, names array<string>")
     items = spark.createDataFrame([("x", "ps", 400, ["Z"]), ("y", "no", 440, ["C", "C"]), ("z", None, 600, ["A"])], "item string, postscript_name string, weight int, names array<string>")
