@@ -90,7 +90,7 @@ def distinct_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.distinct_snapshots(log, "user_id").select("event_id")
 
 
-@query("event_log_stream", "SELECT event_id, event_type AS event, (props->>'$.k')::BIGINT AS k, row_number() OVER (ORDER BY event_id) - 1 >= 0 AS numbered FROM events WHERE event_id % 10 <> 3")
+@query("event_log_stream", "SELECT event_id, event_type AS event, (props->>'$.k')::BIGINT AS k, true AS numbered FROM events WHERE event_id % 10 <> 3")
 def event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table streamed into a log, and the log's offsets, without gaps or repeats, read back with its events."""
     folder, check = shared_folder(spark, "eventlog"), shared_folder(spark, "check")
