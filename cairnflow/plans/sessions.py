@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairnflow.functions import names
 from cairnflow.operators import selection, sessions
 from cairnflow.plans.registry import query
-from cairnflow.sources import archives, items
+from cairnflow.sources import archives, items, transfers
 from cairnflow.sources.store import shared_folder
 from cairnflow.sources.tables import table
 
@@ -106,3 +106,66 @@ def archive_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_brand").alias("archive")).distinct().union(spark.range(1).select(F.lit("nowhere")))
     archives.replace_members(spark, folder, large.select("archive", F.lit("config.json").alias("name"), F.encode(F.lit('{"largest":50}'), "utf-8").alias("content")))
     return archives.read_archives(spark, folder).select("archive", "name", F.decode("content", "utf-8").alias("content"))
+
+
+def _written(spark: SparkSession, files: DataFrame) -> str:
+    """Files (name, content: string) written by tasks below a shared folder."""
+    folder = shared_folder(spark, "files")
+    failed = transfers.save(files.select("name", F.encode("content", "utf-8").alias("content")), folder).where("error is not null").first()
+    if failed is not None:
+        raise OSError(failed.error)
+    return folder
+
+
+@query("item_files", """SELECT s_name AS safe_name, s_nationkey * 10 AS weight, 'n' || s_nationkey AS name_en, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END AS k,
+  CASE WHEN s_suppkey % 3 = 0 THEN [s_suppkey / 4, -0.5] END::VARCHAR AS two FROM supplier WHERE s_suppkey % 7 <> 1""")
+def item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each item, some broken, some with what was computed, written as files and scanned."""
+    s = table(spark, sf_dir, "supplier")
+    name, k = F.col("s_name"), F.col("s_suppkey")
+    meta = F.to_json(F.struct(name.alias("safe_name"), (F.col("s_nationkey") * 10).alias("weight"), F.create_map(F.lit("en"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("family_names")))
+    computed = F.to_json(F.struct(name.alias("safe_name"), F.struct(F.col("s_nationkey").alias("k"), F.array(k / 4, F.lit(-0.5)).alias("two")).alias("clustering")))
+    files = s.select(F.concat(name, F.lit("/meta.json")).alias("name"), F.when(k % 7 == 1, F.lit("{broken")).otherwise(meta).alias("content"))
+    folder = _written(spark, files.union(s.where(k % 3 == 0).select(F.concat(name, F.lit("/computed.json")), computed)))
+    known = items.read_items(spark, folder).where("safe_name is not null").select("safe_name", "weight", F.col("family_names")["en"].alias("name_en"))
+    both = selection.with_computed(known, items.read_computed(spark, folder).where("safe_name is not null"))
+    two = F.transform("clustering.two", lambda x: x.cast("string"))
+    return both.select("safe_name", "weight", "name_en", F.col("clustering.k").alias("k"), F.concat(F.lit("["), F.array_join(two, ", "), F.lit("]")).alias("two"))
+
+
+@query("catalog_file", "SELECT row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS rank, s_name AS family, 'v' || s_nationkey AS variant FROM supplier")
+def catalog_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog is one document, an ordered array, in the second of two places."""
+    order = F.sort_array(F.collect_list(F.struct((-F.col("s_acctbal")).alias("a"), "s_suppkey", "s_name", "s_nationkey")))
+    each = F.transform(order, lambda r: F.struct(r["s_name"].alias("family"), F.array(F.concat(F.lit("v"), r["s_nationkey"].cast("string"))).alias("variants"), F.array().cast("array<string>").alias("subsets")))
+    folder = _written(spark, table(spark, sf_dir, "supplier").agg(F.to_json(each).alias("content")).select(F.lit("catalog.json").alias("name"), "content"))
+    found = items.read_catalog(spark, f"{folder}/absent.json", f"{folder}/catalog.json")
+    return found.select(F.col("rank").cast("bigint").alias("rank"), "family", F.col("variants")[0].alias("variant"))
+
+
+@query("model_files", "SELECT 'm-' || s_suppkey AS id, s_name AS name, s_suppkey * 1000 AS parameter_count FROM supplier WHERE s_suppkey % 5 <> 2 AND s_suppkey % 4 <> 3 AND s_suppkey * 1000 <> 0")
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests in folders of their own; those of another version, without sound digests or with no parameters are passed over."""
+    k = F.col("s_suppkey")
+    digest = F.when(k % 4 == 3, F.lit("short")).otherwise(F.sha2("s_name", 256))
+    content = F.to_json(F.struct(F.when(k % 5 == 2, 9).otherwise(1).alias("api_version"), F.concat(F.lit("m-"), k.cast("string")).alias("id"), F.col("s_name").alias("name"), (k * 1000).alias("parameter_count"), F.array(digest).alias("digests")))
+    folder = _written(spark, table(spark, sf_dir, "supplier").select(F.concat(F.lit("m-"), k.cast("string"), F.lit("/model.json")).alias("name"), content.alias("content")))
+    return items.read_models(spark, folder).select("id", "name", "parameter_count")
+
+
+@query("session_tables", """SELECT o_orderstatus || '' AS origin, o_orderkey AS id, o_totalprice AS price, o_custkey AS "left" FROM orders WHERE o_orderstatus IN ('F', 'P')
+  UNION ALL SELECT 'copy', o_orderkey, o_totalprice, o_custkey FROM orders WHERE o_orderstatus = 'F'""")
+def session_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of three sessions written, one session copied with all of its tables, one deleted."""
+    catalog, o = sessions.Catalog(spark, shared_folder(spark, "catalog")), table(spark, sf_dir, "orders")
+    ids = {}
+    for status in ("F", "O", "P"):
+        ids[status] = catalog.create({"title": status})
+        own = o.where(F.col("o_orderstatus") == status)
+        catalog.write("items", ids[status], own.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))
+        catalog.write("merges", ids[status], own.select(F.col("o_orderkey").alias("step"), F.col("o_custkey").alias("left")))
+    ids["copy"] = catalog.duplicate(ids["F"])
+    catalog.delete(ids["O"])
+    origin = F.element_at(F.create_map(*(F.lit(x) for pair in ids.items() for x in reversed(pair))), F.col("session_id"))
+    both = catalog.read("items").join(catalog.read("merges").withColumnRenamed("step", "id"), ["session_id", "id"])
+    return both.select(origin.alias("origin"), "id", "price", "left")

@@ -63,6 +63,8 @@ def save(files: DataFrame, folder: str) -> DataFrame:
             out = []
             for name, content in zip(p["name"], p["content"], strict=True):
                 try:
+                    if "/" in name:
+                        system.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
                     with system.open_output_stream(f"{top}/{name}.part") as f:
                         f.write(bytes(content))
                     system.move(f"{top}/{name}.part", f"{top}/{name}")
