@@ -97,3 +97,15 @@ def test_tours_of_trees(spark, shape):
         assert (r.id, r.merge_index) == ((100 + v, None) if v < n else (None, v - n)) and r.wins == (wins.count(v) if v < n else None)
     angles = topology.leaf_angles(leaves.withColumn("k", F.lit(0)), rows).orderBy("leaf_angle").collect()
     assert [r.idx for r in angles] == sorted(range(n), key=lambda i: walked(n, merges, [True] * n)[i][1])
+
+
+def test_edges_of_pairs_of_blocks_are_thinned(spark):
+    """Before, every pair of blocks passed its whole tree on: items squared over the block's size."""
+    rng = np.random.default_rng(4)
+    items = hierarchy._items(spark.createDataFrame([("s", i, rng.normal(size=4).tolist()) for i in range(200)], "session_id string, id long, features array<double>"))
+    near = hierarchy._blocks(items, True, 8)
+    assert near.count() > 200 * 20
+    assert hierarchy._thinned(near, 8 * hierarchy.RUN).count() < 200 * 4
+    x = np.array([r.features for r in items.orderBy("idx").collect()])
+    want = [round(h, 9) for _, _, h in linkage.merge(linkage.distances(x) / linkage.distances(x).max(), "single")]
+    assert [round(r.height, 9) for r in hierarchy.steps(items, "single", block=8, most=40).orderBy("step").collect()] == want
