@@ -178,3 +178,12 @@ def test_selections(spark):
     assert one(spark, selection.available_modes(F.lit(False), F.lit(True))) == ["scatter-plot"] and len(one(spark, selection.available_modes(F.lit(True), F.lit(True)))) == 5
     numbered = selection.indexed(spark.createDataFrame([(x,) for x in "dbcaef"], "k string").repartition(3), "k")
     assert {r.k: r.idx for r in numbered.collect()} == dict(zip("abcdef", range(6), strict=True))
+
+
+def test_faces_of_many_alike(spark):
+    """Before, all items and faces of a name met: a product of their numbers."""
+    faces = spark.range(300).selectExpr("id face_ord", "string(null) postscript_name", "int(id % 5 * 100) weight", "array('a', 'b') names")
+    items = spark.range(300).selectExpr("id item", "string(null) postscript_name", "int(id % 2 * 250 + 30) weight", "array('a', 'a') names")
+    found = selection.resolve_faces(items, faces)
+    assert {r.item: r.face_ord for r in found.collect()} == {k: 3 if k % 2 else 0 for k in range(300)}
+    assert "Deduplicate" in found._jdf.queryExecution().analyzed().toString()
