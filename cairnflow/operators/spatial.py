@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.operators.layouts import SIZE
+from cairnflow.sources.store import stored
 
+#: Points on average in the smallest cells of a search for nearest points.
+FULL = 4
 _EPS = 2.220446049250313e-16
 #: Gaps in pixels by kind of graph, with images or with labels only.
 GAPS = {"plane": (60, 40), "tree": (32, 16), "exemplar": (24, 24)}
@@ -62,19 +66,37 @@ def hex_thinning(points: DataFrame, bounds: tuple[float, float, float, float], s
 
 
 def nearest_within(pointers: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """For each pointer (pointer, x, y) the nearest point (key, x, y) strictly within the radius; ties to the smaller key. Cells of the radius's size are the join key."""
-    cell = lambda c: F.floor(F.col(c) / radius)
+    """For each pointer (pointer, x, y) the nearest point (key, x, y) strictly within the radius; ties to the smaller key.
+
+    Cells are the join key: first small ones, of ``FULL`` points on average, then larger ones up to the radius for those pointers that
+    have no point within a cell's size. So a pointer meets about as many points however densely they lie.
+    """
+    points = stored(points.where("x is not null and y is not null").groupBy("x", "y").agg(F.min("key").alias("key")), "points")
+    cell = lambda c, size: F.floor(F.col(c) / size)
+    held, cells = points.groupBy(cell("x", radius), cell("y", radius)).agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    level = max(0, math.ceil(math.log(held / cells / FULL, 4))) if held else 0
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    asked = pointers.select("pointer", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("cx"), cell("y").alias("cy"), around.alias("o")).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
-    held = points.select("key", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    left, found = pointers.select("pointer", F.col("x").alias("px"), F.col("y").alias("py")).distinct(), []
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    near = asked.join(held, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < radius * radius)
-    return near.groupBy("pointer").agg(F.min(F.struct("d2", "key")).alias("m")).select("pointer", "m.key", "m.d2")
+    while True:
+        size = radius / 2**level
+        asked = left.withColumn("o", around).select("pointer", "px", "py", (cell("px", size) + F.col("o.i")).alias("cx"), (cell("py", size) + F.col("o.j")).alias("cy"))
+        sure = size * size * (1 - 1e-9) if level else radius * radius  # nearer points than this all lie in the cells around
+        near = asked.join(points.select("key", "x", "y", cell("x", size).alias("cx"), cell("y", size).alias("cy")), ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") < sure)
+        best = near.groupBy("pointer", "px", "py").agg(F.min(F.struct("d2", "key")).alias("m"))
+        found.append(stored(best, "nearest") if level else best)
+        if not level:
+            break
+        left = stored(left.join(found[-1].select("pointer", "px", "py"), ["pointer", "px", "py"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+        level -= 1
+    return reduce(DataFrame.unionByName, found).groupBy("pointer").agg(F.min("m").alias("m")).select("pointer", "m.key", "m.d2")
 
 
 def pick(boxes: DataFrame, dots: DataFrame, points: DataFrame, pointers: DataFrame, radius: float) -> DataFrame:
     """An exemplar's image box (key, x0, y0, x1, y1) first, else the nearer of merge dot and point, dots winning ties."""
-    hit = cell_candidates(pointers, boxes).groupBy("pointer").agg(F.min("key").alias("key"))
+    hit = cell_candidates(pointers, boxes.groupBy("x0", "y0", "x1", "y1").agg(F.min("key").alias("key"))).groupBy("pointer").agg(F.min("key").alias("key"))
     ranked = hit.select("pointer", "key", F.lit(0).alias("rank"), F.lit(0.0).alias("d2"), F.lit("image").alias("kind"))
     for kind, table in (("dot", dots), ("point", points)):
         ranked = ranked.unionByName(nearest_within(pointers, table, radius).select("pointer", "key", F.lit(1).alias("rank"), "d2", F.lit(kind).alias("kind")))
@@ -82,21 +104,22 @@ def pick(boxes: DataFrame, dots: DataFrame, points: DataFrame, pointers: DataFra
 
 
 def cell_at(pointers: DataFrame, cells: DataFrame, step: float = 100.0) -> DataFrame:
-    """The leaf cell (id, x0, y0, x1, y1; bounds included) that holds a pointer; cells are filed under the tiles that they touch."""
+    """The leaf cell (id, x0, y0, x1, y1; bounds included) that holds a pointer; cells are filed under the tiles that they touch, equal ones once."""
     span = lambda a, b: F.sequence(F.floor(F.col(a) / step), F.floor(F.col(b) / step))
-    filed = cells.where("id is not null").select("id", "x0", "y0", "x1", "y1", F.explode(span("x0", "x1")).alias("tx"), span("y0", "y1").alias("ys")).select("*", F.explode("ys").alias("ty")).drop("ys")
+    cells = cells.where("id is not null").groupBy("x0", "y0", "x1", "y1").agg(F.min("id").alias("id"))
+    filed = cells.select("id", "x0", "y0", "x1", "y1", F.explode(span("x0", "x1")).alias("tx"), span("y0", "y1").alias("ys")).select("*", F.explode("ys").alias("ty")).drop("ys")
     asked = pointers.select("pointer", "x", "y", F.floor(F.col("x") / step).alias("tx"), F.floor(F.col("y") / step).alias("ty"))
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     return asked.join(filed, ["tx", "ty"]).where(inside).groupBy("pointer").agg(F.min("id").alias("id"))
 
 
 def polygon_at(pointers: DataFrame, cells: DataFrame) -> DataFrame:
-    """J13 for convex polygons (id, polygon): a pointer is inside if it is on one side of all edges."""
+    """J13 for convex polygons (id, polygon): a pointer is inside if it is on one side of all edges; equal polygons are tried once."""
     p = F.col("polygon")
     n = F.size(p)
     side = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (p[(i + 1) % n][0] - p[i][0]) * (F.col("y") - p[i][1]) - (p[(i + 1) % n][1] - p[i][1]) * (F.col("x") - p[i][0]))
     xs, ys = F.transform(p, lambda q: q[0]), F.transform(p, lambda q: q[1])
-    boxed = cells.where("id is not null").withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
+    boxed = cells.where("id is not null").groupBy("polygon").agg(F.min("id").alias("id")).withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
     near = cell_candidates(pointers, boxed)
     return near.where(F.forall(side, lambda s: s >= -1e-9) | F.forall(side, lambda s: s <= 1e-9)).groupBy("pointer").agg(F.min("id").alias("id"))
 

@@ -154,3 +154,25 @@ def test_hit_testing(spark):
     assert {r.pointer: r.id for r in spatial.polygon_at(where, squares).collect()} == {1: 0, 2: 2}
     gaps = spark.range(1).select(spatial.gap_of(F.lit("radial-tree"), F.lit(False)), spatial.gap_of(F.lit("scatter-plot"), F.lit(True))).first()
     assert tuple(gaps) == (16, 60)
+
+
+def test_nearest_of_dense_and_lonely_points(spark, monkeypatch):
+    """Before, a pointer met every point of nine cells of the radius's size: here 6000 rows for each of 200 pointers."""
+    monkeypatch.setattr(spatial, "FULL", 2)
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.random((3000, 2)) * 40, np.repeat([[20.0, 20.0]], 3000, axis=0), [[90.0, 90.0], [130.0, 90.0]]])
+    asked = np.concatenate([rng.random((197, 2)) * 40, [[20.0, 20.0], [110.0, 90.0], [300.0, 0.0]]])
+    to = lambda rows, name: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], f"{name} long, x double, y double")
+    found = spatial.nearest_within(to(asked, "pointer"), to(points, "key"), 40.0)
+    d2 = ((asked[:, None] - points[None]) ** 2).sum(axis=2)
+    assert {r.pointer: r.key for r in found.collect()} == {k: int(r.argmin()) for k, r in enumerate(d2) if r.min() < 1600}
+
+
+def test_equal_cells_are_tried_once(spark):
+    """Before, every pointer met each of the copies of a cell: their numbers were multiplied."""
+    pointers = spark.createDataFrame([(k, 5.0, 5.0) for k in range(50)] + [(50, 25.0, 5.0)], "pointer long, x double, y double")
+    boxes = spark.range(100).selectExpr("id", "double(0) x0", "double(0) y0", "double(10) x1", "double(10) y1")
+    polygons = boxes.selectExpr("id", "array(array(x0, y0), array(x1, y0), array(x1, y1), array(x0, y1)) polygon")
+    for found in (spatial.cell_at(pointers, boxes), spatial.polygon_at(pointers, polygons)):
+        assert {r.pointer: r.id for r in found.collect()} == dict.fromkeys(range(50), 0)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # of the cells, and of the answers
