@@ -109,3 +109,14 @@ def test_edges_of_pairs_of_blocks_are_thinned(spark):
     x = np.array([r.features for r in items.orderBy("idx").collect()])
     want = [round(h, 9) for _, _, h in linkage.merge(linkage.distances(x) / linkage.distances(x).max(), "single")]
     assert [round(r.height, 9) for r in hierarchy.steps(items, "single", block=8, most=40).orderBy("step").collect()] == want
+
+
+def test_reciprocal_pairs_with_ties(spark):
+    """Before, the rows of all pairs were sorted for a least struct; now the least distances are aggregated as numbers first."""
+    rng = np.random.default_rng(2)
+    d = {(a, b): float(rng.integers(1, 9)) for a in range(30) for b in range(a + 1, 30)}
+    near = spark.createDataFrame([("s", a, b, v) for (a, b), v in d.items()], "session_id string, a int, b int, d double")
+    found = hierarchy._reciprocal(near)
+    own = [min((v, *p) for p, v in d.items() if k in p)[1:] for k in range(30)]
+    assert {(r.i, r.j, r.h) for r in found.collect()} == {(*p, d[p]) for p in own if own.count(p) == 2}
+    assert "least" in found._jdf.queryExecution().analyzed().toString()
