@@ -33,6 +33,22 @@ def test_order_of_random_trees(seed, n):
     assert math.isclose(got, min(linkage.ring_cost(dist, o) for o in orders(2 * n - 2, n, merges)), abs_tol=1e-9)
 
 
+def test_large_products_leave_out_joints_without_changing_a_sum(monkeypatch):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(900, 5))
+    d = linkage.distances(points)
+    assert np.array_equal(d, np.stack([np.sqrt(np.einsum("ij,ij->i", points - p, points - p)) for p in points]))
+    seen = []
+    one = linkage._least_of_row
+    monkeypatch.setattr(linkage, "_least_of_row", lambda *a: seen.append(len(a[0])) or one(*a))
+    for a, b in ((d[:200, 200:500], d[200:500, 500:]), (d[:500, 500:700], d[500:700, :90]), (np.ones((200, 200)), np.ones((200, 200))), (d[:200, 200:500] - 3, np.round(d[200:500, 500:]))):
+        assert np.array_equal(linkage._least_sum(a, b), np.min(a[:, :, None] + b[None], axis=1))
+    assert len(seen) == 200 + 90 + 200 + 200
+    a = d[:200, 200:400].copy()
+    a[3, 5] = np.inf
+    assert np.array_equal(linkage._least_sum(a, a), np.min(a[:, :, None] + a[None], axis=1))
+
+
 def test_degenerate_orders():
     assert linkage.optimal_order(np.zeros((1, 1)), []) == []
     assert linkage.leaves_of(2, linkage.optimal_order(np.zeros((2, 2)), [(0, 1, 0.0)])) == [0, 1]
