@@ -89,6 +89,36 @@ def test_merges_equal_the_definitions(method):
     assert [(a, b, round(h, 8)) for a, b, h in linkage.merge(linkage.distances(points), method)] == plain_merges(points, method)
 
 
+@pytest.mark.parametrize("method", linkage.CENTRAL)
+def test_merges_of_centres_need_no_table(spark, monkeypatch, method):
+    rng = np.random.default_rng(4)
+    for points in (rng.normal(size=(300, 12)), rng.normal(size=(90, 1)), np.repeat(rng.normal(size=(40, 3)), 3, axis=0), np.ones((5, 2)), np.ones((1, 2))):
+        d = linkage.distances(points)
+        want = linkage.merge(d, method) if len(points) > 1 else []
+        np.fill_diagonal(d, np.inf)
+        for least in (None, d.min(axis=1, initial=np.inf)):
+            got = linkage.merge_centres(points, method, least)
+            assert [m[:2] for m in got] == [m[:2] for m in want] and np.allclose([m[2] for m in got], [m[2] for m in want], atol=1e-9)
+    monkeypatch.setattr(linkage.pairs, "BLOCK", 40)
+    data = [(s, 3 * i, rng.normal(size=4).tolist()) for s, n in (("a", 150), ("b", 61), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "session_id string, id long, features array<double>")
+    out = linkage.assignments(df, method, 0.0, 7, order=False).collect()
+    assert len(out) == len(data)
+    for s in "abc":
+        want = linkage.cluster(np.array([f for t, _, f in data if t == s]), method, 0.0, 7, order=False)
+        own = sorted((r for r in out if r.session_id == s), key=lambda r: r.id)
+        assert [r.k for r in own] == want["labels"].tolist()
+        assert [r.join_height for r in own] == pytest.approx(want["join_height"].tolist())
+
+
+def test_more_items_than_a_table_holds(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "MOST_ITEMS", 20)
+    points = np.random.default_rng(5).normal(size=(50, 3))
+    assert len(linkage.cluster(points, "centroid", 0.0, 5, False, (float(linkage.distances(points).max()), np.zeros(50)))["merges"]) == 49
+    with pytest.raises(ValueError):
+        linkage.cluster(points, "average")
+
+
 def test_cut_stops_at_either_criterion():
     merges = [(0, 1, 0.1), (2, 3, 0.2), (4, 5, 0.5)]
     labels = lambda *a: linkage.cut(4, merges, *a)[0].tolist()
