@@ -7,11 +7,11 @@ surroundings, and spans above a threshold are added, the surest first, where the
 other. So numbers that the patterns lose because another number stands beside them are found, and
 forms that no pattern has, such as phone numbers without a plus or addresses with the at-sign spelled out.
 
-The models are fitted on a bounded sample: about ``SAMPLE`` texts of at most ``LONGEST`` characters that have digits or
-at-signs, chosen by a hash of their text. There base spans are true, and other candidates false unless they touch a number that a
-pattern dropped (which stays unlabelled). Into copies of the same texts personal data in many forms, and numbers that
-are none, are planted at random words, so their truth is known. A fifth of the texts sets the thresholds: the smallest that
-leave a precision of ``PRECISION`` there. Executors make the candidates' features; at most ``ROWS`` rows of each kind reach the driver.
+The models are fitted on all distinct texts that have anything to look at. There base spans are true, and other candidates false
+unless they touch a number that a pattern dropped (which stays unlabelled). Into copies of the same texts personal data in many forms, and numbers that
+are none, are planted at random words, so their truth is known. A fifth of the texts, by a hash, sets the thresholds: the smallest that
+leave a precision of ``PRECISION`` there. Executors make the candidates' features, bin them by fixed bounds (``CUTS``) and count equal ones; trees grow from sums over
+the whole table of these counts (``boosting.fit_table``).
 
 Lengths of candidates follow public formats: 64 characters before an at-sign, 15 digits of a phone number, 19 of a card, in ``GROUPS`` groups.
 
@@ -25,7 +25,8 @@ import random
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnflow.llm import textvec as tv
-from cairnflow.llm.boosting import Boosted, threshold
+from cairnflow.llm.boosting import Boosted, fit_table, steps
 from cairnflow.llm.shared import discard, lean_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, LONGEST, ROWS = 3000, 20_000, 30_000
 PRECISION = 0.995
+#: Upper bounds of the bins of features, which are whole numbers below 1000: small ones stand alone, larger ones follow formats (labels of 63 characters, parts of at most 255).
+CUTS = np.array([*range(25), 32, 48, 64, 127, 199, 255])
+_BIN = np.searchsorted(CUTS, np.arange(1000)).tolist()
+#: Counts that a task holds before it hands them on.
+_HELD = 1 << 16
 #: Groups of digits that a number is written in, at most.
 GROUPS = 8
 #: Texts that have something to look at.
@@ -179,8 +184,8 @@ class Model:
         chosen: list[list] = [[] for _ in texts]
         for k, rows in found.items():
             p = self.trees[k].predict(np.array([r[3] for r in rows], float)) if rows else []
-            for (t, a, b, _), score in zip(rows, p, strict=True):
-                if score >= self.thresholds[k]:
+            for (t, a, b, _), score, step in zip(rows, p, steps(p), strict=True):
+                if step >= self.thresholds[k]:
                     chosen[t].append((k, a, b, float(score)))
         return [_apart(c, k) for c, k in zip(chosen, known, strict=True)]
 
@@ -240,11 +245,12 @@ def _other(rng: random.Random) -> str:
     d = lambda n: _digits(rng, n)
     year = str(rng.randint(1950, 2030))
     return rng.choice([
-        f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(10, 28)}.{rng.randint(10, 12)}.{year}", f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{d(2)}:{d(2)}", f"{year}{d(4)}", f"{year} - {year}",
-        _card(rng, False), f"{d(2)}.{d(1)}.{d(3)}", f"{d(1)}.{d(1)}.{d(2)}.{d(1)}.{d(4)}", f"978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"978{d(10)}", f"{d(4)}.{d(3)}.{d(3)}.{d(2)}", f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(1)}", f"{d(3)},{d(3)},{d(3)}",
-        f"{d(7)}.{d(2)}", f"{d(5)}-{d(4)}", f"{d(8)}", f"{d(10)}", f"{d(12)}", f"{d(2)} {d(3)} {d(3)}", f"{_word(rng, 1, 3)}{d(9)}{_word(rng, 1, 3)}", f"#{d(9)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(2)}:{d(2)}:{d(2)}.{d(6)}", f"{d(20)}", f"{d(30)}",
-        f"{_word(rng)} at {_word(rng)}.{_word(rng)}", f"{_word(rng)} at the {_word(rng)}", f"{_word(rng)}@{_word(rng)}", f"look at {_word(rng)}.com", " ".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 12))), "; ".join(f"{d(2)}.{d(4)}" for _ in range(4)),
-    ])
+        lambda: f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(10, 28)}.{rng.randint(10, 12)}.{year}", lambda: f"{year}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{d(2)}:{d(2)}", lambda: f"{year}{d(4)}",
+        lambda: f"{year} - {year}", lambda: _card(rng, False), lambda: f"{d(2)}.{d(1)}.{d(3)}", lambda: f"{d(1)}.{d(1)}.{d(2)}.{d(1)}.{d(4)}", lambda: f"978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", lambda: f"978{d(10)}", lambda: f"{d(4)}.{d(3)}.{d(3)}.{d(2)}",
+        lambda: f"{rng.randint(256, 999)}.{d(3)}.{d(2)}.{d(1)}", lambda: f"{d(3)},{d(3)},{d(3)}", lambda: f"{d(7)}.{d(2)}", lambda: f"{d(5)}-{d(4)}", lambda: f"{d(8)}", lambda: f"{d(10)}", lambda: f"{d(12)}", lambda: f"{d(2)} {d(3)} {d(3)}",
+        lambda: f"{_word(rng, 1, 3)}{d(9)}{_word(rng, 1, 3)}", lambda: f"#{d(9)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(2)}:{d(2)}:{d(2)}.{d(6)}", lambda: f"{d(20)}", lambda: f"{d(30)}", lambda: f"{_word(rng)} at {_word(rng)}.{_word(rng)}",
+        lambda: f"{_word(rng)} at the {_word(rng)}", lambda: f"{_word(rng)}@{_word(rng)}", lambda: f"look at {_word(rng)}.com", lambda: " ".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 12))), lambda: "; ".join(f"{d(2)}.{d(4)}" for _ in range(4)),
+    ])()
 
 
 _FORMS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone}
@@ -271,53 +277,81 @@ def planted(text: str, rng: random.Random, n: int = 8) -> tuple[str, list[tuple[
     return "".join([*out, text[before:]]), spans
 
 
+def _touching(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a run shares a character with any of the spans."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def touches(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
+
+    return touches
+
+
 def examples(text: str) -> Iterator[tuple[str, int, list[float]]]:
     """(kind, truth, features) of the candidates of a text and of its copy with planted spans."""
     rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
     seen = list(matches(text))
-    dropped = [(a, b) for _, a, b, stands in seen if not stands]
+    dropped = _touching([(a, b) for _, a, b, stands in seen if not stands])
     true = {(k, a, b) for k, a, b, stands in seen if stands}
     for k, a, b, x in candidates(text):
         if (k, a, b) in true:
             yield k, 1, x
-        elif not any(c < b and a < d for c, d in dropped):
+        elif not dropped(a, b):
             yield k, 0, x
     changed, spans = planted(text, rng)
-    true = set(spans)
+    true, near = set(spans), _touching([(a, b) for _, a, b in spans])
     for k, a, b, x in candidates(changed):
-        if any(c < b and a < d for _, c, d in spans):
+        if near(a, b):
             yield k, int((k, a, b) in true), x
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of examples by kind, bins of features, and whether their text sets thresholds."""
+    held: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            tested = bool(tv.mix(np.array([zlib.crc32(text.encode("utf-8", "replace"))], np.uint64)).view(np.int64)[0] % 5 == 0)
+            for k, y, x in examples(text):
+                count = held[k, bytes([_BIN[v] for v in x]), tested]
+                count[0] += 1
+                count[1] += y
+                if len(held) >= _HELD:
+                    yield _counted(held)
+    if held:
+        yield _counted(held)
+
+
+def _counted(held: dict[tuple, list[int]]) -> pa.RecordBatch:
+    (kind, x, tested), (n, good) = zip(*held, strict=True), zip(*held.values(), strict=True)
+    held.clear()
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(x, pa.binary()), pa.array(tested, pa.bool_()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], names=["kind", "x", "tested", "n", "good"])
+
+
+def _some(column: pa.Array) -> pa.Array:
+    return pa.compute.fill_null(pa.compute.match_substring_regex(column, _SOME, ignore_case=True), False)
+
+
+def _worth_a_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k, y, tv.mix(np.array([zlib.crc32(text.encode("utf-8", "replace"))], np.uint64)).view(np.int64)[0], x) for text in batch.column("text").to_pylist() for k, y, x in examples(text)]
-        kind, truth, of, x = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(truth, pa.int32()), pa.array(of, pa.int64()), pa.array([[float(v) for v in f] for f in x], pa.list_(pa.float32()))], names=["kind", "truth", "doc", "x"])
+        yield batch.filter(_some(batch.column("text")))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Models from about ``sample`` texts."""
+def train(docs: DataFrame) -> Model:
+    """Models from all distinct texts."""
     lean_batches(docs)
-    texts = docs.select("text").where(F.col("text").rlike("[0-9]|@") & (F.length("text") <= LONGEST))
-    at = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
-    edge = texts.select(at.alias("at")).distinct().orderBy("at").limit(sample).agg(F.max("at")).first()[0]
-    if edge is None:
-        return Model({}, {})
-    chosen = texts.where(at <= edge).distinct()
-    rows = stored(chosen.mapInArrow(_examples, "kind string, truth int, doc long, x array<float>"), "candidates")
-    trees, thresholds = {}, {}
-    for kind in KINDS:
-        found = rows.where(F.col("kind") == kind).orderBy("doc").limit(ROWS).toArrow().combine_chunks()
-        y, doc = (np.asarray(found.column(c)) for c in ("truth", "doc"))
-        tested = doc % 5 == 0
-        if not 0 < y[~tested].sum() < (~tested).sum() or not tested.any():
-            continue
-        x = np.asarray(found.column("x").combine_chunks().flatten(), dtype=float).reshape(len(y), -1)
-        trees[kind] = Boosted().fit(x[~tested], y[~tested])
-        thresholds[kind] = threshold(trees[kind].predict(x[tested]), y[tested], PRECISION)
+    texts = docs.select("text").mapInArrow(_worth_a_look, "text string").distinct()
+    counts = texts.mapInArrow(_examples, "kind string, x binary, tested boolean, n long, good long")
+    rows = stored(counts.groupBy("kind", "x", "tested").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "candidates")
+    found = Model(*fit_table(rows, CUTS, PRECISION))
     discard(rows)
-    return Model(trees, thresholds)
+    return found
 
 
 _SPANS = "array<struct<kind: string, start: long, end: long{}>>"
@@ -339,7 +373,7 @@ def _detect(model: Model, redacted: bool):
         for batch in batches:
             for part in tv.pieces(batch):
                 column = part.column("text")
-                some = pa.compute.fill_null(pa.compute.match_substring_regex(column, _SOME, ignore_case=True), False)
+                some = _some(column)
                 at = np.flatnonzero(np.asarray(some))
                 texts = column.filter(some).to_pylist()
                 known = [base(t) for t in texts]
@@ -358,7 +392,7 @@ def _detect(model: Model, redacted: bool):
     return run
 
 
-def detect(docs: DataFrame, sample: int = SAMPLE, redacted: bool = False) -> DataFrame:
+def detect(docs: DataFrame, redacted: bool = False) -> DataFrame:
     """One row per document: doc_id, base and all spans (kind, start, end in code points; spans with a score), and with ``redacted`` the text with kinds in their place."""
     schema = f"doc_id long, base {_SPANS.format('')}, spans {_SPANS.format(', score: double')}" + ", redacted string" * redacted
-    return docs.select("doc_id", "text").mapInArrow(_detect(train(docs, sample), redacted), schema)
+    return docs.select("doc_id", "text").mapInArrow(_detect(train(docs), redacted), schema)
