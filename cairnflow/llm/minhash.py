@@ -262,7 +262,8 @@ def keep_one(docs: DataFrame, percent: int = 80, bands: int = 36) -> DataFrame:
     several texts of one id, or where no row has an id, that of the smallest hash). Of rows equal in id and text, whatever
     else they hold, the one whose columns have the smallest hash stays.
 
-    With 36 bands a pair at 0.8 meets in no bucket with probability 1e-6. All rows without words stay.
+    With 36 bands a pair at 0.8 meets in no bucket with probability 1e-6. Rows without words stay, those equal in all
+    columns once.
     """
     mark, same, tag = free_name(docs, "_id"), free_name(docs, "_text"), free_name(docs, "_tag")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
@@ -272,4 +273,4 @@ def keep_one(docs: DataFrame, percent: int = 80, bands: int = 36) -> DataFrame:
     rows = tagged.join(kept, tagged["doc_id"].eqNullSafe(kept[mark]) & (tagged[tag] == kept[same]), "left_semi")
     row = F.struct(*docs.columns)
     one = rows.groupBy("doc_id", tag).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias(mark)).select(f"{mark}.*")
-    return one.union(docs.where(~worded))
+    return one.union(docs.where(~worded).dropDuplicates())

@@ -31,3 +31,9 @@ def test_one_row_of_each_group_is_kept(spark):
     df, _ = rows_of_texts(spark)
     got = sorted((str(r.doc_id), len((r.text or "").split())) for r in minhash.keep_one(df, 85).collect())
     assert got == sorted([("2", 120), ("9", 100), ("None", 40), ("9", 9), ("7", 0), ("None", 0)])
+
+
+def test_rows_without_words_stay_but_repeated_ones(spark):
+    rows = [(7, None, "x"), (7, None, "x"), (7, None, "y"), (7, "", "x"), (8, None, "x"), (None, None, "x"), (None, None, "x"), (None, None, None), (None, " \n", "x"), (None, " \n", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert sorted(map(str, minhash.keep_one(df).collect())) == sorted(str(r) for r in df.distinct().collect())
