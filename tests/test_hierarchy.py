@@ -120,3 +120,25 @@ def test_reciprocal_pairs_with_ties(spark):
     own = [min((v, *p) for p, v in d.items() if k in p)[1:] for k in range(30)]
     assert {(r.i, r.j, r.h) for r in found.collect()} == {(*p, d[p]) for p in own if own.count(p) == 2}
     assert "least" in found._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("method", ["complete", "average", "weighted", "ward"])
+def test_sweeps_need_no_table_of_distances(spark, method, monkeypatch):
+    """Before, the distances of all pairs of items were stored as rows; now only those of ``table`` clusters are."""
+    rng = np.random.default_rng(6)
+    data = [(s, i, x) for s, n in (("s", 90), ("t", 70), ("u", 12)) for i, x in enumerate(rng.normal(size=(n, 3)).tolist())]
+    data += [("s", 90 + i, data[i][2]) for i in range(10)]  # copies
+    items = hierarchy._items(spark.createDataFrame(data, "session_id string, id long, features array<double>").repartition(3))
+    monkeypatch.setattr(hierarchy.sweeps, "LEAST", 40)
+    monkeypatch.setattr(hierarchy.sweeps, "CIRCLE", 30)
+    seen, blocks = [], hierarchy._blocks
+    monkeypatch.setattr(hierarchy, "_blocks", lambda rest, *a: seen.append(rest.count()) or blocks(rest, *a))
+    found = hierarchy.steps(items, method, few=60, table=60).collect()
+    assert seen == [12]
+    for s in "stu":
+        x = np.array([f for q, _, f in data if q == s])
+        want = linkage.cluster(x, method, 0.0, 5, order=False)["merges"]
+        rows = sorted((r for r in found if r.session_id == s), key=lambda r: r.step)
+        assert np.allclose([r.height for r in rows], [m[2] for m in want], atol=1e-9)
+        got = hierarchy.labels(items, spark.createDataFrame(found), 0.0, 7).where(F.col("session_id") == s).orderBy("idx").collect()
+        assert [r.k for r in got] == linkage.cut(len(x), [m[:3] for m in want], 0.0, 7)[0].tolist()
