@@ -142,3 +142,14 @@ def test_sweeps_need_no_table_of_distances(spark, method, monkeypatch):
         assert np.allclose([r.height for r in rows], [m[2] for m in want], atol=1e-9)
         got = hierarchy.labels(items, spark.createDataFrame(found), 0.0, 7).where(F.col("session_id") == s).orderBy("idx").collect()
         assert [r.k for r in got] == linkage.cut(len(x), [m[:3] for m in want], 0.0, 7)[0].tolist()
+
+
+def test_vectors_do_not_travel_to_every_block(spark):
+    """Before, each vector went through a shuffle once for every block, and each pair of blocks passed its tree on."""
+    rng = np.random.default_rng(7)
+    items = hierarchy._items(spark.createDataFrame([("s", i, rng.normal(size=4).tolist()) for i in range(300)], "session_id string, id long, features array<double>"))
+    near = hierarchy._spanning(items, items.groupBy("session_id").agg(F.count("*").alias("n")).collect(), 10).toPandas()
+    kept = hierarchy._forest(near.a.to_numpy(), near.b.to_numpy(), near.d.to_numpy())
+    _, _, d = hierarchy.pairs.tree(np.array([r.features for r in items.orderBy("idx").collect()]), None)
+    assert np.allclose(np.sort(near.d.to_numpy()[kept]), np.sort(d)) and near.d.max() == d.max()
+    assert len(near) < 30 * 31 / 2 * 10  # edges of the trees of all pairs of blocks, roughly
